@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,21 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir
 from ..session import ship
 
 #: Bytes of text that a task works on at once; one longer text is worked on alone.
 SLICE_BYTES = 1 << 22
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("strandframe.scratch", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-strandframe-")
-        spark.conf.set("strandframe.scratch", found)
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again, which ends its lineage and survives lost executors."""
     spark = df.sparkSession

@@ -1,11 +1,18 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, linededup, simhash
+from . import compression, decontaminate, langid, linededup, mixing, qualityrules, simhash, tokencount, urlfilter
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_url_filter": urlfilter.op2_url_filter,
+    "op3_quality_rules": qualityrules.op3_quality_rules,
+    "op4_toxicity": compression.op4_toxicity,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_quality": compression.op6_quality,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_simhash": simhash.op8_simhash,
+    "op9_language_id": langid.op9_language_id,
+    "op10_token_counts": tokencount.op10_token_counts,
 }
 
 ORACLES = {**linededup.ORACLE}
