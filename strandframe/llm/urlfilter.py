@@ -2,7 +2,7 @@
 
 Each URL becomes a set of tokens (scheme, labels of the host and their parts, path segments with their depth, file extension, query keys;
 numbers are one token). Spark's FP-growth mines the labelled URLs' token sets, where bad ones hold a label token; rules that
-lead to that token and pass ``support``, ``least_count`` and ``confidence`` are kept. Labelled URLs are pages whose page_id is a doc_id of
+lead to that token and pass ``support``, ``least_count``, ``confidence`` and ``lift`` are kept. Labelled URLs are pages whose page_id is a doc_id of
 labels; one is bad if its quality is 0 or it is toxic.
 
 Rules are matched through an inverted index: each is filed under the rarest of its tokens, URLs look up their tokens, and a candidate's other
@@ -71,13 +71,13 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def mine(transactions: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20) -> DataFrame:
+def mine(transactions: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> DataFrame:
     """antecedent (array), confidence, key (its rarest token) of the rules that lead to the label token; transactions: items, bad."""
     items = F.when(F.col("bad"), F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items"))
     ready = common.cut(transactions.select(items.alias("items")), "url-transactions")
     n = ready.count()
     model = FPGrowth(itemsCol="items", minSupport=max(support, min(1.0, least_count / max(1, n))), minConfidence=confidence).fit(ready)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BAD))).select("antecedent", "confidence", F.monotonically_increasing_id().alias("_r"))
+    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(_BAD))) & (F.col("lift") >= lift)).select("antecedent", "confidence", F.monotonically_increasing_id().alias("_r"))
     counts = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     keys = rules.select("_r", F.explode("antecedent").alias("token")).join(counts, "token").groupBy("_r").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
     return rules.join(keys, "_r").select("antecedent", "confidence", "key")
