@@ -112,7 +112,7 @@ def tied_weighted(chains: DataFrame, betas: dict[str, float]) -> DataFrame:
 def position_bias(residues: DataFrame, rules: DataFrame) -> DataFrame:
     """bias: 21 numbers for each residue, from rules (chain, pos, aa, bias); rules for a letter add up."""
     summed = rules.groupBy("chain", "pos").pivot("aa", list(MODEL_ORDER)).agg(F.sum("bias"))
-    return residues.join(summed, ["chain", "pos"], "left").select("name", "chain", "pos", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in MODEL_ORDER]).alias("bias"))
+    return residues.select(*KEY).join(summed, ["chain", "pos"], "left").select("name", "chain", "pos", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in MODEL_ORDER]).alias("bias"))
 
 
 def omit_rules(chains: DataFrame, rules: DataFrame) -> DataFrame:

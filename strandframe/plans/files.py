@@ -128,13 +128,13 @@ def scan_pssm_text(spark, sf_dir):
     return zipped.select("name", "pos", "j", F.col("z.log_odds").cast("long").alias("log_odds"), F.col("z.probs").cast("long").alias("prob"))
 
 
-@query("scan_design_fasta", sql("SELECT pose AS file, sample_id AS sample, round(score, 4) AS score, sequence FROM fx_results", "fx_results"))
+@query("scan_design_fasta", sql("SELECT pose AS file, sample_id AS sample, score, sequence FROM fx_results", "fx_results"))
 def scan_design_fasta(spark, sf_dir):
     r = fx.results(spark, sf_dir)
     head = F.concat(F.lit(">T=0.1, sample="), F.col("sample_id").cast("string"), F.lit(", score="), F.col("score").cast("string"), F.lit(", seq_recovery=0.5"))
     two = F.array(F.struct((2 * F.col("sample_id")).alias("line_no"), head.alias("line")), F.struct((2 * F.col("sample_id") + 1).alias("line_no"), F.col("sequence").alias("line")))
     lines = r.select(F.col("pose").alias("file"), F.explode(two).alias("l")).select("file", "l.*")
-    return records.parse_design_fasta(lines).select("file", "sample", F.round("score", 4).alias("score"), "sequence")
+    return records.parse_design_fasta(lines).select("file", "sample", "score", "sequence")
 
 
 def _samples(spark, sf_dir) -> DataFrame:
@@ -172,12 +172,12 @@ def write_fasta(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("write_results", sql("SELECT pose, sequence, round(score, 4) AS score, concat('Pose_', pose, '_', sequence, '.pdb') AS filename FROM fx_results", "fx_results"))
+@query("write_results", sql("SELECT pose, sequence, score, concat('Pose_', pose, '_', sequence, '.pdb') AS filename FROM fx_results", "fx_results"))
 def write_results(spark, sf_dir):
     path = _new(spark, "results")
     named = fx.results(spark, sf_dir).select("pose", "sequence", "score", F.concat(F.lit("Pose_"), "pose", F.lit("_"), "sequence", F.lit(".pdb")).alias("filename"))
     scoring.rank_results(named).write.option("header", True).csv(path)
-    return spark.read.schema("pose string, sequence string, score double, filename string").option("header", True).csv(path).withColumn("score", F.round("score", 4))
+    return spark.read.schema("pose string, sequence string, score double, filename string").option("header", True).csv(path)
 
 
 @query("write_scores", sql("SELECT name, count(*) AS n_positions, round(sum(logits[1]), 4) AS first_sum FROM fx_logits GROUP BY name", "fx_logits"))

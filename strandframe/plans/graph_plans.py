@@ -62,11 +62,11 @@ def atom_pair_distances(spark, sf_dir):
     return G.atom_pair_distances(edges, table).groupBy("name", "a", "b").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 4).alias("mean_dist"))
 
 
-@query("rbf_features", sql(f"{_ALL} SELECT name, src, dst, i, round(exp(-power((dist - (2.0 + i * (20.0 / 15))) / 1.25, 2)), 6) AS v FROM knn CROSS JOIN (SELECT unnest(range(0, 16)) AS i) WHERE rank = 2", "residues", "offsets"))
+@query("rbf_features", sql(f"{_ALL} SELECT name, i, round(avg(exp(-power((dist - (2.0 + i * (20.0 / 15))) / 1.25, 2))), 6) AS v FROM knn CROSS JOIN (SELECT unnest(range(0, 16)) AS i) GROUP BY name, i", "residues", "offsets"))
 def rbf_features(spark, sf_dir):
-    """Of each residue's nearest other one."""
-    edges = G.edge_rbf(G.knn_graph(points(spark, sf_dir), _K).filter("rank = 2"))
-    return edges.select("name", "src", "dst", F.posexplode("rbf").alias("i", "v")).withColumn("v", F.round("v", 6))
+    """Mean over each structure's edges."""
+    features = G.edge_rbf(G.knn_graph(points(spark, sf_dir), _K)).select("name", F.posexplode("rbf").alias("i", "v"))
+    return features.groupBy("name", "i").agg(F.round(F.avg("v"), 6).alias("v"))
 
 
 _EDGE = f"{_ALL}, e AS (SELECT k.name, k.src, k.dst, k.rank, k.dist, s.residue_idx - d.residue_idx AS off, CASE WHEN s.chain = d.chain THEN 1 ELSE 0 END AS same_chain FROM knn k JOIN idx s ON k.name = s.name AND k.src = s.global_pos JOIN idx d ON k.name = d.name AND k.dst = d.global_pos)"

@@ -195,14 +195,14 @@ def run_summary(spark, sf_dir):
     return S.run_summary(fx.results(spark, sf_dir).withColumnRenamed("pose", "name"), 2, 3)
 
 
-@query("best_per_pose", sql("SELECT pose, sequence, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY pose ORDER BY score, sequence) AS rank FROM fx_results) WHERE rank <= 5", "fx_results"))
+@query("best_per_pose", sql("SELECT pose, sequence, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY pose ORDER BY score, sequence) AS rank FROM fx_results) WHERE rank <= 5", "fx_results"))
 def best_per_pose(spark, sf_dir):
-    return S.best_per_pose(fx.results(spark, sf_dir), 5).select("pose", "sequence", F.round("score", 4).alias("score"), "rank")
+    return S.best_per_pose(fx.results(spark, sf_dir), 5).select("pose", "sequence", "score", "rank")
 
 
-@query("rank_results", sql("SELECT pose, sequence, round(score, 4) AS score FROM fx_results ORDER BY score, pose, sequence", "fx_results"))
+@query("rank_results", sql("SELECT pose, sequence, score FROM fx_results ORDER BY score, pose, sequence", "fx_results"))
 def rank_results(spark, sf_dir):
-    return S.rank_results(fx.results(spark, sf_dir)).select("pose", "sequence", F.round("score", 4).alias("score"))
+    return S.rank_results(fx.results(spark, sf_dir)).select("pose", "sequence", "score")
 
 
 @query("append_results", sql("SELECT pose, count(*) AS n FROM (SELECT pose FROM fx_results UNION ALL SELECT 'new' FROM part) GROUP BY pose", "fx_results"))
@@ -211,7 +211,7 @@ def append_results(spark, sf_dir):
     return fx.results(spark, sf_dir).unionByName(new).groupBy("pose").agg(F.count("*").alias("n"))
 
 
-@query("shuffle_batches")
+@query("shuffle_batches", sql("WITH c AS (SELECT name, sum(len) AS length FROM chains GROUP BY name), b AS (SELECT name, length, CAST(ceil(log2(greatest(length, 1))) AS INT) AS bucket FROM c) SELECT DISTINCT bucket, CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY length, name) - 1) / greatest(floor(1000 / power(2, bucket)), 1)) AS BIGINT) AS batch FROM b", "chains"))
 def shuffle_batches(spark, sf_dir):
     """Batches in the order of a seeded hash."""
     b = S.length_batches(R.complexes(plans.chains(spark, sf_dir)).select("name", "length"), 1000).select("bucket", "batch").distinct()
