@@ -18,19 +18,30 @@ def mirror(atoms: DataFrame) -> DataFrame:
 
 
 def residues_from_atoms(atoms: DataFrame) -> DataFrame:
-    """One row for each residue; the first line wins for its name and for each atom (n, ca, c, o: arrays, null where missing)."""
-    xyz = F.array("x", "y", "z")
-    firsts = [F.min_by(F.when(F.col("atom") == a, xyz), F.when(F.col("atom") == a, F.col("line_no"))).alias(a.lower()) for a in ATOMS]
-    grouped = atoms.groupBy(*KEY).agg(F.min_by("res3", "line_no").alias("res3"), *firsts)
-    return grouped.withColumn("aa", to_letter(F.col("res3")))
+    """One row for each residue; the first line wins for its name and for each atom (n, ca, c, o: arrays, null where missing).
+
+    All aggregation buffers are numbers (a name of up to seven characters is one long), so Spark aggregates by hash and before its shuffle.
+    """
+    line = F.col("line_no")
+    firsts = [F.min_by(c, F.when(F.col("atom") == a, line)).alias(f"_{a}_{c}") for a in ATOMS for c in "xyz"]
+    name = F.conv(F.hex("res3"), 16, 10).cast("long")
+    grouped = atoms.groupBy(*KEY).agg(F.min_by(name, line).alias("_res3"), *firsts)
+    res3 = F.coalesce(F.unhex(F.hex("_res3")).cast("string"), F.lit(""))
+    xyz = lambda a: F.when(F.coalesce(*[f"_{a}_{c}" for c in "xyz"]).isNotNull(), F.array(*[f"_{a}_{c}" for c in "xyz"]))
+    return grouped.select(*KEY, res3.alias("res3"), *[xyz(a).alias(a.lower()) for a in ATOMS]).withColumn("aa", to_letter(F.col("res3")))
 
 
 def fill_gaps(residues: DataFrame) -> DataFrame:
-    """All residue numbers between a chain's least and largest; those without residue are '-' without atoms."""
-    ends = residues.groupBy("name", "chain").agg(F.min("resseq").alias("lo"), F.max("resseq").alias("hi"))
-    dense = ends.select("name", "chain", F.explode(F.sequence("lo", "hi")).alias("resseq"))
-    filled = dense.join(residues, ["name", "chain", "resseq"], "left")
-    return filled.withColumn("icode", F.coalesce("icode", F.lit(""))).withColumn("aa", F.coalesce("aa", F.lit("-")))
+    """All residue numbers between a chain's least and largest; those without residue are '-' without atoms.
+
+    Each residue brings the empty numbers up to the next one, so nothing is joined and the chain's partitioning serves the ordinals too.
+    """
+    w = W.partitionBy("name", "chain").orderBy("resseq", "icode")
+    last = F.greatest(F.col("resseq"), F.coalesce(F.lead("resseq").over(w) - 1, F.col("resseq")))
+    rows = residues.withColumn("_last", last).withColumn("_at", F.explode(F.sequence("resseq", "_last")))
+    own = F.col("_at") == F.col("resseq")
+    keep = [F.when(own, F.col(c)).alias(c) for c in ("res3", "n", "ca", "c", "o")]
+    return rows.select("name", "chain", F.col("_at").alias("resseq"), F.when(own, F.col("icode")).otherwise("").alias("icode"), *keep, F.when(own, F.col("aa")).otherwise("-").alias("aa"))
 
 
 def with_ordinals(residues: DataFrame) -> DataFrame:
@@ -93,6 +104,13 @@ def residue_index(residues: DataFrame, offsets: DataFrame) -> DataFrame:
     return joined.withColumn("global_pos", F.col("start") + F.col("pos") - 1).withColumn("residue_idx", 100 * (F.col("chain_no") - 1) + F.col("global_pos"))
 
 
+def with_index(residues: DataFrame) -> DataFrame:
+    """chain_no, global_pos and residue_idx with chains in letter order, by one window and without a join."""
+    w = W.partitionBy("name").orderBy("chain", "pos")
+    indexed = residues.withColumn("chain_no", F.dense_rank().over(W.partitionBy("name").orderBy("chain"))).withColumn("global_pos", F.row_number().over(w).cast("long") - 1)
+    return indexed.withColumn("residue_idx", 100 * (F.col("chain_no") - 1) + F.col("global_pos"))
+
+
 def adjacency_masks(indexed: DataFrame) -> DataFrame:
     """phi: a residue with the index before it comes before; psi, omega: one with the next index follows."""
     w = W.partitionBy("name").orderBy("global_pos")

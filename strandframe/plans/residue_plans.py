@@ -35,8 +35,7 @@ def chains(spark, sf_dir) -> DataFrame:
 
 
 def indexed(spark, sf_dir) -> DataFrame:
-    table = residues(spark, sf_dir)
-    return R.residue_index(table, R.chain_offsets(R.chain_sequences(table)))
+    return R.with_index(residues(spark, sf_dir))
 
 
 @query("mirror", sql("SELECT name, line_no, round(-x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM fx_atoms", "fx_atoms"))
@@ -106,7 +105,8 @@ _INDEX = "idx AS (SELECT r.name, r.chain, r.pos, CAST(o.start + r.pos - 1 AS BIG
 
 @query("residue_index", sql(f"WITH {_INDEX} SELECT name, chain, pos, global_pos, residue_idx FROM idx", "residues", "offsets"))
 def residue_index(spark, sf_dir):
-    return indexed(spark, sf_dir).select("name", "chain", "pos", "global_pos", "residue_idx")
+    table = residues(spark, sf_dir)
+    return R.residue_index(table, R.chain_offsets(R.chain_sequences(table))).select("name", "chain", "pos", "global_pos", "residue_idx")
 
 
 @query(
