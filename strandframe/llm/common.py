@@ -27,7 +27,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two longs, never null, that tell documents apart: its id, and a hash of its text as ids may repeat."""
-    return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("_k1"), F.xxhash64(text, F.length(text)).alias("_k2")]
+    return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("_strand_k1"), F.xxhash64(text, F.length(text)).alias("_strand_k2")]
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

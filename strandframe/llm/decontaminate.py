@@ -79,7 +79,7 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _pieces(docs: DataFrame, bits: np.ndarray, least: dict[int, int], window: int, piece: int) -> DataFrame:
-    """doc_id, _k2, n_words and the pieces of every document. least: shingle size to the words of its shortest window."""
+    """doc_id, _strand_k2, n_words and the pieces of every document. least: shingle size to the words of its shortest window."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(F.col("doc_id"), F.col("text"))[1], F.col("text").cast("string").alias("text"))
     kind = pa.list_(pa.struct([("size", pa.int32()), ("start", pa.int64()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64()))]))
     compact = bits.tobytes()
@@ -112,18 +112,18 @@ def _pieces(docs: DataFrame, bits: np.ndarray, least: dict[int, int], window: in
                             found[row].append({"size": size, "start": own[0] - int(bounds[row]), "words": [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in own], "hashes": g[a:b].view(np.int64).tolist()})
                             if b == hi:
                                 break
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds).astype(np.int64)), pa.array(found, type=kind)], names=["doc_id", "_k2", "n_words", "pieces"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds).astype(np.int64)), pa.array(found, type=kind)], names=["doc_id", "_strand_k2", "n_words", "pieces"])
 
-    return keyed.mapInArrow(run, "doc_id long, _k2 long, n_words long, pieces array<struct<size int, start long, words array<string>, hashes array<long>>>")
+    return keyed.mapInArrow(run, "doc_id long, _strand_k2 long, n_words long, pieces array<struct<size int, start long, words array<string>, hashes array<long>>>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, piece: int = 64) -> DataFrame:
-    """doc_id, _k2 (hash of the text), n_words, n_hit, item_ids (array, sorted as strings) of every row of docs."""
+    """doc_id, _strand_k2 (hash of the text), n_words, n_hit, item_ids (array, sorted as strings) of every row of docs."""
     w = common.cut(_windows(items, window, shingle).groupBy("size", "words", "hashes").agg(F.collect_set("item_id").alias("items")).withColumn("w", F.md5(F.concat_ws(" ", "words"))), "decon-windows")
     least = {r["size"]: r["n"] for r in w.groupBy("size").agg(F.min(F.size("words")).alias("n")).collect()}  # shingle rows at most
     bits = _bitmap(w.select(F.explode("hashes").alias("h")))
     seen = common.cut(_pieces(docs, bits, least, window, piece), "decon-pieces")
-    each = seen.select("doc_id", "_k2", F.explode("pieces").alias("p")).select("doc_id", "_k2", "p.*").withColumn("piece", F.md5(F.concat_ws(" ", F.col("size").cast("string"), "words")))
+    each = seen.select("doc_id", "_strand_k2", F.explode("pieces").alias("p")).select("doc_id", "_strand_k2", "p.*").withColumn("piece", F.md5(F.concat_ws(" ", F.col("size").cast("string"), "words")))
     unique = common.cut(each.groupBy("piece").agg(F.first("size").alias("size"), F.first("words").alias("words"), F.first("hashes").alias("hashes"), F.count("*").alias("n")), "decon-unique")
     tokens = unique.select("piece", "size", "words", "n", F.posexplode("hashes").alias("at", "h"))
     rarity = tokens.groupBy("size", "h").agg(F.sum("n").alias("freq"))
@@ -133,11 +133,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     placed = tokens.join(prefix, ["size", "h"]).withColumn("begin", F.col("at") - F.col("offset")).filter((F.col("begin") >= 0) & (F.col("begin") + F.size("wanted") <= F.size("words")))
     same = placed.filter(F.slice("words", F.col("begin") + 1, F.size("wanted")) == F.col("wanted"))
     held = common.cut(same.groupBy("piece").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(begin, begin + size(wanted) - 1)")))).alias("covered"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "decon-held")
-    hits = each.select("doc_id", "_k2", "piece", "start").distinct().join(held, "piece").groupBy("doc_id", "_k2").agg(F.flatten(F.collect_list(F.expr("transform(covered, x -> x + start)"))).alias("covered"), F.flatten(F.collect_set("items")).alias("items"))
-    done = hits.select("doc_id", "_k2", F.size(F.array_distinct("covered")).cast("long").alias("n_hit"), F.array_sort(F.transform(F.array_distinct("items"), lambda x: x.cast("string"))).alias("item_ids"))
-    left = seen.select("doc_id", "_k2", "n_words").withColumn("_k1", F.coalesce("doc_id", F.lit(-(2**63))))
-    right = done.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k1"), "_k2", "n_hit", "item_ids")
-    return left.join(right, ["_k1", "_k2"], "left").select("doc_id", "_k2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    hits = each.select("doc_id", "_strand_k2", "piece", "start").distinct().join(held, "piece").groupBy("doc_id", "_strand_k2").agg(F.flatten(F.collect_list(F.expr("transform(covered, x -> x + start)"))).alias("covered"), F.flatten(F.collect_set("items")).alias("items"))
+    done = hits.select("doc_id", "_strand_k2", F.size(F.array_distinct("covered")).cast("long").alias("n_hit"), F.array_sort(F.transform(F.array_distinct("items"), lambda x: x.cast("string"))).alias("item_ids"))
+    left = seen.select("doc_id", "_strand_k2", "n_words").withColumn("_strand_k1", F.coalesce("doc_id", F.lit(-(2**63))))
+    right = done.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"), "_strand_k2", "n_hit", "item_ids")
+    return left.join(right, ["_strand_k1", "_strand_k2"], "left").select("doc_id", "_strand_k2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -147,6 +147,6 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of an item."""
-    bad = common.cut(contamination(docs, items).filter("n_hit > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k1"), "_k2").distinct(), "decon-bad")
+    bad = common.cut(contamination(docs, items).filter("n_hit > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"), "_strand_k2").distinct(), "decon-bad")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
-    return docs.withColumns({"_k1": k1, "_k2": k2}).join(bad, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    return docs.withColumns({"_strand_k1": k1, "_strand_k2": k2}).join(bad, ["_strand_k1", "_strand_k2"], "left_anti").select(*docs.columns)

@@ -150,9 +150,9 @@ def _probes(keyed: DataFrame, hot: PerfectHash, shards: int) -> DataFrame:
                     k2 += [b] * len(own)
                 both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
                 cold = index.count(both[:, 0].view(np.uint64), both[:, 1].view(np.uint64)) == 0 if len(both) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=kind)[cold]) for x, kind in ((k1, np.int64), (k2, np.int64), (at, np.int32), (both[:, 0], np.int64), (both[:, 1], np.int64))], names=["_k1", "_k2", "line", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=kind)[cold]) for x, kind in ((k1, np.int64), (k2, np.int64), (at, np.int32), (both[:, 0], np.int64), (both[:, 1], np.int64))], names=["_strand_k1", "_strand_k2", "line", "h1", "h2"])
 
-    return keyed.select("_k1", "_k2", "text").mapInArrow(run, "_k1 long, _k2 long, line int, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+    return keyed.select("_strand_k1", "_strand_k2", "text").mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
 
 
 def _probe(index: DataFrame, probes: DataFrame, min_docs: int) -> DataFrame:
@@ -171,13 +171,13 @@ def _probe(index: DataFrame, probes: DataFrame, min_docs: int) -> DataFrame:
                     shard, arrays = shards[lo], PerfectHash.of(*(b[c][lo].as_py() for c in ("sizes", "bits", "prints", "counts")))
                     lo += 1
                 if lo < hi and shard == shards[lo]:
-                    part = {c: b[c].slice(lo, hi - lo) for c in ("_k1", "_k2", "line", "h1", "h2")}
+                    part = {c: b[c].slice(lo, hi - lo) for c in ("_strand_k1", "_strand_k2", "line", "h1", "h2")}
                     found = pa.array(arrays.count(_uint(part["h1"]), _uint(part["h2"])) >= min_docs)
-                    yield pa.RecordBatch.from_arrays([part[c].filter(found) for c in ("_k1", "_k2", "line")], names=["_k1", "_k2", "line"])
+                    yield pa.RecordBatch.from_arrays([part[c].filter(found) for c in ("_strand_k1", "_strand_k2", "line")], names=["_strand_k1", "_strand_k2", "line"])
 
     both = index.unionByName(probes, allowMissingColumns=True)
     dealt = both.repartition("shard").sortWithinPartitions("shard", F.col("sizes").isNull())
-    return dealt.select("shard", "sizes", "bits", "prints", "counts", "_k1", "_k2", "line", "h1", "h2").mapInArrow(run, "_k1 long, _k2 long, line int")
+    return dealt.select("shard", "sizes", "bits", "prints", "counts", "_strand_k1", "_strand_k2", "line", "h1", "h2").mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int")
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, hot_keys: int = 4096, shard_lines: int = 500_000) -> DataFrame:
@@ -197,10 +197,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, h
         rest = counts.filter(F.struct(-F.col("n"), "h1", "h2") > F.struct(F.lit(-int(least["n"])).cast("long"), F.lit(int(least["h1"])).cast("long"), F.lit(int(least["h2"])).cast("long")))
     index = common.cut(build_index(rest, shards), "lines-index")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
-    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumns({"_k1": k1, "_k2": k2})
+    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumns({"_strand_k1": k1, "_strand_k2": k2})
     found = _probe(index, _probes(keyed, hot, shards), min_docs)
-    lost = common.cut(found.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("line")).alias("_lost")), "lines-lost")
-    joined = keyed.join(lost, ["_k1", "_k2"], "left").drop("_k1", "_k2", "n_lines", "n_dropped")
+    lost = common.cut(found.groupBy("_strand_k1", "_strand_k2").agg(F.array_sort(F.collect_set("line")).alias("_lost")), "lines-lost")
+    joined = keyed.join(lost, ["_strand_k1", "_strand_k2"], "left").drop("_strand_k1", "_strand_k2", "n_lines", "n_dropped")
     parts = hot.parts()
     names = [c for c in joined.columns if c != "_lost"]
 

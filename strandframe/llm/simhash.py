@@ -39,16 +39,16 @@ def _fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, _k2 (hash of the text) and fingerprint (long) of every row."""
+    """doc_id, _strand_k2 (hash of the text) and fingerprint (long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.text_slices(batch):
                 made = pa.array([_fingerprint(t.as_py()) for t in part.column(2)], type=pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], names=["doc_id", "_k2", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], names=["doc_id", "_strand_k2", "fp"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(F.col("doc_id"), F.col("text"))[1], F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, _k2 long, fp long")
+    return keyed.mapInArrow(run, "doc_id long, _strand_k2 long, fp long")
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -100,14 +100,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 6, small_bucket: int = 512) -> DataFrame:
-    """doc_id, _k2, fp, component_id (least doc_id that links reach) for every row of docs."""
+    """doc_id, _strand_k2, fp, component_id (least doc_id that links reach) for every row of docs."""
     made = common.cut(fingerprints(docs), "simhash-prints")
     distinct = common.cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), distance, blocks, small_bucket))
     linked = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = common.cut(linked.join(heads, "root").select("fp", "component_id"), "simhash-named")
-    return made.join(named, "fp").select("doc_id", "_k2", "fp", "component_id")
+    return made.join(named, "fp").select("doc_id", "_strand_k2", "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
@@ -118,9 +118,9 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with the least (doc_id, text hash) of each component; of wholly equal ones, one."""
     # A component is known by its least doc_id; the least text hash decides where that id repeats.
-    found = common.cut(near_duplicates(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k1"), "_k2", F.coalesce("component_id", F.lit(-(2**63))).alias("_c")), "simhash-found")
-    heads = found.filter("_k1 = _c").groupBy("_c").agg(F.min("_k2").alias("_k2"), F.count("*").alias("_n")).select(F.col("_c").alias("_k1"), "_k2", "_n")
+    found = common.cut(near_duplicates(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"), "_strand_k2", F.coalesce("component_id", F.lit(-(2**63))).alias("_c")), "simhash-found")
+    heads = found.filter("_strand_k1 = _c").groupBy("_c").agg(F.min("_strand_k2").alias("_strand_k2"), F.count("*").alias("_n")).select(F.col("_c").alias("_strand_k1"), "_strand_k2", "_n")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
-    kept = docs.withColumns({"_k1": k1, "_k2": k2}).join(heads, ["_k1", "_k2"])
-    once, more = kept.filter("_n = 1"), kept.filter("_n > 1").dropDuplicates(["_k1", "_k2"])
+    kept = docs.withColumns({"_strand_k1": k1, "_strand_k2": k2}).join(heads, ["_strand_k1", "_strand_k2"])
+    once, more = kept.filter("_n = 1"), kept.filter("_n > 1").dropDuplicates(["_strand_k1", "_strand_k2"])
     return once.unionByName(more).select(*docs.columns)

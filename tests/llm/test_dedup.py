@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandframe.llm import decontaminate, linededup, simhash
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, n_lines string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, _k1 string"
 ASCII_LOW = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
