@@ -79,7 +79,7 @@ def plan(counted: DataFrame, entropy: float, max_repeat: float, budget: int | No
         times = F.pow(F.col("t").cast("double"), F.lit(a)) / F.lit(top["z"] or 1.0) * budget / F.col("t")
     goal = totals.select(F.col("source").alias("_s"), F.when(F.col("t") > 0, F.round(times, 9)).otherwise(1.0).alias("times"), F.col("t").alias("total"))
     ranked = each.join(goal, F.col("source").eqNullSafe(F.col("_s"))).withColumn("whole", F.floor("times").cast("int"))
-    order = W.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed), "whole"), "block")  # a source has `blocks` rows here
+    order = W.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed), F.col("whole") + 1), "block")  # the last epoch's permutation; a source has `blocks` rows here
     ranked = ranked.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("t").over(order.rowsBetween(W.unboundedPreceding, 0)))
     extra = (F.col("upto") <= (F.col("times") - F.col("whole")) * F.col("total") + 1e-6) & (F.col("times") > F.col("whole"))
     made = ranked.select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.col("whole") + extra.cast("int")).alias("copies"))
