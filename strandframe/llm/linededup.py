@@ -7,7 +7,7 @@ found in at least ``min_docs`` documents lose all their lines in every document.
 2. The most common keys (at most ``hot_keys``, a fixed bound) form one small index that goes to all tasks, so none of them meets in a shuffle.
 3. All other keys of two or more documents (fewer can't reach any threshold) go to shards by hash; each shard is built into
    one minimal perfect hash, levelled bit arrays with ranks, over a 64-bit fingerprint array and a count array.
-4. Lines that aren't hot travel as hashes to their shard and stream past its arrays; what is found goes back to its document.
+4. Each document's other keys travel as hashes, once each, to their shard and stream past its arrays; what is found goes back to it.
 
 The number of shards follows the number of lines. Null or empty text is one empty line; repeated rows each count as a document
 and get equal results; null doc_ids are kept; other columns pass through; empty in, empty out.
@@ -102,6 +102,15 @@ class PerfectHash:
         return cls(np.frombuffer(sizes, np.int64), np.frombuffer(bits, np.uint8), np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.uint32))
 
 
+def _first_lines(keys: list[bytes], min_chars: int) -> dict[bytes, int]:
+    """Each key that is long enough, with its first place. Empty lines, the most common of all, thus never travel."""
+    first: dict[bytes, int] = {}
+    for i, k in enumerate(keys):
+        if k not in first and _long_enough(k, min_chars):
+            first[k] = i
+    return first
+
+
 def _uint(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
@@ -133,8 +142,8 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
     return sharded.groupBy("shard").applyInArrow(run, "shard int, sizes binary, bits binary, prints binary, counts binary")
 
 
-def _probes(keyed: DataFrame, hot: PerfectHash, shards: int) -> DataFrame:
-    """The hashes of all lines that aren't hot, each with its document and place."""
+def _probes(keyed: DataFrame, hot: PerfectHash, shards: int, min_chars: int) -> DataFrame:
+    """The hashes of each document's keys that aren't hot, once, with the place of the first line that has it."""
     parts = hot.parts()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +152,9 @@ def _probes(keyed: DataFrame, hot: PerfectHash, shards: int) -> DataFrame:
             for part in common.text_slices(batch):
                 k1, k2, at, pairs = [], [], [], []
                 for a, b, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    own = [_pair(k) for k in _keys(t.as_py())]
-                    pairs += own
-                    at += range(len(own))
+                    own = _first_lines(_keys(t.as_py()), min_chars)
+                    pairs += map(_pair, own)
+                    at += own.values()
                     k1 += [a] * len(own)
                     k2 += [b] * len(own)
                 both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
@@ -198,7 +207,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, h
     index = common.cut(build_index(rest, shards), "lines-index")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumns({"_strand_k1": k1, "_strand_k2": k2})
-    found = _probe(index, _probes(keyed, hot, shards), min_docs)
+    found = _probe(index, _probes(keyed, hot, shards, min_chars), min_docs)
     lost = common.cut(found.groupBy("_strand_k1", "_strand_k2").agg(F.array_sort(F.collect_set("line")).alias("_lost")), "lines-lost")
     joined = keyed.join(lost, ["_strand_k1", "_strand_k2"], "left").drop("_strand_k1", "_strand_k2", "n_lines", "n_dropped")
     parts = hot.parts()
@@ -209,16 +218,18 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, h
         for batch in batches:
             for part in common.text_slices(batch):
                 texts, n_lines, n_dropped = [], [], []
-                where = part.schema.get_field_index("text")
-                for t, lost in zip(part.column(where), part.column(part.schema.get_field_index("_lost")), strict=True):
-                    raw = t.as_py()
-                    keys = _keys(raw)
-                    both = np.array([_pair(k) for k in keys], dtype=np.int64)
-                    out = near.count(both[:, 0].view(np.uint64), both[:, 1].view(np.uint64)) >= min_docs
-                    out[lost.as_py() or []] = True
-                    texts.append(b"\n".join(x for x, gone in zip(raw.split(b"\n"), out, strict=True) if not gone) if out.any() else raw)
+                raws = part.column(part.schema.get_field_index("text")).to_pylist()
+                keyed_lines = [_keys(raw) for raw in raws]
+                distinct = list({k for keys in keyed_lines for k in keys})
+                both = np.array(list(map(_pair, distinct)), dtype=np.int64).reshape(-1, 2)
+                common_here = near.count(both[:, 0].view(np.uint64), both[:, 1].view(np.uint64)) >= min_docs
+                everywhere = {k for k, out in zip(distinct, common_here, strict=True) if out}
+                for raw, keys, lost in zip(raws, keyed_lines, part.column(part.schema.get_field_index("_lost")).to_pylist(), strict=True):
+                    own = {keys[i] for i in lost or []}
+                    stays = [x for x, k in zip(raw.split(b"\n"), keys, strict=True) if k not in everywhere and k not in own]
+                    texts.append(b"\n".join(stays))
                     n_lines.append(len(keys))
-                    n_dropped.append(int(out.sum()))
+                    n_dropped.append(len(keys) - len(stays))
                 kept = [pa.array(texts, type=pa.binary()).cast(pa.string()) if n == "text" else part.column(part.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(n_lines, type=pa.int64()), pa.array(n_dropped, type=pa.int64())], names=[*names, "n_lines", "n_dropped"])
 

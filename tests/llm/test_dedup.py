@@ -65,6 +65,16 @@ def test_line_dedup(docs, rows, hot, min_docs):
     assert {r["fp"] for r in got} == {"own"}
 
 
+def test_blank_and_repeated_lines_do_not_travel(spark):
+    """A corpus of blank lines, or of one document's repeated line, gives one probe for each document and key."""
+    docs = spark.createDataFrame([(i, "\n \n\t\n" * 50 + f"same\nSAME \nown {i % 6}\n" * 40) for i in range(12)], "doc_id long, text string")
+    keyed = docs.withColumns({"_strand_k1": F.col("doc_id"), "_strand_k2": F.col("doc_id")})
+    none = linededup.PerfectHash.build(*[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64))
+    assert linededup._probes(keyed, none, 8, 1).count() == 12 * 2
+    got = linededup.drop_common_lines(docs, 10, hot_keys=0).collect()
+    assert {(r["n_lines"], r["n_dropped"]) for r in got} == {(271, 80)} and all("ame" not in r["text"] for r in got)
+
+
 def test_line_dedup_of_nothing(docs):
     assert linededup.drop_common_lines(docs.filter(F.lit(False))).collect() == []
 
