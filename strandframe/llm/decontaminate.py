@@ -150,3 +150,24 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     bad = common.cut(contamination(docs, items).filter("n_hit > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"), "_strand_k2").distinct(), "decon-bad")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
     return docs.withColumns({"_strand_k1": k1, "_strand_k2": k2}).join(bad, ["_strand_k1", "_strand_k2"], "left_anti").select(*docs.columns)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SQL_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE = {
+    "op7_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_SQL_WORDS} AS ws FROM benchmark),
+bi AS (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, len(ws[i:i + 9]) AS k, array_to_string(ws[i:i + 9], ' ') AS g FROM bi),
+ks AS (SELECT DISTINCT k FROM bw),
+e AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d),
+l AS (SELECT r, i, list(x) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS xs FROM e),
+dw AS (SELECT r, i, k, array_to_string(xs[1:k], ' ') AS g FROM l CROSS JOIN ks WHERE len(xs) >= k),
+m AS (SELECT r, i, dw.k AS k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+h AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + k - 1)) AS p FROM m) AS q GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM m) AS q GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN n ON d.r = n.r""",
+}
