@@ -30,6 +30,12 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
 
 
+def _drawn(seed: int, *of: Column) -> Column:
+    """A number below 2**60 drawn by the columns and the seed: MD5, which other engines have too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in of])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def exponent(totals: DataFrame, entropy: float, max_repeat: float, budget: int | None, points: int = 16, rounds: int = 5) -> float:
     """The exponent for sources with t tokens each (t > 0); see above."""
     top = totals.agg(F.max("t").alias("top"), F.count("*").alias("n"), F.sum("t").alias("all")).first()
@@ -79,7 +85,7 @@ def plan(counted: DataFrame, entropy: float, max_repeat: float, budget: int | No
         times = F.pow(F.col("t").cast("double"), F.lit(a)) / F.lit(top["z"] or 1.0) * budget / F.col("t")
     goal = totals.select(F.col("source").alias("_s"), F.when(F.col("t") > 0, F.round(times, 9)).otherwise(1.0).alias("times"), F.col("t").alias("total"))
     ranked = each.join(goal, F.col("source").eqNullSafe(F.col("_s"))).withColumn("whole", F.floor("times").cast("int"))
-    order = W.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed), F.col("whole") + 1), "block")  # the last epoch's permutation; a source has `blocks` rows here
+    order = W.partitionBy("source").orderBy(_drawn(seed, F.col("source"), F.col("block"), F.col("whole") + 1), "block")  # the last epoch's permutation; a source has `blocks` rows here
     ranked = ranked.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("t").over(order.rowsBetween(W.unboundedPreceding, 0)))
     extra = (F.col("upto") <= (F.col("times") - F.col("whole")) * F.col("total") + 1e-6) & (F.col("times") > F.col("whole"))
     made = ranked.select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.col("whole") + extra.cast("int")).alias("copies"))
@@ -89,14 +95,37 @@ def plan(counted: DataFrame, entropy: float, max_repeat: float, budget: int | No
 def mixture(docs: DataFrame, entropy: float = 0.97, max_repeat: float = 4.0, budget: int | None = None, blocks: int = 256, seed: int = 42) -> DataFrame:
     """The rows of docs as often as their source's weight asks, with n_tokens, epoch (1, 2, ...), block, and place: of the block in its epoch."""
     names = [c for c in docs.columns if c not in ADDED]
-    counted = docs.select(*names).withColumn("n_tokens", n_tokens(F.col("text").cast("string"))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int"))
+    counted = docs.select(*names).withColumn("n_tokens", n_tokens(F.col("text").cast("string"))).withColumn("block", (_drawn(seed, F.col("doc_id")) % blocks).cast("int"))
     made, sources = plan(counted.select("source", "block", "n_tokens"), entropy, max_repeat, budget, blocks, seed)
     made = F.broadcast(made) if sources * blocks <= _BROADCAST_ROWS else made
     joined = counted.join(made, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     copied = joined.filter("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copied.withColumn("place", F.xxhash64("source", "block", F.lit(seed), "epoch")).select(*names, *ADDED)
+    return copied.withColumn("place", _drawn(seed, F.col("source"), F.col("block"), F.col("epoch"))).select(*names, *ADDED)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     found = mixture(common.docs_of(spark, sf_dir).select("doc_id", "source", "text"))
     return found.select("doc_id", "source", "n_tokens", "epoch", "block", "place")
+
+
+def _sql_drawn(*of: str, seed: int = 42) -> str:
+    return "CAST('0x' || substr(md5(concat_ws('|', '" + str(seed) + "', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in of) + ")), 1, 15) AS BIGINT)"
+
+
+#: The bisection ends on multiples of 2**-20; SQL looks at all of them.
+ORACLE = {
+    "op5_mixing": rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens, CAST({_sql_drawn("doc_id")} % 256 AS INT) AS block FROM documents),
+b AS (SELECT source, block, sum(n_tokens) AS t FROM d GROUP BY source, block),
+s AS (SELECT source, CAST(sum(t) AS BIGINT) AS total FROM b GROUP BY source),
+f AS (SELECT total, ln(CAST(total AS DOUBLE) / (SELECT max(total) FROM s)) AS x FROM s WHERE total > 0),
+g AS (SELECT j / 1048576.0::DOUBLE AS a FROM generate_series(0, 1048576) AS q(j)),
+z AS (SELECT a, sum(exp(a * x)) AS z, sum(exp(a * x) * a * x) AS s, max(exp(a * x) / exp(x)) AS r FROM f CROSS JOIN g GROUP BY a),
+p AS (SELECT coalesce(round(greatest(max(a) FILTER (WHERE ln(z) - s / z >= 0.97 * ln((SELECT count(*) FROM f)::DOUBLE) - 1e-9), min(a) FILTER (WHERE r <= 4 + 1e-9)), 6), 1) AS a FROM z),
+w AS (SELECT source, total, CASE WHEN total > 0 THEN round(pow((SELECT max(total) FROM s)::DOUBLE / total, 1 - (SELECT a FROM p)), 9) ELSE 1 END AS times FROM s),
+k AS (SELECT b.source, b.block, b.t, total, times, CAST(floor(times) AS INT) AS whole FROM b JOIN w ON b.source IS NOT DISTINCT FROM w.source),
+c AS (SELECT *, sum(t) OVER (PARTITION BY source ORDER BY {_sql_drawn("source", "block", "whole + 1")}, block ROWS UNBOUNDED PRECEDING) AS upto FROM k),
+n AS (SELECT source, block, whole + CASE WHEN upto <= (times - whole) * total + 1e-6 AND times > whole THEN 1 ELSE 0 END AS copies FROM c),
+e AS (SELECT d.*, unnest(generate_series(1, copies)) AS epoch FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source AND d.block = n.block)
+SELECT doc_id, source, n_tokens, CAST(epoch AS INT) AS epoch, block, {_sql_drawn("source", "block", "epoch")} AS place FROM e""",
+}

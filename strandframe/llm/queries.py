@@ -15,4 +15,4 @@ QUERIES = {
     "op10_token_counts": tokencount.op10_token_counts,
 }
 
-ORACLES = {**linededup.ORACLE}
+ORACLES = {**linededup.ORACLE, **mixing.ORACLE, **decontaminate.ORACLE}
