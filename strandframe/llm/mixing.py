@@ -22,8 +22,8 @@ from pyspark.sql import Window as W
 from . import common
 
 ADDED = ["n_tokens", "epoch", "block", "place"]
-#: Rows of the blocks' table up to which it is broadcast; beyond, it is joined by shuffle.
-_BROADCAST_ROWS = 200_000
+#: Places in the blocks' table up to which it is broadcast; beyond, it is joined by shuffle.
+_BROADCAST_PLACES = 1_000_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -73,7 +73,7 @@ def exponent(totals: DataFrame, entropy: float, max_repeat: float, budget: int |
 
 
 def plan(counted: DataFrame, entropy: float, max_repeat: float, budget: int | None, blocks: int, seed: int) -> tuple[DataFrame, int]:
-    """source, block, copies, and place of each block in the last epoch's permutation; and the number of sources."""
+    """source, block and the block's places, one for each epoch that takes it; and the number of places."""
     each = common.cut(counted.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")), "mix-blocks")
     totals = common.cut(each.groupBy("source").agg(F.sum("t").alias("t")), "mix-totals")
     full = totals.filter("t > 0")
@@ -83,24 +83,25 @@ def plan(counted: DataFrame, entropy: float, max_repeat: float, budget: int | No
         times = F.pow(F.lit(float(top["top"] or 1)) / F.col("t"), F.lit(1 - a))
     else:
         times = F.pow(F.col("t").cast("double"), F.lit(a)) / F.lit(top["z"] or 1.0) * budget / F.col("t")
-    goal = totals.select(F.col("source").alias("_s"), F.when(F.col("t") > 0, F.round(times, 9)).otherwise(1.0).alias("times"), F.col("t").alias("total"))
-    ranked = each.join(goal, F.col("source").eqNullSafe(F.col("_s"))).withColumn("whole", F.floor("times").cast("int"))
+    goal = totals.select(F.col("source").alias("_strand_s"), F.when(F.col("t") > 0, F.round(times, 9)).otherwise(1.0).alias("times"), F.col("t").alias("total"))
+    ranked = each.join(goal, F.col("source").eqNullSafe(F.col("_strand_s"))).withColumn("whole", F.floor("times").cast("int"))
     order = W.partitionBy("source").orderBy(_drawn(seed, F.col("source"), F.col("block"), F.col("whole") + 1), "block")  # the last epoch's permutation; a source has `blocks` rows here
     ranked = ranked.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("t").over(order.rowsBetween(W.unboundedPreceding, 0)))
     extra = (F.col("upto") <= (F.col("times") - F.col("whole")) * F.col("total") + 1e-6) & (F.col("times") > F.col("whole"))
-    made = ranked.select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.col("whole") + extra.cast("int")).alias("copies"))
-    return common.cut(made, "mix-plan"), totals.count()
+    copies = F.col("whole") + extra.cast("int")
+    places = F.transform(F.sequence(F.lit(1), "copies"), lambda epoch: _drawn(seed, F.col("source"), F.col("block"), epoch))
+    made = common.cut(ranked.withColumn("copies", copies).filter("copies > 0").select(F.col("source").alias("_strand_s"), F.col("block").alias("_strand_b"), places.alias("_strand_places")), "mix-plan")
+    return made, made.agg(F.sum(F.size("_strand_places"))).first()[0] or 0
 
 
 def mixture(docs: DataFrame, entropy: float = 0.97, max_repeat: float = 4.0, budget: int | None = None, blocks: int = 256, seed: int = 42) -> DataFrame:
     """The rows of docs as often as their source's weight asks, with n_tokens, epoch (1, 2, ...), block, and place: of the block in its epoch."""
     names = [c for c in docs.columns if c not in ADDED]
     counted = docs.select(*names).withColumn("n_tokens", n_tokens(F.col("text").cast("string"))).withColumn("block", (_drawn(seed, F.col("doc_id")) % blocks).cast("int"))
-    made, sources = plan(counted.select("source", "block", "n_tokens"), entropy, max_repeat, budget, blocks, seed)
-    made = F.broadcast(made) if sources * blocks <= _BROADCAST_ROWS else made
-    joined = counted.join(made, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    copied = joined.filter("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copied.withColumn("place", _drawn(seed, F.col("source"), F.col("block"), F.col("epoch"))).select(*names, *ADDED)
+    made, held = plan(counted.select("source", "block", "n_tokens"), entropy, max_repeat, budget, blocks, seed)
+    made = F.broadcast(made) if held <= _BROADCAST_PLACES else made
+    joined = counted.join(made, F.col("source").eqNullSafe(F.col("_strand_s")) & (F.col("block") == F.col("_strand_b")))
+    return joined.select("*", F.posexplode("_strand_places").alias("_strand_e", "place")).withColumn("epoch", F.col("_strand_e") + 1).select(*names, *ADDED)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -172,7 +172,7 @@ def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), s, "own") for i, s in enumerate(["big"] * 900 + ["mid"] * 200 + ["low"] * 40 + [None] * 20)]
     rows += [(5000, "", "void", "own"), (5001, None, "void", "own"), rows[0], rows[0]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place string").repartition(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place string").repartition(4).withColumns({c: F.lit("own") for c in ("_s", "_b", "_e", "places", "copies")})
     got = mixing.mixture(docs, entropy=0.95, max_repeat=3.0, blocks=64).collect()
     have, want, seen = Counter(), Counter(), defaultdict(Counter)
     for r in rows:
