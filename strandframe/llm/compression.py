@@ -1,15 +1,14 @@
 """Compression classifiers: zstandard dictionaries of two classes; text that one of them compresses better is more like that class.
 
-Toxicity (label 1: toxic). The ordinary dictionary holds common passages of ordinary text. The toxic dictionary is trained on toxic
-text: the word stems that stand out there, in front of the same passages, so the two differ only by what marks toxic text. Each
-window of a document is compressed with both; how much shorter the toxic one is, in the best window and over all, is
-compared with calibrated thresholds.
+Toxicity (label 1: toxic). zstandard's trainer makes a dictionary of toxic and one of ordinary text, each from its class's sampled texts less
+what the other's hold (parted), and one of the ordinary texts and what toxic ones share with them, which stands behind both. Each window of
+a document is compressed with both; how many windows the toxic one shortens, by how much, is calibrated.
 
 Quality (label 1: good). A dictionary of good and one of bad text; the difference of the compressed sizes, over their sum, on windows of whole
 documents, becomes a calibrated score.
 
 Dictionaries and calibration come from a bounded sample of labelled rows (labelled.sample: per_class, max_chars): one half makes the
-toxic lexicon and the other calibrates it; for quality, models of each half are calibrated on the other half, then one of all is made. All windows of all documents are scored. Null and empty texts get the score that the calibration gives to no difference; without rows of
+toxicity dictionaries and the other calibrates them; for quality, models of each half are calibrated on the other half, then one of all is made. All windows of all documents are scored. Null and empty texts get the score that the calibration gives to no difference; without rows of
 both labels there is nothing to learn and every score is 0.5. Repeated rows get equal scores; null doc_ids are kept; other columns are
 ignored; empty in, empty out.
 """
@@ -78,14 +77,13 @@ class Toxicity:
         self.toxic, self.ordinary, self.window, self.calibration = toxic, ordinary, window, None
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Of each document: the best window's saving, windows that save 2 bytes or more, and what these save against the document's length."""
+        """Of each document: its windows; those that save 1, 2, 3, 4, 5, 6 and 8 bytes or more, in all and as a share; the mean and the best saving."""
         parts, first = _per_document([t.lower() for t in texts], self.window)
         saved = self.ordinary(parts) - self.toxic(parts)
-        marked = saved >= 2
         n = np.diff(np.append(first, len(parts)))
-        most = np.maximum(np.maximum.reduceat(saved, first), 0)
-        total = np.add.reduceat(np.where(marked, saved, 0), first)
-        return np.column_stack([np.minimum(most, 8), np.minimum(np.add.reduceat(marked.astype(np.int64), first), 4), np.log1p(total) - 0.3 * np.log1p(n)]).astype(float)
+        held = [np.add.reduceat((saved >= k).astype(float), first) for k in (1, 2, 3, 4, 5, 6, 8)]
+        mean, most = np.add.reduceat(saved, first) / n, np.clip(np.maximum.reduceat(saved, first), 0, 16)
+        return np.column_stack([np.log1p(n), *(x / n for x in held), *map(np.log1p, held), mean, most]).astype(float)
 
 
 class Quality:
@@ -104,34 +102,27 @@ class Quality:
         return np.column_stack([(all_bad - all_good) / (all_bad + all_good), np.minimum(np.minimum.reduceat(own, first), 0.2), np.minimum.reduceat(shrunk, first), all_good / all_raw])
 
 
-def stems(toxic: list[bytes], ordinary: list[bytes], size: int, odds_least: float = 3.8, share: float = 0.013) -> bytes:
-    """Words and word beginnings that stand out in toxic text, the most telling last, up to size bytes."""
-
-    def held(texts: list[bytes]) -> Counter:
-        c: Counter = Counter()
-        for t in texts:
-            ws = set(t.lower().split())
-            c.update({w[:k] for w in ws for k in (5, 6, 7, 8, 10) if len(w) >= k} | {w + b" " for w in ws if 4 <= len(w) <= 24})
-        return c
-
-    a, b = held(toxic), held(ordinary)
-    na, nb = len(toxic), len(ordinary)
-    scored = []
-    for s, n in a.items():
-        odds = math.log(((n + 0.5) / (na + 1)) / ((b[s] + 0.5) / (nb + 1)))
-        if n >= max(3, share * na) and odds > odds_least:
-            scored.append((n * odds, len(s), s))
-    chosen: list[bytes] = []
-    seen: set[bytes] = set()
-    used = 0
-    for _, _, s in sorted(scored, reverse=True):
-        if used + len(s) + 2 > size:
-            break
-        if s.strip() not in seen:
-            chosen.append(s)
-            seen.add(s.strip())
-            used += len(s) + 2
-    return b"".join(b" " + s + b"\n" for s in reversed(chosen))
+def parted(texts: list[bytes], others: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Of each text, what others don't hold and what they do: a word is shared in as many of the texts as, at equal numbers of texts, others hold it in."""
+    held = Counter(w for t in others for w in set(t.split()))
+    left = {w: math.ceil(n * len(texts) / len(others)) for w, n in held.items()}
+    own, shared = [], []
+    for t in texts:
+        words = t.split()
+        gone = {w for w in set(words) if left.get(w, 0) > 0}
+        for w in gone:
+            left[w] -= 1
+        own.append(b" ".join(w for w in words if w not in gone))
+        shared.append(b" ".join(w for w in words if w in gone))
+    return [t for t in own if t], [t for t in shared if t]
+
+
+def trained(texts: list[bytes], size: int) -> bytes:
+    """A dictionary of size bytes that zstandard's trainer makes of the texts; they themselves where they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size, texts, k=16, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(texts)[:size]
 
 
 def without_shared_lines(classes: list[list[bytes]]) -> list[list[bytes]]:
@@ -179,13 +170,14 @@ def _texts(rows: list) -> list[list[bytes]]:
     return [[r["text"].encode() for r in rows if r["y"] == y] for y in (1, 0)]
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 64, level: int = 12, lexicon_bytes: int = 4096, common_bytes: int = 16384) -> Toxicity | None:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 64, level: int = 12, own_bytes: int = 4096, common_bytes: int = 131072) -> Toxicity | None:
     def build(rows: list) -> Toxicity:
-        toxic, ordinary = _texts(rows)
-        shared = _passages([t.lower() for t in ordinary], common_bytes, 512)
-        return Toxicity(Sizer(stems(toxic, ordinary, lexicon_bytes) + shared, level), Sizer(shared, level), window)
+        toxic, ordinary = ([t.lower() for t in x] for x in _texts(rows))
+        (own, common_text), (other, _) = parted(toxic, ordinary), parted(ordinary, toxic)
+        shared = trained(ordinary + common_text, common_bytes)
+        return Toxicity(*(Sizer(trained(x, own_bytes) + shared, level) for x in (own, other)), window)
 
-    # A lexicon of all rows would save more than those of the halves, so thresholds wouldn't carry over: one half for each.
+    # Dictionaries of all rows would save more than those of the halves, so thresholds wouldn't carry over: one half for each.
     return _split_fitted(labelled.sample(docs, labels, "toxic", per_class).collect(), build)  # 2 * per_class rows at most
 
 

@@ -46,6 +46,24 @@ def test_compression_classifiers(labelled, learn, column):
     assert len(held) > 80 and sum(held) / len(held) >= 0.9
 
 
+def test_toxicity_learns_from_words_of_few_texts(spark):
+    """Each insult is in about an eighth of the toxic texts and some are in ordinary ones."""
+    rng = random.Random(5)
+    words = [_word(rng, ["th", "er", "on", "an", "re", "he", "st", "in"]) for _ in range(900)]
+    insults = ["".join(rng.choice("bcdfgjkpqvwxz") + rng.choice("aiou") for _ in range(5)) for _ in range(40)]
+    docs, labels = [], []
+    for i in range(500):
+        w = [rng.choice(words) for _ in range(120)]
+        for _ in range(5 if i % 2 else i % 32 == 0):
+            w[rng.randrange(len(w))] = rng.choice(insults)
+        docs.append((i, " ".join(w)))
+        labels.append((i, i % 2))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = compression.score(docs, compression.learn_toxicity(docs, labels), "p").filter(langid.fold(F.col("doc_id"), 5) == 0).collect()
+    right = [(r["p"] >= 0.5) == bool(r["doc_id"] % 2) for r in got]
+    assert len(right) > 80 and sum(right) / len(right) >= 0.85
+
+
 def test_classifiers_without_labels(spark, labelled):
     docs, labels, _ = labelled
     none = labels.filter(F.lit(False))
