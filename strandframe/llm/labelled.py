@@ -10,15 +10,16 @@ from .langid import fold
 
 
 def sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int = 1500, max_chars: int = 32768, held_out_mod: int = 5) -> DataFrame:
-    """doc_id, text, y, half: at most per_class documents of each label, those with the least hash of their id.
+    """doc_id, text, y, half: at most per_class documents of each label, those with the least hash of their id among those that fit.
 
     Rows whose crc32(doc_id) mod held_out_mod is 0 are never taken, nor are documents of more than max_chars characters. half (0 or 1) parts the
     sample, so that what is fitted on one half can be calibrated on the other. The sample's size doesn't follow the input's.
     """
     y = labels.filter(fold(F.col("doc_id"), held_out_mod) != 0).filter(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     order = [F.xxhash64(F.lit(target), "doc_id"), F.col("doc_id")]
-    taken = y.filter("y = 0").orderBy(*order).limit(per_class).unionByName(y.filter("y = 1").orderBy(*order).limit(per_class))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, max_chars))
+    y = y.join(texts.select("doc_id"), "doc_id", "left_semi")
+    taken = y.filter("y = 0").orderBy(*order).limit(per_class).unionByName(y.filter("y = 1").orderBy(*order).limit(per_class))
     found = texts.join(F.broadcast(taken), "doc_id")  # 2 * per_class ids at most
     return found.orderBy(*order, "text").limit(2 * per_class).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
 

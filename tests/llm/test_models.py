@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.llm import compression, langid, mixing, qualityrules, tokencount, urlfilter
+from strandframe.llm import compression, labelled as samples, langid, mixing, qualityrules, tokencount, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
 
@@ -64,6 +64,13 @@ def test_toxicity_learns_from_words_of_few_texts(spark):
     assert len(right) > 80 and sum(right) / len(right) >= 0.85
 
 
+def test_sample_is_full_where_labels_lack_fitting_documents(spark):
+    docs = spark.createDataFrame([(i, None if i % 5 == 0 else "" if i % 5 == 1 else "x" * 50 if i % 5 == 2 else "text") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    got = samples.sample(docs, labels, "quality", per_class=30, max_chars=40).collect()
+    assert Counter(r["y"] for r in got) == {0: 30, 1: 30} and {r["text"] for r in got} == {"text"}
+
+
 def test_classifiers_without_labels(spark, labelled):
     docs, labels, _ = labelled
     none = labels.filter(F.lit(False))
