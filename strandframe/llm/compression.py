@@ -131,17 +131,10 @@ def without_shared_lines(classes: list[list[bytes]]) -> list[list[bytes]]:
     return [[k for t in texts if len(k := b"\n".join(x for x in t.split(b"\n") if held[x] < 2)) > 40] for texts in classes]
 
 
-def _passages(texts: list[bytes], size: int, each: int) -> bytes:
-    """Evenly spaced passages of the texts, size bytes in all."""
-    out, used = [], 0
-    for i, t in enumerate(texts):
-        if used >= size:
-            break
-        at = (i * 7919) % max(1, len(t) - each)
-        p = t[at : at + each]
-        out.append(p)
-        used += len(p)
-    return b"\n".join(out)[:size]
+def _passages(texts: list[bytes], size: int) -> bytes:
+    """A passage of every text, all of one length, size bytes at most."""
+    each = max(1, size // max(1, len(texts)) - 1)
+    return b"\n".join(t[at : at + each] for i, t in enumerate(texts) for at in [(i * 7919) % max(1, len(t) - each)])[:size]
 
 
 def _split_fitted(rows: list, build):
@@ -181,9 +174,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, wi
     return _split_fitted(labelled.sample(docs, labels, "toxic", per_class).collect(), build)  # 2 * per_class rows at most
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 1024, level: int = 3, dictionary_bytes: int = 65536, passage_bytes: int = 256) -> Quality | None:
+def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 1024, level: int = 3, dictionary_bytes: int = 65536) -> Quality | None:
     def build(rows: list) -> Quality:
-        return Quality(*(Sizer(_passages(x, dictionary_bytes, passage_bytes) or b" ", level) for x in without_shared_lines(_texts(rows))), window)
+        return Quality(*(Sizer(_passages(x, dictionary_bytes) or b" ", level) for x in without_shared_lines(_texts(rows))), window)
 
     return _cross_fitted(labelled.sample(docs, labels, "quality", per_class).collect(), build)  # 2 * per_class rows at most
 

@@ -71,6 +71,12 @@ def test_sample_is_full_where_labels_lack_fitting_documents(spark):
     assert Counter(r["y"] for r in got) == {0: 30, 1: 30} and {r["text"] for r in got} == {"text"}
 
 
+def test_passages_come_from_every_text():
+    texts = [f"{i:04d}".encode() * 150 for i in range(1000)]
+    held = compression._passages(texts, 65536)
+    assert len(held) <= 65536 and all(t[:4] * 3 in held or t[1:5] * 3 in held or t[2:6] * 3 in held or t[3:7] * 3 in held for t in texts)
+
+
 def test_classifiers_without_labels(spark, labelled):
     docs, labels, _ = labelled
     none = labels.filter(F.lit(False))
