@@ -18,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold go; n_chars follows the text."""
+    """Lines that ten documents or more hold go; n_chars follows the text. Of ten or more copies of a document none keeps any text."""
     common.ship(spark)
     kept = linededup.drop_common_lines(docs)
     if "n_chars" in docs.columns:
