@@ -1,9 +1,10 @@
-"""Helpers that the operators of this subpackage share."""
+"""Helpers that the operators of this subpackage share. Columns whose names begin with _strand_ are theirs; tables mustn't have any."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,12 +18,36 @@ from ..session import ship
 SLICE_BYTES = 1 << 22
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again, which ends its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Tables written since the outermost ``clearing`` began; None outside of one.
+_written: list[str] | None = None
+
+
+def table(df: DataFrame, name: str) -> str:
+    """Write df as a table in the shared folder; its path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _written is not None:
+        _written.append(path)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table and read it again, which ends its lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(table(df, name))
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside are deleted at the end: for callers that have written their own result by then."""
+    global _written
+    outer, _written = _written, []
+    try:
+        yield
+    finally:
+        for path in _written:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written = outer
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
