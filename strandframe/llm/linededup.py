@@ -4,24 +4,24 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 found in at least ``min_docs`` documents lose all their lines in every document.
 
 1. Each document gives the 128-bit hash of each of its keys once; one aggregation, with partial sums, counts documents.
-2. The most common keys (at most ``hot_keys``, a fixed bound) form one small index that goes to all tasks, so none of them meets in a shuffle.
-3. All other keys of two or more documents (fewer can't reach any threshold) go to shards by hash; each shard is built into
+2. All keys of two or more documents (fewer can't reach any threshold) go to shards by hash; each shard is built into
    one minimal perfect hash, levelled bit arrays with ranks, over a 64-bit fingerprint array and a count array.
-4. Each document's other keys travel as hashes, once each, to their shard and stream past its arrays; what is found goes back to it.
+3. Each document's keys travel as hashes, once each, to their shard and stream past its arrays. A shard that expects more than ``shard_lines``
+   probes, as it holds a line of very many documents, is copied to as many parts as it needs, and documents are dealt among them.
+4. What is found goes back to its document by the document's key.
 
 The number of shards follows the number of lines. Null or empty text is one empty line; repeated rows each count as a document
-and get equal results; null doc_ids are kept; other columns pass through; empty in, empty out.
+and get equal results; null doc_ids are kept; other columns pass through, but those named n_lines and n_dropped are replaced; empty in, empty out.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -129,25 +129,25 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n"))
 
 
+def _shard(shards: int) -> Column:
+    return F.pmod("h1", F.lit(shards)).cast("int")
+
+
 def build_index(counts: DataFrame, shards: int) -> DataFrame:
-    """One row for each shard: the arrays of its perfect hash."""
+    """One row for each shard: the arrays of its perfect hash, and the probes it expects of its keys."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        h1, h2, n = (_uint(table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c)) for c in ("h1", "h2", "n"))
+        h1, h2, n = (_uint(table.column(c).combine_chunks()) for c in ("h1", "h2", "n"))
         made = PerfectHash.build(h1, h2, n)
-        return pa.table([pa.array([table.column("shard")[0].as_py()], type=pa.int32()), *(pa.array([x], type=pa.binary()) for x in made.parts())], names=["shard", "sizes", "bits", "prints", "counts"])
+        return pa.table([pa.array([table.column("shard")[0].as_py()], type=pa.int32()), pa.array([int(n.sum())], type=pa.int64()), *(pa.array([x], type=pa.binary()) for x in made.parts())], names=["shard", "load", "sizes", "bits", "prints", "counts"])
 
-    sharded = counts.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "n")
-    return sharded.groupBy("shard").applyInArrow(run, "shard int, sizes binary, bits binary, prints binary, counts binary")
+    return counts.select(_shard(shards).alias("shard"), "h1", "h2", "n").groupBy("shard").applyInArrow(run, "shard int, load long, sizes binary, bits binary, prints binary, counts binary")
 
 
-def _probes(keyed: DataFrame, hot: PerfectHash, shards: int, min_chars: int) -> DataFrame:
-    """The hashes of each document's keys that aren't hot, once, with the place of the first line that has it."""
-    parts = hot.parts()
+def _probes(keyed: DataFrame, shards: int, min_chars: int) -> DataFrame:
+    """The hashes of each document's keys, once, with the place of the first line that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = PerfectHash.of(*parts)
         for batch in batches:
             for part in common.text_slices(batch):
                 k1, k2, at, pairs = [], [], [], []
@@ -158,78 +158,70 @@ def _probes(keyed: DataFrame, hot: PerfectHash, shards: int, min_chars: int) ->
                     k1 += [a] * len(own)
                     k2 += [b] * len(own)
                 both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-                cold = index.count(both[:, 0].view(np.uint64), both[:, 1].view(np.uint64)) == 0 if len(both) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=kind)[cold]) for x, kind in ((k1, np.int64), (k2, np.int64), (at, np.int32), (both[:, 0], np.int64), (both[:, 1], np.int64))], names=["_strand_k1", "_strand_k2", "line", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x, kind in ((k1, pa.int64()), (k2, pa.int64()), (at, pa.int32()), (both[:, 0], pa.int64()), (both[:, 1], pa.int64()))], names=["_strand_k1", "_strand_k2", "line", "h1", "h2"])
 
-    return keyed.select("_strand_k1", "_strand_k2", "text").mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+    return keyed.select("_strand_k1", "_strand_k2", "text").mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int, h1 long, h2 long").withColumn("shard", _shard(shards))
 
 
-def _probe(index: DataFrame, probes: DataFrame, min_docs: int) -> DataFrame:
+def _probe(index: DataFrame, probes: DataFrame, min_docs: int, shard_lines: int) -> DataFrame:
     """Documents and places of the lines that a shard's arrays count at min_docs or more. Each shard's arrays come before its probes, which stream past."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, arrays = None, None
+        held, arrays = None, None
         for batch in batches:
             b = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            shards = b["shard"].to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)]
+            place = b["shard"].to_numpy(zero_copy_only=False).astype(np.int64) << 32 | b["part"].to_numpy(zero_copy_only=False).astype(np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(place)) + 1), len(place)]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if lo == hi:
                     continue
                 if b["sizes"][lo].is_valid:
-                    shard, arrays = shards[lo], PerfectHash.of(*(b[c][lo].as_py() for c in ("sizes", "bits", "prints", "counts")))
+                    held, arrays = place[lo], PerfectHash.of(*(b[c][lo].as_py() for c in ("sizes", "bits", "prints", "counts")))
                     lo += 1
-                if lo < hi and shard == shards[lo]:
+                if lo < hi and held == place[lo]:
                     part = {c: b[c].slice(lo, hi - lo) for c in ("_strand_k1", "_strand_k2", "line", "h1", "h2")}
                     found = pa.array(arrays.count(_uint(part["h1"]), _uint(part["h2"])) >= min_docs)
                     yield pa.RecordBatch.from_arrays([part[c].filter(found) for c in ("_strand_k1", "_strand_k2", "line")], names=["_strand_k1", "_strand_k2", "line"])
 
-    both = index.unionByName(probes, allowMissingColumns=True)
-    dealt = both.repartition("shard").sortWithinPartitions("shard", F.col("sizes").isNull())
-    return dealt.select("shard", "sizes", "bits", "prints", "counts", "_strand_k1", "_strand_k2", "line", "h1", "h2").mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int")
+    parts = (F.floor(F.col("load") / shard_lines) + 1).cast("int")
+    crowded = index.select("shard", parts.alias("parts")).filter("parts > 1")
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("load")
+    dealt = probes.join(crowded, "shard", "left").withColumn("part", F.pmod(F.xxhash64("_strand_k1", "_strand_k2"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    both = copies.unionByName(dealt, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("sizes").isNull())
+    return both.select("shard", "part", "sizes", "bits", "prints", "counts", "_strand_k1", "_strand_k2", "line", "h1", "h2").mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int")
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, hot_keys: int = 4096, shard_lines: int = 500_000) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_lines: int = 500_000) -> DataFrame:
     """docs with text replaced by what stays, and n_lines, n_dropped (long) added."""
     if min_docs < 2:
         raise ValueError("min_docs is 2 at least")
     spark = docs.sparkSession
     counts = common.cut(line_counts(docs, min_chars).filter("n > 1"), "lines-counts")
-    top = counts.filter(F.col("n") >= min_docs).orderBy(F.desc("n"), "h1", "h2").limit(hot_keys).toPandas()
-    hot = PerfectHash.build(*(top[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("h1", "h2")), top["n"].to_numpy(dtype=np.int64))
     total = counts.agg(F.sum("n")).first()[0] or 0
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_lines))
-    rest = counts
-    if len(top):
-        least = top.iloc[-1]
-        # The keys after the last hot one, in the same order.
-        rest = counts.filter(F.struct(-F.col("n"), "h1", "h2") > F.struct(F.lit(-int(least["n"])).cast("long"), F.lit(int(least["h1"])).cast("long"), F.lit(int(least["h2"])).cast("long")))
-    index = common.cut(build_index(rest, shards), "lines-index")
+    index = common.cut(build_index(counts, shards), "lines-index")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumns({"_strand_k1": k1, "_strand_k2": k2})
-    found = _probe(index, _probes(keyed, hot, shards, min_chars), min_docs)
-    lost = common.cut(found.groupBy("_strand_k1", "_strand_k2").agg(F.array_sort(F.collect_set("line")).alias("_lost")), "lines-lost")
+    found = _probe(index, _probes(keyed, shards, min_chars), min_docs, shard_lines)
+    lost = common.cut(found.groupBy("_strand_k1", "_strand_k2").agg(F.array_sort(F.collect_set("line")).alias("_strand_lost")), "lines-lost")
     joined = keyed.join(lost, ["_strand_k1", "_strand_k2"], "left").drop("_strand_k1", "_strand_k2", "n_lines", "n_dropped")
-    parts = hot.parts()
-    names = [c for c in joined.columns if c != "_lost"]
+    names = [c for c in joined.columns if c != "_strand_lost"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = PerfectHash.of(*parts)
         for batch in batches:
             for part in common.text_slices(batch):
                 texts, n_lines, n_dropped = [], [], []
-                raws = part.column(part.schema.get_field_index("text")).to_pylist()
-                keyed_lines = [_keys(raw) for raw in raws]
-                distinct = list({k for keys in keyed_lines for k in keys})
-                both = np.array(list(map(_pair, distinct)), dtype=np.int64).reshape(-1, 2)
-                common_here = near.count(both[:, 0].view(np.uint64), both[:, 1].view(np.uint64)) >= min_docs
-                everywhere = {k for k, out in zip(distinct, common_here, strict=True) if out}
-                for raw, keys, lost in zip(raws, keyed_lines, part.column(part.schema.get_field_index("_lost")).to_pylist(), strict=True):
-                    own = {keys[i] for i in lost or []}
-                    stays = [x for x, k in zip(raw.split(b"\n"), keys, strict=True) if k not in everywhere and k not in own]
-                    texts.append(b"\n".join(stays))
-                    n_lines.append(len(keys))
-                    n_dropped.append(len(keys) - len(stays))
+                for raw, lost in zip(part.column(part.schema.get_field_index("text")).to_pylist(), part.column(part.schema.get_field_index("_strand_lost")).to_pylist(), strict=True):
+                    n_lines.append(raw.count(b"\n") + 1)
+                    if lost:
+                        keys = _keys(raw)
+                        own = {keys[i] for i in lost}
+                        stays = [x for x, k in zip(raw.split(b"\n"), keys, strict=True) if k not in own]
+                        raw = b"\n".join(stays)
+                        n_dropped.append(n_lines[-1] - len(stays))
+                    else:
+                        n_dropped.append(0)
+                    texts.append(raw)
                 kept = [pa.array(texts, type=pa.binary()).cast(pa.string()) if n == "text" else part.column(part.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(n_lines, type=pa.int64()), pa.array(n_dropped, type=pa.int64())], names=[*names, "n_lines", "n_dropped"])
 

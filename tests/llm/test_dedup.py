@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from strandframe.llm import decontaminate, linededup, simhash
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, _k1 string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, _k1 string, _lost string, _n string, n_lines string"
+OWN = ["own"] * 5
 ASCII_LOW = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
@@ -38,8 +39,8 @@ def _texts():
 
 @pytest.fixture(scope="module")
 def rows():
-    out = [(i, t, "en", f"s{i % 3}", 1, "own", "own") for i, t in enumerate(_texts())]
-    return out + [out[3], out[3], (None, "no id at all", None, None, None, "own", "own")]
+    out = [(i, t, "en", f"s{i % 3}", 1, *OWN) for i, t in enumerate(_texts())]
+    return out + [out[3], out[3], (None, "no id at all", None, None, None, *OWN)]
 
 
 @pytest.fixture(scope="module")
@@ -58,9 +59,10 @@ def _brute_lines(rows, min_docs):
     return out
 
 
-@pytest.mark.parametrize(("hot", "min_docs"), [(4096, 10), (1, 10), (1, 2), (0, 3)])
-def test_line_dedup(docs, rows, hot, min_docs):
-    got = linededup.drop_common_lines(docs, min_docs, hot_keys=hot).collect()
+@pytest.mark.parametrize(("shard_lines", "min_docs"), [(500_000, 10), (7, 10), (7, 2), (1, 3)])
+def test_line_dedup(docs, rows, shard_lines, min_docs):
+    """With few lines to a shard, common lines have their shards copied."""
+    got = linededup.drop_common_lines(docs, min_docs, shard_lines=shard_lines).collect()
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == _brute_lines(rows, min_docs)
     assert {r["fp"] for r in got} == {"own"}
 
@@ -69,9 +71,8 @@ def test_blank_and_repeated_lines_do_not_travel(spark):
     """A corpus of blank lines, or of one document's repeated line, gives one probe for each document and key."""
     docs = spark.createDataFrame([(i, "\n \n\t\n" * 50 + f"same\nSAME \nown {i % 6}\n" * 40) for i in range(12)], "doc_id long, text string")
     keyed = docs.withColumns({"_strand_k1": F.col("doc_id"), "_strand_k2": F.col("doc_id")})
-    none = linededup.PerfectHash.build(*[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64))
-    assert linededup._probes(keyed, none, 8, 1).count() == 12 * 2
-    got = linededup.drop_common_lines(docs, 10, hot_keys=0).collect()
+    assert linededup._probes(keyed, 8, 1).count() == 12 * 2
+    got = linededup.drop_common_lines(docs, 10).collect()
     assert {(r["n_lines"], r["n_dropped"]) for r in got} == {(271, 80)} and all("ame" not in r["text"] for r in got)
 
 
