@@ -2,7 +2,8 @@
 
 Each URL becomes a set of tokens (scheme, labels of the host and their parts, path segments with their depth, file extension, query keys;
 numbers are one token). Spark's FP-growth mines the labelled URLs' token sets, where bad ones hold a label token; rules that
-lead to that token and pass ``support``, ``least_count``, ``confidence`` and ``lift`` are kept. Labelled URLs are pages whose page_id is a doc_id of
+lead to that token and pass ``support``, ``least_count``, ``confidence`` and ``lift`` are kept. Tokens that too few bad URLs hold for any such rule
+are left out before mining, which loses none (a rule's tokens are each at least as frequent with the label as the rule). Labelled URLs are pages whose page_id is a doc_id of
 labels; one is bad if its quality is 0 or it is toxic.
 
 Rules are matched through an inverted index: each is filed under the rarest of its tokens, URLs look up their tokens, and a candidate's other
@@ -73,33 +74,59 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 def mine(transactions: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> DataFrame:
     """antecedent (array), confidence, key (its rarest token) of the rules that lead to the label token; transactions: items, bad."""
+    kept = frequent(transactions, support, least_count, confidence)[1].filter(F.col("lift") >= lift)
+    found = common.cut(kept.select(F.array_sort("antecedent").alias("antecedent"), "confidence"), "url-mined")
+    counts = transactions.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
+    return found.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token").groupBy("antecedent", "confidence").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
+
+
+def frequent(transactions: DataFrame, support: float = 0.005, least_count: int = 20, confidence: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """What FP-growth finds in the transactions: frequent item sets, and rules that lead to the label token."""
+    n = transactions.count()
+    least = max(support * n, least_count)
+    telling = transactions.filter("bad").select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    keyed = transactions.select("items", "bad", F.md5(F.to_json("items")).alias("_set")).groupBy("_set", "bad").agg(F.first("items").alias("items"), F.count("*").alias("n"))
+    own = keyed.select("_set", "bad", "n", F.explode("items").alias("token")).join(telling.select("token"), "token").groupBy("_set", "bad", "n").agg(F.collect_list("token").alias("items"))
     items = F.when(F.col("bad"), F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items"))
-    ready = common.cut(transactions.select(items.alias("items")), "url-transactions")
-    n = ready.count()
-    model = FPGrowth(itemsCol="items", minSupport=max(support, min(1.0, least_count / max(1, n))), minConfidence=confidence).fit(ready)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(_BAD))) & (F.col("lift") >= lift)).select("antecedent", "confidence", F.monotonically_increasing_id().alias("_r"))
-    counts = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    keys = rules.select("_r", F.explode("antecedent").alias("token")).join(counts, "token").groupBy("_r").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
-    return rules.join(keys, "_r").select("antecedent", "confidence", "key")
+    ready = common.cut(own.select(items.alias("items"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i")).select("items"), "url-transactions")
+    held = ready.count()
+    # Transactions without a telling token are left out; the least count is the same.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, held)), minConfidence=confidence).fit(ready)
+    share = transactions.agg(F.avg(F.col("bad").cast("double"))).first()[0] or 1.0
+    return model.freqItemsets, model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BAD))).withColumn("lift", F.col("confidence") / F.lit(share))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, **mining) -> DataFrame:
+def transactions_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """items, bad: the token sets of labelled URLs."""
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(((F.min("quality") == 0) | (F.max("toxic") == 1)).alias("bad")).filter("bad IS NOT NULL")
+    listed = parsed(pages).withColumn("items", tokens_of(F.col("url"), F.col("host"), F.col("path")))
+    return listed.join(bad, "page_id").filter(F.size("items") > 0).select("items", "bad")
+
+
+def report(pages: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> dict[str, float | int | None]:
+    """Figures of the mining: labelled URLs, bad share, item sets, rules before and after the bounds, best lift and confidence."""
+    t = common.cut(transactions_of(pages, labels), "url-report")
+    sets, rules = frequent(t, support, least_count, 0.0)
+    best = rules.agg(F.count("*").alias("rules"), F.max("lift").alias("best_lift"), F.max("confidence").alias("best_confidence"), F.count_if((F.col("confidence") >= confidence) & (F.col("lift") >= lift)).alias("kept")).first()
+    return {"urls": t.count(), "bad_share": t.agg(F.avg(F.col("bad").cast("double"))).first()[0], "item_sets": sets.count(), **best.asDict()}
+
+
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, broadcast_rules: int = _BROADCAST_RULES, **mining) -> DataFrame:
     """page_id, host, path, rule, verdict, and rule_confidence (of the best mined rule that fits; null if none) of every row."""
     found = parsed(pages)
-    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(((F.min("quality") == 0) | (F.max("toxic") == 1)).alias("bad"))
     listed = found.withColumn("items", tokens_of(F.col("url"), F.col("host"), F.col("path")))
-    mined = common.cut(mine(listed.join(bad.filter("bad IS NOT NULL"), "page_id").filter(F.size("items") > 0).select("items", "bad"), **mining), "url-rules")
+    mined = common.cut(mine(common.cut(transactions_of(pages, labels), "url-labelled"), **mining), "url-rules")
     n = mined.count()
     rule, verdict = given_rule(F.col("host"), F.col("path"), rules)
     if not n:
         return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("rule_confidence"))
     index = mined.select(F.col("key").alias("_token"), "antecedent", "confidence")
-    index = F.broadcast(index) if n <= _BROADCAST_RULES else index
+    index = F.broadcast(index) if n <= broadcast_rules else index
     # Equal token sets are looked up once: a host with a third of all rows has few of them.
-    sets = common.cut(listed.select("items", F.md5(F.concat_ws("\n", "items")).alias("_set")).groupBy("_set").agg(F.first("items").alias("items")), "url-sets")
+    sets = common.cut(listed.select("items", F.md5(F.to_json("items")).alias("_set")).groupBy("_set").agg(F.first("items").alias("items")), "url-sets")
     hits = sets.select("_set", "items", F.explode("items").alias("_token")).join(index, "_token").filter(F.size(F.array_except("antecedent", "items")) == 0)
     best = common.cut(hits.groupBy("_set").agg(F.max("confidence").alias("rule_confidence")), "url-hits")
-    joined = listed.withColumn("_set", F.md5(F.concat_ws("\n", "items"))).join(best, "_set", "left")
+    joined = listed.withColumn("_set", F.md5(F.to_json("items"))).join(best, "_set", "left")
     mined_verdict = F.when(F.col("rule_confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, mined_verdict).alias("verdict"), "rule_confidence")
 
