@@ -1,7 +1,7 @@
 """Quality rules: counts of words, symbols and repeats, and a hashed n-gram logistic regression against a fixed threshold.
 
-The model is a Spark ML logistic regression over hashed words and hashed byte trigrams (``2 ** log2`` slots each, as shares of the
-document's words and trigrams), trained on one half of a bounded sample of labelled rows (labelled.sample) and calibrated on the other. All
+The model is a Spark ML logistic regression over hashed words, word pairs and character trigrams (``2 ** log2`` slots each, as shares of the
+document's words, pairs and trigrams), trained on one half of a bounded sample of labelled rows (labelled.sample) and calibrated on the other. All
 documents are scored in Arrow batches by looking their n-grams up in the weights.
 
 ``kept`` is false if the base rules fail, else true if the calibrated chance of good quality is at least ``threshold``. Without rows of both labels the
@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common, labelled
 from .textkernel import NONSPACE, buffers, grams, mix, words
@@ -66,38 +67,51 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, found: tuple, window: int
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of each byte trigram within a text, and where each text's begin."""
-    if len(data) < 3:
+    """Slot of each trigram of characters within a text, and where each text's begin."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(starts) < 3:
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    d = data.astype(np.uint32)
-    slot = ((d[:-2] << np.uint32(16) | d[1:-1] << np.uint32(8) | d[2:]) * np.uint32(2654435761)) >> np.uint32(32 - log2)
+    sizes = np.diff(np.append(starts, len(data)))
+    c = data[starts].astype(np.uint64)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(sizes > k)
+        c[more] = c[more] << np.uint64(8) | data[starts[more] + k]
+    with np.errstate(over="ignore"):
+        slot = (mix(c[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ mix(c[1:-1] * np.uint64(0xD6E8FEB86659FD93) ^ c[2:])) >> np.uint64(64 - log2)).astype(np.int64)
+    bounds = np.searchsorted(starts, offsets)
     whole = np.ones(len(slot), dtype=bool)
     for k in (1, 2):
-        cut = offsets[1:-1] - k
+        cut = bounds[1:-1] - k
         whole[cut[(cut >= 0) & (cut < len(slot))]] = False
-    firsts = np.concatenate([[0], np.cumsum(whole)])[np.minimum(offsets, len(slot))]
-    return slot[whole].astype(np.int64), firsts
+    firsts = np.concatenate([[0], np.cumsum(whole)])[np.minimum(bounds, len(slot))]
+    return slot[whole], firsts
+
+
+def _features(data: np.ndarray, offsets: np.ndarray, found: tuple, log2: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Slots of the words, of the pairs of neighbouring words and of the character trigrams, each with where each text's begin."""
+    h, _, _, rows = found
+    pairs, first = grams(h, rows, 2)
+    texts, high = np.arange(len(offsets)), np.uint64(64 - log2)
+    return [((h >> high).astype(np.int64), np.searchsorted(rows, texts)), ((pairs >> high).astype(np.int64), np.searchsorted(rows[first], texts)), _trigrams(data, offsets, log2)]
 
 
 def _sparse(batches: Iterator[pa.RecordBatch], log2: int) -> Iterator[pa.RecordBatch]:
-    """y, half, and the slots and values of each text's features."""
+    """y, half, and the features of each text as a sparse vector: its kind (0), size, slots and values."""
+    kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
     for batch in batches:
         for part in common.text_slices(batch):
             data, offsets = buffers(part.column(part.schema.get_field_index("text")))
-            h, _, _, rows = words(data, offsets, NONSPACE)
-            at = np.searchsorted(rows, np.arange(part.num_rows + 1))
-            w = (h >> np.uint64(64 - log2)).astype(np.int64)
-            t, first = _trigrams(data, offsets, log2)
-            slots, values = [], []
+            groups = _features(data, offsets, words(data, offsets, NONSPACE), log2)
+            made = []
             for i in range(part.num_rows):
                 s, v = [], []
-                for base, own in ((0, w[at[i] : at[i + 1]]), (1 << log2, t[first[i] : first[i + 1]])):
+                for g, (slots, first) in enumerate(groups):
+                    own = slots[first[i] : first[i + 1]]
                     k, n = np.unique(own, return_counts=True)
-                    s.append(k + base)
+                    s.append(k + (g << log2))
                     v.append(_SCALE * n / max(1, len(own)))
-                slots.append(np.concatenate(s).tolist())
-                values.append(np.concatenate(v).tolist())
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("y")), part.column(part.schema.get_field_index("half")), pa.array(slots, type=pa.list_(pa.int32())), pa.array(values, type=pa.list_(pa.float64()))], names=["y", "half", "slots", "values"])
+                made.append({"type": 0, "size": len(groups) << log2, "indices": np.concatenate(s).tolist(), "values": np.concatenate(v).tolist()})
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("y")), part.column(part.schema.get_field_index("half")), pa.array(made, type=kind)], names=["y", "half", "features"])
 
 
 class Model:
@@ -105,26 +119,28 @@ class Model:
         self.weights, self.log2, self.calibration = weights.astype(np.float32), log2, None
 
     def margins(self, data: np.ndarray, offsets: np.ndarray, found: tuple) -> np.ndarray:
-        h, _, _, rows = found
-        at = np.searchsorted(rows, np.arange(len(offsets)))
-        w = self.weights[(h >> np.uint64(64 - self.log2)).astype(np.int64)].astype(np.float64)
-        t, first = _trigrams(data, offsets, self.log2)
-        c = self.weights[(1 << self.log2) + t].astype(np.float64)
-        return _SCALE * (_sum_by(w, at) / np.maximum(1, np.diff(at)) + _sum_by(c, first) / np.maximum(1, np.diff(first)))
+        total = np.zeros(len(offsets) - 1)
+        for g, (slots, first) in enumerate(_features(data, offsets, found, self.log2)):
+            total += _sum_by(self.weights[(g << self.log2) + slots].astype(np.float64), first) / np.maximum(1, np.diff(first))
+        return _SCALE * total
+
+
+def _train(features: DataFrame, n: dict[int, int]) -> np.ndarray:
+    """Coefficients of the logistic regression; both labels weigh alike. The vectors' struct, once written, is read as Spark ML's own type."""
+    weight = F.when(F.col("y") == 1, 0.5 / n[1]).otherwise(0.5 / n[0]) * sum(n.values())
+    path = common.table(features.select(F.col("y").cast("double").alias("label"), "features", weight.alias("weight")), "rules-train")
+    ready = features.sparkSession.read.schema(StructType([StructField("label", DoubleType()), StructField("features", VectorUDT()), StructField("weight", DoubleType())])).parquet(path)
+    return np.asarray(LogisticRegression(maxIter=40, regParam=1e-3, standardization=False, weightCol="weight").fit(ready).coefficients.toArray())
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, log2: int = 14) -> Model | None:
     rows = common.cut(labelled.sample(docs, labels, "quality", per_class), "rules-sample")
-    features = rows.select("y", "half", "text").mapInArrow(lambda b: _sparse(b, log2), "y int, half int, slots array<int>, values array<double>")
-    size = 2 << log2
-    vector = F.udf(lambda s, v: Vectors.sparse(size, s, v), VectorUDT())  # on the bounded sample only
-    train = common.cut(features.filter("half = 0"), "rules-train")
-    n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
+    vector = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+    train = rows.filter("half = 0").select("y", "half", "text").mapInArrow(lambda b: _sparse(b, log2), f"y int, half int, features {vector}")
+    n = {r["y"]: r["count"] for r in rows.filter("half = 0").groupBy("y").count().collect()}
     if len(n) < 2:
         return None
-    ready = train.select(F.col("y").cast("double").alias("label"), vector("slots", "values").alias("features"), (F.when(F.col("y") == 1, 0.5 / n[1]).otherwise(0.5 / n[0]) * sum(n.values())).alias("weight"))
-    fitted = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False, weightCol="weight").fit(ready)
-    model = Model(np.asarray(fitted.coefficients.toArray()), log2)
+    model = Model(_train(train, n), log2)
     rest = rows.filter("half = 1").select("y", F.col("text").cast("binary").alias("text")).collect()  # 2 * per_class rows at most
     y = np.array([r["y"] for r in rest], dtype=float)
     if not 0 < y.sum() < len(y):
