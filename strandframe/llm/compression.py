@@ -4,12 +4,14 @@ Toxicity (label 1: toxic). zstandard's trainer makes a dictionary of toxic and o
 what the other's hold (parted), and one of the ordinary texts and what toxic ones share with them, which stands behind both. Each window of
 a document is compressed with both; how many windows the toxic one shortens, by how much, is calibrated.
 
-Quality (label 1: good). A dictionary of good and one of bad text; the difference of the compressed sizes, over their sum, on windows of whole
-documents, becomes a calibrated score.
-
-Dictionaries and calibration come from a bounded sample of labelled rows (labelled.sample: per_class, max_chars): one half makes the
-toxicity dictionaries and the other calibrates them; for quality, models of each half are calibrated on the other half, then one of all is made. All windows of all documents are scored. Null and empty texts get the score that the calibration gives to no difference; without rows of
-both labels there is nothing to learn and every score is 0.5. Repeated rows get equal scores; null doc_ids are kept; other columns are
+Quality (label 1: good). A dictionary of good and one of bad text; all windows of a document are compressed with both, and the difference of the
+two compressed sizes, over the size of the text itself, becomes a calibrated score. (Over the text, not over the compressed sizes: text that
+repeats itself shrinks under any dictionary, so its difference stays small against its length.)
+
+Dictionaries and calibration come from a bounded sample of labelled rows (labelled.sample: per_class, max_chars). It is cut into folds; what models of
+the other folds say of each fold is calibrated, then one model of all folds is made. All windows of all documents are scored. Null and empty
+texts get the score that the calibration gives to no difference; without rows of both labels in every fold there is nothing to learn and every score
+is 0.5. A label given twice counts as its larger value. Repeated rows get equal scores; null doc_ids are kept; other columns are
 ignored; empty in, empty out.
 """
 
@@ -91,15 +93,10 @@ class Quality:
         self.good, self.bad, self.window, self.calibration = good, bad, window, None
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Of each document: (bad - good) / (bad + good) of the compressed sizes, in all and in the window best for bad; and the good size
-        over the raw one, in the window that shrinks most and in all, as repetition shrinks under any dictionary."""
+        """Of each document: (bad - good) / raw, of the sizes compressed with either dictionary and of the text, over all windows."""
         parts, first = _per_document(texts, self.window)
-        good, bad = self.good(parts), self.bad(parts)
-        raw = np.array([max(1, len(p)) for p in parts])
-        own = np.where(raw < 32, 0, (bad - good) / (bad + good))
-        shrunk = np.where(raw < 64, 0.6, good / raw)
-        all_raw, all_good, all_bad = (np.add.reduceat(x, first) for x in (raw, good, bad))
-        return np.column_stack([(all_bad - all_good) / (all_bad + all_good), np.minimum(np.minimum.reduceat(own, first), 0.2), np.minimum.reduceat(shrunk, first), all_good / all_raw])
+        difference, raw = self.bad(parts) - self.good(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        return (np.add.reduceat(difference, first) / (np.add.reduceat(raw, first) + 1))[:, None]
 
 
 def parted(texts: list[bytes], others: list[bytes]) -> tuple[list[bytes], list[bytes]]:
@@ -137,24 +134,14 @@ def _passages(texts: list[bytes], size: int) -> bytes:
     return b"\n".join(t[at : at + each] for i, t in enumerate(texts) for at in [(i * 7919) % max(1, len(t) - each)])[:size]
 
 
-def _split_fitted(rows: list, build):
-    """build(one half), calibrated on the other; None without rows of both labels in each half."""
-    fit, rest = ([r for r in rows if r["half"] == h] for h in (0, 1))
-    if any({r["y"] for r in half} != {0, 1} for half in (fit, rest)):
-        return None
-    model = build(fit)
-    model.calibration = labelled.Calibration(model.features([r["text"].encode() for r in rest]), np.array([r["y"] for r in rest], dtype=float))
-    return model
-
-
-def _cross_fitted(rows: list, build):
-    """build(all rows), calibrated on what models of each half say of the other half; None without rows of both labels in each half."""
-    halves = [[r for r in rows if r["half"] == h] for h in (0, 1)]
-    if any({r["y"] for r in half} != {0, 1} for half in halves):
+def _cross_fitted(rows: list, build, folds: int):
+    """build(all rows), calibrated on what models of the other folds say of each fold; None unless every fold has rows of both labels."""
+    parts = [[r for i, r in enumerate(rows) if i % folds == f] for f in range(folds)]
+    if any({r["y"] for r in part} != {0, 1} for part in parts):
         return None
-    x = np.concatenate([build(halves[h]).features([r["text"].encode() for r in halves[1 - h]]) for h in (0, 1)])
+    x = [build([r for i, r in enumerate(rows) if i % folds != f]).features([r["text"].encode() for r in part]) for f, part in enumerate(parts)]
     model = build(rows)
-    model.calibration = labelled.Calibration(x, np.array([r["y"] for h in (1, 0) for r in halves[h]], dtype=float))
+    model.calibration = labelled.Calibration(np.concatenate(x), np.array([r["y"] for part in parts for r in part], dtype=float), ridge=1e-2)
     return model
 
 
@@ -163,22 +150,21 @@ def _texts(rows: list) -> list[list[bytes]]:
     return [[r["text"].encode() for r in rows if r["y"] == y] for y in (1, 0)]
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 64, level: int = 12, own_bytes: int = 4096, common_bytes: int = 131072) -> Toxicity | None:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 64, level: int = 12, own_bytes: int = 4096, common_bytes: int = 131072, folds: int = 5) -> Toxicity | None:
     def build(rows: list) -> Toxicity:
         toxic, ordinary = ([t.lower() for t in x] for x in _texts(rows))
         (own, common_text), (other, _) = parted(toxic, ordinary), parted(ordinary, toxic)
         shared = trained(ordinary + common_text, common_bytes)
         return Toxicity(*(Sizer(trained(x, own_bytes) + shared, level) for x in (own, other)), window)
 
-    # Dictionaries of all rows would save more than those of the halves, so thresholds wouldn't carry over: one half for each.
-    return _split_fitted(labelled.sample(docs, labels, "toxic", per_class).collect(), build)  # 2 * per_class rows at most
+    return _cross_fitted(labelled.sample(docs, labels, "toxic", per_class).collect(), build, folds)  # 2 * per_class rows at most
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 1024, level: int = 3, dictionary_bytes: int = 65536) -> Quality | None:
+def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 1024, level: int = 12, dictionary_bytes: int = 131072, folds: int = 2) -> Quality | None:
     def build(rows: list) -> Quality:
         return Quality(*(Sizer(_passages(x, dictionary_bytes) or b" ", level) for x in without_shared_lines(_texts(rows))), window)
 
-    return _cross_fitted(labelled.sample(docs, labels, "quality", per_class).collect(), build)  # 2 * per_class rows at most
+    return _cross_fitted(labelled.sample(docs, labels, "quality", per_class).collect(), build, folds)  # 2 * per_class rows at most
 
 
 def score(docs: DataFrame, model, column: str = "score") -> DataFrame:
@@ -217,4 +203,4 @@ def op6_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that the quality classifier, learnt from these rows, doesn't reject."""
-    return score(docs, learn_quality(docs, labels), "_score").filter(F.col("_score") >= threshold).select(*docs.columns)
+    return score(docs, learn_quality(docs, labels), "_strand_score").filter(F.col("_strand_score") >= threshold).select(*docs.columns)
