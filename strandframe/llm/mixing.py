@@ -10,11 +10,14 @@ The budget is the least one that holds every source once, or is given. It is rea
 its permutation as fit into what is left of the source's budget. So weights are met within one block of each source.
 
 Tokens are words between ASCII white space. A source without tokens keeps its documents once; null is a source of its own; repeated
-rows share a block and are each kept; null texts have no tokens; columns named like those added are replaced; empty in, empty out.
+rows share a block and are each kept, as do all null doc_ids of a source; null texts have no tokens; columns named like those added are replaced;
+empty in, empty out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,8 +25,8 @@ from pyspark.sql import Window as W
 from . import common
 
 ADDED = ["n_tokens", "epoch", "block", "place"]
-#: Places in the blocks' table up to which it is broadcast; beyond, it is joined by shuffle.
-_BROADCAST_PLACES = 1_000_000
+#: Places in the blocks' table up to which it is broadcast; beyond, it is joined by shuffle, each block in _SALTS parts.
+_BROADCAST_PLACES, _SALTS = 1_000_000, 64
 
 
 def n_tokens(text: Column) -> Column:
@@ -65,8 +68,6 @@ def exponent(totals: DataFrame, entropy: float, max_repeat: float, budget: int |
             low, high = (edge - step, edge) if first_that_holds else (edge, edge + step)
         return edge
 
-    import math
-
     by_entropy = bisect(lambda h, r: h >= entropy * math.log(top["n"]) - 1e-9, False)
     by_repeat = bisect(lambda h, r: r <= max_repeat + 1e-9, True)
     return round(max(by_entropy, by_repeat), 6)
@@ -94,13 +95,17 @@ def plan(counted: DataFrame, entropy: float, max_repeat: float, budget: int | No
     return made, made.agg(F.sum(F.size("_strand_places"))).first()[0] or 0
 
 
-def mixture(docs: DataFrame, entropy: float = 0.97, max_repeat: float = 4.0, budget: int | None = None, blocks: int = 256, seed: int = 42) -> DataFrame:
+def mixture(docs: DataFrame, entropy: float = 0.97, max_repeat: float = 4.0, budget: int | None = None, blocks: int = 256, seed: int = 42, broadcast_places: int = _BROADCAST_PLACES) -> DataFrame:
     """The rows of docs as often as their source's weight asks, with n_tokens, epoch (1, 2, ...), block, and place: of the block in its epoch."""
     names = [c for c in docs.columns if c not in ADDED]
     counted = docs.select(*names).withColumn("n_tokens", n_tokens(F.col("text").cast("string"))).withColumn("block", (_drawn(seed, F.col("doc_id")) % blocks).cast("int"))
     made, held = plan(counted.select("source", "block", "n_tokens"), entropy, max_repeat, budget, blocks, seed)
-    made = F.broadcast(made) if held <= _BROADCAST_PLACES else made
-    joined = counted.join(made, F.col("source").eqNullSafe(F.col("_strand_s")) & (F.col("block") == F.col("_strand_b")))
+    same = F.col("source").eqNullSafe(F.col("_strand_s")) & (F.col("block") == F.col("_strand_b"))
+    if held <= broadcast_places:
+        joined = counted.join(F.broadcast(made), same)
+    else:  # a block of a source with a third of all rows would be too much for one task
+        salted = made.withColumn("_strand_part", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        joined = counted.withColumn("_strand_salt", F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(_SALTS)).cast("int")).join(salted, same & (F.col("_strand_salt") == F.col("_strand_part")))
     return joined.select("*", F.posexplode("_strand_places").alias("_strand_e", "place")).withColumn("epoch", F.col("_strand_e") + 1).select(*names, *ADDED)
 
 
