@@ -3,7 +3,7 @@
 A window is ``window`` consecutive words of an item (a shorter item is one window); its tokens are its shingles of
 ``shingle`` words (of all its words, if fewer). Containment is exact, so the prefix that a match must share is one token: the rarest one.
 
-1. All tokens of all windows set bits in a bitmap of fixed size, which goes to all tasks.
+1. All tokens of all windows set bits in a bitmap whose size follows their number (2**28 bits at most), which goes to all tasks.
 2. One pass over whole documents cuts out the runs of words whose shingles are all in the bitmap: only they can hold a window.
    Long runs are cut into pieces that overlap by a window, so that none is larger than ``piece`` words.
 3. Equal pieces meet in one aggregation. Their shingles give the rarity order; windows with a token found nowhere go.
@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from . import common
 from .textkernel import ALNUM, LOWER, buffers, grams, words
 
-_BITMAP_LOG2 = 23
+#: Parts in which a piece's verdict goes back to its documents: a one-word item's piece is in every document that has the word.
+_SALTS = 16
+#: Bits of the bitmap for each distinct token, and its largest size: 2**_MOST_LOG2 bits (32 MB), beyond which more pieces pass than hold a window.
+_BITS_EACH, _MOST_LOG2 = 16, 28
 
 
 def _windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
@@ -60,19 +63,21 @@ def _windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
 
 
 def _bitmap(tokens: DataFrame) -> np.ndarray:
-    """Bits of the tokens' hashes: 2**_BITMAP_LOG2 at most, whatever the benchmark's size."""
-    low = F.col("h").bitwiseAND((1 << _BITMAP_LOG2) - 1)
-    high = F.shiftrightunsigned("h", 32).bitwiseAND((1 << _BITMAP_LOG2) - 1)
-    slots = tokens.select(F.explode(F.array(low, high)).alias("b")).select(F.shiftright("b", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b & 63 AS int))").alias("m"))
+    """Two bits of each token's hash; _BITS_EACH bits a token, so about one stranger in sixty passes."""
+    distinct = tokens.distinct()
+    log2 = min(_MOST_LOG2, max(16, int(np.ceil(np.log2(max(1, distinct.count()) * _BITS_EACH)))))
+    low = F.col("h").bitwiseAND((1 << log2) - 1)
+    high = F.shiftrightunsigned("h", 32).bitwiseAND((1 << log2) - 1)
+    slots = distinct.select(F.explode(F.array(low, high)).alias("b")).select(F.shiftright("b", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b & 63 AS int))").alias("m"))
     found = slots.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    bits = np.zeros(1 << (_BITMAP_LOG2 - 6), dtype=np.int64)
+    bits = np.zeros(1 << (log2 - 6), dtype=np.int64)
     bits[found["w"].to_numpy(dtype=np.int64)] = found["m"].to_numpy(dtype=np.int64)
     return bits.view(np.uint64)
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     hit = np.ones(len(h), dtype=bool)
-    mask, one = np.uint64((1 << _BITMAP_LOG2) - 1), np.uint64(1)
+    mask, one = np.uint64(64 * len(bits) - 1), np.uint64(1)
     for x in (h & mask, (h >> np.uint64(32)) & mask):
         hit &= (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & one == one
     return hit
@@ -82,10 +87,10 @@ def _pieces(docs: DataFrame, bits: np.ndarray, least: dict[int, int], window: in
     """doc_id, _strand_k2, n_words and the pieces of every document. least: shingle size to the words of its shortest window."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(F.col("doc_id"), F.col("text"))[1], F.col("text").cast("string").alias("text"))
     kind = pa.list_(pa.struct([("size", pa.int32()), ("start", pa.int64()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64()))]))
-    compact = bits.tobytes()
+    compact = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(compact, dtype=np.uint64)
+        held = np.frombuffer(compact.value, dtype=np.uint64)
         for batch in batches:
             for part in common.text_slices(batch):
                 data, offsets = buffers(part.column(2))
@@ -133,7 +138,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     placed = tokens.join(prefix, ["size", "h"]).withColumn("begin", F.col("at") - F.col("offset")).filter((F.col("begin") >= 0) & (F.col("begin") + F.size("wanted") <= F.size("words")))
     same = placed.filter(F.slice("words", F.col("begin") + 1, F.size("wanted")) == F.col("wanted"))
     held = common.cut(same.groupBy("piece").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(begin, begin + size(wanted) - 1)")))).alias("covered"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "decon-held")
-    hits = each.select("doc_id", "_strand_k2", "piece", "start").distinct().join(held, "piece").groupBy("doc_id", "_strand_k2").agg(F.flatten(F.collect_list(F.expr("transform(covered, x -> x + start)"))).alias("covered"), F.flatten(F.collect_set("items")).alias("items"))
+    salted = held.withColumn("_strand_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    places = each.select("doc_id", "_strand_k2", "piece", "start").distinct().withColumn("_strand_salt", F.pmod(F.xxhash64("doc_id", "_strand_k2"), F.lit(_SALTS)).cast("int"))
+    hits = places.join(salted, ["piece", "_strand_salt"]).groupBy("doc_id", "_strand_k2").agg(F.flatten(F.collect_list(F.expr("transform(covered, x -> x + start)"))).alias("covered"), F.flatten(F.collect_set("items")).alias("items"))
     done = hits.select("doc_id", "_strand_k2", F.size(F.array_distinct("covered")).cast("long").alias("n_hit"), F.array_sort(F.transform(F.array_distinct("items"), lambda x: x.cast("string"))).alias("item_ids"))
     left = seen.select("doc_id", "_strand_k2", "n_words").withColumn("_strand_k1", F.coalesce("doc_id", F.lit(-(2**63))))
     right = done.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"), "_strand_k2", "n_hit", "item_ids")
