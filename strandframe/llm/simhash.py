@@ -116,11 +116,20 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the least (doc_id, text hash) of each component; of wholly equal ones, one."""
+    """The rows of docs with the least (doc_id, text hash) of each component; of wholly equal ones, one.
+
+    What goes is joined to docs, as it is less than what stays: ids and hashes only, which Spark may broadcast where they are few.
+    """
     # A component is known by its least doc_id; the least text hash decides where that id repeats.
-    found = common.cut(near_duplicates(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"), "_strand_k2", F.coalesce("component_id", F.lit(-(2**63))).alias("_c")), "simhash-found")
-    heads = found.filter("_strand_k1 = _c").groupBy("_c").agg(F.min("_strand_k2").alias("_strand_k2"), F.count("*").alias("_n")).select(F.col("_c").alias("_strand_k1"), "_strand_k2", "_n")
+    key = ["_strand_k1", "_strand_k2"]
+    found = common.cut(near_duplicates(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"), "_strand_k2", F.coalesce("component_id", F.lit(-(2**63))).alias("_strand_c")), "simhash-found")
+    heads = found.filter("_strand_k1 = _strand_c")
+    repeated = heads.groupBy("_strand_c").agg(F.min("_strand_k2").alias("_strand_least"), F.count("*").alias("_strand_n")).filter("_strand_n > 1")
+    repeated = common.cut(heads.join(repeated, "_strand_c").select(*key, (F.col("_strand_k2") == F.col("_strand_least")).alias("_strand_head")).distinct(), "simhash-repeated")
+    gone = found.filter("_strand_k1 <> _strand_c").select(*key).unionByName(repeated.select(*key)).distinct()
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
-    kept = docs.withColumns({"_strand_k1": k1, "_strand_k2": k2}).join(heads, ["_strand_k1", "_strand_k2"])
-    once, more = kept.filter("_n = 1"), kept.filter("_n > 1").dropDuplicates(["_strand_k1", "_strand_k2"])
-    return once.unionByName(more).select(*docs.columns)
+    keyed = docs.withColumns({"_strand_k1": k1, "_strand_k2": k2})
+    kept = keyed.join(gone, key, "left_anti")
+    if repeated.head(1):
+        kept = kept.unionByName(keyed.join(repeated.filter("_strand_head"), key, "left_semi").dropDuplicates(key))
+    return kept.select(*docs.columns)
