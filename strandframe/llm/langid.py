@@ -2,10 +2,14 @@
 
 Learning counts character trigrams by language over all training rows. A trigram goes into a language's filter if its share of that
 language's trigrams is at least ``share`` (so a language has 1 / share of them at most, which bounds the filter whatever the corpus' size)
-and at least ``ratio`` of its largest share in any language. All languages' filters lie in one array of bit masks: one look-up at
+and at least ``ratio`` of its largest share in any language; each language's most telling trigram goes in always, so every language of the
+training rows can be predicted, however few rows it has. All languages' filters lie in one array of bit masks: one look-up at
 ``hashes`` slots, and-ed, returns every language that holds a trigram. A document's popcounts by language, less the false positives that
 the filters' fill predicts, decide; the score is the chosen language's part of all corrected counts.
 
+Spark builds the masks, by slot and word of 64 languages; what comes to the driver and goes to the tasks is the array, of at most 2**``most_log2`` slots
+of a word for each 64 languages (32 MB a word at 22), and the languages' names and totals.
+
 Letters are lower-cased, everything else is one space. ``und`` and score 0 if the text is null or has no letter, or nothing could be learned;
 rows with null lang teach nothing; ties go to the first language in string order; repeated rows teach as often as they occur; a null doc_id counts as an empty
 one for the fold; other columns are ignored; empty in, empty out.
@@ -86,11 +90,21 @@ class Filter:
         self.false = np.array([float(bit(i).mean()) ** hashes for i in range(len(langs))])
 
     @classmethod
-    def build(cls, langs: list[str], number: np.ndarray, codes: np.ndarray, default: int, hashes: int = 3, bits_each: int = 12) -> Filter:
-        log2 = max(10, int(np.ceil(np.log2(max(1, len(np.unique(codes))) * bits_each))))
+    def build(cls, langs: list[str], held: DataFrame, default: int, hashes: int = 3, bits_each: int = 12, most_log2: int = 22) -> Filter:
+        """held: number (of the language), code."""
+        distinct = held.agg(F.count_distinct("code")).first()[0]
+        log2 = min(most_log2, max(10, int(np.ceil(np.log2(max(1, distinct) * bits_each)))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                number, codes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                word, mask = (number // 64).astype(np.int32), (np.uint64(1) << (number % 64).astype(np.uint64)).view(np.int64)
+                for slot in _slots(codes, log2, hashes):
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(word), pa.array(mask)], names=["slot", "word", "mask"])
+
+        found = held.select(F.col("number").cast("int"), "code").mapInArrow(run, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
         masks = np.zeros((1 << log2, -(-len(langs) // 64)), dtype=np.uint64)
-        for slot in _slots(codes, log2, hashes):
-            np.bitwise_or.at(masks, (slot, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
+        masks[found["slot"].to_numpy(), found["word"].to_numpy()] = found["mask"].to_numpy(dtype=np.int64).view(np.uint64)
         return cls(langs, log2, hashes, masks, default)
 
     def decide(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
@@ -107,19 +121,20 @@ class Filter:
         return [self.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], np.where(n > 0, share, 0.0).tolist()
 
 
-def learn(rows: DataFrame, share: float = 5e-6, ratio: float = 0.2, least: int = 3) -> Filter | None:
-    """A filter of the rows' languages (lang not null, text)."""
+def learn(rows: DataFrame, share: float = 5e-6, ratio: float = 0.2) -> Filter | None:
+    """A filter of the rows' languages (lang not null, text); None if no row has a letter."""
     counts = common.cut(gram_counts(rows.filter("lang IS NOT NULL")), "langid-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.filter(F.col("n") >= least).join(totals, "lang").withColumn("p", F.col("n") / F.col("total")).filter(F.col("p") >= share)
-    best = shares.groupBy("code").agg(F.max("p").alias("best"))
-    held = shares.join(best, "code").filter(F.col("p") >= ratio * F.col("best")).select("lang", "code").toPandas()  # 1 / share for a language at most
-    if not len(held):
+    sums = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row for each language
+    if not sums:
         return None
-    sums = {r["lang"]: r["total"] for r in totals.collect()}
-    langs = sorted(set(held["lang"]))
-    number = held["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)
-    return Filter.build(langs, number, held["code"].to_numpy(dtype=np.int64), langs.index(max(langs, key=lambda x: (sums[x], x))))
+    langs = sorted(sums)
+    names = counts.sparkSession.createDataFrame([(x, i, sums[x]) for i, x in enumerate(langs)], "lang string, number int, total long")
+    shares = counts.join(F.broadcast(names), "lang").select("number", "code", (F.col("n") / F.col("total")).alias("p"))
+    best = shares.groupBy("code").agg(F.max("p").alias("best"), F.count("*").alias("langs"))
+    told = shares.join(best, "code").withColumn("part", F.col("p") / F.col("best"))
+    top = told.groupBy("number").agg(F.max_by("code", F.struct("part", -F.col("langs"), "p", "code")).alias("code"))
+    held = told.filter((F.col("p") >= share) & (F.col("part") >= ratio)).select("number", "code").unionByName(top).distinct()
+    return Filter.build(langs, common.cut(held, "langid-held"), langs.index(max(langs, key=lambda x: (sums[x], x))))
 
 
 def fold(doc_id, mod: int):
