@@ -64,6 +64,38 @@ def test_toxicity_learns_from_words_of_few_texts(spark):
     assert len(right) > 80 and sum(right) / len(right) >= 0.85
 
 
+@pytest.mark.parametrize(("learn", "target"), [(compression.learn_quality, 1), (compression.learn_toxicity, 2)])
+def test_scores_are_differences_of_compressed_sizes(labelled, learn, target):
+    """Features by hand: every window of the whole text compressed on its own under either dictionary."""
+    import zstandard
+
+    docs, labels, _ = labelled
+    model = learn(docs, labels)
+    one, other = (model.bad, model.good) if target == 1 else (model.ordinary, model.toxic)
+
+    def size(s, data):
+        d = zstandard.ZstdCompressionDict(s.content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=s.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    texts = [r["text"].encode() for r in docs.limit(30).collect() if r["text"]] + [b"", b"a", "é ".encode() * 3000]
+    for t, f in zip(texts, model.features(texts), strict=True):
+        low = t if target == 1 else t.lower()
+        parts = compression.windows(low, model.window)
+        assert b"".join(parts) == low and all(len(x) <= model.window for x in parts)
+        saved = [size(one, x) - size(other, x) for x in parts]
+        if target == 1:
+            assert f.tolist() == pytest.approx([sum(saved) / (len(t) + 1)])
+        else:
+            assert f[-2:].tolist() == pytest.approx([sum(saved) / len(saved), min(16, max(0, max(saved)))])
+            assert f[1] == pytest.approx(sum(x >= 1 for x in saved) / len(saved))
+
+
+def test_a_label_given_twice_counts_as_its_larger_value(spark):
+    docs = spark.createDataFrame([(i, "text") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i in range(40) for q in (0, 1)], "doc_id long, quality int")
+    assert {r["y"] for r in samples.sample(docs, labels, "quality").collect()} == {1}
+
+
 def test_sample_is_full_where_labels_lack_fitting_documents(spark):
     docs = spark.createDataFrame([(i, None if i % 5 == 0 else "" if i % 5 == 1 else "x" * 50 if i % 5 == 2 else "text") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
@@ -116,6 +148,25 @@ def test_quality_rules(spark, labelled):
     right = [r["kept"] == bool(truth[r["doc_id"]][1]) for r in got if r["doc_id"] in truth]
     assert sum(right) / len(right) > 0.97
     assert all(r["kept"] != r["base_failed"] for r in qualityrules.judge(every, None).collect())
+    assert qualityrules.judge(every.filter(F.lit(False)), None).collect() == []
+
+
+def test_features_are_words_pairs_and_character_trigrams():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["ab cd ab", "", "é中🙂x", "ab", "a b c d e é"]
+    data, offsets = qualityrules.buffers(pa.array([t.encode() for t in texts], type=pa.binary()))
+    found = qualityrules.words(data, offsets, qualityrules.NONSPACE)
+    w, pairs, chars = qualityrules._features(data, offsets, found, 14)
+    for (slots, first), of in ((w, lambda t: t.split()), (pairs, lambda t: list(zip(t.split(), t.split()[1:], strict=False))), (chars, lambda t: [t[i : i + 3] for i in range(len(t) - 2)])):
+        slot = {}
+        for i, t in enumerate(texts):
+            own = of(t)
+            assert first[i + 1] - first[i] == len(own)
+            for x, s in zip(own, slots[first[i] : first[i + 1]].tolist(), strict=True):
+                assert slot.setdefault(x, s) == s
+        assert len(set(slot.values())) == len(slot) and np.all(slots < 1 << 14)
 
 
 def test_language_id(spark, labelled):
@@ -131,11 +182,47 @@ def test_language_id(spark, labelled):
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
-def test_bloom_filter_holds_all_languages_of_a_gram():
+def test_few_documents_teach_every_language(spark):
+    rows = spark.createDataFrame([("en", "the cat sat on the mat"), ("en", "where is the house"), ("es", "el gato en la casa"), ("es", "donde esta el perro"), ("xx", "the cat sat on the mat")], "lang string, text string")
+    model = langid.learn(rows)
+    assert model.langs == ["en", "es", "xx"]
+    docs = spark.createDataFrame([(1, "the house"), (2, "el perro en casa"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert (got[1]["lang_pred"], got[2]["lang_pred"], got[3]["lang_pred"]) == ("en", "es", "und") and got[1]["score"] > 0.5
+    assert langid.identify(docs.filter(F.lit(False)), model).collect() == []
+    assert langid.learn(spark.createDataFrame([("en", "12 3"), ("es", None)], "lang string, text string")) is None
+
+
+def test_language_popcounts_against_sets(spark, labelled):
+    """The filter's counts are those of exact sets of trigrams but for the false positives that it corrects."""
+    docs, _, _ = labelled
+    rows = docs.select("lang", "text").filter("lang IS NOT NULL")
+    model = langid.learn(rows)
+    counts = langid.gram_counts(rows).collect()
+    total = Counter()
+    for r in counts:
+        total[r["lang"]] += r["n"]
+    p = {(r["lang"], r["code"]): r["n"] / total[r["lang"]] for r in counts}
+    best = {}
+    for (_, c), x in p.items():
+        best[c] = max(best.get(c, 0), x)
+    held = {k for k, x in p.items() if x >= 5e-6 and x >= 0.2 * best[k[1]]}
+    for t in [r["text"] for r in docs.limit(40).collect() if r["text"]]:
+        codes, _ = langid.trigrams([t.encode()])
+        if not len(codes):
+            continue
+        n = [sum((x, c) in held for c in codes.tolist()) for x in model.langs]
+        name, score = (x[0] for x in model.decide([t.encode()]))
+        if sorted(n)[-1] > 1.2 * sorted(n)[-2]:
+            assert name == model.langs[n.index(max(n))] and abs(score - max(n) / sum(n)) < 0.05
+
+
+def test_bloom_filter_holds_all_languages_of_a_gram(spark):
     import numpy as np
 
     codes = np.arange(1000, dtype=np.int64) * 7919
-    made = langid.Filter.build([f"l{i:02}" for i in range(70)], np.arange(1000) % 70, codes, 0)
+    held = spark.createDataFrame([(i % 70, int(c)) for i, c in enumerate(codes)], "number int, code long")
+    made = langid.Filter.build([f"l{i:02}" for i in range(70)], held, 0)
     held = None
     for slot in langid._slots(codes, made.log2, made.hashes):
         held = made.masks[slot] if held is None else held & made.masks[slot]
@@ -172,7 +259,9 @@ def test_full_stores_start_anew(tokenizer):
 
 
 def test_urls(spark):
+    long = "https://a.org/" + "/".join(f"p{i}" for i in range(30000)) + "?" + "&".join(f"k{i}=1" for i in range(3000))
     urls = [
+        (long, "a.org", long[len("https://a.org") :].split("?")[0], None, None),
         ("http://A.Net", "a.net", "", None, None), ("http://a.net/x", "a.net", "/x", "net/", "block"), ("https://m.Example.net/en/1?x#y", "m.example.net", "/en/1", "example.net/en/", "allow"), ("https://notexample.net/en/", "notexample.net", "/en/", "net/", "block"),
         ("ftp://example.com/de/#q", "example.com", "/de/", "example.com/de/", "block"), ("x://w.org/fr/a/", "w.org", "/fr/a/", "org/fr/", "allow"), ("nothing", "", "", None, None), (None, "", "", None, None), ("http://?q://r", "", "", None, None), ("", "", "", None, None), ("http://a.com#x?y/z", "a.com", "", None, None),
     ]
@@ -197,12 +286,45 @@ def test_mined_rules_block_what_labels_show(spark):
     got = {r["page_id"]: r for r in urlfilter.judge(pages, labels, rules=[]).collect()}
     assert all((got[i]["verdict"] == "block") == (q == 0) for i, _, q in rows)
     assert urlfilter.judge(pages.filter(F.lit(False)), labels).collect() == []
+    spread = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, labels, rules=[], broadcast_rules=0).collect()}
+    assert spread == {i: r["verdict"] for i, r in got.items()}
+
+
+def test_mined_rules_against_brute_force(spark):
+    """Planted: two tokens together tell bad URLs, neither alone does; labels are wrong now and then; tokens hold line breaks."""
+    from itertools import combinations
+
+    rng = random.Random(15)
+    rows = []
+    for i in range(1500):
+        shop, path = rng.choice(["shop", "news", "blog\nx"]), rng.choice(["win", "read", "x\nwin"])
+        bad = (shop == "shop" and path == "win") != (rng.random() < 0.05)
+        rows.append((i, f"https://{shop}.{rng.choice(['aa', 'bb'])}.com/{path}/{rng.randint(1, 9)}", int(bad), shop == "shop" and path == "win"))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, _, b, _ in rows if i % 3], "doc_id long, quality int, toxic int")
+    t = [(frozenset(r["items"]), r["bad"]) for r in urlfilter.transactions_of(pages, labels).collect()]
+    n, share = len(t), sum(b for _, b in t) / len(t)
+    have, bad = Counter(), Counter()
+    for items, b in t:
+        for k in range(1, len(items) + 1):
+            for x in combinations(sorted(items), k):
+                have[x] += 1
+                bad[x] += b
+    want = {x: bad[x] / have[x] for x in bad if bad[x] >= max(0.005 * n, 20) and bad[x] / have[x] >= 0.6 and bad[x] / have[x] / share >= 1.5}
+    mined = urlfilter.mine(urlfilter.transactions_of(pages, labels)).collect()
+    assert {tuple(r["antecedent"]): pytest.approx(r["confidence"]) for r in mined} == want and all(r["key"] in r["antecedent"] for r in mined)
+    verdicts = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, labels, rules=[]).collect()}
+    tokens = {r["page_id"]: set(r["t"]) for r in urlfilter.parsed(pages).select("page_id", urlfilter.tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("t")).collect()}
+    assert verdicts == {i: "block" if any(set(x) <= tokens[i] for x in want) else "allow" for i in tokens}
+    assert all((verdicts[i] == "block") == planted for i, _, _, planted in rows)
+    figures = urlfilter.report(pages, labels)
+    assert figures["kept"] == len(want) and figures["urls"] == n and figures["bad_share"] == pytest.approx(share)
 
 
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), s, "own") for i, s in enumerate(["big"] * 900 + ["mid"] * 200 + ["low"] * 40 + [None] * 20)]
-    rows += [(5000, "", "void", "own"), (5001, None, "void", "own"), rows[0], rows[0]]
+    rows += [(5002, "w " * 300000, "big", "own"), (5000, "", "void", "own"), (5001, None, "void", "own"), rows[0], rows[0]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place string").repartition(4).withColumns({c: F.lit("own") for c in ("_s", "_b", "_e", "places", "copies")})
     got = mixing.mixture(docs, entropy=0.95, max_repeat=3.0, blocks=64).collect()
     have, want, seen = Counter(), Counter(), defaultdict(Counter)
@@ -223,6 +345,8 @@ def test_mixing(spark):
         assert goal - 0.25 <= want[s] / have[s] <= goal + 1e-3
     again = mixing.mixture(docs.repartition(7), entropy=0.95, max_repeat=3.0, blocks=64).collect()
     assert Counter((r["doc_id"], r["epoch"], r["place"]) for r in again) == Counter((r["doc_id"], r["epoch"], r["place"]) for r in got)
+    spread = mixing.mixture(docs, entropy=0.95, max_repeat=3.0, blocks=64, broadcast_places=0).collect()
+    assert Counter((r["doc_id"], r["epoch"], r["place"]) for r in spread) == Counter((r["doc_id"], r["epoch"], r["place"]) for r in got)
 
 
 def test_mixing_leaves_even_sources_alone(spark):
