@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """``spark.checkpoint.dir``; where that is unset, a folder of our own in local mode only, as executors elsewhere wouldn't see it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("strandframe.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-strandframe-")
         spark.conf.set("strandframe.scratch", found)
     return found.rstrip("/")
