@@ -18,7 +18,7 @@ from ..session import ship
 SLICE_BYTES = 1 << 22
 
 
-#: Tables written since the outermost ``clearing`` began; None outside of one.
+#: Tables written since ``clearing`` began; None outside of it.
 _written: list[str] | None = None
 
 
@@ -37,12 +37,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def clearing(spark: SparkSession) -> Iterator[None]:
-    """Tables that are cut inside are deleted at the end: for callers that have written their own result by then."""
+def clearing(spark: SparkSession) -> Iterator[list[str]]:
+    """Gives the list of tables that are cut inside; those still in it are deleted at the end, when the caller has written its result."""
     global _written
     outer, _written = _written, []
     try:
-        yield
+        yield _written
     finally:
         for path in _written:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
