@@ -58,5 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.docs_of(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.clearing(spark) as written:
+            docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            written.pop()  # the stage's result stays, what it was made of goes
     return docs
