@@ -77,6 +77,21 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return mix(hashes), starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def spans(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span from one start to the next; the last ends with the data. Long data are worked on in pieces."""
+    ends, hashes, at = np.append(starts[1:], len(data)), np.empty(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + _PIECE, side="right")))
+        up, down = powers(int(ends[to - 1] - base))
+        with np.errstate(over="ignore"):
+            own = starts[at:to] - base
+            hashes[at:to] = np.add.reduceat((data[base : ends[to - 1]].astype(np.uint64) + np.uint64(1)) * up[: ends[to - 1] - base], own) * down[own]
+        at = to
+    with np.errstate(over="ignore"):
+        return mix(hashes + (ends - starts).astype(np.uint64))
+
+
 def grams(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of size neighbouring words of one row, and the index of its first word."""
     n = len(hashes) - size + 1

@@ -9,8 +9,12 @@ scan composes the maps, so each chunk learns its true start state, and a second
 
 The *counter* is a deterministic transducer over bytes. Its state is what the tokens of longer texts can still depend on: the
 longest suffix that begins a token, and for each place in it the last token of the encoding up to there and its count, relative to now.
-Each transition is annotated with the change of the token count. States and transitions are made when first met and kept, so a piece of
-n bytes takes n steps, however long it is; counts of pieces already met are kept too. Both stores are bounded and start anew when full.
+Each transition is annotated with the change of the token count. States and transitions are compiled when first met and kept in a table that
+numpy looks up for many places at once. Pieces are cut into chunks; all chunks of all pieces advance together. A piece's first chunk has one
+start state; for a later one, the states that runs begun a little before it lead to are its likely start states, and running it from each
+gives its state map, from start state to end state and tokens emitted. The same prefix scan composes the maps; a chunk whose true start state
+its map lacks gets that state added, and the scan goes on from there. Equal pieces of a batch are counted once, and counts of pieces already met
+are kept. All stores are bounded and start anew when full.
 
 A token sequence is the tokenizer's own exactly if each neighbouring pair is, so the last token up to a place is the one suffix
 token that can follow the last token up to its start.
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .textkernel import spans
 
 # Kinds of character. A2, A3: an apostrophe before one letter, or two, of a contraction; SPL, WL: a space, or other
 # white space, before something else; WI: white space before white space or at the end.
@@ -44,6 +49,8 @@ _GO_ON = {IN_L: {L: IN_L}, IN_N: {N: IN_N}, IN_P: {P: IN_P, A2: IN_P, A3: IN_P},
 NEXT = np.array([[_GO_ON[s].get(k, _BEGIN[k]) for s in range(8)] for k in range(8)] + [[_BEGIN[k]] * 8 for k in range(8)], dtype=np.uint8)
 STARTS = np.array([[k not in _GO_ON[s] for s in range(8)] for k in range(8)] + [[True] * 8] * 8)
 _CHUNK = 256
+#: Bytes that are counted before the stores' sizes are looked at again; bytes before a chunk, and places there, where runs for its start states begin.
+_GROUP, _WARM, _LANES = 1 << 18, 32, 8
 
 
 def _kinds_table() -> np.ndarray:
@@ -81,13 +88,13 @@ def kinds(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return k
 
 
-def compose(maps: np.ndarray) -> np.ndarray:
-    """The start state of each chunk from the chunks' state maps [chunks, states]: a parallel prefix scan, from END."""
+def compose(maps: np.ndarray, first: int = END) -> np.ndarray:
+    """The start state of each chunk from the chunks' state maps [chunks, states]: a parallel prefix scan, from the first chunk's start."""
     total, reach = maps.copy(), 1
     while reach < len(total):
         total[reach:] = np.take_along_axis(total[reach:], total[:-reach], axis=1)
         reach *= 2
-    return np.concatenate([[END], total[:-1, END]]).astype(np.uint8)
+    return np.concatenate([[first], total[:-1, first]]).astype(maps.dtype)
 
 
 def piece_starts(k: np.ndarray) -> np.ndarray:
@@ -109,6 +116,42 @@ def piece_starts(k: np.ndarray) -> np.ndarray:
     return np.flatnonzero(marks.T.ravel()[: len(k)])
 
 
+class Table:
+    """Transitions by (state << 8 | byte), open-addressed: the next state and the change of the token count."""
+
+    def __init__(self, log2: int = 16):
+        self.log2, self.held = log2, 0
+        self.keys, self.to, self.change = np.full(1 << log2, -1, dtype=np.int64), np.zeros(1 << log2, dtype=np.int64), np.zeros(1 << log2, dtype=np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or the complement of the free place where it belongs."""
+        with np.errstate(over="ignore"):
+            place = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log2)).astype(np.int64)
+        there = self.keys[place]
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            place[left] = (place[left] + 1) & ((1 << self.log2) - 1)
+            there = self.keys[place[left]]
+            left = left[(there != keys[left]) & (there >= 0)]
+        return np.where(self.keys[place] == keys, place, ~place)
+
+    def add(self, keys: np.ndarray, to: np.ndarray, change: np.ndarray) -> None:
+        """Distinct keys that aren't held."""
+        if 2 * (self.held + len(keys)) > len(self.keys):
+            kept = self.keys >= 0
+            held = self.keys[kept], self.to[kept], self.change[kept]
+            self.__init__((2 * (self.held + len(keys))).bit_length() + 1)
+            self.add(*held)
+        while len(keys):
+            place = ~self.find(keys)
+            _, first = np.unique(place, return_index=True)  # of keys that want the same place one takes it
+            self.keys[place[first]], self.to[place[first]], self.change[place[first]] = keys[first], to[first], change[first]
+            self.held += len(first)
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            keys, to, change = keys[rest], to[rest], change[rest]
+
+
 class Counter:
     """The transducer that counts the tokens of a piece."""
 
@@ -126,7 +169,7 @@ class Counter:
     def _reset(self) -> None:
         self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...]]] = [(b"", (-1,), (0,))]
         self.ids = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, int]] = {}
+        self.table = Table()
         self.seen: dict[bytes, int] = {}
 
     def merged(self, text: bytes) -> list[bytes]:
@@ -168,8 +211,14 @@ class Counter:
             else:
                 j += 1
 
+    def _id(self, state: tuple[bytes, tuple[int, ...], tuple[int, ...]]) -> int:
+        if state not in self.ids:
+            self.ids[state] = len(self.states)
+            self.states.append(state)
+        return self.ids[state]
+
     def _step(self, state: int, byte: int) -> tuple[int, int]:
-        """Makes a transition: the next state, and how the count changes."""
+        """A transition: the next state, and how the count changes."""
         window, lasts, behind = self.states[state]
         text = window + bytes([byte])
         for k in range(len(text)):
@@ -181,26 +230,78 @@ class Counter:
         gone = 0
         while text[gone:] not in self.prefixes:
             gone += 1
-        made = (text[gone:], lasts[gone:], behind[gone:])
-        if made not in self.ids:
-            self.ids[made] = len(self.states)
-            self.states.append(made)
-        found = self.steps[state << 8 | byte] = (self.ids[made], change)
-        return found
-
-    def count(self, piece: bytes) -> int:
-        if len(self.steps) > self.limit:
+        return self._id((text[gone:], lasts[gone:], behind[gone:])), change
+
+    def run(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Advances from each state over size bytes from at, all together: the end states and the tokens counted."""
+        order = np.argsort(-size, kind="stable")
+        at, size, state, n = at[order], size[order], state[order], np.zeros(len(order), dtype=np.int64)
+        for j in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -j))
+            keys = state[:live] << 8 | data[at[:live] + j]
+            place = self.table.find(keys)
+            if (place < 0).any():
+                new = np.unique(keys[place < 0])
+                made = np.array([self._step(k >> 8, k & 255) for k in new.tolist()], dtype=np.int64)
+                self.table.add(new, made[:, 0], made[:, 1])
+                place = self.table.find(keys)
+            state[:live] = self.table.to[place]
+            n[:live] += self.table.change[place]
+        back = np.argsort(order)
+        return state[back], n[back]
+
+    def _composed(self, data: np.ndarray, lo: int, hi: int, state: int) -> tuple[int, int]:
+        """The end state and the tokens of data[lo:hi] from a state: chunks' maps from likely start states, composed by prefix scan."""
+        begins = np.arange(lo, hi, _CHUNK)
+        sizes = np.minimum(hi - begins, _CHUNK)
+        # Likely start states: what runs begun at some places before a chunk lead to.
+        lanes = [(i, max(lo, int(b) - d)) for i, b in enumerate(begins.tolist()) if i for d in range(_WARM, _WARM + _LANES)]
+        chunk, at = (np.array(x, dtype=np.int64) for x in zip(*lanes, strict=True)) if lanes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        ends, _ = self.run(data, at, begins[chunk] - at, np.zeros(len(at), dtype=np.int64))
+        pairs = np.unique(np.stack([np.append(chunk, 0), np.append(ends, state)], axis=1), axis=0)
+        to, n = self.run(data, begins[pairs[:, 0]], sizes[pairs[:, 0]], pairs[:, 1].copy())
+        maps = [dict[int, tuple[int, int]]() for _ in begins]
+        for (c, s), e, k in zip(pairs.tolist(), to.tolist(), n.tolist(), strict=True):
+            maps[c][s] = (e, k)
+        at, total = 0, 0
+        while at < len(maps):
+            # Each map as places in the next one's list of start states; the last place stands for a start state that it lacks.
+            lists = [list(m) for m in maps[at:]]
+            most = max(map(len, lists))
+            steps = np.full((len(lists), most + 1), most, dtype=np.int64)
+            for i, own in enumerate(lists):
+                after = {s: k for k, s in enumerate(lists[i + 1])} if i + 1 < len(lists) else {}
+                steps[i, : len(own)] = [after.get(maps[at + i][s][0], most) for s in own]
+            starts = compose(steps, lists[0].index(state)).tolist()
+            for i, k in enumerate(starts):
+                if k == most:  # its true start state is the end of the chunk before
+                    end, count = self.run(data, begins[at : at + 1], sizes[at : at + 1], np.array([state]))
+                    maps[at][state] = (int(end[0]), int(count[0]))
+                    break
+                state, count = maps[at][lists[i][k]]
+                total, at = total + count, at + 1
+        return state, total
+
+    def _room(self) -> None:
+        if self.table.held > self.limit:
             self._reset()
-        state = n = 0
-        steps = self.steps
-        for byte in piece:
-            state, change = steps.get(state << 8 | byte) or self._step(state, byte)
-            n += change
-        if len(self.seen) > self.piece_limit:
-            self.seen.clear()
-        if len(piece) <= 64:
-            self.seen[piece] = n
-        return n
+
+    def counts(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The tokens of each piece of data."""
+        out = np.zeros(len(begins), dtype=np.int64)
+        sizes = ends - begins
+        few = np.flatnonzero(sizes <= _CHUNK)
+        for group in np.split(few, np.flatnonzero(np.diff(np.cumsum(sizes[few]) // _GROUP)) + 1):
+            self._room()
+            out[group] = self.run(data, begins[group], sizes[group], np.zeros(len(group), dtype=np.int64))[1]
+        for i in np.flatnonzero(sizes > _CHUNK).tolist():
+            state = self.states[0]
+            for lo in range(int(begins[i]), int(ends[i]), _GROUP):
+                self._room()
+                end, n = self._composed(data, lo, min(lo + _GROUP, int(ends[i])), self._id(state))
+                state = self.states[end]
+                out[i] += n
+        return out
 
 
 def _byte_chars() -> dict[str, int]:
@@ -251,9 +352,18 @@ class Tokenizer:
         edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         starts = np.searchsorted(at_byte, edges[:-1])
         begins = at_byte[piece_starts(kinds(points, starts))]
-        ends = np.append(begins[1:], len(data)).tolist()
-        known, count = self.counter.seen.get, self.counter.count
-        each = np.fromiter((known(p) or count(p) for p in map(data.__getitem__, map(slice, begins.tolist(), ends))), dtype=np.int64, count=len(ends))
+        ends = np.append(begins[1:], len(data))
+        raw = np.frombuffer(data, dtype=np.uint8)
+        _, one, of = np.unique(spans(raw, begins), return_index=True, return_inverse=True)
+        seen, pieces = self.counter.seen, [data[a:b] for a, b in zip(begins[one].tolist(), ends[one].tolist(), strict=True)]
+        known = np.fromiter((seen.get(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
+        new = np.flatnonzero(known < 0)
+        known[new] = self.counter.counts(raw, begins[one[new]], ends[one[new]])
+        seen = self.counter.seen
+        if len(seen) + len(new) > self.counter.piece_limit:
+            seen.clear()
+        seen.update((pieces[i], n) for i, n in zip(new.tolist(), known[new].tolist(), strict=True) if len(pieces[i]) <= 64)
+        each = known[of]
         first = np.searchsorted(begins, edges[:-1])
         np.add.at(out, owners, np.add.reduceat(each, first))
         return out
