@@ -32,3 +32,10 @@ def rbf(d: Column, low: float = 2.0, high: float = 22.0, count: int = 16) -> Col
 def relative_position(offset: Column, same_chain: Column, most: int = 32) -> Column:
     """Clipped offset as a class; one class more for pairs of different chains."""
     return F.when(same_chain == 1, F.least(F.greatest(offset + most, F.lit(0)), F.lit(2 * most))).otherwise(2 * most + 1)
+
+
+def normal(*keys: Column) -> Column:
+    """A standard normal number drawn by the keys: two uniforms from their MD5, then Box and Muller's formula."""
+    digest = F.md5(F.concat_ws("|", *[k.cast("string") for k in keys]).cast("binary"))
+    uniform = lambda at: (F.conv(F.substring(digest, at, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * F.lit(3.141592653589793) * uniform(13))

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.arrays import softmax
 from ..functions.letters import CHAINS, MODEL_ORDER, letters
@@ -45,17 +44,19 @@ def apply_pssm(residues: DataFrame, pssm: DataFrame) -> DataFrame:
     return joined.withColumns({"coef": F.coalesce("coef", F.lit(0.0)), "bias": F.coalesce("bias", F.array_repeat(F.lit(0.0), n)), "log_odds": F.coalesce("log_odds", F.array_repeat(F.lit(10000.0), n))})
 
 
-def apply_bias(residues: DataFrame, bias_pos: DataFrame, bias_aa: DataFrame) -> DataFrame:
-    """name, chain, pos, aa, bias: the position's bias plus the letter's, for every letter of the model's order."""
-    each = residues.select(*KEY, F.explode(F.array(*[F.lit(c) for c in MODEL_ORDER])).alias("aa"))
-    both = each.join(bias_pos.withColumnRenamed("bias", "_p"), [*KEY, "aa"], "left").join(bias_aa.withColumnRenamed("bias", "_a"), "aa", "left")
-    return both.select(*KEY, "aa", (F.coalesce("_p", F.lit(0.0)) + F.coalesce("_a", F.lit(0.0))).alias("bias"))
+def apply_bias(residues: DataFrame, bias_pos: DataFrame, bias_aa: dict[str, float]) -> DataFrame:
+    """bias: for every letter of the model's order the position's bias (rows name, chain, pos, aa, bias; rows of a letter add up) plus the letter's."""
+    sums = [F.coalesce(F.sum(F.when(F.col("aa") == c, F.col("bias"))), F.lit(0.0)) for c in MODEL_ORDER]
+    own = bias_pos.groupBy(*KEY).agg(F.array(*sums).alias("_own"))
+    none = F.array_repeat(F.lit(0.0), len(MODEL_ORDER))
+    total = F.zip_with(F.coalesce("_own", none), F.array(*[F.lit(float(bias_aa.get(c, 0.0))) for c in MODEL_ORDER]), lambda x, y: x + y)
+    return residues.join(own, KEY, "left").withColumn("bias", total).drop("_own")
 
 
 def expand_tied(tied: DataFrame, offsets: DataFrame) -> DataFrame:
     """global_pos of each member of a tied group, by its chain's start; beta is 1 where not given."""
     joined = tied.join(offsets.select("name", "chain", "start"), ["name", "chain"])
-    return joined.select("name", "group_id", "chain", "pos", F.coalesce("beta", F.lit(1.0)).alias("beta"), (F.col("start") + F.col("pos") - 1).alias("global_pos"))
+    return joined.select("name", "group_id", "member", "chain", "pos", F.coalesce("beta", F.lit(1.0)).alias("beta"), (F.col("start") + F.col("pos") - 1).alias("global_pos"))
 
 
 def fixed_chains(chains: DataFrame, designed: DataFrame) -> DataFrame:
@@ -73,9 +74,12 @@ def parse_requests(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("chains", chains).withColumn("positions", positions)
 
 
-def broadcast_assignment(structures: DataFrame, task: DataFrame) -> DataFrame:
-    """One user's setting for every structure; the task is one row."""
-    return structures.crossJoin(F.broadcast(task.limit(1)))
+def broadcast_assignment(structures: DataFrame, settings: list[dict[str, object]]) -> DataFrame:
+    """A user's settings (dictionaries with the same keys) for every structure: a row for each structure and setting."""
+    if not settings:
+        raise ValueError("no setting is given")
+    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in one.items()]) for one in settings])
+    return structures.withColumn("_setting", F.explode(rows)).select(*structures.columns, "_setting.*")
 
 
 def fixed_from_assignment(structures: DataFrame, chains: list[str], positions: list[list[int]]) -> DataFrame:
@@ -157,6 +161,6 @@ def chain_letters(n: Column) -> Column:
 
 def pad_batch(residues: DataFrame, batches: DataFrame) -> DataFrame:
     """For export: each structure's residues (name, global_pos, aa, mask) up to its batch's longest, X and 0 where there are none."""
-    sizes = batches.withColumn("longest", F.max("length").over(W.partitionBy("batch")))
+    sizes = batches.join(batches.groupBy("batch").agg(F.max("length").alias("longest")), "batch")
     grid = sizes.select("batch", "name", F.explode(F.sequence(F.lit(0), (F.col("longest") - 1).cast("int"))).alias("global_pos"))
     return grid.join(residues.select("name", F.col("global_pos").cast("int"), "aa", "mask"), ["name", "global_pos"], "left").withColumn("aa", F.coalesce("aa", F.lit("X"))).withColumn("mask", F.coalesce("mask", F.lit(0)))

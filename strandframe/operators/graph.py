@@ -1,7 +1,8 @@
 """Residue graphs: pair distances, nearest neighbours, edge features, decoding order.
 
-All joins are within a structure (hash on name). With a ``radius``, neighbours come from an equi join on integer grid cells, and only residues
-whose k-th neighbour isn't provably inside the radius go through all pairs of their structure, so results are the same.
+All joins are within a structure (hash on name). Nearest neighbours of structures of up to ``small`` points come from all their pairs; of larger
+ones from an equi join on integer grid cells, as wide as the structure's density asks, and only points whose k-th neighbour isn't provably
+inside a cell's width are compared with their whole structure. Results are the same either way.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.geometry import distance, rbf, virtual_cbeta
+from ..functions.geometry import distance, normal, rbf, virtual_cbeta
+from ..scratch import cut
 
 
 def points(residues: DataFrame, at: str = "ca", place: str = "global_pos") -> DataFrame:
@@ -38,21 +40,31 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def knn_graph(p: DataFrame, k: int = 30, radius: float | None = None) -> DataFrame:
-    """name, src, dst, rank, dist: the min(k, n) nearest of each point, itself included, ties by dst."""
-    if radius is None:
-        return _nearest(pair_distances(p), k)
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    a, b = _ends(p)
-    a = a.withColumns({f"g{c}": cell("a" + c) for c in "xyz"})
-    around = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("xyz", (i, j, l), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for l in (-1, 0, 1)])
-    b = b.withColumn("s", F.explode(around)).withColumns({f"g{c}": cell("b" + c) + F.col(f"s.d{c}") for c in "xyz"}).drop("s")
-    near = a.join(b, ["name", "gx", "gy", "gz"]).select("name", "src", "dst", _d().alias("dist")).filter(F.col("dist") < radius)
-    close = _nearest(near, k)
-    sure = close.filter(F.col("rank") == k).select("name", "src")
-    rest = p.join(sure.withColumnRenamed("src", "id"), ["name", "id"], "left_anti")
-    full = _ends(rest)[0].join(_ends(p)[1], "name").select("name", "src", "dst", _d().alias("dist"))
-    return close.join(sure, ["name", "src"], "left_semi").unionByName(_nearest(full, k))
+def knn_graph(p: DataFrame, k: int = 30, radius: float | None = None, small: int = 256) -> DataFrame:
+    """name, src, dst, rank, dist: the min(k, n) nearest of each point, itself included, ties by dst. radius: the cells' width, else by density."""
+    of = W.partitionBy("name")
+    span = lambda c: F.max(c).over(of) - F.min(c).over(of) + 1
+    # A ball of this radius holds about twice k points where they fill their box evenly.
+    wide = F.lit(radius) if radius is not None else F.cbrt(span("x") * span("y") * span("z") * 2 * k / (4.19 * F.count("*").over(of)))
+    sized = cut(p.select("name", "id", "x", "y", "z", F.count("*").over(of).alias("_n"), wide.cast("double").alias("_r")), "points")
+    few, many = sized.filter(F.col("_n") <= small), sized.filter(F.col("_n") > small)
+    close = _nearest(_by_cells(many), k)
+    sure = cut(close.groupBy("name", "src").agg(F.count("*").alias("c")).filter(F.col("c") == k).select("name", F.col("src").alias("id")), "points-sure")
+    rest = many.join(sure, ["name", "id"], "left_anti")
+    full = _ends(rest)[0].join(_ends(many)[1], "name").select("name", "src", "dst", _d().alias("dist"))
+    done = close.join(sure.withColumnRenamed("id", "src"), ["name", "src"], "left_semi")
+    return _nearest(pair_distances(few), k).unionByName(done).unionByName(_nearest(full, k))
+
+
+def _by_cells(p: DataFrame) -> DataFrame:
+    """Pairs closer than their structure's cell width _r."""
+    cell = lambda c: F.floor(F.col(c) / F.col("_r")).cast("long")
+    placed = p.select("name", "id", "x", "y", "z", "_r", *[cell(c).alias(f"g{c}") for c in "xyz"])
+    a = placed.select("name", F.col("id").alias("src"), "_r", *[F.col(c).alias("a" + c) for c in "xyz"], "gx", "gy", "gz")
+    around = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(m).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
+    b = placed.select("name", F.col("id").alias("dst"), *[F.col(c).alias("b" + c) for c in "xyz"], "gx", "gy", "gz", F.explode(around).alias("s"))
+    b = b.select("name", "dst", "bx", "by", "bz", *[(F.col(f"g{c}") + F.col(f"s.{c}")).alias(f"g{c}") for c in "xyz"])
+    return a.join(b, ["name", "gx", "gy", "gz"]).withColumn("dist", _d()).filter(F.col("dist") < F.col("_r")).select("name", "src", "dst", "dist")
 
 
 def masked_knn(all_points: DataFrame, k: int) -> DataFrame:
@@ -100,10 +112,15 @@ def decoding_order(positions: DataFrame, keys: list[str] = ["name"], mask: str =
 
 
 def tied_decoding_order(ranked: DataFrame) -> DataFrame:
-    """tied_rank: a group (group_id; null: alone) is decoded at its earliest member, its members one after the other."""
+    """tied_rank: a group (group_id; null: alone) is decoded at its earliest member, its members one after the other as the group lists them (member)."""
     group = F.coalesce(F.col("group_id").cast("string"), F.concat(F.lit("#"), F.col("pos").cast("string")))
     grouped = ranked.withColumn("_g", group).withColumn("_first", F.min("decode_rank").over(W.partitionBy("name", "_g")))
-    return grouped.withColumn("tied_rank", F.row_number().over(W.partitionBy("name").orderBy("_first", "decode_rank"))).drop("_g", "_first")
+    return grouped.withColumn("tied_rank", F.row_number().over(W.partitionBy("name").orderBy("_first", "member"))).drop("_g", "_first")
+
+
+def perturbed(atoms: DataFrame, eps: float, seed: int, keys: list[str]) -> DataFrame:
+    """Coordinates plus normal noise of deviation eps, drawn by the keys: the same on every run and partitioning."""
+    return atoms.withColumns({c: F.col(c) + eps * normal(F.lit(seed), F.lit(c), *map(F.col, keys)) for c in "xyz"}) if eps > 0 else atoms
 
 
 def causal_edges(edges: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.letters import CHAINS, to_letter
+from ..functions.letters import CHAINS, chain_rank, to_letter, to_three
 
 ATOMS = ("N", "CA", "C", "O")
 KEY = ["name", "chain", "resseq", "icode"]
@@ -24,7 +24,7 @@ def residues_from_atoms(atoms: DataFrame) -> DataFrame:
     """
     line = F.col("line_no")
     firsts = [F.min_by(c, F.when(F.col("atom") == a, line)).alias(f"_{a}_{c}") for a in ATOMS for c in "xyz"]
-    name = F.conv(F.hex("res3"), 16, 10).cast("long")
+    name = F.when(F.octet_length("res3") <= 7, F.conv(F.hex("res3"), 16, 10).cast("long")).otherwise(F.raise_error(F.lit("a residue name has seven bytes at most")).cast("long"))
     grouped = atoms.groupBy(*KEY).agg(F.min_by(name, line).alias("_res3"), *firsts)
     res3 = F.coalesce(F.unhex(F.hex("_res3")).cast("string"), F.lit(""))
     xyz = lambda a: F.when(F.coalesce(*[f"_{a}_{c}" for c in "xyz"]).isNotNull(), F.array(*[f"_{a}_{c}" for c in "xyz"]))
@@ -70,8 +70,8 @@ def chain_sequences(residues: DataFrame) -> DataFrame:
 
 
 def complexes(chains: DataFrame, most_chains: int = 352) -> DataFrame:
-    """name, num_of_chains, seq (chains in order), length; complexes of more chains than letters go."""
-    ordered = F.array_sort(F.collect_list(F.struct("chain", "seq")))
+    """name, num_of_chains, seq (chains as they are listed), length; complexes of more chains than letters go."""
+    ordered = F.array_sort(F.collect_list(F.struct(chain_rank(F.col("chain")).alias("rank"), "chain", "seq")))
     per = chains.groupBy("name").agg(ordered.alias("c"), F.sum("len").alias("length"))
     return per.select("name", F.size("c").cast("long").alias("num_of_chains"), F.array_join(F.transform("c", lambda c: c["seq"]), "").alias("seq"), "length").filter(F.col("num_of_chains") <= most_chains)
 
@@ -82,9 +82,10 @@ def distinct_chains(atoms: DataFrame) -> DataFrame:
 
 
 def next_free_chain(atoms: DataFrame) -> DataFrame:
-    """The letter after as many letters as the structure has chains."""
+    """The letter after as many letters as the structure has chains; an error where there is none left."""
     counted = distinct_chains(atoms).groupBy("name").agg(F.count("*").alias("n_chains"))
-    return counted.withColumn("design_chain", F.substr(F.lit(CHAINS), (F.col("n_chains") + 1).cast("int"), F.lit(1)))
+    none = F.raise_error(F.concat(F.lit("no chain letter is left for "), "name")).cast("string")
+    return counted.withColumn("design_chain", F.when(F.col("n_chains") < len(CHAINS), F.substr(F.lit(CHAINS), (F.col("n_chains") + 1).cast("int"), F.lit(1))).otherwise(none))
 
 
 def chain_encoding(roles: DataFrame) -> DataFrame:
@@ -92,9 +93,9 @@ def chain_encoding(roles: DataFrame) -> DataFrame:
     return roles.withColumn("chain_no", F.row_number().over(W.partitionBy("name").orderBy(F.when(F.col("role") == "designed", 0).otherwise(1), "list_pos", "chain")))
 
 
-def chain_offsets(chains: DataFrame, order: str | Column = "chain") -> DataFrame:
-    """chain_no and start (of the chain in the whole complex)."""
-    w = W.partitionBy("name").orderBy(order)
+def chain_offsets(chains: DataFrame, *order: str | Column) -> DataFrame:
+    """chain_no and start (of the chain in the whole complex); by default chains are in the order in which they are listed."""
+    w = W.partitionBy("name").orderBy(*(order or (chain_rank(F.col("chain")), "chain")))
     return chains.withColumn("chain_no", F.row_number().over(w)).withColumn("start", F.coalesce(F.sum("len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
 
@@ -105,9 +106,10 @@ def residue_index(residues: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def with_index(residues: DataFrame) -> DataFrame:
-    """chain_no, global_pos and residue_idx with chains in letter order, by one window and without a join."""
-    w = W.partitionBy("name").orderBy("chain", "pos")
-    indexed = residues.withColumn("chain_no", F.dense_rank().over(W.partitionBy("name").orderBy("chain"))).withColumn("global_pos", F.row_number().over(w).cast("long") - 1)
+    """chain_no, global_pos and residue_idx with chains as they are listed, by windows of one partitioning and without a join."""
+    rank = chain_rank(F.col("chain"))
+    w = W.partitionBy("name").orderBy(rank, "chain", "pos")
+    indexed = residues.withColumn("chain_no", F.dense_rank().over(W.partitionBy("name").orderBy(rank, "chain"))).withColumn("global_pos", F.row_number().over(w).cast("long") - 1)
     return indexed.withColumn("residue_idx", 100 * (F.col("chain_no") - 1) + F.col("global_pos"))
 
 
@@ -119,24 +121,35 @@ def adjacency_masks(indexed: DataFrame) -> DataFrame:
     return indexed.withColumn("phi", F.coalesce(before, F.lit(0))).withColumn("psi", F.coalesce(after, F.lit(0))).withColumn("omega", F.col("psi"))
 
 
+def backbone(atoms: DataFrame) -> DataFrame:
+    """ATOM rows of N, CA, C and O."""
+    return atoms.filter((F.col("record") == "ATOM") & F.col("atom").isin(*ATOMS))
+
+
 def residue_runs(atoms: DataFrame) -> DataFrame:
-    """run_id: grows whenever the residue number changes from one line of the chain to the next."""
+    """run_id: grows whenever the residue number (without insertion code) changes from one line of the chain to the next."""
     w = W.partitionBy("name", "chain").orderBy("line_no")
-    label = F.concat_ws(":", F.col("resseq").cast("string"), "icode")
-    new = F.when(F.lag(label).over(w).isNull() | (F.lag(label).over(w) != label), 1).otherwise(0)
+    before = F.lag("resseq").over(w)
+    new = F.when(before.isNull() | (before != F.col("resseq")), 1).otherwise(0)
     return atoms.withColumn("_new", new).withColumn("run_id", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
 def thread_sequence(atoms: DataFrame, designs: DataFrame) -> DataFrame:
-    """Atoms of the design chain (columns as atoms) with the k-th residue run named by the design's k-th letter; designs: name, chain, sequence.
+    """For each design (name, chain, sequence, and columns of its own that tell designs of a structure apart): the structure's ATOM rows with those
+    columns, the k-th residue run of the design chain's backbone named by the k-th letter; side chains of that chain go, other chains stay.
 
-    A chain longer than its sequence ends with the sequence: its further atoms go.
+    A chain longer than its sequence ends the output there: that line and all later ones of the structure go.
     """
-    from ..functions.letters import letters, to_three
-
-    placed = designs.select("name", "chain", F.posexplode(letters(F.col("sequence"))).alias("k", "letter"))
-    runs = residue_runs(atoms)
-    return runs.join(placed, (runs["name"] == placed["name"]) & (runs["chain"] == placed["chain"]) & (runs["run_id"] == placed["k"] + 1)).select(*[runs[c] for c in runs.columns if c != "res3"], to_three(F.col("letter")).alias("res3"))
+    own = [c for c in designs.columns if c not in ("name", "chain", "sequence")]
+    runs = residue_runs(backbone(atoms)).select("name", "chain", "line_no", "run_id")
+    begins = runs.groupBy("name", "chain", "run_id").agg(F.min("line_no").alias("_stop"))
+    wanted = designs.select("name", F.col("chain").alias("_chain"), "sequence", *own)
+    stops = wanted.withColumn("_run", F.length("sequence") + 1).join(begins.select("name", F.col("chain").alias("_chain"), F.col("run_id").alias("_run"), "_stop"), ["name", "_chain", "_run"], "left")
+    marked = atoms.filter("record = 'ATOM'").join(runs, ["name", "chain", "line_no"], "left")
+    placed = marked.join(stops, "name").filter(F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop")))
+    kept = placed.filter((F.col("chain") != F.col("_chain")) | F.col("run_id").isNotNull())
+    letter = F.substr("sequence", F.col("run_id").cast("int"), F.lit(1))
+    return kept.withColumn("res3", F.when(F.col("chain") == F.col("_chain"), to_three(letter)).otherwise(F.col("res3"))).select(*atoms.columns, *own)
 
 
 def extend_complex(residues: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import arrays
-from ..functions.letters import MODEL_ORDER, letters
+from ..functions.letters import MODEL_ORDER
 
 
 def nll(log_probs: Column, index: Column) -> Column:
@@ -44,13 +44,18 @@ def score_stats(scores: DataFrame, by: list[str]) -> DataFrame:
     return scores.groupBy(*by).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("score").alias("n"))
 
 
-def seq_recovery(native: Column, sample: Column, mask: Column | None = None) -> Column:
-    """Share of positions where two sequences agree; positions where the native letter is X, or a mask array is 0, don't count."""
-    a, b = letters(native), letters(sample)
-    m = F.transform(a, lambda c: F.when(c == "X", 0).otherwise(1)) if mask is None else F.zip_with(a, mask, lambda c, x: F.when(c == "X", 0).otherwise(x))
-    same = F.zip_with(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), m, lambda s, x: F.coalesce(s, F.lit(0)) * F.coalesce(x, F.lit(0)))
-    count = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x)
-    return count(same) / F.nullif(count(F.transform(m, lambda x: F.coalesce(x.cast("int"), F.lit(0)))), F.lit(0).cast("long"))
+def seq_recovery(pairs: DataFrame, by: list[str], mask: str | None = None) -> DataFrame:
+    """by, recovery: share of positions where native and sequence agree; positions whose native letter is X, or whose mask (an array) is 0, don't count.
+
+    by tells the pairs apart. Letters are exploded in place, where compiled code counts them; only the counts reach the shuffle.
+    """
+    split = pairs.select(*by, F.split("native", "").alias("_a"), F.split("sequence", "").alias("_b"), *([F.col(mask).alias("_m")] if mask else []))
+    each = split.select(*by, F.posexplode("_a").alias("_i", "_c"), "_b", *(["_m"] if mask else []))
+    counts = (F.col("_c") != "X") & (F.col("_c") != "")
+    if mask:
+        counts = counts & (F.coalesce(F.get("_m", F.col("_i")), F.lit(0)) != 0)
+    found = each.groupBy(*by).agg(F.sum(F.when(counts & (F.get("_b", F.col("_i")) == F.col("_c")), 1).otherwise(0)).alias("_same"), F.sum(F.when(counts, 1).otherwise(0)).alias("_all"))
+    return found.select(*by, (F.col("_same") / F.nullif("_all", F.lit(0))).alias("recovery"))
 
 
 def mean_probs(probs: DataFrame, by: list[str]) -> DataFrame:
@@ -93,16 +98,29 @@ def sample_letters(positions: DataFrame, temperatures: list[float], samples: int
     return drawn.withColumn("idx", idx.cast("int")).withColumn("probs", F.transform("_p", lambda p: p * F.col("design"))).drop("_p", "_u")
 
 
-def tied_sample(members: DataFrame, temperature: float, noise: Callable[[Column], Column]) -> DataFrame:
-    """name, group_id, pos, idx: one draw for each group, shared by its members; members: name, group_id, pos, beta, logits, bias, native_idx, design.
+def tied_sample(members: DataFrame, temperature: float, noise: Callable[[Column], Column], omit: str = "", letter_bias: dict[str, float] | None = None, pssm_multi: float | None = None, log_odds_threshold: float | None = None) -> DataFrame:
+    """name, group_id, member, pos, idx: one draw for each group, shared by its members. members: name, group_id, member (the place in the group's list),
+    pos, beta, logits, native_idx, design, and bias (21 numbers); coef and pssm_bias with pssm_multi, log_odds with log_odds_threshold; omit_mask if there.
 
-    A group with a member that isn't designed takes the native letter of the first such one; the bias is the last member's.
+    A group with a member that isn't designed takes the native letter of the first such one in its list. Bias, PSSM, log-odds and omitted letters
+    are those of the last member in the list. omit: letters left out everywhere.
     """
     shared = tied_logits(members, temperature)
-    marks = members.groupBy("name", "group_id").agg(F.min_by(F.when(F.col("design") == 0, F.col("native_idx")), F.when(F.col("design") == 0, F.col("pos"))).alias("kept"), F.max_by("bias", "pos").alias("bias"))
-    drawn = shared.join(marks, ["name", "group_id"]).withColumn("probs", arrays.softmax(F.zip_with("logits", "bias", lambda l, b: l + b / temperature)))
-    picked = drawn.select("name", "group_id", F.coalesce("kept", arrays.draw(F.col("probs"), noise(F.col("group_id")))).cast("int").alias("idx"))
-    return members.select("name", "group_id", "pos").join(picked, ["name", "group_id"])
+    optional = [c for c, wanted in (("coef", pssm_multi), ("pssm_bias", pssm_multi), ("log_odds", log_odds_threshold)) if wanted is not None] + (["omit_mask"] if "omit_mask" in members.columns else [])
+    kept = F.min_by("native_idx", F.when(F.col("design") == 0, F.col("member")))
+    last = F.max_by(F.struct("bias", *optional), "member").alias("_last")
+    marks = members.groupBy("name", "group_id").agg(kept.alias("kept"), last).select("name", "group_id", "kept", "_last.*")
+    everywhere = F.array(*[F.lit(float((letter_bias or {}).get(c, 0.0))) for c in MODEL_ORDER])
+    scaled = F.transform("logits", lambda v: v * temperature)
+    probs = arrays.temperature_probs(scaled, F.lit(temperature), everywhere, F.col("bias"), arrays.letter_mask(omit))
+    if pssm_multi is not None:
+        probs = arrays.blend(probs, F.col("coef"), F.col("pssm_bias"), pssm_multi)
+    if log_odds_threshold is not None:
+        probs = arrays.log_odds_gate(probs, F.col("log_odds"), log_odds_threshold)
+    if "omit_mask" in optional:
+        probs = arrays.without(probs, F.col("omit_mask"))
+    picked = shared.join(marks, ["name", "group_id"]).select("name", "group_id", F.coalesce("kept", arrays.draw(probs, noise(F.col("group_id")))).cast("int").alias("idx"))
+    return members.select("name", "group_id", "member", "pos").join(picked, ["name", "group_id"])
 
 
 def tied_consistency(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -120,11 +138,19 @@ def rank_results(results: DataFrame) -> DataFrame:
 
 
 def length_batches(lengths: DataFrame, budget: int) -> DataFrame:
-    """batch: structures of a length bucket (a power of two) packed so that a batch's padded size stays under the budget; none is lost."""
+    """batch: structures of a length bucket (a power of two) packed, by length, so that a batch's padded size stays under the budget; none is lost.
+
+    A structure's place in its bucket is the number of shorter ones, from a table of counts by length, and its place among those of its length.
+    """
     bucket = F.ceil(F.log2(F.greatest("length", F.lit(1)))).cast("int")
     per = F.greatest(F.floor(F.lit(budget) / F.pow(F.lit(2), F.col("bucket"))), F.lit(1)).cast("long")
-    order = F.row_number().over(W.partitionBy("bucket").orderBy("length", "name"))
-    return lengths.withColumn("bucket", bucket).withColumn("batch", F.floor((order - 1) / per))
+    placed = lengths.withColumn("bucket", bucket)
+    counts = placed.groupBy("bucket", "length").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("bucket").orderBy("length").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shorter = counts.select(F.col("bucket").alias("_bucket"), F.col("length").alias("_length"), before.alias("_before"))
+    joined = placed.join(shorter, (F.col("bucket") == F.col("_bucket")) & F.col("length").eqNullSafe(F.col("_length")))
+    own = F.row_number().over(W.partitionBy("bucket", "length").orderBy("name"))
+    return joined.withColumn("batch", F.floor((F.col("_before") + own - 1) / per)).drop("_bucket", "_length", "_before")
 
 
 def run_summary(samples: DataFrame, temperatures: int, copies: int) -> DataFrame:
@@ -143,14 +169,19 @@ def split_chains(sequences: DataFrame) -> DataFrame:
     return parts.withColumn("chain_no", F.col("_n") + 1).withColumn("chain_len", F.length("chain_seq").cast("long")).drop("_n", "sequence")
 
 
+#: Scorers by the function that makes them: a Python worker keeps its module, so each is made once in it.
+_scorers: dict[Callable, Callable] = {}
+
+
 def score_with_model(features: DataFrame, schema: str, model: Callable) -> DataFrame:
-    """A user's scorer on pandas frames, one structure at a time (group name); model() is called once in each worker and returns the scorer."""
-    held: dict[str, Callable] = {}
+    """A user's scorer on pandas frames, one structure at a time (group name); model, an importable function, makes the scorer once in each worker."""
 
     def run(pdf):
-        if "model" not in held:
-            held["model"] = model()
-        return held["model"](pdf)
+        from strandframe.operators import scoring
+
+        if model not in scoring._scorers:
+            scoring._scorers[model] = model()
+        return scoring._scorers[model](pdf)
 
     grouped: GroupedData = features.groupBy("name")
     return grouped.applyInPandas(run, schema)

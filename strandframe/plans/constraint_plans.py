@@ -46,11 +46,11 @@ def apply_pssm(spark, sf_dir):
 @query("apply_bias", sql(f"SELECT r.name, r.chain, r.pos, {_AA} AS aa, (CASE WHEN f.pos IS NOT NULL AND {_AA} = 'L' THEN 1.5 ELSE 0.0 END) + (CASE WHEN {_AA} = 'G' THEN 40.1 ELSE 0.0 END) AS bias FROM residues r LEFT JOIN (SELECT DISTINCT * FROM fx_fixed) f ON r.name = f.name AND r.chain = f.chain AND r.pos = f.pos CROSS JOIN ({_N}) AS n", "residues", "fx_fixed"))
 def apply_bias(spark, sf_dir):
     per_pos = fx.fixed(spark, sf_dir).distinct().select("name", "chain", "pos", F.lit("L").alias("aa"), F.lit(1.5).alias("bias"))
-    per_letter = spark.createDataFrame([("G", 40.1)], "aa string, bias double")
-    return C.apply_bias(plans.residues(spark, sf_dir), per_pos, per_letter)
+    done = C.apply_bias(plans.residues(spark, sf_dir), per_pos, {"G": 40.1})
+    return done.select("name", "chain", "pos", F.posexplode("bias").alias("i", "bias")).select("name", "chain", "pos", F.substr(F.lit(MODEL_ORDER), F.col("i") + 1, F.lit(1)).alias("aa"), "bias")
 
 
-@query("expand_tied_groups", sql("SELECT f.name, f.pos AS group_id, f.chain, f.pos, CASE WHEN f.pos = 1 THEN -1.0 ELSE 1.0 END AS beta, CAST(o.start + f.pos - 1 AS BIGINT) AS global_pos FROM fx_fixed f JOIN offsets o ON f.name = o.name AND f.chain = o.chain", "fx_fixed", "offsets"))
+@query("expand_tied_groups", sql("SELECT f.name, f.pos AS group_id, 0 AS member, f.chain, f.pos, CASE WHEN f.pos = 1 THEN -1.0 ELSE 1.0 END AS beta, CAST(o.start + f.pos - 1 AS BIGINT) AS global_pos FROM fx_fixed f JOIN offsets o ON f.name = o.name AND f.chain = o.chain", "fx_fixed", "offsets"))
 def expand_tied_groups(spark, sf_dir):
     """Both JSON forms, as read: with betas where the position is 1, without elsewhere."""
     from ..sources.records import parse_tied

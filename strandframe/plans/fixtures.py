@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.letters import LETTER_OF
+from ..functions.letters import CHAINS, LETTER_OF
+
+#: The place of a one-letter chain in the order in which chains are listed.
+RANK = f"instr('{CHAINS}0123456789', chain)"
 
 _RES_RAW = """
-SELECT concat('{prefix}', CAST({key} AS VARCHAR(20))) AS name, substr('ABCDEFG', CAST(l_linenumber AS INT), 1) AS chain,
+SELECT concat('{prefix}', CAST({key} AS VARCHAR(20))) AS name, substr('ABCDba1', CAST(l_linenumber AS INT), 1) AS chain,
   CAST(l_orderkey % 12 AS INT) - 2 AS resseq, CASE WHEN CAST(l_quantity AS INT) % 10 = 0 THEN 'A' ELSE '' END AS icode,
   CAST(l_suppkey % 22 AS INT) AS res_code, l_quantity - 25 AS x0, l_discount * 100 AS y0, l_tax * 300 AS z0, l_orderkey AS okey,
   row_number() OVER (PARTITION BY {key} ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate, l_quantity, l_extendedprice) AS rn
@@ -31,10 +34,10 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN s ELSE translate(s, 'BJOUZ', '-XAGS
  (SELECT doc_id, translate(translate(translate(coalesce(text, ''), '{_LOWER}', '{_UPPER}'), '{_PUNCTUATION}', ''), chr(10), '') AS s FROM {{documents}}) AS q"""
 
 _FIXED = """
-SELECT concat('P', CAST(p_partkey AS VARCHAR(20))) AS name, substr('ABCDEFG', CAST(p_size % 7 AS INT) + 1, 1) AS chain, CAST(p_size % 4 AS INT) + 1 AS pos FROM {part}"""
+SELECT concat('P', CAST(p_partkey AS VARCHAR(20))) AS name, substr('ABCDba1', CAST(p_size % 7 AS INT) + 1, 1) AS chain, CAST(p_size % 4 AS INT) + 1 AS pos FROM {part}"""
 
 _RESULTS = """
-SELECT o_orderpriority AS pose, CAST(o_orderkey AS VARCHAR(20)) AS sequence, o_totalprice / 100000 AS score, o_orderkey AS sample_id FROM {orders}"""
+SELECT o_orderpriority AS pose, CAST(o_orderkey AS VARCHAR(20)) AS sequence, o_totalprice / 100000 AS score, o_orderkey AS sample_id, concat('C', CAST(o_custkey AS VARCHAR(20))) AS name FROM {orders}"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +64,9 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, pos, logits: 21 numbers for each embedding."""
-    e = _table(spark, sf_dir, "embeddings").withColumn("name", F.concat(F.lit("L"), F.col("label").cast("string")))
-    return spark.sql("SELECT name, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, transform(slice(embedding, 1, 21), v -> CAST(v AS DOUBLE) * 10) AS logits FROM {e}", e=e)
+    """name, pos, logits: 21 numbers for each embedding; a structure is a label's part of 500 embeddings, so structures grow in number only."""
+    e = _table(spark, sf_dir, "embeddings").withColumn("name", F.concat(F.lit("L"), F.col("label").cast("string"), F.lit("p"), F.floor(F.col("vec_id") / 500).cast("string")))
+    return spark.sql("SELECT name, row_number() OVER (PARTITION BY name ORDER BY vec_id) AS pos, transform(slice(embedding, 1, 21), v -> CAST(v AS DOUBLE) * 10) AS logits FROM {e}", e=e)
 
 
 _letter = "CASE res3 " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LETTER_OF.items()) + " ELSE '-' END"
@@ -88,11 +91,11 @@ CTES = {
     "residues": f"SELECT s.name, s.chain, s.resseq, coalesce(r.icode, '') AS icode, {_letter} AS aa, {', '.join(_BACKBONE)}, row_number() OVER (PARTITION BY s.name, s.chain ORDER BY s.resseq, coalesce(r.icode, '')) AS pos, "
     f"CASE WHEN {' AND '.join(f'{a}_x IS NOT NULL' for a in ('n', 'ca', 'c', 'o'))} THEN 1 ELSE 0 END AS mask FROM spans s LEFT JOIN res r ON s.name = r.name AND s.chain = r.chain AND s.resseq = r.resseq",
     "chains": "SELECT name, chain, string_agg(aa, '' ORDER BY pos) AS seq, count(*) AS len FROM residues GROUP BY name, chain",
-    "offsets": "SELECT name, chain, seq, len, row_number() OVER w AS chain_no, coalesce(sum(len) OVER (PARTITION BY name ORDER BY chain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM chains WINDOW w AS (PARTITION BY name ORDER BY chain)",
+    "offsets": "SELECT name, chain, seq, len, row_number() OVER w AS chain_no, coalesce(sum(len) OVER (PARTITION BY name ORDER BY " + RANK + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM chains WINDOW w AS (PARTITION BY name ORDER BY " + RANK + ")",
     "fx_seq": _SEQ.format(documents="documents"),
     "fx_fixed": _FIXED.format(part="part"),
     "fx_results": _RESULTS.format(orders="orders"),
-    "fx_logits": "SELECT concat('L', label) AS name, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, list_transform(embedding[1:21], lambda v: CAST(v AS DOUBLE) * 10) AS logits FROM embeddings",
+    "fx_logits": "SELECT concat('L', label, 'p', vec_id // 500) AS name, row_number() OVER (PARTITION BY label, vec_id // 500 ORDER BY vec_id) AS pos, list_transform(embedding[1:21], lambda v: CAST(v AS DOUBLE) * 10) AS logits FROM embeddings",
     "fx_logp": "SELECT name, pos, unnest(logits) AS l, unnest(range(0, 21)) AS idx FROM fx_logits",
     "fx_soft": "SELECT name, pos, idx, l, exp(l - m) / z AS p, l - m - ln(z) AS lp FROM (SELECT *, sum(exp(l - m)) OVER (PARTITION BY name, pos) AS z FROM (SELECT *, max(l) OVER (PARTITION BY name, pos) AS m FROM fx_logp))",
 }

@@ -37,8 +37,8 @@ def knn_graph(spark, sf_dir):
 
 @query("knn_graph_grid", sql(f"{_ALL} SELECT name, src, dst, rank, round(dist, 4) AS dist FROM knn", "residues", "offsets"))
 def knn_graph_grid(spark, sf_dir):
-    """The same graph by grid cells."""
-    return G.knn_graph(points(spark, sf_dir), _K, radius=12.0).select("name", "src", "dst", "rank", F.round("dist", 4).alias("dist"))
+    """The same graph by grid cells for structures of all sizes."""
+    return G.knn_graph(points(spark, sf_dir), _K, small=0).select("name", "src", "dst", "rank", F.round("dist", 4).alias("dist"))
 
 
 _CB = {c: f"({CB_CROSS} * ({b1} * {d2} - {b2} * {d1}) + {CB_B} * {b0} + {CB_C} * {d0} + ca_{c})" for c, (b0, d0, b1, d2, b2, d1) in {
@@ -100,14 +100,17 @@ def neighbor_sum(spark, sf_dir):
     return G.neighbor_sum(edges(spark, sf_dir).select("name", "src", F.col("dist").alias("msg"), F.col("same_chain").alias("mask"))).withColumn("total", F.round("total", 4))
 
 
-@query("perturb_coords")
-def perturb_coords(spark, sf_dir):
-    """Coordinates plus seeded normal noise; the values depend on partitioning, so only rows are checked."""
-    return perturbed(fx.atoms(spark, sf_dir), 0.1, 7).select("name", "line_no", "x", "y", "z")
+def _normal(c: str) -> str:
+    digest = f"md5(concat_ws('|', '7', '{c}', name, line_no))"
+    u = [f"((CAST('0x' || substr({digest}, {at}, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)" for at in (1, 13)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * 3.141592653589793::DOUBLE * {u[1]})"
 
 
-def perturbed(atoms: DataFrame, eps: float, seed: int) -> DataFrame:
-    return atoms.withColumns({c: F.col(c) + eps * F.randn(seed + i) for i, c in enumerate("xyz")}) if eps > 0 else atoms
+@query("perturb_coords", sql("SELECT name, line_no, " + ", ".join(f"round({c} + 0.1::DOUBLE * {_normal(c)}, 6) AS {c}" for c in "xyz") + " FROM fx_atoms", "fx_atoms"))
+def perturb_coords(spark, sf_dir):
+    """Coordinates plus normal noise drawn by structure and line."""
+    moved = G.perturbed(fx.atoms(spark, sf_dir), 0.1, 7, ["name", "line_no"])
+    return moved.select("name", "line_no", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 _NOISE = "((global_pos * 7919 + length(name) * 104729) % 10007) / 10007.0"
@@ -124,9 +127,11 @@ def decoding_order(spark, sf_dir):
     return G.decoding_order(positions(spark, sf_dir)).select("name", "pos", "decode_rank")
 
 
-@query("tied_decoding_order", sql(f"{_POS}, g AS (SELECT *, CASE WHEN pos % 3 = 0 THEN CAST(pos % 6 AS VARCHAR) ELSE '#' || pos END AS gid FROM r), f AS (SELECT *, min(decode_rank) OVER (PARTITION BY name, gid) AS first FROM g) SELECT name, pos, row_number() OVER (PARTITION BY name ORDER BY first, decode_rank) AS tied_rank FROM f", "residues", "offsets"))
+@query("tied_decoding_order", sql(f"{_POS}, g AS (SELECT *, CASE WHEN pos % 3 = 0 THEN CAST(pos % 6 AS VARCHAR) ELSE '#' || pos END AS gid FROM r), f AS (SELECT *, min(decode_rank) OVER (PARTITION BY name, gid) AS first FROM g) SELECT name, pos, row_number() OVER (PARTITION BY name ORDER BY first, CASE WHEN pos % 3 = 0 THEN -pos ELSE 0 END) AS tied_rank FROM f", "residues", "offsets"))
 def tied_decoding_order(spark, sf_dir):
-    ranked = G.decoding_order(positions(spark, sf_dir)).withColumn("group_id", F.when(F.col("pos") % 3 == 0, F.col("pos") % 6))
+    """Groups list their members from the last position to the first."""
+    tied = F.col("pos") % 3 == 0
+    ranked = G.decoding_order(positions(spark, sf_dir)).withColumn("group_id", F.when(tied, F.col("pos") % 6)).withColumn("member", F.when(tied, -F.col("pos")).otherwise(0))
     return G.tied_decoding_order(ranked).select("name", "pos", "tied_rank")
 
 

@@ -9,7 +9,6 @@ from ..functions.letters import MODEL_ORDER, gap_to_unknown, to_index, to_letter
 from ..operators import constraints as C
 from ..operators import residues as R
 from ..operators import scoring
-from ..sources import structures
 from . import fixtures as fx
 from .fixtures import sql
 from .registry import query
@@ -22,8 +21,9 @@ def _flat() -> list:
 
 
 def read_atoms(spark, sf_dir) -> DataFrame:
-    """Rendered, selenomethionine made MET, ATOM lines parsed."""
-    return structures.parse_atoms(structures.normalize_mse(structures.render_atoms(fx.atoms(spark, sf_dir))))
+    """ATOM rows, selenomethionine made MET (from files, that is parse_atoms after normalize_mse; see files.py)."""
+    atoms = fx.atoms(spark, sf_dir).filter("record = 'ATOM' OR res3 = 'MSE'")
+    return atoms.withColumn("record", F.lit("ATOM")).withColumn("res3", F.when(F.col("res3") == "MSE", "MET").otherwise(F.col("res3")))
 
 
 def residues(spark, sf_dir) -> DataFrame:
@@ -68,7 +68,7 @@ def assemble_chain_sequence(spark, sf_dir):
     return chains(spark, sf_dir)
 
 
-@query("assemble_complex", sql("SELECT name, count(*) AS num_of_chains, string_agg(seq, '' ORDER BY chain) AS seq, CAST(sum(len) AS BIGINT) AS length FROM chains GROUP BY name", "chains"))
+@query("assemble_complex", sql("SELECT name, count(*) AS num_of_chains, string_agg(seq, '' ORDER BY " + fx.RANK + ") AS seq, CAST(sum(len) AS BIGINT) AS length FROM chains GROUP BY name", "chains"))
 def assemble_complex(spark, sf_dir):
     return R.complexes(chains(spark, sf_dir))
 
@@ -117,17 +117,23 @@ def adjacency_masks(spark, sf_dir):
     return R.adjacency_masks(indexed(spark, sf_dir)).select("name", "global_pos", "phi", "psi", "omega")
 
 
-_RUNS = "runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY name, chain ORDER BY line_no) AS BIGINT) AS run_id FROM (SELECT *, CASE WHEN lag(resseq || ':' || icode) OVER w IS NULL OR lag(resseq || ':' || icode) OVER w <> resseq || ':' || icode THEN 1 ELSE 0 END AS new FROM fx_atoms WINDOW w AS (PARTITION BY name, chain ORDER BY line_no)))"
+_RUNS = "runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY name, chain ORDER BY line_no) AS BIGINT) AS run_id FROM (SELECT *, CASE WHEN lag(resseq) OVER w = resseq THEN 0 ELSE 1 END AS new FROM fx_atoms WHERE record = 'ATOM' AND atom IN ('N', 'CA', 'C', 'O') WINDOW w AS (PARTITION BY name, chain ORDER BY line_no)))"
 
 
 @query("residue_run_id", sql(f"WITH {_RUNS} SELECT name, line_no, run_id FROM runs", "fx_atoms"))
 def residue_run_id(spark, sf_dir):
-    return R.residue_runs(fx.atoms(spark, sf_dir)).select("name", "line_no", "run_id")
+    return R.residue_runs(R.backbone(fx.atoms(spark, sf_dir))).select("name", "line_no", "run_id")
 
 
-@query("thread_sequence", sql(f"WITH {_RUNS} SELECT name, chain, line_no, CASE substr('ACDEFG', CAST(run_id AS INT), 1) WHEN 'A' THEN 'ALA' WHEN 'C' THEN 'CYS' WHEN 'D' THEN 'ASP' WHEN 'E' THEN 'GLU' WHEN 'F' THEN 'PHE' ELSE 'GLY' END AS res3 FROM runs WHERE run_id <= 6 AND chain = 'B'", "fx_atoms"))
+_THREAD = f"""WITH {_RUNS}, stops AS (SELECT name, min(line_no) AS stop FROM runs WHERE chain = 'B' AND run_id = 7 GROUP BY name), d AS (SELECT DISTINCT name FROM fx_atoms WHERE chain = 'B')
+SELECT a.name, a.chain, a.line_no, CASE WHEN a.chain <> 'B' THEN a.res3 ELSE CASE r.run_id WHEN 1 THEN 'ALA' WHEN 2 THEN 'CYS' WHEN 3 THEN 'ASP' WHEN 4 THEN 'GLU' WHEN 5 THEN 'PHE' ELSE 'GLY' END END AS res3
+FROM fx_atoms a JOIN d ON a.name = d.name LEFT JOIN runs r ON a.name = r.name AND a.chain = r.chain AND a.line_no = r.line_no LEFT JOIN stops s ON a.name = s.name
+WHERE a.record = 'ATOM' AND (s.stop IS NULL OR a.line_no < s.stop) AND (a.chain <> 'B' OR r.run_id IS NOT NULL)"""
+
+
+@query("thread_sequence", sql(_THREAD, "fx_atoms"))
 def thread_sequence(spark, sf_dir):
-    """Six letters on chain B of every structure; longer chains end there."""
+    """Six letters on chain B of every structure that has one; a longer chain ends the output there, other chains stay."""
     atoms = fx.atoms(spark, sf_dir)
     designs = R.distinct_chains(atoms).filter("chain = 'B'").withColumn("sequence", F.lit("ACDEFG"))
     return R.thread_sequence(atoms, designs).select("name", "chain", "line_no", "res3")

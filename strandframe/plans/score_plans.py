@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.letters import MODEL_ORDER
+from ..operators import campaign
 from ..operators import constraints as C
 from ..operators import residues as R
 from ..operators import scoring as S
+from ..scratch import cut, new_path
 from ..streaming import leaderboard
-from . import files
 from . import fixtures as fx
 from . import residue_plans as plans
 from .fixtures import sql
@@ -108,13 +109,17 @@ def sample_letters(spark, sf_dir):
     return sampled(spark, sf_dir).select("name", "pos", "temperature", "sample_id", "idx")
 
 
-_MEMBERS = "m AS (SELECT name, pos, CAST(ceil(pos / 2.0) AS BIGINT) AS group_id, idx, l, CASE WHEN pos % 2 = 0 THEN -0.5 ELSE 1.0 END AS beta, pos * 7 % 21 AS native_idx, CASE WHEN pos % 9 = 0 THEN 0 ELSE 1 END AS design FROM fx_logp), t AS (SELECT name, group_id, idx, sum(beta * l / 0.5) / count(*) AS v FROM m GROUP BY name, group_id, idx)"
+_MEMBERS = "m AS (SELECT name, pos, CAST(ceil(pos / 2.0) AS BIGINT) AS group_id, pos % 2 AS member, idx, l, CASE WHEN pos % 2 = 0 THEN -0.5 ELSE 1.0 END AS beta, pos * 7 % 21 AS native_idx, CASE WHEN pos % 9 = 0 THEN 0 ELSE 1 END AS design FROM fx_logp), t AS (SELECT name, group_id, idx, sum(beta * l / 0.5) / count(*) AS v FROM m GROUP BY name, group_id, idx)"
 
 
 def members(spark, sf_dir) -> DataFrame:
-    """Positions tied in pairs."""
-    p = fx.logits(spark, sf_dir)
-    return p.select("name", "pos", F.ceil(F.col("pos") / 2).alias("group_id"), "logits", F.when(F.col("pos") % 2 == 0, -0.5).otherwise(1.0).alias("beta"), (F.col("pos") * 7 % 21).alias("native_idx"), (F.col("pos") % 9 != 0).cast("int").alias("design"), F.array_repeat(F.lit(0.0), 21).alias("bias"))
+    """Positions tied in pairs, each pair listing its even position first; bias, PSSM, log-odds and omitted letters for every position."""
+    p, pos = fx.logits(spark, sf_dir), F.col("pos")
+    omitted = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.when(i == pos % 21, 1.0).otherwise(0.0))
+    return p.select(
+        "name", "pos", F.ceil(pos / 2).alias("group_id"), (pos % 2).alias("member"), "logits", F.when(pos % 2 == 0, -0.5).otherwise(1.0).alias("beta"), (pos * 7 % 21).alias("native_idx"), (pos % 9 != 0).cast("int").alias("design"),
+        F.when(pos % 4 == 1, _one(9, 2.0)).otherwise(_one(9, 0.0)).alias("bias"), F.lit(0.5).alias("coef"), _one(3, 1.0).alias("pssm_bias"), F.col("logits").alias("log_odds"), omitted.alias("omit_mask"),
+    )
 
 
 @query("tied_logits", sql(f"WITH {_MEMBERS} SELECT name, group_id, idx, round(v, 4) AS v FROM t", "fx_logp"))
@@ -122,17 +127,23 @@ def tied_logits(spark, sf_dir):
     return _long(S.tied_logits(members(spark, sf_dir), 0.5), "logits", keys=("name", "group_id"), digits=4)
 
 
-_TIED = f"""WITH {_MEMBERS}, e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY name, group_id)) AS e FROM t), d AS (SELECT *, sum(e) OVER (PARTITION BY name, group_id ORDER BY idx ROWS UNBOUNDED PRECEDING) / sum(e) OVER (PARTITION BY name, group_id) AS cdf FROM e),
+_TIED = f"""WITH {_MEMBERS}, z AS (SELECT name, group_id, arg_max(pos, member) AS lp FROM m GROUP BY name, group_id),
+w AS (SELECT t.name, t.group_id, t.idx, z.lp, f.l AS lo, t.v + CASE WHEN t.idx = 5 THEN 1.5 / 0.5 ELSE 0 END + CASE WHEN z.lp % 4 = 1 AND t.idx = 9 THEN 2.0 / 0.5 ELSE 0 END - CASE WHEN t.idx = 20 THEN 1e8 ELSE 0 END AS w FROM t JOIN z ON t.name = z.name AND t.group_id = z.group_id JOIN fx_logp f ON f.name = z.name AND f.pos = z.lp AND f.idx = t.idx),
+e AS (SELECT *, exp(w - max(w) OVER (PARTITION BY name, group_id)) AS e FROM w),
+b AS (SELECT *, (1 - 0.3 * 0.5) * e / sum(e) OVER (PARTITION BY name, group_id) + 0.3 * 0.5 * CASE WHEN idx = 3 THEN 1.0 ELSE 0.0 END AS b FROM e),
+o AS (SELECT *, b * CASE WHEN lo > 0 THEN 1.001 ELSE 0.001 END * CASE WHEN idx = lp % 21 THEN 0 ELSE 1 END AS o FROM b),
+d AS (SELECT *, sum(o) OVER (PARTITION BY name, group_id ORDER BY idx ROWS UNBOUNDED PRECEDING) / sum(o) OVER (PARTITION BY name, group_id) AS cdf FROM o),
 g AS (SELECT name, group_id, least(count(*) FILTER (WHERE round(cdf, 9) < CAST(group_id * 7919 % 10007 AS DOUBLE) / 10007.0), 20) AS idx FROM d GROUP BY name, group_id),
-k AS (SELECT name, group_id, arg_min(native_idx, pos) FILTER (WHERE design = 0) AS kept FROM m GROUP BY name, group_id),
-tied AS (SELECT DISTINCT m.name, m.group_id, m.pos, coalesce(k.kept, g.idx) AS idx FROM m JOIN g ON m.name = g.name AND m.group_id = g.group_id JOIN k ON m.name = k.name AND m.group_id = k.group_id)"""
+k AS (SELECT name, group_id, arg_min(native_idx, member) FILTER (WHERE design = 0) AS kept FROM m GROUP BY name, group_id),
+tied AS (SELECT DISTINCT m.name, m.group_id, m.member, m.pos, coalesce(k.kept, g.idx) AS idx FROM m JOIN g ON m.name = g.name AND m.group_id = g.group_id JOIN k ON m.name = k.name AND m.group_id = k.group_id)"""
 
 
 def tied(spark, sf_dir) -> DataFrame:
-    return S.tied_sample(members(spark, sf_dir), 0.5, lambda g: (g * 7919 % 10007).cast("double") / 10007.0)
+    """X omitted everywhere, G favoured, PSSM blended, low log-odds and each position's omitted letter damped or left out."""
+    return S.tied_sample(members(spark, sf_dir), 0.5, lambda g: (g * 7919 % 10007).cast("double") / 10007.0, "X", {"G": 1.5}, 0.3, 0.0)
 
 
-@query("tied_sample", sql(f"{_TIED} SELECT name, group_id, pos, idx FROM tied", "fx_logp"))
+@query("tied_sample", sql(f"{_TIED} SELECT name, group_id, member, pos, idx FROM tied", "fx_logp"))
 def tied_sample(spark, sf_dir):
     return tied(spark, sf_dir)
 
@@ -192,7 +203,7 @@ def probs_matrix(spark, sf_dir):
 
 @query("run_summary", sql("SELECT pose AS name, count(*) AS n_samples, max(length(sequence)) AS longest, 6 AS asked FROM fx_results GROUP BY pose", "fx_results"))
 def run_summary(spark, sf_dir):
-    return S.run_summary(fx.results(spark, sf_dir).withColumnRenamed("pose", "name"), 2, 3)
+    return S.run_summary(fx.results(spark, sf_dir).drop("name").withColumnRenamed("pose", "name"), 2, 3)
 
 
 @query("best_per_pose", sql("SELECT pose, sequence, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY pose ORDER BY score, sequence) AS rank FROM fx_results) WHERE rank <= 5", "fx_results"))
@@ -208,7 +219,7 @@ def rank_results(spark, sf_dir):
 @query("append_results", sql("SELECT pose, count(*) AS n FROM (SELECT pose FROM fx_results UNION ALL SELECT 'new' FROM part) GROUP BY pose", "fx_results"))
 def append_results(spark, sf_dir):
     new = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("new").alias("pose"), F.col("p_partkey").cast("string").alias("sequence"), F.lit(0.5).alias("score"), F.col("p_partkey").alias("sample_id"))
-    return fx.results(spark, sf_dir).unionByName(new).groupBy("pose").agg(F.count("*").alias("n"))
+    return fx.results(spark, sf_dir).drop("name").unionByName(new).groupBy("pose").agg(F.count("*").alias("n"))
 
 
 @query("shuffle_batches", sql("WITH c AS (SELECT name, sum(len) AS length FROM chains GROUP BY name), b AS (SELECT name, length, CAST(ceil(log2(greatest(length, 1))) AS INT) AS bucket FROM c) SELECT DISTINCT bucket, CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY length, name) - 1) / greatest(floor(1000 / power(2, bucket)), 1)) AS BIGINT) AS batch FROM b", "chains"))
@@ -228,7 +239,7 @@ def chain_string_split(spark, sf_dir):
     return S.split_chains(S.sort_chains(plans.chains(spark, sf_dir), ["name"]))
 
 
-@query("format_scores", sql("SELECT sample_id, printf('%.4f', round(score + 1e-9, 4)) AS text FROM fx_results", "fx_results"))
+@query("format_scores", sql("SELECT sample_id, printf('%.4f', CAST(CAST(score AS FLOAT) AS DOUBLE)) AS text FROM fx_results", "fx_results"))
 def format_scores(spark, sf_dir):
     from ..sources.records import fixed4
 
@@ -248,29 +259,53 @@ def letter_scorer():
     return score
 
 
-@query("score_with_model")
-def score_with_model(spark, sf_dir):
-    features = plans.indexed(spark, sf_dir).select("name", "global_pos", "aa")
-    return S.score_with_model(features, "name string, global_pos long, logits array<double>", letter_scorer)
+_LETTER_IDX = f"coalesce(nullif(instr('{MODEL_ORDER}', aa), 0) - 1, 20)"
 
 
-@query("design_campaign", sql(f"{_sample_sql()}, w AS (SELECT name, temperature, sample_id, string_agg(substr('{MODEL_ORDER}', CAST(idx + 1 AS INT), 1), '' ORDER BY pos) AS sequence FROM drawn GROUP BY 1, 2, 3), s AS (SELECT d.name, d.temperature, d.sample_id, sum(-f.lp * (CASE WHEN d.pos % 4 = 0 THEN 0 ELSE 1 END)) / nullif(sum(CASE WHEN d.pos % 4 = 0 THEN 0 ELSE 1 END), 0) AS score FROM drawn d JOIN fx_soft f ON d.name = f.name AND d.pos = f.pos AND d.idx = f.idx GROUP BY 1, 2, 3) SELECT w.name, w.temperature, w.sample_id, sequence, round(score, 4) AS score, row_number() OVER (PARTITION BY w.name ORDER BY round(score, 9), sequence, w.temperature, w.sample_id) AS rank FROM w JOIN s ON w.name = s.name AND w.temperature = s.temperature AND w.sample_id = s.sample_id", "fx_soft"))
+@query("score_with_model", sql(f"WITH {plans._INDEX} SELECT name, global_pos, i, round(-abs(i - {_LETTER_IDX}) / 2.0, 4) AS logit FROM idx CROSS JOIN (SELECT unnest(range(0, 21)) AS i)", "residues", "offsets"))
+def score_with_model(spark, sf_dir):
+    features = plans.indexed(spark, sf_dir).select("name", "global_pos", "aa")
+    scored = S.score_with_model(features, "name string, global_pos long, logits array<double>", letter_scorer)
+    return scored.select("name", "global_pos", F.posexplode("logits").alias("i", "logit"))
+
+
+_CAMPAIGN = f"""WITH dpos AS (SELECT r.name, r.pos, r.mask * CASE WHEN f.pos IS NULL THEN 1 ELSE 0 END AS design, {_LETTER_IDX} AS native_idx FROM residues r LEFT JOIN (SELECT DISTINCT * FROM fx_fixed) f ON r.name = f.name AND r.chain = f.chain AND r.pos = f.pos WHERE r.chain = 'B'),
+lg AS (SELECT d.*, i AS idx, -abs(i - native_idx) / 2.0 + ((d.pos * 31 + i * 17) % 7) / 3.5 AS l FROM dpos d CROSS JOIN (SELECT unnest(range(0, 21)) AS i)),
+lm AS (SELECT *, max(l) OVER (PARTITION BY name, pos) AS m FROM lg),
+lp AS (SELECT name, pos, idx, l - m - ln(sum(exp(l - m)) OVER (PARTITION BY name, pos)) AS lp FROM lm),
+g AS (SELECT lg.*, pose, t_no, temperature, sample_id, l / temperature AS w FROM lg CROSS JOIN (SELECT unnest(range(1, 3)) AS pose) CROSS JOIN (VALUES (0, 0.5), (1, 1.0)) AS t(t_no, temperature) CROSS JOIN (SELECT unnest(range(0, 2)) AS sample_id)),
+e AS (SELECT *, exp(w - max(w) OVER (PARTITION BY name, pos, pose, t_no, sample_id)) AS e FROM g),
+c AS (SELECT *, sum(e) OVER (PARTITION BY name, pos, pose, t_no, sample_id ORDER BY idx ROWS UNBOUNDED PRECEDING) / sum(e) OVER (PARTITION BY name, pos, pose, t_no, sample_id) AS cdf FROM e),
+drawn AS (SELECT name, pos, pose, temperature, sample_id, design, native_idx, CASE WHEN design = 0 THEN native_idx ELSE least(count(*) FILTER (WHERE round(cdf, 9) < CAST((pos * 7919 + pose * 31337 + t_no * 611953 + sample_id * 104729) % 10007 AS DOUBLE) / 10007.0), 20) END AS idx FROM c GROUP BY name, pos, pose, t_no, temperature, sample_id, design, native_idx),
+s AS (SELECT d.name, pose, temperature, sample_id, string_agg(substr('{MODEL_ORDER}', CAST(d.idx + 1 AS INT), 1), '' ORDER BY d.pos) AS sequence, sum(-p.lp * design) / nullif(sum(design), 0) AS score, CAST(sum(CASE WHEN d.idx = native_idx THEN design ELSE 0 END) AS DOUBLE) / nullif(sum(design), 0) AS recovery FROM drawn d JOIN lp p ON d.name = p.name AND d.pos = p.pos AND d.idx = p.idx GROUP BY 1, 2, 3, 4),
+{plans._RUNS}, stops AS (SELECT r.name, min(line_no) AS stop FROM runs r JOIN (SELECT name, any_value(length(sequence)) AS n FROM s GROUP BY name) AS q ON r.name = q.name AND r.chain = 'B' AND r.run_id = q.n + 1 GROUP BY r.name),
+k AS (SELECT a.name, count(*) AS n_atoms, round(sum(-a.x), 3) AS sum_x FROM fx_atoms a LEFT JOIN runs r ON a.name = r.name AND a.chain = r.chain AND a.line_no = r.line_no LEFT JOIN stops t ON a.name = t.name WHERE a.record = 'ATOM' AND (t.stop IS NULL OR a.line_no < t.stop) AND (a.chain <> 'B' OR r.run_id IS NOT NULL) GROUP BY a.name)
+SELECT s.name, pose, temperature, sample_id, sequence, round(score, 4) AS score, round(recovery, 4) AS recovery, row_number() OVER (PARTITION BY s.name, pose ORDER BY round(score, 9) NULLS FIRST, sequence, temperature, sample_id) AS rank,
+'Binders/' || s.name || '/Pose' || pose || '_' || sequence || '.pdb' AS filename, coalesce(n_atoms, 0) AS n_atoms, coalesce(sum_x, 0) AS sum_x FROM s LEFT JOIN k ON s.name = k.name"""
+
+
+@query("design_campaign", sql(_CAMPAIGN, "residues", "fx_fixed", "fx_atoms"))
 def design_campaign(spark, sf_dir):
-    """Sampling at two temperatures, scoring of the samples, ranking: one plan."""
-    from pyspark.sql import Window as W
-
-    drawn = sampled(spark, sf_dir).withColumn("log_probs", arrays.log_softmax(F.col("logits"))).withColumn("mask", F.col("design"))
-    keys = ["name", "temperature", "sample_id"]
-    letter = F.substr(F.lit(MODEL_ORDER), F.col("idx") + 1, F.lit(1))
-    per = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", letter.alias("c")))).alias("s"), S.masked_mean(S.nll(F.col("log_probs"), F.col("idx")), F.col("mask")).alias("score"))
-    named = per.select(*keys, F.array_join(F.transform("s", lambda x: x["c"]), "").alias("sequence"), "score")
-    rank = F.row_number().over(W.partitionBy("name").orderBy(F.round("score", 9), "sequence", "temperature", "sample_id"))
-    return named.withColumn("rank", rank).withColumn("score", F.round("score", 4))
+    """Chain B of every structure: mirrored, fixed positions, two poses, two temperatures, two samples; scored, ranked, written as the sorted CSV and read
+    again, with the atoms of each pose's best design threaded on the mirrored structure."""
+    atoms = plans.read_atoms(spark, sf_dir)
+    own = F.col("native_idx")
+    logits = lambda p: p.withColumn("logits", F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: -F.abs(i - own) / 2.0 + ((F.col("pos") * 31 + i * 17) % 7) / 3.5))
+    requests = R.distinct_chains(atoms).filter("chain = 'B'")
+    places = campaign.design_positions(atoms, requests, fx.fixed(spark, sf_dir), logits)
+    u = lambda pos, pose, t, s: ((pos * 7919 + pose * 31337 + t * 611953 + s * 104729) % 10007).cast("double") / 10007.0
+    designs = cut(campaign.campaign(places, 2, [0.5, 1.0], 2, u), "designs")
+    path = new_path(spark, "campaign")
+    found = campaign.results(designs)
+    found.write.option("header", True).csv(path)
+    best = campaign.threaded(R.mirror(fx.atoms(spark, sf_dir)), designs).groupBy("name", "pose").agg(F.count("*").alias("n_atoms"), F.round(F.sum("x"), 3).alias("sum_x"))
+    back = spark.read.schema(found.schema).option("header", True).csv(path).join(best, ["name", "pose"], "left")
+    return back.select("name", "pose", "temperature", "sample_id", "sequence", F.round("score", 4).alias("score"), F.round("recovery", 4).alias("recovery"), "rank", "filename", F.coalesce("n_atoms", F.lit(0)).alias("n_atoms"), F.coalesce("sum_x", F.lit(0.0)).alias("sum_x"))
 
 
 @query("leaderboard_stream", sql("SELECT pose, round(min(score), 4) AS best, count(*) AS n FROM fx_results GROUP BY pose", "fx_results"))
 def leaderboard_stream(spark, sf_dir):
-    path = files._new(spark, "arriving")
+    path = new_path(spark, "arriving")
     fx.results(spark, sf_dir).repartition(4, "pose").write.parquet(path)
-    out = leaderboard.run(spark, path, "pose string, sequence string, score double, sample_id long", files._new(spark, "stream"))
+    out = leaderboard.run(spark, path, "pose string, sequence string, score double, sample_id long", new_path(spark, "stream"))
     return out.select("pose", F.round("best", 4).alias("best"), "n")

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def scan_structures(spark: SparkSession, paths: str | list[str], glob: str = "*.pdb") -> DataFrame:
     """name, line_no, line of all files, in file order; name is the file's name without its ending, or the value of a ``name=`` folder.
 
-    Each file is one row at first, so order is kept; a structure file is small.
+    Each file is one row at first, so order is kept; a structure file, or one of constraints or designs of a structure, is small.
     """
     files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(paths, wholetext=True)
     path = F.col("_metadata.file_path")
-    folder = F.regexp_extract(path, "/name=([^/]+)/[^/]*$", 1)
-    base = F.regexp_extract(path, "([^/]+)\\.[^./]*$", 1)
+    folder = F.url_decode(F.regexp_extract(path, "/name=([^/]+)/[^/]*$", 1))
+    base = F.url_decode(F.regexp_extract(path, "([^/]+)\\.[^./]*$", 1))
     named = files.select(F.when(folder != "", folder).otherwise(base).alias("name"), "value")
     lines = named.select("name", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return lines.select("name", "line_no", F.rtrim(F.regexp_replace("line", "\r$", "")).alias("line"))
@@ -29,16 +29,31 @@ def normalize_mse(lines: DataFrame) -> DataFrame:
 
 def split_insertion_code(text: Column) -> tuple[Column, Column]:
     """'52A' to (51, 'A'), '52' to (51, ''): the number less one."""
-    return F.regexp_extract(text, "-?[0-9]+", 0).cast("int") - 1, F.regexp_extract(text, "[A-Za-z]$", 0)
+    return F.regexp_extract(text, "-?[0-9]+", 0).try_cast("int") - 1, F.regexp_extract(text, "[A-Za-z]$", 0)
 
 
 def parse_atoms(lines: DataFrame, records: tuple[str, ...] = ("ATOM",)) -> DataFrame:
-    """Columns of the atom lines, cut at their fixed places. resseq is the residue number less one."""
+    """Columns of the atom lines (those that begin with one of records), cut at their fixed places. resseq is the residue number less one.
+
+    Lines without a residue number or coordinates aren't atoms; rejected_atoms lists them.
+    """
+    return _atoms(lines, records).filter(F.col("resseq").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+
+
+def rejected_atoms(lines: DataFrame, records: tuple[str, ...] = ("ATOM",)) -> DataFrame:
+    """name, line_no of the atom lines whose residue number or coordinates are no numbers."""
+    return _atoms(lines, records).filter(F.col("resseq").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()).select("name", "line_no")
+
+
+def _atoms(lines: DataFrame, records: tuple[str, ...]) -> DataFrame:
     cut = lambda at, n: F.substring("line", at, n)
-    found = lines.filter(F.trim(cut(1, 6)).isin(*records))
+    record = F.lit(None).cast("string")
+    for r in records:
+        record = F.when(F.col("line").startswith(r), F.lit(r)).otherwise(record)
+    found = lines.withColumn("record", record).filter("record IS NOT NULL")
     resseq, icode = split_insertion_code(F.trim(cut(23, 5)))
     return found.select(
-        "name", "line_no", F.trim(cut(1, 6)).alias("record"), F.trim(cut(13, 4)).alias("atom"), F.trim(cut(17, 1)).alias("altloc"), F.trim(cut(18, 3)).alias("res3"), cut(22, 1).alias("chain"),
+        "name", "line_no", "record", F.trim(cut(13, 4)).alias("atom"), F.trim(cut(17, 1)).alias("altloc"), F.trim(cut(18, 3)).alias("res3"), cut(22, 1).alias("chain"),
         resseq.alias("resseq"), icode.alias("icode"), cut(31, 8).try_cast("double").alias("x"), cut(39, 8).try_cast("double").alias("y"), cut(47, 8).try_cast("double").alias("z"), F.trim(cut(77, 2)).alias("element"),
     )
 
@@ -60,7 +75,7 @@ def render_atoms(atoms: DataFrame) -> DataFrame:
 
 
 def write_structures(lines: DataFrame, path: str) -> None:
-    """One folder for each structure, lines in order."""
+    """One folder for each name, its lines in order: for structures, and for constraints and designs of structures."""
     lines.repartition("name").sortWithinPartitions("name", "line_no").select("name", "line").write.partitionBy("name").text(path)
 
 

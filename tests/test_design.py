@@ -22,7 +22,7 @@ def test_grid_neighbours_equal_all_pairs(spark):
     p = _points(spark)
     key = lambda df: sorted((r["name"], r["src"], r["dst"], r["rank"], round(r["dist"], 6)) for r in df.collect())
     full = key(G.knn_graph(p, 5))
-    assert full == key(G.knn_graph(p, 5, radius=9.0)) and len(full) == 2 * 60 * 5
+    assert full == key(G.knn_graph(p, 5, radius=9.0, small=0)) == key(G.knn_graph(p, 5, small=0)) and len(full) == 2 * 60 * 5
     assert all(r[1] == r[2] for r in full if r[3] == 1)
 
 
@@ -54,17 +54,29 @@ def test_draw_is_the_inverse_of_the_running_sum(spark):
 
 
 def test_tied_samples_agree(spark):
-    rows = [("a", g, 2 * g + k, 1.0 - 1.5 * k, [float((i * (g + 2)) % 7) for i in range(21)], [0.0] * 21, 3, int(g != 1)) for g in range(4) for k in range(2)]
-    members = spark.createDataFrame(rows, "name string, group_id int, pos int, beta double, logits array<double>, bias array<double>, native_idx int, design int")
+    rows = [("a", g, k, 2 * g + k, 1.0 - 1.5 * k, [float((i * (g + 2)) % 7) for i in range(21)], [0.0] * 21, 3, int(g != 1)) for g in range(4) for k in range(2)]
+    members = spark.createDataFrame(rows, "name string, group_id int, member int, pos int, beta double, logits array<double>, bias array<double>, native_idx int, design int")
     drawn = S.tied_sample(members, 0.5, lambda g: (g % 10) / F.lit(10.0))
     assert drawn.count() == 8
     assert all(r["consistent"] for r in S.tied_consistency(drawn.withColumnRenamed("idx", "aa"), ["name", "group_id"]).collect())
     assert {r["idx"] for r in drawn.filter("group_id = 1").collect()} == {3}
 
 
+def test_tied_groups_follow_their_list(spark):
+    """The first kept member in the list gives the letter; the last member's omitted letters count."""
+    flat, none = [0.0] * 21, [0.0] * 21
+    only = lambda i: [0.0 if j == i else 1.0 for j in range(21)]
+    rows = [("a", 0, 1, 10, 1.0, flat, none, 4, 0, only(1)), ("a", 0, 0, 20, 1.0, flat, none, 9, 0, only(1)), ("a", 1, 1, 5, 1.0, flat, none, 3, 1, only(7)), ("a", 1, 0, 6, 1.0, flat, none, 3, 1, only(8))]
+    members = spark.createDataFrame(rows, "name string, group_id int, member int, pos int, beta double, logits array<double>, bias array<double>, native_idx int, design int, omit_mask array<double>")
+    got = S.tied_sample(members, 0.5, lambda g: F.lit(0.5)).collect()
+    assert {r["idx"] for r in got if r["group_id"] == 0} == {9} and {r["idx"] for r in got if r["group_id"] == 1} == {7}
+    ranked = spark.createDataFrame([("a", 1, 0, 0, 5), ("a", 2, 7, 1, 1), ("a", 3, 7, 0, 9), ("a", 4, None, 0, 2)], "name string, pos int, group_id int, member int, decode_rank int")
+    assert [r["pos"] for r in G.tied_decoding_order(ranked).orderBy("tied_rank").collect()] == [3, 2, 4, 1]
+
+
 def test_recovery_ignores_unknown(spark):
-    df = spark.createDataFrame([("ACXD", "ACAE"), ("XX", "AC"), ("AC", "A")], "a string, b string")
-    got = [r[0] for r in df.select(S.seq_recovery(F.col("a"), F.col("b"))).collect()]
+    df = spark.createDataFrame([(1, "ACXD", "ACAE"), (2, "XX", "AC"), (3, "AC", "A")], "id int, native string, sequence string")
+    got = [r["recovery"] for r in S.seq_recovery(df, ["id"]).orderBy("id").collect()]
     assert got[0] == pytest.approx(2 / 3) and got[1] is None and got[2] == 0.5
 
 
