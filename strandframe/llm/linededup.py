@@ -7,7 +7,7 @@ found in at least ``min_docs`` documents lose all their lines in every document.
 2. All keys of two or more documents (fewer can't reach any threshold) go to shards by hash; each shard is built into
    one minimal perfect hash, levelled bit arrays with ranks, over a 64-bit fingerprint array and a count array.
 3. Each document's keys travel as hashes, once each, to their shard and stream past its arrays. A shard that expects more than ``shard_lines``
-   probes, as it holds a line of very many documents, is copied to as many parts as it needs, and documents are dealt among them.
+   probes, or twice its fair share, as it holds a line of very many documents, is copied to as many parts as it needs, and documents are dealt among them.
 4. What is found goes back to its document by the document's key.
 
 The number of shards follows the number of lines. Null or empty text is one empty line; repeated rows each count as a document
@@ -163,7 +163,7 @@ def _probes(keyed: DataFrame, shards: int, min_chars: int) -> DataFrame:
     return keyed.select("_strand_k1", "_strand_k2", "text").mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int, h1 long, h2 long").withColumn("shard", _shard(shards))
 
 
-def _probe(index: DataFrame, probes: DataFrame, min_docs: int, shard_lines: int) -> DataFrame:
+def _probe(index: DataFrame, probes: DataFrame, min_docs: int, most: int) -> DataFrame:
     """Documents and places of the lines that a shard's arrays count at min_docs or more. Each shard's arrays come before its probes, which stream past."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def _probe(index: DataFrame, probes: DataFrame, min_docs: int, shard_lines: int)
                     found = pa.array(arrays.count(_uint(part["h1"]), _uint(part["h2"])) >= min_docs)
                     yield pa.RecordBatch.from_arrays([part[c].filter(found) for c in ("_strand_k1", "_strand_k2", "line")], names=["_strand_k1", "_strand_k2", "line"])
 
-    parts = (F.floor(F.col("load") / shard_lines) + 1).cast("int")
+    parts = (F.floor(F.col("load") / most) + 1).cast("int")
     crowded = index.select("shard", parts.alias("parts")).filter("parts > 1")
     copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("load")
     dealt = probes.join(crowded, "shard", "left").withColumn("part", F.pmod(F.xxhash64("_strand_k1", "_strand_k2"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
@@ -202,7 +202,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, s
     index = common.cut(build_index(counts, shards), "lines-index")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumns({"_strand_k1": k1, "_strand_k2": k2})
-    found = _probe(index, _probes(keyed, shards, min_chars), min_docs, shard_lines)
+    # Twice a fair share is too much for a shard, whatever the table's size; so there are half as many parts more than shards at most.
+    most = max(1, min(shard_lines, 2 * total // shards))
+    found = _probe(index, _probes(keyed, shards, min_chars), min_docs, most)
     lost = common.cut(found.groupBy("_strand_k1", "_strand_k2").agg(F.array_sort(F.collect_set("line")).alias("_strand_lost")), "lines-lost")
     joined = keyed.join(lost, ["_strand_k1", "_strand_k2"], "left").drop("_strand_k1", "_strand_k2", "n_lines", "n_dropped")
     names = [c for c in joined.columns if c != "_strand_lost"]
