@@ -126,7 +126,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     heads = found.filter("_strand_k1 = _strand_c")
     repeated = heads.groupBy("_strand_c").agg(F.min("_strand_k2").alias("_strand_least"), F.count("*").alias("_strand_n")).filter("_strand_n > 1")
     repeated = common.cut(heads.join(repeated, "_strand_c").select(*key, (F.col("_strand_k2") == F.col("_strand_least")).alias("_strand_head")).distinct(), "simhash-repeated")
-    gone = found.filter("_strand_k1 <> _strand_c").select(*key).unionByName(repeated.select(*key)).distinct()
+    gone = common.cut(found.filter("_strand_k1 <> _strand_c").select(*key).unionByName(repeated.select(*key)).distinct(), "simhash-gone")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.withColumns({"_strand_k1": k1, "_strand_k2": k2})
     kept = keyed.join(gone, key, "left_anti")
