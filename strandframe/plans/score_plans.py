@@ -262,11 +262,12 @@ def letter_scorer():
 _LETTER_IDX = f"coalesce(nullif(instr('{MODEL_ORDER}', aa), 0) - 1, 20)"
 
 
-@query("score_with_model", sql(f"WITH {plans._INDEX} SELECT name, global_pos, i, round(-abs(i - {_LETTER_IDX}) / 2.0, 4) AS logit FROM idx CROSS JOIN (SELECT unnest(range(0, 21)) AS i)", "residues", "offsets"))
+@query("score_with_model", sql(f"WITH {plans._INDEX} SELECT name, global_pos, 21 AS n, round(sum(-abs(i - {_LETTER_IDX}) / 2.0), 4) AS total, any_value({_LETTER_IDX}) AS best FROM idx CROSS JOIN (SELECT unnest(range(0, 21)) AS i) GROUP BY name, global_pos", "residues", "offsets"))
 def score_with_model(spark, sf_dir):
     features = plans.indexed(spark, sf_dir).select("name", "global_pos", "aa")
     scored = S.score_with_model(features, "name string, global_pos long, logits array<double>", letter_scorer)
-    return scored.select("name", "global_pos", F.posexplode("logits").alias("i", "logit"))
+    best = F.array_position("logits", F.array_max("logits")) - 1
+    return scored.select("name", "global_pos", F.size("logits").alias("n"), F.round(arrays.total(F.col("logits")), 4).alias("total"), best.alias("best"))
 
 
 _CAMPAIGN = f"""WITH dpos AS (SELECT r.name, r.pos, r.mask * CASE WHEN f.pos IS NULL THEN 1 ELSE 0 END AS design, {_LETTER_IDX} AS native_idx FROM residues r LEFT JOIN (SELECT DISTINCT * FROM fx_fixed) f ON r.name = f.name AND r.chain = f.chain AND r.pos = f.pos WHERE r.chain = 'B'),
