@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from . import common
 from .textkernel import ALNUM, LOWER, buffers, grams, words
 
-#: Parts in which a piece's verdict goes back to its documents: a one-word item's piece is in every document that has the word.
-_SALTS = 16
 #: Bits of the bitmap for each distinct token, and its largest size: 2**_MOST_LOG2 bits (32 MB), beyond which more pieces pass than hold a window.
 _BITS_EACH, _MOST_LOG2 = 16, 28
 
@@ -122,7 +120,7 @@ def _pieces(docs: DataFrame, bits: np.ndarray, least: dict[int, int], window: in
     return keyed.mapInArrow(run, "doc_id long, _strand_k2 long, n_words long, pieces array<struct<size int, start long, words array<string>, hashes array<long>>>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, piece: int = 64) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, piece: int = 64, most: int = 100_000) -> DataFrame:
     """doc_id, _strand_k2 (hash of the text), n_words, n_hit, item_ids (array, sorted as strings) of every row of docs."""
     w = common.cut(_windows(items, window, shingle).groupBy("size", "words", "hashes").agg(F.collect_set("item_id").alias("items")).withColumn("w", F.md5(F.concat_ws(" ", "words"))), "decon-windows")
     least = {r["size"]: r["n"] for r in w.groupBy("size").agg(F.min(F.size("words")).alias("n")).collect()}  # shingle rows at most
@@ -137,9 +135,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     prefix = common.cut(ordered.join(w.select("w", "size", "words", "items"), "w").select("size", F.col("prefix.h").alias("h"), F.col("prefix.at").alias("offset"), F.col("words").alias("wanted"), "items"), "decon-prefix")
     placed = tokens.join(prefix, ["size", "h"]).withColumn("begin", F.col("at") - F.col("offset")).filter((F.col("begin") >= 0) & (F.col("begin") + F.size("wanted") <= F.size("words")))
     same = placed.filter(F.slice("words", F.col("begin") + 1, F.size("wanted")) == F.col("wanted"))
-    held = common.cut(same.groupBy("piece").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(begin, begin + size(wanted) - 1)")))).alias("covered"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "decon-held")
-    salted = held.withColumn("_strand_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    places = each.select("doc_id", "_strand_k2", "piece", "start").distinct().withColumn("_strand_salt", F.pmod(F.xxhash64("doc_id", "_strand_k2"), F.lit(_SALTS)).cast("int"))
+    held = common.cut(same.groupBy("piece").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(begin, begin + size(wanted) - 1)")))).alias("covered"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.max("n").alias("n")), "decon-held")
+    # A one-word item's piece is in every document that has the word: verdicts on such pieces go back in parts.
+    parts = (F.floor(F.col("n") / most) + 1).cast("int")
+    salted = held.withColumn("_strand_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    crowded = held.filter(F.col("n") >= most).select("piece", parts.alias("_strand_parts"))
+    places = each.select("doc_id", "_strand_k2", "piece", "start").distinct().join(crowded, "piece", "left").withColumn("_strand_salt", F.pmod(F.xxhash64("doc_id", "_strand_k2"), F.coalesce("_strand_parts", F.lit(1))).cast("int"))
     hits = places.join(salted, ["piece", "_strand_salt"]).groupBy("doc_id", "_strand_k2").agg(F.flatten(F.collect_list(F.expr("transform(covered, x -> x + start)"))).alias("covered"), F.flatten(F.collect_set("items")).alias("items"))
     done = hits.select("doc_id", "_strand_k2", F.size(F.array_distinct("covered")).cast("long").alias("n_hit"), F.array_sort(F.transform(F.array_distinct("items"), lambda x: x.cast("string"))).alias("item_ids"))
     left = seen.select("doc_id", "_strand_k2", "n_words").withColumn("_strand_k1", F.coalesce("doc_id", F.lit(-(2**63))))

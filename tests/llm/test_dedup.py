@@ -169,7 +169,7 @@ def test_decontamination(spark, docs, rows):
     texts = [r[1] for r in rows if r[1]]
     items = [(1, " ".join(words[100:130])), (2, " ".join(words[5000:5300]).upper()), (3, texts[40]), (4, texts[125]), (5, "x y"), (6, "Share this"), (7, None), (8, "..."), (9, words[7]), (10, " ".join(words[100:104])), (11, texts[40]), (12, "never said here at all by anyone in any text of it"), (20, "é " * 14)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(docs, bench, piece=32).collect()
+    got = decontaminate.contamination(docs, bench, piece=32, most=3).collect()
     want = Counter((r[0], *x[:2], ",".join(x[2])) for r, x in zip(rows, _brute_decon([r[1] for r in rows], items), strict=True))
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["item_ids"])) for r in got) == want
     clean = decontaminate.keep_clean(docs, bench)
