@@ -72,7 +72,7 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def mine(transactions: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> DataFrame:
+def mine(transactions: DataFrame, support: float = 0.001, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> DataFrame:
     """antecedent (array), confidence, key (its rarest token) of the rules that lead to the label token; transactions: items, bad."""
     kept = frequent(transactions, support, least_count, confidence)[1].filter(F.col("lift") >= lift)
     found = common.cut(kept.select(F.array_sort("antecedent").alias("antecedent"), "confidence"), "url-mined")
@@ -80,7 +80,7 @@ def mine(transactions: DataFrame, support: float = 0.005, confidence: float = 0.
     return found.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token").groupBy("antecedent", "confidence").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
 
 
-def frequent(transactions: DataFrame, support: float = 0.005, least_count: int = 20, confidence: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def frequent(transactions: DataFrame, support: float = 0.001, least_count: int = 20, confidence: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """What FP-growth finds in the transactions: frequent item sets, and rules that lead to the label token."""
     n = transactions.count()
     least = max(support * n, least_count)
@@ -103,7 +103,7 @@ def transactions_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return listed.join(bad, "page_id").filter(F.size("items") > 0).select("items", "bad")
 
 
-def report(pages: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> dict[str, float | int | None]:
+def report(pages: DataFrame, labels: DataFrame, support: float = 0.001, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> dict[str, float | int | None]:
     """Figures of the mining: labelled URLs, bad share, item sets, rules before and after the bounds, best lift and confidence."""
     t = common.cut(transactions_of(pages, labels), "url-report")
     sets, rules = frequent(t, support, least_count, 0.0)
