@@ -3,11 +3,13 @@
 Each URL becomes a set of tokens (scheme, labels of the host and their parts, path segments with their depth, file extension, query keys;
 numbers are one token). Spark's FP-growth mines the labelled URLs' token sets, where bad ones hold a label token; rules that
 lead to that token and pass ``support``, ``least_count``, ``confidence`` and ``lift`` are kept. Tokens that too few bad URLs hold for any such rule
-are left out before mining, which loses none (a rule's tokens are each at least as frequent with the label as the rule). Labelled URLs are pages whose page_id is a doc_id of
+are left out before mining, which loses none (a rule's tokens are each at least as frequent with the label as the rule), and so are tokens that all labelled URLs hold;
+tokens that the same labelled URLs hold are mined as one class, as a host and its only word are, and a URL has the class if it holds any of them. No verdict changes by that,
+but each such token would double the item sets. Labelled URLs are pages whose page_id is a doc_id of
 labels; one is bad if its quality is 0 or it is toxic.
 
-Rules are matched through an inverted index: each is filed under the rarest of its tokens, URLs look up their tokens, and a candidate's other
-tokens are verified. A given rule's verdict comes first (the longest that fits), then block if a mined rule fits, else allow.
+Rules are matched through an inverted index: each is filed under the tokens of the rarest of its classes, URLs look up their tokens, and a candidate's
+other classes are verified. A given rule's verdict comes first (the longest that fits), then block if a mined rule fits, else allow.
 
 Null urls and urls without ``://`` have empty host and path and no tokens, so they are allowed; without labels nothing is mined; repeated rows
 get equal results; null page_ids are kept; other columns are ignored; empty in, empty out.
@@ -73,27 +75,56 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def mine(transactions: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> DataFrame:
-    """antecedent (array), confidence, key (its rarest token) of the rules that lead to the label token; transactions: items, bad."""
-    kept = frequent(transactions, support, least_count, confidence)[1].filter(F.col("lift") >= lift)
-    found = common.cut(kept.select(F.array_sort("antecedent").alias("antecedent"), "confidence"), "url-mined")
-    counts = transactions.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
-    return found.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token").groupBy("antecedent", "confidence").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
-
-
-def frequent(transactions: DataFrame, support: float = 0.005, least_count: int = 20, confidence: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """What FP-growth finds in the transactions: frequent item sets, and rules that lead to the label token."""
-    n = transactions.count()
+    """The rules that lead to the label token; transactions: items, bad.
+
+    antecedent (array of classes, each named by its least token), members (array of each class's tokens: a URL fits if it holds one of each), confidence,
+    key (the tokens of the rarest class).
+    """
+    rules, classes = frequent(transactions, support, least_count)
+    kept = rules.filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift)).select("antecedent", "confidence", F.explode("antecedent").alias("class"))
+    parts = F.array_sort(F.collect_list("members")).alias("members")
+    return kept.join(classes, "class").groupBy("antecedent", "confidence").agg(parts, F.min_by("members", F.struct("n", "class")).alias("key"))
+
+
+def token_classes(sets: DataFrame, least: float) -> DataFrame:
+    """class (its least token), members, n: tokens that the same labelled URLs hold, as rules can't tell them apart; sets: _set, items, bad, n.
+
+    Tokens that all URLs hold, which say nothing, and those of fewer than ``least`` bad URLs aren't in any class.
+    """
+    at = [F.xxhash64(F.lit(seed), "_set", "bad") for seed in (1, 2)]
+    each = sets.select("_set", "bad", "n", F.explode("items").alias("token"))
+    tokens = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), F.col("n"))).alias("n_bad"), *[F.bit_xor(a).alias(f"p{i}") for i, a in enumerate(at)])
+    whole = sets.agg(F.sum("n")).first()[0]
+    telling = tokens.filter((F.col("n_bad") >= least) & (F.col("n") < F.lit(whole)))
+    classes = telling.groupBy("p0", "p1", "n").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return classes.select(F.col("members")[0].alias("class"), "members", "n")
+
+
+def frequent(transactions: DataFrame, support: float = 0.005, least_count: int = 20) -> tuple[DataFrame, DataFrame]:
+    """What FP-growth finds in the transactions: rules that lead to the label token (antecedent, confidence, lift; confidence is null where bad URLs are
+    too few), and the token classes they are made of."""
+    n, share = transactions.agg(F.count("*"), F.avg(F.col("bad").cast("double"))).first()
     least = max(support * n, least_count)
-    telling = transactions.filter("bad").select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    keyed = transactions.select("items", "bad", F.md5(F.to_json("items")).alias("_set")).groupBy("_set", "bad").agg(F.first("items").alias("items"), F.count("*").alias("n"))
-    own = keyed.select("_set", "bad", "n", F.explode("items").alias("token")).join(telling.select("token"), "token").groupBy("_set", "bad", "n").agg(F.collect_list("token").alias("items"))
+    spark = transactions.sparkSession
+    keyed = transactions.select("items", "bad", F.md5(F.to_json("items")).alias("_set"))
+    sets = common.cut(keyed.groupBy("_set", "bad").agg(F.first("items").alias("items"), F.count("*").alias("n")), "url-labelled-sets")
+    classes = common.cut(token_classes(sets, least), "url-classes")
+    named = sets.select("_set", "bad", "n", F.explode("items").alias("class")).join(classes.select("class"), "class")
+    own = named.groupBy("_set", "bad", "n").agg(F.collect_list("class").alias("items"))
     items = F.when(F.col("bad"), F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items"))
-    ready = common.cut(own.select(items.alias("items"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i")).select("items"), "url-transactions")
+    copies = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i")
+    ready = common.cut(own.select(items.alias("items"), copies).select("items"), "url-transactions")
     held = ready.count()
     # Transactions without a telling token are left out; the least count is the same.
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, held)), minConfidence=confidence).fit(ready)
-    share = transactions.agg(F.avg(F.col("bad").cast("double"))).first()[0] or 1.0
-    return model.freqItemsets, model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BAD))).withColumn("lift", F.col("confidence") / F.lit(share))
+    growth = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, held)), numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = growth.fit(ready).freqItemsets
+    # An item set with the label token is no more frequent than the one without it, which is thus found too.
+    bad = F.array_contains("items", _BAD)
+    antecedent = F.array_sort(F.array_remove("items", _BAD)).alias("antecedent")
+    counts = found.select(antecedent, "freq", bad.alias("bad")).filter(F.size("antecedent") > 0)
+    both = counts.groupBy("antecedent").agg(F.max(F.when(F.col("bad"), F.col("freq"))).alias("hit"), F.max(F.when(~F.col("bad"), F.col("freq"))).alias("freq"))
+    rules = both.select("antecedent", (F.col("hit") / F.col("freq")).alias("confidence")).withColumn("lift", F.col("confidence") / F.lit(share or 1.0))
+    return rules, classes
 
 
 def transactions_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -106,9 +137,10 @@ def transactions_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def report(pages: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> dict[str, float | int | None]:
     """Figures of the mining: labelled URLs, bad share, item sets, rules before and after the bounds, best lift and confidence."""
     t = common.cut(transactions_of(pages, labels), "url-report")
-    sets, rules = frequent(t, support, least_count, 0.0)
-    best = rules.agg(F.count("*").alias("rules"), F.max("lift").alias("best_lift"), F.max("confidence").alias("best_confidence"), F.count_if((F.col("confidence") >= confidence) & (F.col("lift") >= lift)).alias("kept")).first()
-    return {"urls": t.count(), "bad_share": t.agg(F.avg(F.col("bad").cast("double"))).first()[0], "item_sets": sets.count(), **best.asDict()}
+    rules = frequent(t, support, least_count)[0]
+    kept = (F.col("confidence") >= confidence) & (F.col("lift") >= lift)
+    best = rules.agg(F.count("*").alias("item_sets"), F.count("confidence").alias("rules"), F.max("lift").alias("best_lift"), F.max("confidence").alias("best_confidence"), F.count_if(kept).alias("kept"))
+    return {"urls": t.count(), "bad_share": t.agg(F.avg(F.col("bad").cast("double"))).first()[0], **best.first().asDict()}
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, broadcast_rules: int = _BROADCAST_RULES, **mining) -> DataFrame:
@@ -120,11 +152,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     rule, verdict = given_rule(F.col("host"), F.col("path"), rules)
     if not n:
         return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("rule_confidence"))
-    index = mined.select(F.col("key").alias("_token"), "antecedent", "confidence")
+    index = mined.select(F.explode("key").alias("_token"), "members", "confidence")
     index = F.broadcast(index) if n <= broadcast_rules else index
     # Equal token sets are looked up once: a host with a third of all rows has few of them.
     sets = common.cut(listed.select("items", F.md5(F.to_json("items")).alias("_set")).groupBy("_set").agg(F.first("items").alias("items")), "url-sets")
-    hits = sets.select("_set", "items", F.explode("items").alias("_token")).join(index, "_token").filter(F.size(F.array_except("antecedent", "items")) == 0)
+    looked_up = sets.select("_set", "items", F.explode("items").alias("_token")).join(index, "_token")
+    hits = looked_up.filter(F.forall("members", lambda own: F.arrays_overlap(own, F.col("items"))))
     best = common.cut(hits.groupBy("_set").agg(F.max("confidence").alias("rule_confidence")), "url-hits")
     joined = listed.withColumn("_set", F.md5(F.to_json("items"))).join(best, "_set", "left")
     mined_verdict = F.when(F.col("rule_confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
