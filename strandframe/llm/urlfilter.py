@@ -74,7 +74,7 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def mine(transactions: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> DataFrame:
+def mine(transactions: DataFrame, support: float = 0.001, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> DataFrame:
     """The rules that lead to the label token; transactions: items, bad.
 
     antecedent (array of classes, each named by its least token), members (array of each class's tokens: a URL fits if it holds one of each), confidence,
@@ -100,7 +100,7 @@ def token_classes(sets: DataFrame, least: float) -> DataFrame:
     return classes.select(F.col("members")[0].alias("class"), "members", "n")
 
 
-def frequent(transactions: DataFrame, support: float = 0.005, least_count: int = 20) -> tuple[DataFrame, DataFrame]:
+def frequent(transactions: DataFrame, support: float = 0.001, least_count: int = 20) -> tuple[DataFrame, DataFrame]:
     """What FP-growth finds in the transactions: rules that lead to the label token (antecedent, confidence, lift; confidence is null where bad URLs are
     too few), and the token classes they are made of."""
     n, share = transactions.agg(F.count("*"), F.avg(F.col("bad").cast("double"))).first()
@@ -134,7 +134,7 @@ def transactions_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return listed.join(bad, "page_id").filter(F.size("items") > 0).select("items", "bad")
 
 
-def report(pages: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> dict[str, float | int | None]:
+def report(pages: DataFrame, labels: DataFrame, support: float = 0.001, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> dict[str, float | int | None]:
     """Figures of the mining: labelled URLs, bad share, item sets, rules before and after the bounds, best lift and confidence."""
     t = common.cut(transactions_of(pages, labels), "url-report")
     rules = frequent(t, support, least_count)[0]

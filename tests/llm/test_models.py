@@ -323,7 +323,7 @@ def test_mined_rules_against_brute_force(spark):
             for x in combinations(sorted(items), k):
                 have[x] += 1
                 bad[x] += b
-    want = {x: bad[x] / have[x] for x in bad if bad[x] >= max(0.005 * n, 20) and bad[x] / have[x] >= 0.6 and bad[x] / have[x] / share >= 1.5}
+    want = {x: bad[x] / have[x] for x in bad if bad[x] >= max(0.001 * n, 20) and bad[x] / have[x] >= 0.6 and bad[x] / have[x] / share >= 1.5}
     mined = urlfilter.mine(urlfilter.transactions_of(pages, labels)).collect()
     # Tokens that the same URLs hold are one class in the mined rules, and tokens that all hold are in none.
     holders = {x: frozenset(i for i, (items, _) in enumerate(t) if x in items) for x in {x for items, _ in t for x in items}}
