@@ -1,4 +1,5 @@
-"""Helpers that the operators of this subpackage share. Columns whose names begin with _strand_ are theirs; tables mustn't have any."""
+"""Helpers that the operators of this subpackage share. Columns whose names begin with _strand_ are theirs; tables mustn't have any. doc_id, page_id and item_id are
+integers, or text that holds nothing else: other ids fail, under ANSI, at the cast."""
 
 from __future__ import annotations
 

@@ -60,7 +60,13 @@ class Sizer:
         if self._made is None:
             d = zstandard.ZstdCompressionDict(self.content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=self.level)
-            self._made = zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            self._made = zstandard.ZstdCompressor(
+                level=self.level,
+                dict_data=d,
+                write_content_size=False,
+                write_checksum=False,
+                write_dict_id=False,
+            ).compress
         return np.fromiter(map(len, map(self._made, parts)), dtype=np.int64, count=len(parts))
 
 
@@ -150,7 +156,16 @@ def _texts(rows: list) -> list[list[bytes]]:
     return [[r["text"].encode() for r in rows if r["y"] == y] for y in (1, 0)]
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 64, level: int = 12, own_bytes: int = 4096, common_bytes: int = 131072, folds: int = 5) -> Toxicity | None:
+def learn_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    per_class: int = 1500,
+    window: int = 64,
+    level: int = 12,
+    own_bytes: int = 4096,
+    common_bytes: int = 131072,
+    folds: int = 5,
+) -> Toxicity | None:
     def build(rows: list) -> Toxicity:
         toxic, ordinary = ([t.lower() for t in x] for x in _texts(rows))
         (own, common_text), (other, _) = parted(toxic, ordinary), parted(ordinary, toxic)
@@ -160,7 +175,15 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, wi
     return _cross_fitted(labelled.sample(docs, labels, "toxic", per_class).collect(), build, folds)  # 2 * per_class rows at most
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, window: int = 1024, level: int = 12, dictionary_bytes: int = 131072, folds: int = 2) -> Quality | None:
+def learn_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    per_class: int = 1500,
+    window: int = 1024,
+    level: int = 12,
+    dictionary_bytes: int = 131072,
+    folds: int = 2,
+) -> Quality | None:
     def build(rows: list) -> Quality:
         return Quality(*(Sizer(_passages(x, dictionary_bytes) or b" ", level) for x in without_shared_lines(_texts(rows))), window)
 
@@ -190,7 +213,12 @@ def _scored(spark, sf_dir: str, learn, threshold: float) -> DataFrame:
     docs, labels = common.docs_of(spark, sf_dir), common.docs_of(spark, sf_dir, "labels")
     model = learn(docs, labels)
     found = score(docs.select("doc_id", "text"), model).select("doc_id", "score")
-    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

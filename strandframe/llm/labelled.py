@@ -15,7 +15,12 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int = 150
     Rows whose crc32(doc_id) mod held_out_mod is 0 are never taken, nor are documents of more than max_chars characters. half (0 or 1) parts the
     sample, so that what is fitted on one half can be calibrated on the other. The sample's size doesn't follow the input's.
     """
-    y = labels.filter(fold(F.col("doc_id"), held_out_mod) != 0).filter(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
+    y = (
+        labels.filter(fold(F.col("doc_id"), held_out_mod) != 0)
+        .filter(F.col(target).isin(0, 1))
+        .groupBy("doc_id")
+        .agg(F.max(target).cast("int").alias("y"))
+    )
     order = [F.xxhash64(F.lit(target), "doc_id"), F.col("doc_id")]
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, max_chars))
     y = y.join(texts.select("doc_id"), "doc_id", "left_semi")

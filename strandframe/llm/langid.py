@@ -46,7 +46,12 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Code of each trigram (its middle is a letter), and the row it belongs to."""
     joined = "\n".join(["", *(t.decode("utf-8", "replace") for t in texts), ""])
     points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    sizes = np.array([len(t.decode("utf-8", "replace")) for t in texts], dtype=np.int64) if len(texts) > 1 else np.array([len(points) - 2], dtype=np.int64)
+    sizes = (
+        np.array(
+            [len(t.decode("utf-8", "replace")) for t in texts],
+            dtype=np.int64,
+        ) if len(texts) > 1 else np.array([len(points) - 2], dtype=np.int64)
+    )
     ends = 1 + np.cumsum(sizes + 1)
     c = _folded()[points]
     keep = np.flatnonzero((c != 0x20) | np.concatenate([[True], c[:-1] != 0x20]))
@@ -102,7 +107,13 @@ class Filter:
                 for slot in _slots(codes, log2, hashes):
                     yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(word), pa.array(mask)], names=["slot", "word", "mask"])
 
-        found = held.select(F.col("number").cast("int"), "code").mapInArrow(run, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+        found = (
+            held.select(F.col("number").cast("int"), "code")
+            .mapInArrow(run, "slot long, word int, mask long")
+            .groupBy("slot", "word")
+            .agg(F.bit_or("mask").alias("mask"))
+            .toPandas()
+        )
         masks = np.zeros((1 << log2, -(-len(langs) // 64)), dtype=np.uint64)
         masks[found["slot"].to_numpy(), found["word"].to_numpy()] = found["mask"].to_numpy(dtype=np.int64).view(np.uint64)
         return cls(langs, log2, hashes, masks, default)
@@ -113,7 +124,16 @@ class Filter:
         held = None
         for slot in _slots(codes, self.log2, self.hashes):
             held = self.masks[slot] if held is None else held & self.masks[slot]
-        counts = np.stack([np.bincount(rows, weights=((held[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(np.float64), minlength=len(texts))[: len(texts)] for i in range(len(self.langs))], axis=1)
+        counts = np.stack(
+            [
+                np.bincount(
+                    rows,
+                    weights=((held[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(np.float64),
+                    minlength=len(texts),
+                )[: len(texts)] for i in range(len(self.langs))
+            ],
+            axis=1,
+        )
         right = np.maximum(0, counts - n[:, None] * self.false) / (1 - np.minimum(self.false, 0.999))
         total = right.sum(axis=1)
         best = np.where(total > 0, right.argmax(axis=1), self.default)
@@ -152,10 +172,15 @@ def identify(docs: DataFrame, model: Filter | None) -> DataFrame:
                 langs, scores = blob.value.decide(texts) if blob.value else (["und"] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = common.docs_of(spark, sf_dir)
-    model = learn(docs.filter(fold(F.col("doc_id"), 4) != 2).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    model = learn(
+        docs.filter(fold(F.col("doc_id"), 4) != 2).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    )
     return identify(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

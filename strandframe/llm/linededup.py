@@ -70,7 +70,12 @@ class PerfectHash:
             sizes.append(size)
             rest = ~alone[slot]
             left1, left2, level = left1[rest], left2[rest], level + 1
-        made = cls(np.array(sizes, dtype=np.int64), np.concatenate(planes) if planes else np.zeros(0, np.uint8), np.zeros(len(h1), np.uint64), np.zeros(len(h1), np.uint32))
+        made = cls(
+            np.array(sizes, dtype=np.int64),
+            np.concatenate(planes) if planes else np.zeros(0, np.uint8),
+            np.zeros(len(h1), np.uint64),
+            np.zeros(len(h1), np.uint32),
+        )
         at = made.index(h1, h2)
         made.prints[at], made.counts[at] = h2, np.minimum(counts, 2**32 - 1)
         return made
@@ -126,7 +131,9 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
                     held += {_pair(k) for k in set(_keys(t.as_py())) if _long_enough(k, min_chars)}
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], type=pa.int64()) for i in (0, 1)], names=["h1", "h2"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    return (
+        docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    )
 
 
 def _shard(shards: int) -> Column:
@@ -139,9 +146,20 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         h1, h2, n = (_uint(table.column(c).combine_chunks()) for c in ("h1", "h2", "n"))
         made = PerfectHash.build(h1, h2, n)
-        return pa.table([pa.array([table.column("shard")[0].as_py()], type=pa.int32()), pa.array([int(n.sum())], type=pa.int64()), *(pa.array([x], type=pa.binary()) for x in made.parts())], names=["shard", "load", "sizes", "bits", "prints", "counts"])
-
-    return counts.select(_shard(shards).alias("shard"), "h1", "h2", "n").groupBy("shard").applyInArrow(run, "shard int, load long, sizes binary, bits binary, prints binary, counts binary")
+        return pa.table(
+            [
+                pa.array([table.column("shard")[0].as_py()], type=pa.int32()),
+                pa.array([int(n.sum())], type=pa.int64()),
+                *(pa.array([x], type=pa.binary()) for x in made.parts()),
+            ],
+            names=["shard", "load", "sizes", "bits", "prints", "counts"],
+        )
+
+    return (
+        counts.select(_shard(shards).alias("shard"), "h1", "h2", "n")
+        .groupBy("shard")
+        .applyInArrow(run, "shard int, load long, sizes binary, bits binary, prints binary, counts binary")
+    )
 
 
 def _probes(keyed: DataFrame, shards: int, min_chars: int) -> DataFrame:
@@ -160,7 +178,11 @@ def _probes(keyed: DataFrame, shards: int, min_chars: int) -> DataFrame:
                 both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x, kind in ((k1, pa.int64()), (k2, pa.int64()), (at, pa.int32()), (both[:, 0], pa.int64()), (both[:, 1], pa.int64()))], names=["_strand_k1", "_strand_k2", "line", "h1", "h2"])
 
-    return keyed.select("_strand_k1", "_strand_k2", "text").mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int, h1 long, h2 long").withColumn("shard", _shard(shards))
+    return (
+        keyed.select("_strand_k1", "_strand_k2", "text")
+        .mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int, h1 long, h2 long")
+        .withColumn("shard", _shard(shards))
+    )
 
 
 def _probe(index: DataFrame, probes: DataFrame, min_docs: int, most: int) -> DataFrame:
@@ -186,9 +208,29 @@ def _probe(index: DataFrame, probes: DataFrame, min_docs: int, most: int) -> Dat
     parts = (F.floor(F.col("load") / most) + 1).cast("int")
     crowded = index.select("shard", parts.alias("parts")).filter("parts > 1")
     copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("load")
-    dealt = probes.join(crowded, "shard", "left").withColumn("part", F.pmod(F.xxhash64("_strand_k1", "_strand_k2"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    both = copies.unionByName(dealt, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("sizes").isNull())
-    return both.select("shard", "part", "sizes", "bits", "prints", "counts", "_strand_k1", "_strand_k2", "line", "h1", "h2").mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int")
+    dealt = (
+        probes.join(crowded, "shard", "left")
+        .withColumn("part", F.pmod(F.xxhash64("_strand_k1", "_strand_k2"), F.coalesce("parts", F.lit(1))).cast("int"))
+        .drop("parts")
+    )
+    both = (
+        copies.unionByName(dealt, allowMissingColumns=True)
+        .repartition("shard", "part")
+        .sortWithinPartitions("shard", "part", F.col("sizes").isNull())
+    )
+    return both.select(
+        "shard",
+        "part",
+        "sizes",
+        "bits",
+        "prints",
+        "counts",
+        "_strand_k1",
+        "_strand_k2",
+        "line",
+        "h1",
+        "h2",
+    ).mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int")
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_lines: int = 500_000) -> DataFrame:
@@ -224,7 +266,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, s
                     else:
                         n_dropped.append(0)
                     texts.append(raw)
-                kept = [pa.array(texts, type=pa.binary()).cast(pa.string()) if n == "text" else part.column(part.schema.get_field_index(n)) for n in names]
+                kept = [
+                    pa.array(texts, type=pa.binary()).cast(pa.string()) if n == "text" else part.column(part.schema.get_field_index(n)) for n in names
+                ]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(n_lines, type=pa.int64()), pa.array(n_dropped, type=pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     schema = joined.select(*names).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema

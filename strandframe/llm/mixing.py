@@ -48,9 +48,20 @@ def exponent(totals: DataFrame, entropy: float, max_repeat: float, budget: int |
     def measured(low: float, high: float) -> list[tuple[float, float, float]]:
         grid = [low + (high - low) * i / points for i in range(points + 1)]
         x = F.log(F.col("t") / F.lit(float(top["top"])))
-        rows = totals.select("t", F.explode(F.array(*[F.lit(a) for a in grid])).alias("a")).select("a", x.alias("x"), F.exp(F.col("a") * x).alias("e"))
+        rows = totals.select(
+            "t",
+            F.explode(F.array(*[F.lit(a) for a in grid])).alias("a"),
+        ).select("a", x.alias("x"), F.exp(F.col("a") * x).alias("e"))
         # Times that a source is repeated: budget * weight / t; without a budget, the largest source once.
-        got = rows.groupBy("a").agg(F.sum("e").alias("z"), F.sum(F.col("e") * F.col("a") * F.col("x")).alias("s"), F.max(F.col("e") / F.exp("x")).alias("r")).select("a", (F.log("z") - F.col("s") / F.col("z")).alias("h"), (F.col("r") if budget is None else F.col("r") * budget / F.col("z") / float(top["top"])).alias("r"))
+        got = (
+            rows.groupBy("a")
+            .agg(F.sum("e").alias("z"), F.sum(F.col("e") * F.col("a") * F.col("x")).alias("s"), F.max(F.col("e") / F.exp("x")).alias("r"))
+            .select(
+                "a",
+                (F.log("z") - F.col("s") / F.col("z")).alias("h"),
+                (F.col("r") if budget is None else F.col("r") * budget / F.col("z") / float(top["top"])).alias("r"),
+            )
+        )
         return sorted((r["a"], r["h"], r["r"]) for r in got.collect())
 
     def bisect(holds, first_that_holds: bool) -> float:
@@ -84,29 +95,57 @@ def plan(counted: DataFrame, entropy: float, max_repeat: float, budget: int | No
         times = F.pow(F.lit(float(top["top"] or 1)) / F.col("t"), F.lit(1 - a))
     else:
         times = F.pow(F.col("t").cast("double"), F.lit(a)) / F.lit(top["z"] or 1.0) * budget / F.col("t")
-    goal = totals.select(F.col("source").alias("_strand_s"), F.when(F.col("t") > 0, F.round(times, 9)).otherwise(1.0).alias("times"), F.col("t").alias("total"))
+    goal = totals.select(
+        F.col("source").alias("_strand_s"),
+        F.when(F.col("t") > 0, F.round(times, 9)).otherwise(1.0).alias("times"),
+        F.col("t").alias("total"),
+    )
     ranked = each.join(goal, F.col("source").eqNullSafe(F.col("_strand_s"))).withColumn("whole", F.floor("times").cast("int"))
     order = W.partitionBy("source").orderBy(_drawn(seed, F.col("source"), F.col("block"), F.col("whole") + 1), "block")  # the last epoch's permutation; a source has `blocks` rows here
     ranked = ranked.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("t").over(order.rowsBetween(W.unboundedPreceding, 0)))
     extra = (F.col("upto") <= (F.col("times") - F.col("whole")) * F.col("total") + 1e-6) & (F.col("times") > F.col("whole"))
     copies = F.col("whole") + extra.cast("int")
     places = F.transform(F.sequence(F.lit(1), "copies"), lambda epoch: _drawn(seed, F.col("source"), F.col("block"), epoch))
-    made = common.cut(ranked.withColumn("copies", copies).filter("copies > 0").select(F.col("source").alias("_strand_s"), F.col("block").alias("_strand_b"), places.alias("_strand_places")), "mix-plan")
+    made = common.cut(
+        ranked.withColumn("copies", copies)
+        .filter("copies > 0")
+        .select(F.col("source").alias("_strand_s"), F.col("block").alias("_strand_b"), places.alias("_strand_places")),
+        "mix-plan",
+    )
     return made, made.agg(F.sum(F.size("_strand_places"))).first()[0] or 0
 
 
-def mixture(docs: DataFrame, entropy: float = 0.97, max_repeat: float = 4.0, budget: int | None = None, blocks: int = 256, seed: int = 42, broadcast_places: int = _BROADCAST_PLACES) -> DataFrame:
+def mixture(
+    docs: DataFrame,
+    entropy: float = 0.97,
+    max_repeat: float = 4.0,
+    budget: int | None = None,
+    blocks: int = 256,
+    seed: int = 42,
+    broadcast_places: int = _BROADCAST_PLACES,
+) -> DataFrame:
     """The rows of docs as often as their source's weight asks, with n_tokens, epoch (1, 2, ...), block, and place: of the block in its epoch."""
     names = [c for c in docs.columns if c not in ADDED]
-    counted = docs.select(*names).withColumn("n_tokens", n_tokens(F.col("text").cast("string"))).withColumn("block", (_drawn(seed, F.col("doc_id")) % blocks).cast("int"))
+    counted = (
+        docs.select(*names)
+        .withColumn("n_tokens", n_tokens(F.col("text").cast("string")))
+        .withColumn("block", (_drawn(seed, F.col("doc_id")) % blocks).cast("int"))
+    )
     made, held = plan(counted.select("source", "block", "n_tokens"), entropy, max_repeat, budget, blocks, seed)
     same = F.col("source").eqNullSafe(F.col("_strand_s")) & (F.col("block") == F.col("_strand_b"))
     if held <= broadcast_places:
         joined = counted.join(F.broadcast(made), same)
     else:  # a block of a source with a third of all rows would be too much for one task
         salted = made.withColumn("_strand_part", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        joined = counted.withColumn("_strand_salt", F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(_SALTS)).cast("int")).join(salted, same & (F.col("_strand_salt") == F.col("_strand_part")))
-    return joined.select("*", F.posexplode("_strand_places").alias("_strand_e", "place")).withColumn("epoch", F.col("_strand_e") + 1).select(*names, *ADDED)
+        joined = counted.withColumn(
+            "_strand_salt",
+            F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(_SALTS)).cast("int"),
+        ).join(salted, same & (F.col("_strand_salt") == F.col("_strand_part")))
+    return (
+        joined.select("*", F.posexplode("_strand_places").alias("_strand_e", "place"))
+        .withColumn("epoch", F.col("_strand_e") + 1)
+        .select(*names, *ADDED)
+    )
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -115,7 +154,11 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql_drawn(*of: str, seed: int = 42) -> str:
-    return "CAST('0x' || substr(md5(concat_ws('|', '" + str(seed) + "', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in of) + ")), 1, 15) AS BIGINT)"
+    return (
+        "CAST('0x' || substr(md5(concat_ws('|', '" + str(seed) + "', " + ", ".join(
+            f"coalesce(CAST({c} AS VARCHAR), '')" for c in of
+        ) + ")), 1, 15) AS BIGINT)"
+    )
 
 
 #: The bisection ends on multiples of 2**-20; SQL looks at all of them.

@@ -77,7 +77,9 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray, log2: int) -> tuple[np.ndar
         more = np.flatnonzero(sizes > k)
         c[more] = c[more] << np.uint64(8) | data[starts[more] + k]
     with np.errstate(over="ignore"):
-        slot = (mix(c[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ mix(c[1:-1] * np.uint64(0xD6E8FEB86659FD93) ^ c[2:])) >> np.uint64(64 - log2)).astype(np.int64)
+        slot = (
+            mix(c[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ mix(c[1:-1] * np.uint64(0xD6E8FEB86659FD93) ^ c[2:])) >> np.uint64(64 - log2)
+        ).astype(np.int64)
     bounds = np.searchsorted(starts, offsets)
     whole = np.ones(len(slot), dtype=bool)
     for k in (1, 2):
@@ -92,7 +94,11 @@ def _features(data: np.ndarray, offsets: np.ndarray, found: tuple, log2: int) ->
     h, _, _, rows = found
     pairs, first = grams(h, rows, 2)
     texts, high = np.arange(len(offsets)), np.uint64(64 - log2)
-    return [((h >> high).astype(np.int64), np.searchsorted(rows, texts)), ((pairs >> high).astype(np.int64), np.searchsorted(rows[first], texts)), _trigrams(data, offsets, log2)]
+    return [
+        ((h >> high).astype(np.int64), np.searchsorted(rows, texts)),
+        ((pairs >> high).astype(np.int64), np.searchsorted(rows[first], texts)),
+        _trigrams(data, offsets, log2),
+    ]
 
 
 def _sparse(batches: Iterator[pa.RecordBatch], log2: int) -> Iterator[pa.RecordBatch]:
@@ -129,7 +135,11 @@ def _train(features: DataFrame, n: dict[int, int]) -> np.ndarray:
     """Coefficients of the logistic regression; both labels weigh alike. The vectors' struct, once written, is read as Spark ML's own type."""
     weight = F.when(F.col("y") == 1, 0.5 / n[1]).otherwise(0.5 / n[0]) * sum(n.values())
     path = common.table(features.select(F.col("y").cast("double").alias("label"), "features", weight.alias("weight")), "rules-train")
-    ready = features.sparkSession.read.schema(StructType([StructField("label", DoubleType()), StructField("features", VectorUDT()), StructField("weight", DoubleType())])).parquet(path)
+    ready = (
+        features.sparkSession.read
+        .schema(StructType([StructField("label", DoubleType()), StructField("features", VectorUDT()), StructField("weight", DoubleType())]))
+        .parquet(path)
+    )
     return np.asarray(LogisticRegression(maxIter=40, regParam=1e-3, standardization=False, weightCol="weight").fit(ready).coefficients.toArray())
 
 
@@ -161,10 +171,17 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = 0.3, least_wo
                 data, offsets = buffers(part.column(1))
                 found = words(data, offsets, NONSPACE)
                 base = base_counts(data, offsets, found)
-                p = pa.array(blob.value.calibration(blob.value.margins(data, offsets, found)[:, None])) if blob.value else pa.nulls(part.num_rows, pa.float64())
+                p = (
+                    pa.array(
+                        blob.value.calibration(blob.value.margins(data, offsets, found)[:, None])
+                    ) if blob.value else pa.nulls(part.num_rows, pa.float64())
+                )
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(base[c]) for c in counts), p], names=["doc_id", *counts, "p_good"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in counts)}, p_good double")
+    made = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in counts)}, p_good double")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     return made.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("p_good", F.lit(1.0)) >= threshold))
 

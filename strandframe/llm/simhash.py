@@ -47,7 +47,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 made = pa.array([_fingerprint(t.as_py()) for t in part.column(2)], type=pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], names=["doc_id", "_strand_k2", "fp"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(F.col("doc_id"), F.col("text"))[1], F.col("text").cast("string").alias("text"))
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        common.row_key(F.col("doc_id"), F.col("text"))[1],
+        F.col("text").cast("string").alias("text"),
+    )
     return keyed.mapInArrow(run, "doc_id long, _strand_k2 long, fp long")
 
 
@@ -64,14 +68,30 @@ def _signed(x: int) -> int:
 def links(distinct: DataFrame, distance: int = 3, blocks: int = 6, small_bucket: int = 512) -> DataFrame:
     """(a, b) of fingerprints (column fp, distinct) that keep every pair within distance in one component."""
     masks = [_signed(m) for m in block_masks(blocks, distance)]
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("_b")).select("fp", "_b.t", "_b.key")
+    keyed = distinct.select(
+        "fp",
+        F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("_b"),
+    ).select("fp", "_b.t", "_b.key")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
-    full = common.cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-buckets")
+    full = common.cut(
+        keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"),
+        "simhash-buckets",
+    )
     twos = full.filter("n = 2").filter(near(F.col("a"), F.col("b"))).select("a", "b")
     members = common.cut(keyed.join(full.filter("n > 2").select("t", "key", "n"), ["t", "key"]), "simhash-members")
     few = members.filter(F.col("n") <= small_bucket)
-    pairs = few.select("t", "key", F.col("fp").alias("a")).join(few.select("t", "key", F.col("fp").alias("b")), ["t", "key"]).filter((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b")
-    return common.cut(twos.unionByName(pairs).unionByName(_through_neighbours(members.filter(F.col("n") > small_bucket).select("fp").distinct(), distance)).distinct(), "simhash-links")
+    pairs = (
+        few.select("t", "key", F.col("fp").alias("a"))
+        .join(few.select("t", "key", F.col("fp").alias("b")), ["t", "key"])
+        .filter((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b")))
+        .select("a", "b")
+    )
+    return common.cut(
+        twos.unionByName(pairs)
+        .unionByName(_through_neighbours(members.filter(F.col("n") > small_bucket).select("fp").distinct(), distance))
+        .distinct(),
+        "simhash-links",
+    )
 
 
 def _through_neighbours(crowd: DataFrame, distance: int) -> DataFrame:
@@ -79,7 +99,11 @@ def _through_neighbours(crowd: DataFrame, distance: int) -> DataFrame:
     another joins the two. All near members of a value are within the distance of its anchor, so a star keeps the component."""
     close, wide = distance // 2, distance - distance // 2
     flips = [_signed(sum(1 << i for i in c)) for k in range(wide + 1) for c in combinations(range(64), k)]
-    values = crowd.select("fp", F.explode(F.lit(flips).cast("array<long>")).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), F.bit_count("m").alias("d"))
+    values = crowd.select("fp", F.explode(F.lit(flips).cast("array<long>")).alias("m")).select(
+        "fp",
+        F.col("fp").bitwiseXOR(F.col("m")).alias("v"),
+        F.bit_count("m").alias("d"),
+    )
     anchors = values.filter(F.col("d") <= close).groupBy("v").agg(F.min("fp").alias("a"))
     return values.join(anchors, "v").filter("fp <> a").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
 
@@ -93,7 +117,10 @@ def components(edges: DataFrame) -> DataFrame:
         heard = both.join(labels.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("heard"))
         near = labels.join(heard, "u").select("u", "root", F.least("root", "heard").alias("new"))
         up = labels.select(F.col("u").alias("new"), F.col("root").alias("far"))
-        nxt = common.cut(near.join(up, "new").select("u", F.least("new", "far").alias("root"), (F.least("new", "far") < F.col("root")).alias("moved")), "simhash-labels")
+        nxt = common.cut(
+            near.join(up, "new").select("u", F.least("new", "far").alias("root"), (F.least("new", "far") < F.col("root")).alias("moved")),
+            "simhash-labels",
+        )
         if not nxt.filter("moved").head(1):
             return nxt.select(F.col("u").alias("fp"), "root")
         labels = nxt.select("u", "root")
@@ -122,10 +149,20 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     # A component is known by its least doc_id; the least text hash decides where that id repeats.
     key = ["_strand_k1", "_strand_k2"]
-    found = common.cut(near_duplicates(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"), "_strand_k2", F.coalesce("component_id", F.lit(-(2**63))).alias("_strand_c")), "simhash-found")
+    found = common.cut(
+        near_duplicates(docs).select(
+            F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"),
+            "_strand_k2",
+            F.coalesce("component_id", F.lit(-(2**63))).alias("_strand_c"),
+        ),
+        "simhash-found",
+    )
     heads = found.filter("_strand_k1 = _strand_c")
     repeated = heads.groupBy("_strand_c").agg(F.min("_strand_k2").alias("_strand_least"), F.count("*").alias("_strand_n")).filter("_strand_n > 1")
-    repeated = common.cut(heads.join(repeated, "_strand_c").select(*key, (F.col("_strand_k2") == F.col("_strand_least")).alias("_strand_head")).distinct(), "simhash-repeated")
+    repeated = common.cut(
+        heads.join(repeated, "_strand_c").select(*key, (F.col("_strand_k2") == F.col("_strand_least")).alias("_strand_head")).distinct(),
+        "simhash-repeated",
+    )
     gone = common.cut(found.filter("_strand_k1 <> _strand_c").select(*key).unionByName(repeated.select(*key)).distinct(), "simhash-gone")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.withColumns({"_strand_k1": k1, "_strand_k2": k2})

@@ -48,7 +48,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column and the offset of each row in them, with the end at last."""
     wide = column.type in (pa.large_binary(), pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    offsets = np.frombuffer(
+        column.buffers()[1],
+        dtype=np.int64 if wide else np.int32,
+    )[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
     return data, offsets - offsets[0]

@@ -44,7 +44,16 @@ L, N, P, A2, A3, SPL, WL, WI = range(8)
 # States: END of a piece, in letters, digits, others, after a leading space, in white space, one or two letters before a contraction's end.
 END, IN_L, IN_N, IN_P, IN_S, IN_W, LEFT1, LEFT2 = range(8)
 _BEGIN = {L: IN_L, N: IN_N, P: IN_P, A2: LEFT1, A3: LEFT2, SPL: IN_S, WL: END, WI: IN_W}
-_GO_ON = {IN_L: {L: IN_L}, IN_N: {N: IN_N}, IN_P: {P: IN_P, A2: IN_P, A3: IN_P}, IN_S: {L: IN_L, N: IN_N, P: IN_P, A2: IN_P, A3: IN_P}, IN_W: {WI: IN_W}, LEFT1: dict.fromkeys(range(8), END), LEFT2: dict.fromkeys(range(8), LEFT1), END: {}}
+_GO_ON = {
+    IN_L: {L: IN_L},
+    IN_N: {N: IN_N},
+    IN_P: {P: IN_P, A2: IN_P, A3: IN_P},
+    IN_S: {L: IN_L, N: IN_N, P: IN_P, A2: IN_P, A3: IN_P},
+    IN_W: {WI: IN_W},
+    LEFT1: dict.fromkeys(range(8), END),
+    LEFT2: dict.fromkeys(range(8), LEFT1),
+    END: {},
+}
 #: NEXT[kind, state], and STARTS[kind, state]: a piece begins with the character. Kinds from 8 on are those at the start of a text.
 NEXT = np.array([[_GO_ON[s].get(k, _BEGIN[k]) for s in range(8)] for k in range(8)] + [[_BEGIN[k]] * 8 for k in range(8)], dtype=np.uint8)
 STARTS = np.array([[k not in _GO_ON[s] for s in range(8)] for k in range(8)] + [[True] * 8] * 8)
@@ -121,7 +130,11 @@ class Table:
 
     def __init__(self, log2: int = 16):
         self.log2, self.held = log2, 0
-        self.keys, self.to, self.change = np.full(1 << log2, -1, dtype=np.int64), np.zeros(1 << log2, dtype=np.int64), np.zeros(1 << log2, dtype=np.int64)
+        self.keys, self.to, self.change = (
+            np.full(1 << log2, -1, dtype=np.int64),
+            np.zeros(1 << log2, dtype=np.int64),
+            np.zeros(1 << log2, dtype=np.int64),
+        )
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or the complement of the free place where it belongs."""
@@ -187,7 +200,13 @@ class Counter:
         key = (token, right)
         if key not in self.edges:
             parts = self.splits.get(token)
-            self.edges[key] = [(token, math.inf)] if parts is None else [*self._edge(parts[1] if right else parts[0], right)[:-1], (parts[1] if right else parts[0], parts[2]), (token, math.inf)]
+            self.edges[key] = (
+                [(token, math.inf)] if parts is None else [
+                    *self._edge(parts[1] if right else parts[0], right)[:-1],
+                    (parts[1] if right else parts[0], parts[2]),
+                    (token, math.inf),
+                ]
+            )
         return self.edges[key]
 
     def _follows(self, before: int, token: int) -> bool:
@@ -386,7 +405,10 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
                 n = t.counts(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in texts], type=pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -81,7 +81,11 @@ def mine(transactions: DataFrame, support: float = 0.001, confidence: float = 0.
     key (the tokens of the rarest class).
     """
     rules, classes = frequent(transactions, support, least_count)
-    kept = rules.filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift)).select("antecedent", "confidence", F.explode("antecedent").alias("class"))
+    kept = rules.filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift)).select(
+        "antecedent",
+        "confidence",
+        F.explode("antecedent").alias("class"),
+    )
     parts = F.array_sort(F.collect_list("members")).alias("members")
     return kept.join(classes, "class").groupBy("antecedent", "confidence").agg(parts, F.min_by("members", F.struct("n", "class")).alias("key"))
 
@@ -93,7 +97,11 @@ def token_classes(sets: DataFrame, least: float) -> DataFrame:
     """
     at = [F.xxhash64(F.lit(seed), "_set", "bad") for seed in (1, 2)]
     each = sets.select("_set", "bad", "n", F.explode("items").alias("token"))
-    tokens = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), F.col("n"))).alias("n_bad"), *[F.bit_xor(a).alias(f"p{i}") for i, a in enumerate(at)])
+    tokens = each.groupBy("token").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("bad"), F.col("n"))).alias("n_bad"),
+        *[F.bit_xor(a).alias(f"p{i}") for i, a in enumerate(at)],
+    )
     whole = sets.agg(F.sum("n")).first()[0]
     telling = tokens.filter((F.col("n_bad") >= least) & (F.col("n") < F.lit(whole)))
     classes = telling.groupBy("p0", "p1", "n").agg(F.array_sort(F.collect_list("token")).alias("members"))
@@ -122,28 +130,55 @@ def frequent(transactions: DataFrame, support: float = 0.001, least_count: int =
     bad = F.array_contains("items", _BAD)
     antecedent = F.array_sort(F.array_remove("items", _BAD)).alias("antecedent")
     counts = found.select(antecedent, "freq", bad.alias("bad")).filter(F.size("antecedent") > 0)
-    both = counts.groupBy("antecedent").agg(F.max(F.when(F.col("bad"), F.col("freq"))).alias("hit"), F.max(F.when(~F.col("bad"), F.col("freq"))).alias("freq"))
-    rules = both.select("antecedent", (F.col("hit") / F.col("freq")).alias("confidence")).withColumn("lift", F.col("confidence") / F.lit(share or 1.0))
+    both = counts.groupBy("antecedent").agg(
+        F.max(F.when(F.col("bad"), F.col("freq"))).alias("hit"),
+        F.max(F.when(~F.col("bad"), F.col("freq"))).alias("freq"),
+    )
+    rules = both.select(
+        "antecedent",
+        (F.col("hit") / F.col("freq")).alias("confidence"),
+    ).withColumn("lift", F.col("confidence") / F.lit(share or 1.0))
     return rules, classes
 
 
 def transactions_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """items, bad: the token sets of labelled URLs."""
-    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(((F.min("quality") == 0) | (F.max("toxic") == 1)).alias("bad")).filter("bad IS NOT NULL")
+    bad = (
+        labels.groupBy(F.col("doc_id").alias("page_id")).agg(((F.min("quality") == 0) | (F.max("toxic") == 1)).alias("bad")).filter("bad IS NOT NULL")
+    )
     listed = parsed(pages).withColumn("items", tokens_of(F.col("url"), F.col("host"), F.col("path")))
     return listed.join(bad, "page_id").filter(F.size("items") > 0).select("items", "bad")
 
 
-def report(pages: DataFrame, labels: DataFrame, support: float = 0.001, confidence: float = 0.6, least_count: int = 20, lift: float = 1.5) -> dict[str, float | int | None]:
+def report(
+    pages: DataFrame,
+    labels: DataFrame,
+    support: float = 0.001,
+    confidence: float = 0.6,
+    least_count: int = 20,
+    lift: float = 1.5,
+) -> dict[str, float | int | None]:
     """Figures of the mining: labelled URLs, bad share, item sets, rules before and after the bounds, best lift and confidence."""
     t = common.cut(transactions_of(pages, labels), "url-report")
     rules = frequent(t, support, least_count)[0]
     kept = (F.col("confidence") >= confidence) & (F.col("lift") >= lift)
-    best = rules.agg(F.count("*").alias("item_sets"), F.count("confidence").alias("rules"), F.max("lift").alias("best_lift"), F.max("confidence").alias("best_confidence"), F.count_if(kept).alias("kept"))
+    best = rules.agg(
+        F.count("*").alias("item_sets"),
+        F.count("confidence").alias("rules"),
+        F.max("lift").alias("best_lift"),
+        F.max("confidence").alias("best_confidence"),
+        F.count_if(kept).alias("kept"),
+    )
     return {"urls": t.count(), "bad_share": t.agg(F.avg(F.col("bad").cast("double"))).first()[0], **best.first().asDict()}
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, broadcast_rules: int = _BROADCAST_RULES, **mining) -> DataFrame:
+def judge(
+    pages: DataFrame,
+    labels: DataFrame,
+    rules: list[tuple[str, str, str]] = RULES,
+    broadcast_rules: int = _BROADCAST_RULES,
+    **mining,
+) -> DataFrame:
     """page_id, host, path, rule, verdict, and rule_confidence (of the best mined rule that fits; null if none) of every row."""
     found = parsed(pages)
     listed = found.withColumn("items", tokens_of(F.col("url"), F.col("host"), F.col("path")))
@@ -151,11 +186,21 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     n = mined.count()
     rule, verdict = given_rule(F.col("host"), F.col("path"), rules)
     if not n:
-        return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("rule_confidence"))
+        return found.select(
+            "page_id",
+            "host",
+            "path",
+            rule.alias("rule"),
+            F.coalesce(verdict, F.lit("allow")).alias("verdict"),
+            F.lit(None).cast("double").alias("rule_confidence"),
+        )
     index = mined.select(F.explode("key").alias("_token"), "members", "confidence")
     index = F.broadcast(index) if n <= broadcast_rules else index
     # Equal token sets are looked up once: a host with a third of all rows has few of them.
-    sets = common.cut(listed.select("items", F.md5(F.to_json("items")).alias("_set")).groupBy("_set").agg(F.first("items").alias("items")), "url-sets")
+    sets = common.cut(
+        listed.select("items", F.md5(F.to_json("items")).alias("_set")).groupBy("_set").agg(F.first("items").alias("items")),
+        "url-sets",
+    )
     looked_up = sets.select("_set", "items", F.explode("items").alias("_token")).join(index, "_token")
     hits = looked_up.filter(F.forall("members", lambda own: F.arrays_overlap(own, F.col("items"))))
     best = common.cut(hits.groupBy("_set").agg(F.max("confidence").alias("rule_confidence")), "url-hits")

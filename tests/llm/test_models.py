@@ -34,13 +34,21 @@ def labelled(spark):
         docs.append((i, " ".join(w), lang, f"s{i % 4}", "own"))
         labels.append((i, quality, toxic))
     docs += [(9001, None, None, None, "own"), (9002, "", "aa", "s0", "own"), (9003, "12 34", "bb", "s0", "own"), docs[5], (9004, "the er " * 20000, "aa", "s1", "own"), (None, "er on", "aa", "s1", "own")]
-    return spark.createDataFrame(docs, DOCS).repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {x[0]: x for x in labels}
+    return (
+        spark.createDataFrame(docs, DOCS).repartition(4),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+        {x[0]: x for x in labels},
+    )
 
 
 @pytest.mark.parametrize(("learn", "column"), [(compression.learn_quality, 1), (compression.learn_toxicity, 2)])
 def test_compression_classifiers(labelled, learn, column):
     docs, labels, truth = labelled
-    got = compression.score(docs, learn(docs, labels), "p").select("doc_id", "p", "score", (langid.fold(F.col("doc_id"), 5) == 0).alias("held")).collect()
+    got = (
+        compression.score(docs, learn(docs, labels), "p")
+        .select("doc_id", "p", "score", (langid.fold(F.col("doc_id"), 5) == 0).alias("held"))
+        .collect()
+    )
     assert len(got) == 706 and all(0 <= r["p"] <= 1 for r in got) and {r["score"] for r in got} == {"own"}
     held = [((r["p"] >= 0.5) == bool(truth[r["doc_id"]][column])) for r in got if r["held"] and r["doc_id"] in truth]
     assert len(held) > 80 and sum(held) / len(held) >= 0.9
@@ -75,7 +83,9 @@ def test_scores_are_differences_of_compressed_sizes(labelled, learn, target):
 
     def size(s, data):
         d = zstandard.ZstdCompressionDict(s.content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return len(zstandard.ZstdCompressor(level=s.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+        return len(
+            zstandard.ZstdCompressor(level=s.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data)
+        )
 
     texts = [r["text"].encode() for r in docs.limit(30).collect() if r["text"]] + [b"", b"a", "é ".encode() * 3000]
     for t, f in zip(texts, model.features(texts), strict=True):
@@ -97,7 +107,10 @@ def test_a_label_given_twice_counts_as_its_larger_value(spark):
 
 
 def test_sample_is_full_where_labels_lack_fitting_documents(spark):
-    docs = spark.createDataFrame([(i, None if i % 5 == 0 else "" if i % 5 == 1 else "x" * 50 if i % 5 == 2 else "text") for i in range(400)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(i, None if i % 5 == 0 else "" if i % 5 == 1 else "x" * 50 if i % 5 == 2 else "text") for i in range(400)],
+        "doc_id long, text string",
+    )
     labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
     got = samples.sample(docs, labels, "quality", per_class=30, max_chars=40).collect()
     assert Counter(r["y"] for r in got) == {0: 30, 1: 30} and {r["text"] for r in got} == {"text"}
@@ -183,7 +196,16 @@ def test_language_id(spark, labelled):
 
 
 def test_few_documents_teach_every_language(spark):
-    rows = spark.createDataFrame([("en", "the cat sat on the mat"), ("en", "where is the house"), ("es", "el gato en la casa"), ("es", "donde esta el perro"), ("xx", "the cat sat on the mat")], "lang string, text string")
+    rows = spark.createDataFrame(
+        [
+            ("en", "the cat sat on the mat"),
+            ("en", "where is the house"),
+            ("es", "el gato en la casa"),
+            ("es", "donde esta el perro"),
+            ("xx", "the cat sat on the mat"),
+        ],
+        "lang string, text string",
+    )
     model = langid.learn(rows)
     assert model.langs == ["en", "es", "xx"]
     docs = spark.createDataFrame([(1, "the house"), (2, "el perro en casa"), (3, "")], "doc_id long, text string")
@@ -239,7 +261,17 @@ def test_token_counts(spark, tokenizer):
 
     rng = random.Random(9)
     parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "'re", "'", "'ll", "1", "23", "!", "%%", "é", "ß", "中文", "\x1c", "\x85", "the", " the", "<|endoftext|>", "🙂", "ing", "\r\n", "\u3000", "½", "'S", "\u200b"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(1500)] + ["a" * 20000, "ab" * 4000, " " * 3000, "\n" * 999 + "x", "", "<|endoftext|>", "word " * 20000]
+    texts = (
+        ["".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(1500)] + [
+            "a" * 20000,
+            "ab" * 4000,
+            " " * 3000,
+            "\n" * 999 + "x",
+            "",
+            "<|endoftext|>",
+            "word " * 20000,
+        ]
+    )
     theirs = Tokenizer.from_file(tokenizer)
     want = {i: len(e.ids) for i, e in enumerate(theirs.encode_batch(texts, add_special_tokens=False))}
     docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id long, text string").repartition(3)
@@ -333,7 +365,12 @@ def test_mined_rules_against_brute_force(spark):
     assert {frozenset(map(frozenset, r["members"])): pytest.approx(r["confidence"]) for r in mined} == reduced and len(mined) == len(reduced)
     assert all(r["key"] in r["members"] and r["antecedent"] == sorted(min(c) for c in r["members"]) for r in mined)
     verdicts = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, labels, rules=[]).collect()}
-    tokens = {r["page_id"]: set(r["t"]) for r in urlfilter.parsed(pages).select("page_id", urlfilter.tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("t")).collect()}
+    tokens = {
+        r["page_id"]: set(r["t"]) for r in urlfilter.parsed(pages).select(
+            "page_id",
+            urlfilter.tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("t"),
+        ).collect()
+    }
     assert verdicts == {i: "block" if any(set(x) <= tokens[i] for x in want) else "allow" for i in tokens}
     assert all((verdicts[i] == "block") == planted for i, _, _, planted in rows)
     figures = urlfilter.report(pages, labels)
@@ -344,7 +381,11 @@ def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), s, "own") for i, s in enumerate(["big"] * 900 + ["mid"] * 200 + ["low"] * 40 + [None] * 20)]
     rows += [(5002, "w " * 300000, "big", "own"), (5000, "", "void", "own"), (5001, None, "void", "own"), rows[0], rows[0]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place string").repartition(4).withColumns({c: F.lit("own") for c in ("_s", "_b", "_e", "places", "copies")})
+    docs = (
+        spark.createDataFrame(rows, "doc_id long, text string, source string, place string")
+        .repartition(4)
+        .withColumns({c: F.lit("own") for c in ("_s", "_b", "_e", "places", "copies")})
+    )
     got = mixing.mixture(docs, entropy=0.95, max_repeat=3.0, blocks=64).collect()
     have, want, seen = Counter(), Counter(), defaultdict(Counter)
     for r in rows:

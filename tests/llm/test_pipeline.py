@@ -33,9 +33,15 @@ def tables(spark, tmp_path_factory):
         docs.append((i, t, "en", "big" if i % 3 else f"s{i % 5}", len(t)))
     docs.append(docs[7])
     path = str(tmp_path_factory.mktemp("tables"))
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(
+        docs,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
-    spark.createDataFrame([(i, int("%%%" not in docs[i][1]), 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(
+        [(i, int("%%%" not in docs[i][1]), 0) for i in range(300)],
+        "doc_id long, quality int, toxic int",
+    ).write.parquet(f"{path}/labels.parquet")
     return path, docs, items
 
 
