@@ -28,7 +28,13 @@ def softmax(logits: Column) -> Column:
 
 
 def log_softmax(logits: Column) -> Column:
-    return let(logits, lambda x: let(F.array_max(x), lambda m: let(F.log(total(F.transform(x, lambda v: F.exp(v - m)))), lambda z: F.transform(x, lambda v: v - m - z))))
+    return let(
+        logits,
+        lambda x: let(
+            F.array_max(x),
+            lambda m: let(F.log(total(F.transform(x, lambda v: F.exp(v - m)))), lambda z: F.transform(x, lambda v: v - m - z)),
+        ),
+    )
 
 
 def plus(a: Column, b: Column) -> Column:

@@ -44,7 +44,9 @@ def from_index(index: Column) -> Column:
 def chain_rank(chain: Column) -> Column:
     """The order in which chains are listed: A-Z, a-z, then numbers by value, then any other name."""
     one = F.instr(F.lit(CHAINS), chain)
-    return F.when((one > 0) & (F.length(chain) == 1), one - 1).otherwise(F.coalesce(len(CHAINS) + F.when(chain.rlike("^[0-9]+$"), chain.try_cast("int")), F.lit(2**31 - 1)))
+    return F.when((one > 0) & (F.length(chain) == 1), one - 1).otherwise(
+        F.coalesce(len(CHAINS) + F.when(chain.rlike("^[0-9]+$"), chain.try_cast("int")), F.lit(2**31 - 1))
+    )
 
 
 def gap_to_unknown(seq: Column) -> Column:

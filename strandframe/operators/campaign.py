@@ -17,7 +17,13 @@ from . import scoring as S
 SAMPLE = ["name", "pose", "temperature", "sample_id"]
 
 
-def design_positions(atoms: DataFrame, requests: DataFrame, fixed: DataFrame, logits: Callable[[DataFrame], DataFrame], mirrored: bool = True) -> DataFrame:
+def design_positions(
+    atoms: DataFrame,
+    requests: DataFrame,
+    fixed: DataFrame,
+    logits: Callable[[DataFrame], DataFrame],
+    mirrored: bool = True,
+) -> DataFrame:
     """The design chain's residues of each request (name, chain, and what else it asks): pos, native_idx, mask, design, logits.
 
     The structure is mirrored first; fixed positions keep their letters. logits adds the column of 21 numbers, by a model or an expression.
@@ -28,7 +34,13 @@ def design_positions(atoms: DataFrame, requests: DataFrame, fixed: DataFrame, lo
     return logits(C.design_mask(ready, "designed")).select("name", "chain", "pos", "native_idx", "mask", "design", "logits")
 
 
-def campaign(positions: DataFrame, poses: int, temperatures: list[float], samples: int, noise: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+def campaign(
+    positions: DataFrame,
+    poses: int,
+    temperatures: list[float],
+    samples: int,
+    noise: Callable[[Column, Column, Column, Column], Column],
+) -> DataFrame:
     """name, chain, pose, temperature, sample_id, sequence, score, recovery, and rank in the pose by score.
 
     noise(pos, pose, temperature number, sample) gives the uniform that draws a letter.
@@ -38,8 +50,21 @@ def campaign(positions: DataFrame, poses: int, temperatures: list[float], sample
     lost = S.nll(arrays.log_softmax(F.col("logits")), F.col("idx"))
     same = (F.col("idx") == F.col("native_idx")).cast("int")
     letter = F.substr(F.lit(MODEL_ORDER), F.col("idx") + 1, F.lit(1))
-    per = drawn.groupBy(*SAMPLE, "chain").agg(F.array_sort(F.collect_list(F.struct("pos", letter.alias("c")))).alias("s"), S.masked_mean(lost, F.col("design")).alias("score"), S.masked_mean(same, F.col("design")).alias("recovery"))
-    named = per.select("name", "chain", "pose", "temperature", "sample_id", F.array_join(F.transform("s", lambda x: x["c"]), "").alias("sequence"), "score", "recovery")
+    per = drawn.groupBy(*SAMPLE, "chain").agg(
+        F.array_sort(F.collect_list(F.struct("pos", letter.alias("c")))).alias("s"),
+        S.masked_mean(lost, F.col("design")).alias("score"),
+        S.masked_mean(same, F.col("design")).alias("recovery"),
+    )
+    named = per.select(
+        "name",
+        "chain",
+        "pose",
+        "temperature",
+        "sample_id",
+        F.array_join(F.transform("s", lambda x: x["c"]), "").alias("sequence"),
+        "score",
+        "recovery",
+    )
     rank = F.row_number().over(W.partitionBy("name", "pose").orderBy(F.round("score", 9), "sequence", "temperature", "sample_id"))
     return named.withColumn("rank", rank)
 

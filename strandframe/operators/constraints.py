@@ -20,7 +20,11 @@ def apply_fixed(residues: DataFrame, fixed: DataFrame, roles: DataFrame | None =
     out = residues.join(marks, KEY, "left")
     designed = F.lit(True)
     if roles is not None:
-        out = out.join(roles.filter("role = 'designed'").select("name", "chain", F.lit(True).alias("_designed")).distinct(), ["name", "chain"], "left")
+        out = out.join(
+            roles.filter("role = 'designed'").select("name", "chain", F.lit(True).alias("_designed")).distinct(),
+            ["name", "chain"],
+            "left",
+        )
         designed = F.coalesce("_designed", F.lit(False))
     return out.withColumn("chain_m_pos", F.when(F.col("_fixed").isNotNull() & designed, 0).otherwise(1)).drop("_fixed", "_designed")
 
@@ -41,7 +45,13 @@ def apply_pssm(residues: DataFrame, pssm: DataFrame) -> DataFrame:
     """coef, bias, log_odds of the position; 0, zeros and 10000s where there are none."""
     n = len(MODEL_ORDER)
     joined = residues.join(pssm.select(*KEY, "coef", "bias", "log_odds"), KEY, "left")
-    return joined.withColumns({"coef": F.coalesce("coef", F.lit(0.0)), "bias": F.coalesce("bias", F.array_repeat(F.lit(0.0), n)), "log_odds": F.coalesce("log_odds", F.array_repeat(F.lit(10000.0), n))})
+    return joined.withColumns(
+        {
+            "coef": F.coalesce("coef", F.lit(0.0)),
+            "bias": F.coalesce("bias", F.array_repeat(F.lit(0.0), n)),
+            "log_odds": F.coalesce("log_odds", F.array_repeat(F.lit(10000.0), n)),
+        }
+    )
 
 
 def apply_bias(residues: DataFrame, bias_pos: DataFrame, bias_aa: dict[str, float]) -> DataFrame:
@@ -56,7 +66,15 @@ def apply_bias(residues: DataFrame, bias_pos: DataFrame, bias_aa: dict[str, floa
 def expand_tied(tied: DataFrame, offsets: DataFrame) -> DataFrame:
     """global_pos of each member of a tied group, by its chain's start; beta is 1 where not given."""
     joined = tied.join(offsets.select("name", "chain", "start"), ["name", "chain"])
-    return joined.select("name", "group_id", "member", "chain", "pos", F.coalesce("beta", F.lit(1.0)).alias("beta"), (F.col("start") + F.col("pos") - 1).alias("global_pos"))
+    return joined.select(
+        "name",
+        "group_id",
+        "member",
+        "chain",
+        "pos",
+        F.coalesce("beta", F.lit(1.0)).alias("beta"),
+        (F.col("start") + F.col("pos") - 1).alias("global_pos"),
+    )
 
 
 def fixed_chains(chains: DataFrame, designed: DataFrame) -> DataFrame:
@@ -64,7 +82,9 @@ def fixed_chains(chains: DataFrame, designed: DataFrame) -> DataFrame:
     listed = designed.select("name").distinct()
     semi = chains.join(designed, ["name", "chain"], "left_semi").withColumn("role", F.lit("designed"))
     rest = chains.join(designed, ["name", "chain"], "left_anti")
-    return semi.unionByName(rest.join(listed, "name", "left_semi").withColumn("role", F.lit("fixed"))).unionByName(rest.join(listed, "name", "left_anti").withColumn("role", F.lit("designed")))
+    return semi.unionByName(rest.join(listed, "name", "left_semi").withColumn("role", F.lit("fixed"))).unionByName(
+        rest.join(listed, "name", "left_anti").withColumn("role", F.lit("designed"))
+    )
 
 
 def parse_requests(tasks: DataFrame) -> DataFrame:
@@ -84,7 +104,9 @@ def broadcast_assignment(structures: DataFrame, settings: list[dict[str, object]
 
 def fixed_from_assignment(structures: DataFrame, chains: list[str], positions: list[list[int]]) -> DataFrame:
     """name, chain, pos: the same fixed positions for every structure that has the chain."""
-    rules = F.array(*[F.struct(F.lit(c).alias("chain"), F.array(*[F.lit(p) for p in ps]).alias("positions")) for c, ps in zip(chains, positions, strict=True)])
+    rules = F.array(
+        *[F.struct(F.lit(c).alias("chain"), F.array(*[F.lit(p) for p in ps]).alias("positions")) for c, ps in zip(chains, positions, strict=True)]
+    )
     each = structures.select("name", "chain", F.explode(rules).alias("r")).filter(F.col("chain") == F.col("r.chain"))
     return each.select("name", "chain", F.explode("r.positions").alias("pos"))
 
@@ -93,7 +115,13 @@ def tied_homooligomer(chains: DataFrame) -> DataFrame:
     """group_id i ties position i of every chain, up to the length of the first chain in order."""
     first = chains.groupBy("name").agg(F.min_by("len", "chain").alias("n"))
     groups = first.select("name", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("group_id"))
-    return groups.join(chains.select("name", "chain"), "name").select("name", "group_id", "chain", F.col("group_id").alias("pos"), F.lit(1.0).alias("beta"))
+    return groups.join(chains.select("name", "chain"), "name").select(
+        "name",
+        "group_id",
+        "chain",
+        F.col("group_id").alias("pos"),
+        F.lit(1.0).alias("beta"),
+    )
 
 
 def tied_lists(structures: DataFrame, chains: list[str], positions: list[list[int]]) -> DataFrame:
@@ -101,7 +129,12 @@ def tied_lists(structures: DataFrame, chains: list[str], positions: list[list[in
     if len({len(p) for p in positions}) > 1:
         raise ValueError("position lists differ in length")
     rows = F.array(*[F.struct(F.lit(c).alias("chain"), F.lit(i + 1).alias("group_id"), F.lit(p).alias("pos")) for c, ps in zip(chains, positions, strict=True) for i, p in enumerate(ps)])
-    return structures.select("name").distinct().select("name", F.explode(rows).alias("r")).select("name", "r.group_id", "r.chain", "r.pos", F.lit(1.0).alias("beta"))
+    return (
+        structures.select("name")
+        .distinct()
+        .select("name", F.explode(rows).alias("r"))
+        .select("name", "r.group_id", "r.chain", "r.pos", F.lit(1.0).alias("beta"))
+    )
 
 
 def tied_weighted(chains: DataFrame, betas: dict[str, float]) -> DataFrame:
@@ -116,7 +149,11 @@ def tied_weighted(chains: DataFrame, betas: dict[str, float]) -> DataFrame:
 def position_bias(residues: DataFrame, rules: DataFrame) -> DataFrame:
     """bias: 21 numbers for each residue, from rules (chain, pos, aa, bias); rules for a letter add up."""
     summed = rules.groupBy("chain", "pos").pivot("aa", list(MODEL_ORDER)).agg(F.sum("bias"))
-    return residues.select(*KEY).join(summed, ["chain", "pos"], "left").select("name", "chain", "pos", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in MODEL_ORDER]).alias("bias"))
+    return (
+        residues.select(*KEY)
+        .join(summed, ["chain", "pos"], "left")
+        .select("name", "chain", "pos", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in MODEL_ORDER]).alias("bias"))
+    )
 
 
 def omit_rules(chains: DataFrame, rules: DataFrame) -> DataFrame:
@@ -163,4 +200,8 @@ def pad_batch(residues: DataFrame, batches: DataFrame) -> DataFrame:
     """For export: each structure's residues (name, global_pos, aa, mask) up to its batch's longest, X and 0 where there are none."""
     sizes = batches.join(batches.groupBy("batch").agg(F.max("length").alias("longest")), "batch")
     grid = sizes.select("batch", "name", F.explode(F.sequence(F.lit(0), (F.col("longest") - 1).cast("int"))).alias("global_pos"))
-    return grid.join(residues.select("name", F.col("global_pos").cast("int"), "aa", "mask"), ["name", "global_pos"], "left").withColumn("aa", F.coalesce("aa", F.lit("X"))).withColumn("mask", F.coalesce("mask", F.lit(0)))
+    return (
+        grid.join(residues.select("name", F.col("global_pos").cast("int"), "aa", "mask"), ["name", "global_pos"], "left")
+        .withColumn("aa", F.coalesce("aa", F.lit("X")))
+        .withColumn("mask", F.coalesce("mask", F.lit(0)))
+    )

@@ -17,7 +17,11 @@ from ..scratch import cut
 
 def points(residues: DataFrame, at: str = "ca", place: str = "global_pos") -> DataFrame:
     """name, id, x, y, z of the residues that have the atom."""
-    return residues.filter(F.col(at).isNotNull()).select("name", F.col(place).cast("long").alias("id"), *[F.col(at)[i].alias(c) for i, c in enumerate("xyz")])
+    return residues.filter(F.col(at).isNotNull()).select(
+        "name",
+        F.col(place).cast("long").alias("id"),
+        *[F.col(at)[i].alias(c) for i, c in enumerate("xyz")],
+    )
 
 
 def _ends(p: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +53,10 @@ def knn_graph(p: DataFrame, k: int = 30, radius: float | None = None, small: int
     sized = cut(p.select("name", "id", "x", "y", "z", F.count("*").over(of).alias("_n"), wide.cast("double").alias("_r")), "points")
     few, many = sized.filter(F.col("_n") <= small), sized.filter(F.col("_n") > small)
     close = _nearest(_by_cells(many), k)
-    sure = cut(close.groupBy("name", "src").agg(F.count("*").alias("c")).filter(F.col("c") == k).select("name", F.col("src").alias("id")), "points-sure")
+    sure = cut(
+        close.groupBy("name", "src").agg(F.count("*").alias("c")).filter(F.col("c") == k).select("name", F.col("src").alias("id")),
+        "points-sure",
+    )
     rest = many.join(sure, ["name", "id"], "left_anti")
     full = _ends(rest)[0].join(_ends(many)[1], "name").select("name", "src", "dst", _d().alias("dist"))
     done = close.join(sure.withColumnRenamed("id", "src"), ["name", "src"], "left_semi")
@@ -61,7 +68,9 @@ def _by_cells(p: DataFrame) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / F.col("_r")).cast("long")
     placed = p.select("name", "id", "x", "y", "z", "_r", *[cell(c).alias(f"g{c}") for c in "xyz"])
     a = placed.select("name", F.col("id").alias("src"), "_r", *[F.col(c).alias("a" + c) for c in "xyz"], "gx", "gy", "gz")
-    around = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(m).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
+    around = F.array(
+        *[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(m).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]
+    )
     b = placed.select("name", F.col("id").alias("dst"), *[F.col(c).alias("b" + c) for c in "xyz"], "gx", "gy", "gz", F.explode(around).alias("s"))
     b = b.select("name", "dst", "bx", "by", "bz", *[(F.col(f"g{c}") + F.col(f"s.{c}")).alias(f"g{c}") for c in "xyz"])
     return a.join(b, ["name", "gx", "gy", "gz"]).withColumn("dist", _d()).filter(F.col("dist") < F.col("_r")).select("name", "src", "dst", "dist")
@@ -83,10 +92,26 @@ def atom_pair_distances(edges: DataFrame, residues: DataFrame, place: str = "glo
     """name, src, dst, a, b, dist of the 25 ordered pairs of N, CA, C, O and virtual CB on each edge between complete residues."""
     xyz = {x: [F.col(x)[i] for i in range(3)] for x in ("n", "ca", "c", "o")}
     cb = F.array(*virtual_cbeta(xyz["n"], xyz["ca"], xyz["c"]))
-    whole = residues.filter("mask = 1").select("name", F.col(place).cast("long").alias("id"), F.array(*[F.struct(F.lit(x.upper()).alias("atom"), (F.col(x) if x != "cb" else cb).alias("p")) for x in ("n", "ca", "c", "o", "cb")]).alias("atoms"))
-    joined = edges.join(whole.select("name", F.col("id").alias("src"), F.col("atoms").alias("sa")), ["name", "src"]).join(whole.select("name", F.col("id").alias("dst"), F.col("atoms").alias("da")), ["name", "dst"])
+    whole = residues.filter("mask = 1").select(
+        "name",
+        F.col(place).cast("long").alias("id"),
+        F.array(
+            *[F.struct(F.lit(x.upper()).alias("atom"), (F.col(x) if x != "cb" else cb).alias("p")) for x in ("n", "ca", "c", "o", "cb")]
+        ).alias("atoms"),
+    )
+    joined = edges.join(
+        whole.select("name", F.col("id").alias("src"), F.col("atoms").alias("sa")),
+        ["name", "src"],
+    ).join(whole.select("name", F.col("id").alias("dst"), F.col("atoms").alias("da")), ["name", "dst"])
     each = joined.select("name", "src", "dst", F.explode("sa").alias("s"), "da").select("name", "src", "dst", "s", F.explode("da").alias("t"))
-    return each.select("name", "src", "dst", F.col("s.atom").alias("a"), F.col("t.atom").alias("b"), distance([F.col("s.p")[i] for i in range(3)], [F.col("t.p")[i] for i in range(3)]).alias("dist"))
+    return each.select(
+        "name",
+        "src",
+        "dst",
+        F.col("s.atom").alias("a"),
+        F.col("t.atom").alias("b"),
+        distance([F.col("s.p")[i] for i in range(3)], [F.col("t.p")[i] for i in range(3)]).alias("dist"),
+    )
 
 
 def gather_neighbors(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -24,7 +24,9 @@ def residues_from_atoms(atoms: DataFrame) -> DataFrame:
     """
     line = F.col("line_no")
     firsts = [F.min_by(c, F.when(F.col("atom") == a, line)).alias(f"_{a}_{c}") for a in ATOMS for c in "xyz"]
-    name = F.when(F.octet_length("res3") <= 7, F.conv(F.hex("res3"), 16, 10).cast("long")).otherwise(F.raise_error(F.lit("a residue name has seven bytes at most")).cast("long"))
+    name = F.when(F.octet_length("res3") <= 7, F.conv(F.hex("res3"), 16, 10).cast("long")).otherwise(
+        F.raise_error(F.lit("a residue name has seven bytes at most")).cast("long")
+    )
     grouped = atoms.groupBy(*KEY).agg(F.min_by(name, line).alias("_res3"), *firsts)
     res3 = F.coalesce(F.unhex(F.hex("_res3")).cast("string"), F.lit(""))
     xyz = lambda a: F.when(F.coalesce(*[f"_{a}_{c}" for c in "xyz"]).isNotNull(), F.array(*[f"_{a}_{c}" for c in "xyz"]))
@@ -41,7 +43,14 @@ def fill_gaps(residues: DataFrame) -> DataFrame:
     rows = residues.withColumn("_last", last).withColumn("_at", F.explode(F.sequence("resseq", "_last")))
     own = F.col("_at") == F.col("resseq")
     keep = [F.when(own, F.col(c)).alias(c) for c in ("res3", "n", "ca", "c", "o")]
-    return rows.select("name", "chain", F.col("_at").alias("resseq"), F.when(own, F.col("icode")).otherwise("").alias("icode"), *keep, F.when(own, F.col("aa")).otherwise("-").alias("aa"))
+    return rows.select(
+        "name",
+        "chain",
+        F.col("_at").alias("resseq"),
+        F.when(own, F.col("icode")).otherwise("").alias("icode"),
+        *keep,
+        F.when(own, F.col("aa")).otherwise("-").alias("aa"),
+    )
 
 
 def with_ordinals(residues: DataFrame) -> DataFrame:
@@ -66,14 +75,23 @@ def residue_table(atoms: DataFrame) -> DataFrame:
 def chain_sequences(residues: DataFrame) -> DataFrame:
     """name, chain, seq, len, from ordered letters."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "aa")))
-    return residues.groupBy("name", "chain").agg(ordered.alias("s")).select("name", "chain", F.array_join(F.transform("s", lambda r: r["aa"]), "").alias("seq"), F.size("s").cast("long").alias("len"))
+    return (
+        residues.groupBy("name", "chain")
+        .agg(ordered.alias("s"))
+        .select("name", "chain", F.array_join(F.transform("s", lambda r: r["aa"]), "").alias("seq"), F.size("s").cast("long").alias("len"))
+    )
 
 
 def complexes(chains: DataFrame, most_chains: int = 352) -> DataFrame:
     """name, num_of_chains, seq (chains as they are listed), length; complexes of more chains than letters go."""
     ordered = F.array_sort(F.collect_list(F.struct(chain_rank(F.col("chain")).alias("rank"), "chain", "seq")))
     per = chains.groupBy("name").agg(ordered.alias("c"), F.sum("len").alias("length"))
-    return per.select("name", F.size("c").cast("long").alias("num_of_chains"), F.array_join(F.transform("c", lambda c: c["seq"]), "").alias("seq"), "length").filter(F.col("num_of_chains") <= most_chains)
+    return per.select(
+        "name",
+        F.size("c").cast("long").alias("num_of_chains"),
+        F.array_join(F.transform("c", lambda c: c["seq"]), "").alias("seq"),
+        "length",
+    ).filter(F.col("num_of_chains") <= most_chains)
 
 
 def distinct_chains(atoms: DataFrame) -> DataFrame:
@@ -85,31 +103,46 @@ def next_free_chain(atoms: DataFrame) -> DataFrame:
     """The letter after as many letters as the structure has chains; an error where there is none left."""
     counted = distinct_chains(atoms).groupBy("name").agg(F.count("*").alias("n_chains"))
     none = F.raise_error(F.concat(F.lit("no chain letter is left for "), "name")).cast("string")
-    return counted.withColumn("design_chain", F.when(F.col("n_chains") < len(CHAINS), F.substr(F.lit(CHAINS), (F.col("n_chains") + 1).cast("int"), F.lit(1))).otherwise(none))
+    return counted.withColumn(
+        "design_chain",
+        F.when(F.col("n_chains") < len(CHAINS), F.substr(F.lit(CHAINS), (F.col("n_chains") + 1).cast("int"), F.lit(1))).otherwise(none),
+    )
 
 
 def chain_encoding(roles: DataFrame) -> DataFrame:
     """chain_no: 1, 2, ... designed chains first, each role in its own order."""
-    return roles.withColumn("chain_no", F.row_number().over(W.partitionBy("name").orderBy(F.when(F.col("role") == "designed", 0).otherwise(1), "list_pos", "chain")))
+    return roles.withColumn(
+        "chain_no",
+        F.row_number().over(W.partitionBy("name").orderBy(F.when(F.col("role") == "designed", 0).otherwise(1), "list_pos", "chain")),
+    )
 
 
 def chain_offsets(chains: DataFrame, *order: str | Column) -> DataFrame:
     """chain_no and start (of the chain in the whole complex); by default chains are in the order in which they are listed."""
     w = W.partitionBy("name").orderBy(*(order or (chain_rank(F.col("chain")), "chain")))
-    return chains.withColumn("chain_no", F.row_number().over(w)).withColumn("start", F.coalesce(F.sum("len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return chains.withColumn("chain_no", F.row_number().over(w)).withColumn(
+        "start",
+        F.coalesce(F.sum("len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+    )
 
 
 def residue_index(residues: DataFrame, offsets: DataFrame) -> DataFrame:
     """residue_idx: 100 * (chain_no - 1) + place in the complex from 0, so that chains aren't adjacent."""
     joined = residues.join(offsets.select("name", "chain", "chain_no", "start"), ["name", "chain"])
-    return joined.withColumn("global_pos", F.col("start") + F.col("pos") - 1).withColumn("residue_idx", 100 * (F.col("chain_no") - 1) + F.col("global_pos"))
+    return joined.withColumn("global_pos", F.col("start") + F.col("pos") - 1).withColumn(
+        "residue_idx",
+        100 * (F.col("chain_no") - 1) + F.col("global_pos"),
+    )
 
 
 def with_index(residues: DataFrame) -> DataFrame:
     """chain_no, global_pos and residue_idx with chains as they are listed, by windows of one partitioning and without a join."""
     rank = chain_rank(F.col("chain"))
     w = W.partitionBy("name").orderBy(rank, "chain", "pos")
-    indexed = residues.withColumn("chain_no", F.dense_rank().over(W.partitionBy("name").orderBy(rank, "chain"))).withColumn("global_pos", F.row_number().over(w).cast("long") - 1)
+    indexed = residues.withColumn(
+        "chain_no",
+        F.dense_rank().over(W.partitionBy("name").orderBy(rank, "chain")),
+    ).withColumn("global_pos", F.row_number().over(w).cast("long") - 1)
     return indexed.withColumn("residue_idx", 100 * (F.col("chain_no") - 1) + F.col("global_pos"))
 
 
@@ -144,7 +177,11 @@ def thread_sequence(atoms: DataFrame, designs: DataFrame) -> DataFrame:
     runs = residue_runs(backbone(atoms)).select("name", "chain", "line_no", "run_id")
     begins = runs.groupBy("name", "chain", "run_id").agg(F.min("line_no").alias("_stop"))
     wanted = designs.select("name", F.col("chain").alias("_chain"), "sequence", *own)
-    stops = wanted.withColumn("_run", F.length("sequence") + 1).join(begins.select("name", F.col("chain").alias("_chain"), F.col("run_id").alias("_run"), "_stop"), ["name", "_chain", "_run"], "left")
+    stops = wanted.withColumn("_run", F.length("sequence") + 1).join(
+        begins.select("name", F.col("chain").alias("_chain"), F.col("run_id").alias("_run"), "_stop"),
+        ["name", "_chain", "_run"],
+        "left",
+    )
     marked = atoms.filter("record = 'ATOM'").join(runs, ["name", "chain", "line_no"], "left")
     placed = marked.join(stops, "name").filter(F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop")))
     kept = placed.filter((F.col("chain") != F.col("_chain")) | F.col("run_id").isNotNull())
@@ -155,15 +192,25 @@ def thread_sequence(atoms: DataFrame, designs: DataFrame) -> DataFrame:
 def extend_complex(residues: DataFrame, lengths: DataFrame) -> DataFrame:
     """Receptor residues (name, chain_no, pos, aa, x, y, z) and placeholders at the origin, as many as lengths (name, len_binder) says, on a new chain."""
     last = residues.groupBy("name").agg(F.max("chain_no").alias("last"))
-    binder = lengths.filter("len_binder > 0").join(last, "name").select("name", (F.col("last") + 1).alias("chain_no"), F.explode(F.sequence(F.lit(1), F.col("len_binder").cast("int"))).alias("pos"))
+    binder = (
+        lengths.filter("len_binder > 0")
+        .join(last, "name")
+        .select("name", (F.col("last") + 1).alias("chain_no"), F.explode(F.sequence(F.lit(1), F.col("len_binder").cast("int"))).alias("pos"))
+    )
     zero = F.lit(0.0)
-    return residues.select("name", "chain_no", "pos", "aa", "x", "y", "z").unionByName(binder.select("name", "chain_no", "pos", F.lit("A").alias("aa"), zero.alias("x"), zero.alias("y"), zero.alias("z")))
+    return residues.select("name", "chain_no", "pos", "aa", "x", "y", "z").unionByName(
+        binder.select("name", "chain_no", "pos", F.lit("A").alias("aa"), zero.alias("x"), zero.alias("y"), zero.alias("z"))
+    )
 
 
 def complex_lengths(residues: DataFrame) -> DataFrame:
     """Residues of the last chain (binder), of the others (receptor) and of all."""
     last = residues.withColumn("_last", F.max("chain_no").over(W.partitionBy("name")))
-    return last.groupBy("name").agg(F.count_if(F.col("chain_no") != F.col("_last")).alias("len_receptor"), F.count_if(F.col("chain_no") == F.col("_last")).alias("len_binder"), F.count("*").alias("len_complex"))
+    return last.groupBy("name").agg(
+        F.count_if(F.col("chain_no") != F.col("_last")).alias("len_receptor"),
+        F.count_if(F.col("chain_no") == F.col("_last")).alias("len_binder"),
+        F.count("*").alias("len_complex"),
+    )
 
 
 def receptor_selection(residues: DataFrame) -> DataFrame:

@@ -54,7 +54,10 @@ def seq_recovery(pairs: DataFrame, by: list[str], mask: str | None = None) -> Da
     counts = (F.col("_c") != "X") & (F.col("_c") != "")
     if mask:
         counts = counts & (F.coalesce(F.get("_m", F.col("_i")), F.lit(0)) != 0)
-    found = each.groupBy(*by).agg(F.sum(F.when(counts & (F.get("_b", F.col("_i")) == F.col("_c")), 1).otherwise(0)).alias("_same"), F.sum(F.when(counts, 1).otherwise(0)).alias("_all"))
+    found = each.groupBy(*by).agg(
+        F.sum(F.when(counts & (F.get("_b", F.col("_i")) == F.col("_c")), 1).otherwise(0)).alias("_same"),
+        F.sum(F.when(counts, 1).otherwise(0)).alias("_all"),
+    )
     return found.select(*by, (F.col("_same") / F.nullif("_all", F.lit(0))).alias("recovery"))
 
 
@@ -79,18 +82,34 @@ def tied_logits(members: DataFrame, temperature: float = 1.0) -> DataFrame:
     """name, group_id, logits: sum of beta * logits / T over a group's members, over their number."""
     each = members.select("name", "group_id", "beta", F.posexplode("logits").alias("idx", "l"))
     summed = each.groupBy("name", "group_id", "idx").agg((F.sum(F.col("beta") * F.col("l") / temperature) / F.count("*")).alias("v"))
-    return summed.groupBy("name", "group_id").agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("s")).select("name", "group_id", F.transform("s", lambda x: x["v"]).alias("logits"))
-
-
-def sample_letters(positions: DataFrame, temperatures: list[float], samples: int, noise: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    return (
+        summed.groupBy("name", "group_id")
+        .agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("s"))
+        .select("name", "group_id", F.transform("s", lambda x: x["v"]).alias("logits"))
+    )
+
+
+def sample_letters(
+    positions: DataFrame,
+    temperatures: list[float],
+    samples: int,
+    noise: Callable[[Column, Column, Column], Column] | None = None,
+) -> DataFrame:
     """One draw for each position, temperature and sample; positions: name, pos, logits, native_idx, design.
 
     noise(pos, temperature number, sample) gives the uniform; rand() if None. Positions that aren't designed keep their native letter, and
     their probabilities are zero. At temperature 0 the most likely letter is taken.
     """
     grid = F.array(*[F.struct(F.lit(i).alias("t_no"), F.lit(float(t)).alias("temperature")) for i, t in enumerate(temperatures)])
-    rows = positions.withColumn("g", F.explode(grid)).select(*positions.columns, "g.t_no", "g.temperature").withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    probs = F.when(F.col("temperature") > 0, arrays.softmax(F.transform("logits", lambda v: v / F.when(F.col("temperature") > 0, F.col("temperature")).otherwise(1.0))))
+    rows = (
+        positions.withColumn("g", F.explode(grid))
+        .select(*positions.columns, "g.t_no", "g.temperature")
+        .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    )
+    probs = F.when(
+        F.col("temperature") > 0,
+        arrays.softmax(F.transform("logits", lambda v: v / F.when(F.col("temperature") > 0, F.col("temperature")).otherwise(1.0))),
+    )
     u = F.rand() if noise is None else noise(F.col("pos"), F.col("t_no"), F.col("sample_id"))
     drawn = rows.withColumn("_p", probs).withColumn("_u", u)
     best = F.array_position("logits", F.array_max("logits")).cast("int") - 1
@@ -98,7 +117,15 @@ def sample_letters(positions: DataFrame, temperatures: list[float], samples: int
     return drawn.withColumn("idx", idx.cast("int")).withColumn("probs", F.transform("_p", lambda p: p * F.col("design"))).drop("_p", "_u")
 
 
-def tied_sample(members: DataFrame, temperature: float, noise: Callable[[Column], Column], omit: str = "", letter_bias: dict[str, float] | None = None, pssm_multi: float | None = None, log_odds_threshold: float | None = None) -> DataFrame:
+def tied_sample(
+    members: DataFrame,
+    temperature: float,
+    noise: Callable[[Column], Column],
+    omit: str = "",
+    letter_bias: dict[str, float] | None = None,
+    pssm_multi: float | None = None,
+    log_odds_threshold: float | None = None,
+) -> DataFrame:
     """name, group_id, member, pos, idx: one draw for each group, shared by its members. members: name, group_id, member (the place in the group's list),
     pos, beta, logits, native_idx, design, and bias (21 numbers); coef and pssm_bias with pssm_multi, log_odds with log_odds_threshold; omit_mask if there.
 
@@ -119,7 +146,11 @@ def tied_sample(members: DataFrame, temperature: float, noise: Callable[[Column]
         probs = arrays.log_odds_gate(probs, F.col("log_odds"), log_odds_threshold)
     if "omit_mask" in optional:
         probs = arrays.without(probs, F.col("omit_mask"))
-    picked = shared.join(marks, ["name", "group_id"]).select("name", "group_id", F.coalesce("kept", arrays.draw(probs, noise(F.col("group_id")))).cast("int").alias("idx"))
+    picked = shared.join(marks, ["name", "group_id"]).select(
+        "name",
+        "group_id",
+        F.coalesce("kept", arrays.draw(probs, noise(F.col("group_id")))).cast("int").alias("idx"),
+    )
     return members.select("name", "group_id", "member", "pos").join(picked, ["name", "group_id"])
 
 
@@ -155,12 +186,20 @@ def length_batches(lengths: DataFrame, budget: int) -> DataFrame:
 
 def run_summary(samples: DataFrame, temperatures: int, copies: int) -> DataFrame:
     """name, n_samples, longest, asked (temperatures * copies)."""
-    return samples.groupBy("name").agg(F.count("*").alias("n_samples"), F.max(F.length("sequence")).cast("long").alias("longest")).withColumn("asked", F.lit(temperatures * copies).cast("long"))
+    return (
+        samples.groupBy("name")
+        .agg(F.count("*").alias("n_samples"), F.max(F.length("sequence")).cast("long").alias("longest"))
+        .withColumn("asked", F.lit(temperatures * copies).cast("long"))
+    )
 
 
 def sort_chains(parts: DataFrame, by: list[str]) -> DataFrame:
     """sequence: chains in letter order, joined by /; parts: by, chain, seq."""
-    return parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chain", "seq"))).alias("c")).select(*by, F.array_join(F.transform("c", lambda c: c["seq"]), "/").alias("sequence"))
+    return (
+        parts.groupBy(*by)
+        .agg(F.array_sort(F.collect_list(F.struct("chain", "seq"))).alias("c"))
+        .select(*by, F.array_join(F.transform("c", lambda c: c["seq"]), "/").alias("sequence"))
+    )
 
 
 def split_chains(sequences: DataFrame) -> DataFrame:

@@ -28,9 +28,21 @@ def scan_structures(spark, sf_dir):
     return lines.groupBy("name").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").startswith("ATOM")).alias("n_atom_lines"))
 
 
-@query("parse_atoms", sql("SELECT name, line_no, atom, res3, chain, resseq, icode, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, element FROM fx_atoms WHERE record = 'ATOM'", "fx_atoms"))
+@query("parse_atoms", sql(
+    "SELECT name, line_no, atom, res3, chain, resseq, icode, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, element FROM fx_atoms "
+    "WHERE record = 'ATOM'", "fx_atoms"))
 def parse_atoms(spark, sf_dir):
-    return structures.parse_atoms(_lines(spark, sf_dir)).select("name", "line_no", "atom", "res3", "chain", "resseq", "icode", *[F.round(c, 3).alias(c) for c in "xyz"], "element")
+    return structures.parse_atoms(_lines(spark, sf_dir)).select(
+        "name",
+        "line_no",
+        "atom",
+        "res3",
+        "chain",
+        "resseq",
+        "icode",
+        *[F.round(c, 3).alias(c) for c in "xyz"],
+        "element",
+    )
 
 
 @query("normalize_mse", sql("SELECT name, count(*) AS n_atoms, count(*) FILTER (WHERE res3 = 'MET') AS n_met FROM read_atoms GROUP BY name", "read_atoms"))
@@ -41,7 +53,9 @@ def normalize_mse(spark, sf_dir):
 
 @query("chain_subset_scan", sql("SELECT name, chain, count(*) AS n_atoms FROM fx_atoms WHERE record = 'ATOM' AND chain IN ('A', 'C') GROUP BY name, chain", "fx_atoms"))
 def chain_subset_scan(spark, sf_dir):
-    return structures.chain_subset(structures.parse_atoms(_lines(spark, sf_dir)), ["A", "C"]).groupBy("name", "chain").agg(F.count("*").alias("n_atoms"))
+    return (
+        structures.chain_subset(structures.parse_atoms(_lines(spark, sf_dir)), ["A", "C"]).groupBy("name", "chain").agg(F.count("*").alias("n_atoms"))
+    )
 
 
 @query("split_insertion_code", sql("SELECT name, line_no, resseq, icode, resseq + 1 AS number FROM fx_atoms", "fx_atoms"))
@@ -54,7 +68,10 @@ def split_insertion_code(spark, sf_dir):
 @query("drop_hydrogens", sql("SELECT name, line_no, trim(element) AS element FROM fx_atoms WHERE NOT (element = 'O' AND line_no % 2 = 0)", "fx_atoms"))
 def drop_hydrogens(spark, sf_dir):
     """Every second oxygen is made a hydrogen first."""
-    atoms = fx.atoms(spark, sf_dir).withColumn("element", F.when((F.col("element") == "O") & (F.col("line_no") % 2 == 0), "H").otherwise(F.col("element")))
+    atoms = fx.atoms(spark, sf_dir).withColumn(
+        "element",
+        F.when((F.col("element") == "O") & (F.col("line_no") % 2 == 0), "H").otherwise(F.col("element")),
+    )
     return structures.drop_hydrogens(structures.render_atoms(atoms)).select("name", "line_no", F.trim(F.substring("line", 77, 2)).alias("element"))
 
 
@@ -63,7 +80,9 @@ def select_backbone(spark, sf_dir):
     return structures.select_backbone(_lines(spark, sf_dir), "B").select("name", "line_no")
 
 
-@query("write_structures", sql("SELECT name, count(*) AS n_atoms, round(sum(x), 4) AS sum_x, round(sum(z), 4) AS sum_z FROM fx_file_atoms WHERE record = 'ATOM' GROUP BY name", "fx_file_atoms"))
+@query("write_structures", sql(
+    "SELECT name, count(*) AS n_atoms, round(sum(x), 4) AS sum_x, round(sum(z), 4) AS sum_z FROM fx_file_atoms WHERE record = 'ATOM' "
+    "GROUP BY name", "fx_file_atoms"))
 def write_structures(spark, sf_dir):
     path = new_path(spark, "structures")
     structures.write_structures(_lines(spark, sf_dir, "supplier"), path)
@@ -95,10 +114,16 @@ SELECT a.name, w.num_of_chains, w.whole, a.chain, atom, count(*) AS n_positions,
 def write_complex_jsonl(spark, sf_dir):
     """Every coordinate comes back from the written objects; missing atoms are NaN there."""
     lines = _complex_lines(spark, sf_dir)
-    heads = lines.select(F.from_json("line", "name string, num_of_chains long, seq string").alias("h")).select("h.name", "h.num_of_chains", F.col("h.seq").alias("whole"))
+    heads = lines.select(
+        F.from_json("line", "name string, num_of_chains long, seq string").alias("h")
+    ).select("h.name", "h.num_of_chains", F.col("h.seq").alias("whole"))
     at = lambda p, i: F.nanvl(p[i], F.lit(None).cast("double"))
     each = records.parse_complex_coords(lines).select("name", "chain", "atom", F.explode("coords").alias("p"))
-    sums = each.groupBy("name", "chain", "atom").agg(F.count("*").alias("n_positions"), F.count_if(F.isnan(F.col("p")[0])).alias("n_missing"), *[F.round(F.coalesce(F.sum(at(F.col("p"), i)), F.lit(0.0)), 3).alias(f"sum_{c}") for c, i in (("x", 0), ("z", 2))])
+    sums = each.groupBy("name", "chain", "atom").agg(
+        F.count("*").alias("n_positions"),
+        F.count_if(F.isnan(F.col("p")[0])).alias("n_missing"),
+        *[F.round(F.coalesce(F.sum(at(F.col("p"), i)), F.lit(0.0)), 3).alias(f"sum_{c}") for c, i in (("x", 0), ("z", 2))],
+    )
     return heads.join(sums, "name")
 
 
@@ -110,12 +135,18 @@ def scan_complex_jsonl(spark, sf_dir):
 def _fixed_lines(spark, sf_dir) -> DataFrame:
     """A line {name: {chain: [pos]}} for each part; files by part size."""
     fixed = fx.fixed(spark, sf_dir).withColumn("k", F.substr("name", F.lit(2)).cast("long"))
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file"))
+    part = (
+        spark.read
+        .parquet(f"{sf_dir}/part.parquet")
+        .select(F.col("p_partkey").alias("k"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file"))
+    )
     line = F.to_json(F.create_map("name", F.create_map("chain", F.array("pos"))))
     return fixed.join(part, "k").select("file", F.col("k").alias("line_no"), line.alias("line"))
 
 
-@query("scan_constraints", sql("SELECT concat('f', p_size) AS file, arg_max(name, p_partkey) AS name, arg_max(chain, p_partkey) AS chain, arg_max(pos, p_partkey) AS pos FROM fx_fixed JOIN part ON name = concat('P', p_partkey) GROUP BY p_size", "fx_fixed"))
+@query("scan_constraints", sql(
+    "SELECT concat('f', p_size) AS file, arg_max(name, p_partkey) AS name, arg_max(chain, p_partkey) AS chain, arg_max(pos, p_partkey) AS pos "
+    "FROM fx_fixed JOIN part ON name = concat('P', p_partkey) GROUP BY p_size", "fx_fixed"))
 def scan_constraints(spark, sf_dir):
     return records.parse_fixed(records.last_line(_written(spark, _fixed_lines(spark, sf_dir), "constraints", "file")))
 
@@ -129,16 +160,34 @@ def scan_bias(spark, sf_dir):
     """Files of lines {letter: bias}: the last line counts."""
     k = F.col("p_partkey")
     line = F.to_json(F.create_map(F.substr(F.lit(MODEL_ORDER), (k % 20 + 1).cast("int"), F.lit(1)), (k % 50) / 4.0))
-    lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file"), k.alias("line_no"), line.alias("line"))
+    lines = (
+        spark.read
+        .parquet(f"{sf_dir}/part.parquet")
+        .select(F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file"), k.alias("line_no"), line.alias("line"))
+    )
     return records.parse_bias(records.last_line(_written(spark, lines, "bias", "file")))
 
 
-@query("scan_bias_by_residue", sql("SELECT name, chain, unnest(range(1, 4)) AS pos, j, pos / 2.0 + j + unnest(range(1, 4)) AS bias FROM fx_fixed CROSS JOIN (SELECT unnest(range(0, 21)) AS j)", "fx_fixed"))
+@query("scan_bias_by_residue", sql(
+    "SELECT name, chain, unnest(range(1, 4)) AS pos, j, pos / 2.0 + j + unnest(range(1, 4)) AS bias FROM fx_fixed CROSS "
+    "JOIN (SELECT unnest(range(0, 21)) AS j)", "fx_fixed"))
 def scan_bias_by_residue(spark, sf_dir):
     """Three positions of one chain for each structure, a file for each part size with one object; 21 numbers a position."""
-    fixed = fx.fixed(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file")), "name")
+    fixed = fx.fixed(spark, sf_dir).join(
+        spark.read
+        .parquet(f"{sf_dir}/part.parquet")
+        .select(
+            F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"),
+            F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file"),
+        ),
+        "name",
+    )
     rows = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: F.col("pos") / 2.0 + j + i))
-    lines = fixed.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", F.create_map("chain", rows))))).alias("line")).withColumn("line_no", F.lit(0))
+    lines = (
+        fixed.groupBy("file")
+        .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", F.create_map("chain", rows))))).alias("line"))
+        .withColumn("line_no", F.lit(0))
+    )
     found = records.parse_bias_by_residue(_written(spark, lines, "bias-by-residue", "file"))
     return found.select("name", "chain", "pos", F.posexplode("bias").alias("j", "bias"))
 
@@ -150,25 +199,51 @@ def merge_constraint_lines(spark, sf_dir):
     return records.merge_lines(part.select(F.col("p_partkey").alias("line_no"), line.alias("line")))
 
 
-@query("scan_pssm_json", "SELECT concat('S', p_size) AS name, 'A' AS chain, unnest([1, 2]) AS pos, unnest([k / 2.0, k / 4.0]) AS coef, unnest([k + 3.0, k + 7.0]) AS bias_d, unnest([k - 3.0, k - 7.0]) AS log_odds_d FROM (SELECT p_size, CAST(max(p_partkey) AS DOUBLE) AS k FROM part GROUP BY p_size)")
+@query("scan_pssm_json", (
+    "SELECT concat('S', p_size) AS name, 'A' AS chain, unnest([1, 2]) AS pos, unnest([k / 2.0, k / 4.0]) AS coef, unnest([k + 3.0, "
+    "k + 7.0]) AS bias_d, unnest([k - 3.0, k - 7.0]) AS log_odds_d FROM (SELECT p_size, CAST(max(p_partkey) AS DOUBLE) AS k FROM part "
+    "GROUP BY p_size)"
+))
 def scan_pssm_json(spark, sf_dir):
     """Lines {name: {chain: arrays}} with two positions; of lines for one name, files by it, the last counts."""
     k = F.col("p_partkey").cast("double")
     one = lambda a, b: F.array(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: F.when(j == 2, a).otherwise(0.0)), F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: F.when(j == 2, b).otherwise(0.0)))
     name = F.concat(F.lit("S"), F.col("p_size").cast("string"))
-    line = F.to_json(F.create_map(name, F.create_map(F.lit("A"), F.struct(F.array(k / 2, k / 4).alias("pssm_coef"), one(k + 3, k + 7).alias("pssm_bias"), one(k - 3, k - 7).alias("pssm_log_odds")))))
+    line = F.to_json(
+        F.create_map(
+            name,
+            F.create_map(
+                F.lit("A"),
+                F.struct(F.array(k / 2, k / 4).alias("pssm_coef"), one(k + 3, k + 7).alias("pssm_bias"), one(k - 3, k - 7).alias("pssm_log_odds")),
+            ),
+        )
+    )
     lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(name.alias("file"), F.col("p_partkey").alias("line_no"), line.alias("line"))
     found = records.parse_pssm_json(_written(spark, lines, "pssm", "file"))
     return found.select("name", "chain", "pos", "coef", F.col("bias")[2].alias("bias_d"), F.col("log_odds")[2].alias("log_odds_d"))
 
 
-@query("scan_pssm_text", sql("SELECT name, pos, j, CAST(floor(logits[j + 1]) AS BIGINT) AS log_odds, abs(CAST(floor(logits[21 - j]) AS BIGINT)) AS prob FROM fx_logits CROSS JOIN (SELECT unnest(range(0, 20)) AS j)", "fx_logits"))
+@query("scan_pssm_text", sql(
+    "SELECT name, pos, j, CAST(floor(logits[j + 1]) AS BIGINT) AS log_odds, abs(CAST(floor(logits[21 - j]) AS BIGINT)) AS prob FROM fx_logits "
+    "CROSS JOIN (SELECT unnest(range(0, 20)) AS j)", "fx_logits"))
 def scan_pssm_text(spark, sf_dir):
     text = lambda v: F.lpad(v.cast("string"), 5, " ")
     whole = F.transform("logits", lambda v: F.floor(v))
     cells = F.concat(F.transform(F.slice(whole, 1, 20), text), F.transform(F.slice(F.reverse(whole), 1, 20), lambda v: text(F.abs(v))))
-    rows = fx.logits(spark, sf_dir).select("name", (F.col("pos") + 2).alias("line_no"), F.concat(F.lpad(F.lit("1"), 4, " "), F.array_join(cells, "")).alias("line"))
-    heads = rows.select("name").distinct().select("name", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("line_no"), F.lit("header").alias("line")) for i in range(3)])).alias("h")).select("name", "h.*")
+    rows = fx.logits(spark, sf_dir).select(
+        "name",
+        (F.col("pos") + 2).alias("line_no"),
+        F.concat(F.lpad(F.lit("1"), 4, " "), F.array_join(cells, "")).alias("line"),
+    )
+    heads = (
+        rows.select("name")
+        .distinct()
+        .select(
+            "name",
+            F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("line_no"), F.lit("header").alias("line")) for i in range(3)])).alias("h"),
+        )
+        .select("name", "h.*")
+    )
     found = records.parse_pssm_text(_written(spark, rows.unionByName(heads), "pssm-text"))
     zipped = found.select("name", "pos", F.posexplode(F.arrays_zip("log_odds", "probs")).alias("j", "z"))
     return zipped.select("name", "pos", "j", F.col("z.log_odds").cast("long").alias("log_odds"), F.col("z.probs").cast("long").alias("prob"))
@@ -178,8 +253,19 @@ def _fasta(spark, sf_dir) -> DataFrame:
     """A file for each customer: the best score as the native record, then all samples, at two temperatures."""
     r = fx.results(spark, sf_dir)
     chains = lambda *x: F.array(*map(F.lit, x))
-    native = r.groupBy("name").agg(F.min("score").alias("score"), F.min_by("sequence", "sample_id").alias("sequence")).select("*", chains("B").alias("fixed_chains"), chains("C", "A").alias("designed_chains"), F.lit("v1").alias("model_name"))
-    samples = r.select("name", F.when(F.col("sample_id") % 2 == 0, 0.1).otherwise(0.15).alias("temperature"), "sample_id", "score", F.lit(0.5).alias("recovery"), "sequence")
+    native = (
+        r.groupBy("name")
+        .agg(F.min("score").alias("score"), F.min_by("sequence", "sample_id").alias("sequence"))
+        .select("*", chains("B").alias("fixed_chains"), chains("C", "A").alias("designed_chains"), F.lit("v1").alias("model_name"))
+    )
+    samples = r.select(
+        "name",
+        F.when(F.col("sample_id") % 2 == 0, 0.1).otherwise(0.15).alias("temperature"),
+        "sample_id",
+        "score",
+        F.lit(0.5).alias("recovery"),
+        "sequence",
+    )
     return _written(spark, records.render_fasta(native, samples), "fasta")
 
 
@@ -197,11 +283,24 @@ def write_fasta(spark, sf_dir):
     return _fasta(spark, sf_dir)
 
 
-@query("scan_design_fasta", sql(f"SELECT name AS file, false AS native, CASE WHEN sample_id % 2 = 0 THEN 0.1 ELSE 0.15 END AS temperature, sample_id AS sample, CAST({_text4('score')} AS DOUBLE) AS score, 0.5 AS recovery, '' AS designed, sequence FROM fx_results UNION ALL SELECT name, true, -1.0, -1, CAST({_text4('min(score)')} AS DOUBLE), -1.0, 'AC', arg_min(sequence, sample_id) FROM fx_results GROUP BY name", "fx_results"))
+@query("scan_design_fasta", sql(
+    f"SELECT name AS file, false AS native, CASE WHEN sample_id % 2 = 0 THEN 0.1 ELSE 0.15 END AS temperature, sample_id AS sample, "
+    f"CAST({_text4('score')} AS DOUBLE) AS score, 0.5 AS recovery, '' AS designed, sequence FROM fx_results UNION ALL "
+    f"SELECT name, true, -1.0, -1, CAST({_text4('min(score)')} AS DOUBLE), -1.0, 'AC', arg_min(sequence, sample_id) FROM fx_results "
+    f"GROUP BY name", "fx_results"))
 def scan_design_fasta(spark, sf_dir):
     found = records.parse_design_fasta(_fasta(spark, sf_dir).withColumnRenamed("name", "file"))
     known = lambda c: F.coalesce(F.col(c), F.lit(-1)).alias(c)
-    return found.select("file", "native", known("temperature"), known("sample"), "score", known("recovery"), F.coalesce(F.array_join("designed_chains", ""), F.lit("")).alias("designed"), "sequence")
+    return found.select(
+        "file",
+        "native",
+        known("temperature"),
+        known("sample"),
+        "score",
+        known("recovery"),
+        F.coalesce(F.array_join("designed_chains", ""), F.lit("")).alias("designed"),
+        "sequence",
+    )
 
 
 #: The s-th fifth of the sequence has each letter moved on in the model's order.
@@ -210,17 +309,31 @@ _MOVED = f"translate({{part}}, '{MODEL_ORDER}', '{MODEL_ORDER[1:] + MODEL_ORDER[
 
 def _samples(spark, sf_dir) -> DataFrame:
     """Four samples for each sequence."""
-    seq = fx.sequences(spark, sf_dir).select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("name"), F.col("seq").alias("native"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("sample_id"))
-    cut = seq.withColumn("lo", F.floor(F.length("native") * F.col("sample_id") / 5).cast("int")).withColumn("hi", F.floor(F.length("native") * (F.col("sample_id") + 1) / 5).cast("int"))
+    seq = fx.sequences(spark, sf_dir).select(
+        F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("name"),
+        F.col("seq").alias("native"),
+        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("sample_id"),
+    )
+    cut = seq.withColumn("lo", F.floor(F.length("native") * F.col("sample_id") / 5).cast("int")).withColumn(
+        "hi",
+        F.floor(F.length("native") * (F.col("sample_id") + 1) / 5).cast("int"),
+    )
     part = lambda a, b: F.substr("native", F.col(a) + 1 if a else F.lit(1), (F.col(b) - (F.col(a) if a else 0)) if b else F.length("native"))
-    return cut.select("name", "sample_id", "native", F.concat(part(None, "lo"), F.translate(part("lo", "hi"), MODEL_ORDER, MODEL_ORDER[1:] + MODEL_ORDER[0]), part("hi", None)).alias("sequence"))
+    return cut.select(
+        "name",
+        "sample_id",
+        "native",
+        F.concat(part(None, "lo"), F.translate(part("lo", "hi"), MODEL_ORDER, MODEL_ORDER[1:] + MODEL_ORDER[0]), part("hi", None)).alias("sequence"),
+    )
 
 
 _SAMPLES_SQL = f"""s AS (SELECT concat('D', doc_id) AS name, k AS sample_id, seq AS native, CAST(floor(length(seq) * k / 5.0) AS INT) AS lo, CAST(floor(length(seq) * (k + 1) / 5.0) AS INT) AS hi FROM fx_seq CROSS JOIN (SELECT unnest(range(0, 4)) AS k) WHERE seq <> ''),
 l AS (SELECT name, sample_id, unnest(string_split(native, '')) AS native, unnest(string_split(substr(native, 1, lo) || {_MOVED.format(part="substr(native, lo + 1, hi - lo)")} || substr(native, hi + 1), '')) AS aa FROM s)"""
 
 
-@query("seq_recovery", sql(f"WITH {_SAMPLES_SQL} SELECT name, sample_id, round(CAST(count(*) FILTER (WHERE native <> 'X' AND native = aa) AS DOUBLE) / nullif(count(*) FILTER (WHERE native <> 'X'), 0), 4) AS recovery FROM l GROUP BY name, sample_id", "fx_seq"))
+@query("seq_recovery", sql(
+    f"WITH {_SAMPLES_SQL} SELECT name, sample_id, round(CAST(count(*) FILTER (WHERE native <> 'X' "
+    f"AND native = aa) AS DOUBLE) / nullif(count(*) FILTER (WHERE native <> 'X'), 0), 4) AS recovery FROM l GROUP BY name, sample_id", "fx_seq"))
 def seq_recovery(spark, sf_dir):
     return scoring.seq_recovery(_samples(spark, sf_dir).filter("native <> ''"), ["name", "sample_id"]).withColumn("recovery", F.round("recovery", 4))
 
@@ -228,7 +341,12 @@ def seq_recovery(spark, sf_dir):
 @query("write_results", sql("SELECT pose, sequence, score, concat('Pose_', pose, '_', sequence, '.pdb') AS filename FROM fx_results", "fx_results"))
 def write_results(spark, sf_dir):
     path = new_path(spark, "results")
-    named = fx.results(spark, sf_dir).select("pose", "sequence", "score", F.concat(F.lit("Pose_"), "pose", F.lit("_"), "sequence", F.lit(".pdb")).alias("filename"))
+    named = fx.results(spark, sf_dir).select(
+        "pose",
+        "sequence",
+        "score",
+        F.concat(F.lit("Pose_"), "pose", F.lit("_"), "sequence", F.lit(".pdb")).alias("filename"),
+    )
     scoring.rank_results(named).write.option("header", True).csv(path)
     return spark.read.schema("pose string, sequence string, score double, filename string").option("header", True).csv(path)
 
@@ -245,4 +363,8 @@ def pose_layout(spark, sf_dir):
     """Poses are numbered in a table of their own, which is joined."""
     r = fx.results(spark, sf_dir)
     numbered = r.select("pose").distinct().withColumn("i", F.row_number().over(W.orderBy("pose")))
-    return r.join(numbered, "pose").select("pose", "sequence", F.concat(F.lit("Poses/Pose"), F.col("i").cast("string"), F.lit("_"), "sequence", F.lit(".pdb")).alias("path"))
+    return r.join(numbered, "pose").select(
+        "pose",
+        "sequence",
+        F.concat(F.lit("Poses/Pose"), F.col("i").cast("string"), F.lit("_"), "sequence", F.lit(".pdb")).alias("path"),
+    )

@@ -65,8 +65,15 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, pos, logits: 21 numbers for each embedding; a structure is a label's part of 500 embeddings, so structures grow in number only."""
-    e = _table(spark, sf_dir, "embeddings").withColumn("name", F.concat(F.lit("L"), F.col("label").cast("string"), F.lit("p"), F.floor(F.col("vec_id") / 500).cast("string")))
-    return spark.sql("SELECT name, row_number() OVER (PARTITION BY name ORDER BY vec_id) AS pos, transform(slice(embedding, 1, 21), v -> CAST(v AS DOUBLE) * 10) AS logits FROM {e}", e=e)
+    e = _table(spark, sf_dir, "embeddings").withColumn(
+        "name",
+        F.concat(F.lit("L"), F.col("label").cast("string"), F.lit("p"), F.floor(F.col("vec_id") / 500).cast("string")),
+    )
+    return spark.sql(
+        "SELECT name, row_number() OVER (PARTITION BY name ORDER BY vec_id) AS pos, transform(slice(embedding, 1, 21), "
+        "v -> CAST(v AS DOUBLE) * 10) AS logits FROM {e}",
+        e=e,
+    )
 
 
 _letter = "CASE res3 " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LETTER_OF.items()) + " ELSE '-' END"
@@ -85,19 +92,35 @@ CTES = {
     "fx_atoms": _ATOMS.format(raw="fx_res_raw"),
     "fx_file_raw": _RES_RAW.format(prefix="S", key="l_suppkey", lineitem="lineitem"),
     "fx_file_atoms": _ATOMS.format(raw="fx_file_raw"),
-    "read_atoms": "SELECT name, chain, resseq, icode, line_no, atom, CASE WHEN res3 = 'MSE' THEN 'MET' ELSE res3 END AS res3, x, y, z FROM fx_atoms WHERE record = 'ATOM' OR res3 = 'MSE'",
-    "res": f"SELECT name, chain, resseq, icode, arg_min(res3, line_no) AS res3, {', '.join(_xyz(a) for a in ('N', 'CA', 'C', 'O'))} FROM read_atoms GROUP BY name, chain, resseq, icode",
-    "spans": "SELECT name, chain, unnest(range(lo, hi + 1)) AS resseq FROM (SELECT name, chain, min(resseq) AS lo, max(resseq) AS hi FROM res GROUP BY name, chain)",
+    "read_atoms": (
+        "SELECT name, chain, resseq, icode, line_no, atom, CASE WHEN res3 = 'MSE' THEN 'MET' ELSE res3 END AS res3, x, y, z FROM fx_atoms "
+        "WHERE record = 'ATOM' OR res3 = 'MSE'"
+    ),
+    "res": (
+        f"SELECT name, chain, resseq, icode, arg_min(res3, line_no) AS res3, {', '.join(_xyz(a) for a in ('N', 'CA', 'C', 'O'))} "
+        f"FROM read_atoms GROUP BY name, chain, resseq, icode"
+    ),
+    "spans": (
+        "SELECT name, chain, unnest(range(lo, hi + 1)) AS resseq FROM (SELECT name, chain, min(resseq) AS lo, max(resseq) AS hi FROM res "
+        "GROUP BY name, chain)"
+    ),
     "residues": f"SELECT s.name, s.chain, s.resseq, coalesce(r.icode, '') AS icode, {_letter} AS aa, {', '.join(_BACKBONE)}, row_number() OVER (PARTITION BY s.name, s.chain ORDER BY s.resseq, coalesce(r.icode, '')) AS pos, "
-    f"CASE WHEN {' AND '.join(f'{a}_x IS NOT NULL' for a in ('n', 'ca', 'c', 'o'))} THEN 1 ELSE 0 END AS mask FROM spans s LEFT JOIN res r ON s.name = r.name AND s.chain = r.chain AND s.resseq = r.resseq",
+    f"CASE WHEN {' AND '.join(f'{a}_x IS NOT NULL' for a in ('n', 'ca', 'c', 'o'))} THEN 1 ELSE 0 END AS mask FROM spans s LEFT "
+    f"JOIN res r ON s.name = r.name AND s.chain = r.chain AND s.resseq = r.resseq",
     "chains": "SELECT name, chain, string_agg(aa, '' ORDER BY pos) AS seq, count(*) AS len FROM residues GROUP BY name, chain",
     "offsets": "SELECT name, chain, seq, len, row_number() OVER w AS chain_no, coalesce(sum(len) OVER (PARTITION BY name ORDER BY " + RANK + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM chains WINDOW w AS (PARTITION BY name ORDER BY " + RANK + ")",
     "fx_seq": _SEQ.format(documents="documents"),
     "fx_fixed": _FIXED.format(part="part"),
     "fx_results": _RESULTS.format(orders="orders"),
-    "fx_logits": "SELECT concat('L', label, 'p', vec_id // 500) AS name, row_number() OVER (PARTITION BY label, vec_id // 500 ORDER BY vec_id) AS pos, list_transform(embedding[1:21], lambda v: CAST(v AS DOUBLE) * 10) AS logits FROM embeddings",
+    "fx_logits": (
+        "SELECT concat('L', label, 'p', vec_id // 500) AS name, row_number() OVER (PARTITION BY label, vec_id // 500 "
+        "ORDER BY vec_id) AS pos, list_transform(embedding[1:21], lambda v: CAST(v AS DOUBLE) * 10) AS logits FROM embeddings"
+    ),
     "fx_logp": "SELECT name, pos, unnest(logits) AS l, unnest(range(0, 21)) AS idx FROM fx_logits",
-    "fx_soft": "SELECT name, pos, idx, l, exp(l - m) / z AS p, l - m - ln(z) AS lp FROM (SELECT *, sum(exp(l - m)) OVER (PARTITION BY name, pos) AS z FROM (SELECT *, max(l) OVER (PARTITION BY name, pos) AS m FROM fx_logp))",
+    "fx_soft": (
+        "SELECT name, pos, idx, l, exp(l - m) / z AS p, l - m - ln(z) AS lp FROM (SELECT *, sum(exp(l - m)) OVER (PARTITION BY name, pos) AS z "
+        "FROM (SELECT *, max(l) OVER (PARTITION BY name, pos) AS m FROM fx_logp))"
+    ),
 }
 _NEEDS = {
     "fx_atoms": ["fx_res_raw"], "fx_file_atoms": ["fx_file_raw"], "read_atoms": ["fx_atoms"], "res": ["read_atoms"], "spans": ["res"], "residues": ["spans", "res"], "chains": ["residues"], "offsets": ["chains"], "fx_logp": ["fx_logits"], "fx_soft": ["fx_logp"],

@@ -17,7 +17,10 @@ _INDEX = plans._INDEX.replace("r.mask, o.chain_no", "r.mask, o.chain_no, n_x, n_
 _P = "p AS (SELECT * FROM idx WHERE ca_x IS NOT NULL)"
 _D = "sqrt((a.ca_x - b.ca_x) * (a.ca_x - b.ca_x) + (a.ca_y - b.ca_y) * (a.ca_y - b.ca_y) + (a.ca_z - b.ca_z) * (a.ca_z - b.ca_z) + 1e-6)"
 _PAIRS = f"pairs AS (SELECT a.name, a.global_pos AS src, b.global_pos AS dst, {_D} AS dist FROM p a JOIN p b ON a.name = b.name)"
-_KNN = f"knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, src ORDER BY round(dist, 6), dst) AS rank FROM pairs) WHERE rank <= {_K})"
+_KNN = (
+    f"knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, src ORDER BY round(dist, 6), dst) AS rank FROM pairs) "
+    f"WHERE rank <= {_K})"
+)
 _ALL = f"WITH {_INDEX}, {_P}, {_PAIRS}, {_KNN}"
 
 
@@ -27,7 +30,11 @@ def points(spark, sf_dir) -> DataFrame:
 
 @query("pair_distances", sql(f"{_ALL} SELECT name, src, count(*) AS n, round(max(dist), 4) AS farthest, round(min(dist), 4) AS nearest FROM pairs GROUP BY name, src", "residues", "offsets"))
 def pair_distances(spark, sf_dir):
-    return G.pair_distances(points(spark, sf_dir)).groupBy("name", "src").agg(F.count("*").alias("n"), F.round(F.max("dist"), 4).alias("farthest"), F.round(F.min("dist"), 4).alias("nearest"))
+    return (
+        G.pair_distances(points(spark, sf_dir))
+        .groupBy("name", "src")
+        .agg(F.count("*").alias("n"), F.round(F.max("dist"), 4).alias("farthest"), F.round(F.min("dist"), 4).alias("nearest"))
+    )
 
 
 @query("knn_graph", sql(f"{_ALL} SELECT name, src, dst, rank, round(dist, 4) AS dist FROM knn", "residues", "offsets"))
@@ -55,21 +62,33 @@ def virtual_cbeta_q(spark, sf_dir):
     return table.select("name", "chain", "pos", *[F.round(cb[i], 4).alias(f"cb_{c}") for i, c in enumerate("xyz")])
 
 
-@query("atom_pair_distances", sql(f"{_ALL}, w AS (SELECT name, global_pos, unnest([{{'atom': 'N', 'x': n_x, 'y': n_y, 'z': n_z}}, {{'atom': 'CA', 'x': ca_x, 'y': ca_y, 'z': ca_z}}, {{'atom': 'C', 'x': c_x, 'y': c_y, 'z': c_z}}, {{'atom': 'O', 'x': o_x, 'y': o_y, 'z': o_z}}, {{'atom': 'CB', 'x': {_CB['x']}, 'y': {_CB['y']}, 'z': {_CB['z']}}}]) AS t FROM idx WHERE mask = 1) SELECT k.name, s.t.atom AS a, d.t.atom AS b, count(*) AS n, round(avg(sqrt((s.t.x - d.t.x) * (s.t.x - d.t.x) + (s.t.y - d.t.y) * (s.t.y - d.t.y) + (s.t.z - d.t.z) * (s.t.z - d.t.z) + 1e-6)), 4) AS mean_dist FROM knn k JOIN w s ON k.name = s.name AND k.src = s.global_pos JOIN w d ON k.name = d.name AND k.dst = d.global_pos GROUP BY 1, 2, 3", "residues", "offsets"))
+@query("atom_pair_distances", sql(
+    f"{_ALL}, w AS (SELECT name, global_pos, unnest([{{'atom': 'N', 'x': n_x, 'y': n_y, 'z': n_z}}, {{'atom': 'CA', 'x': ca_x, 'y': ca_y, "
+    f"'z': ca_z}}, {{'atom': 'C', 'x': c_x, 'y': c_y, 'z': c_z}}, {{'atom': 'O', 'x': o_x, 'y': o_y, 'z': o_z}}, {{'atom': 'CB', "
+    f"'x': {_CB['x']}, 'y': {_CB['y']}, 'z': {_CB['z']}}}]) AS t FROM idx WHERE mask = 1) "
+    f"SELECT k.name, s.t.atom AS a, d.t.atom AS b, count(*) AS n, round(avg(sqrt((s.t.x - d.t.x) * (s.t.x - d.t.x) + (s.t.y - d.t.y) * (s.t.y - "
+    f"d.t.y) + (s.t.z - d.t.z) * (s.t.z - d.t.z) + 1e-6)), 4) AS mean_dist FROM knn k JOIN w s ON k.name = s.name AND k.src = s.global_pos "
+    f"JOIN w d ON k.name = d.name AND k.dst = d.global_pos GROUP BY 1, 2, 3", "residues", "offsets"))
 def atom_pair_distances(spark, sf_dir):
     table = plans.indexed(spark, sf_dir)
     edges = G.knn_graph(G.points(table), _K)
     return G.atom_pair_distances(edges, table).groupBy("name", "a", "b").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 4).alias("mean_dist"))
 
 
-@query("rbf_features", sql(f"{_ALL} SELECT name, i, round(avg(exp(-power((dist - (2.0 + i * (20.0 / 15))) / 1.25, 2))), 6) AS v FROM knn CROSS JOIN (SELECT unnest(range(0, 16)) AS i) GROUP BY name, i", "residues", "offsets"))
+@query("rbf_features", sql(
+    f"{_ALL} SELECT name, i, round(avg(exp(-power((dist - (2.0 + i * (20.0 / 15))) / 1.25, 2))), 6) AS v FROM knn CROSS "
+    f"JOIN (SELECT unnest(range(0, 16)) AS i) GROUP BY name, i", "residues", "offsets"))
 def rbf_features(spark, sf_dir):
     """Mean over each structure's edges."""
     features = G.edge_rbf(G.knn_graph(points(spark, sf_dir), _K)).select("name", F.posexplode("rbf").alias("i", "v"))
     return features.groupBy("name", "i").agg(F.round(F.avg("v"), 6).alias("v"))
 
 
-_EDGE = f"{_ALL}, e AS (SELECT k.name, k.src, k.dst, k.rank, k.dist, s.residue_idx - d.residue_idx AS off, CASE WHEN s.chain = d.chain THEN 1 ELSE 0 END AS same_chain FROM knn k JOIN idx s ON k.name = s.name AND k.src = s.global_pos JOIN idx d ON k.name = d.name AND k.dst = d.global_pos)"
+_EDGE = (
+    f"{_ALL}, e AS (SELECT k.name, k.src, k.dst, k.rank, k.dist, s.residue_idx - d.residue_idx AS off, CASE "
+    f"WHEN s.chain = d.chain THEN 1 ELSE 0 END AS same_chain FROM knn k JOIN idx s ON k.name = s.name AND k.src = s.global_pos "
+    f"JOIN idx d ON k.name = d.name AND k.dst = d.global_pos)"
+)
 
 
 def edges(spark, sf_dir) -> DataFrame:
@@ -78,18 +97,38 @@ def edges(spark, sf_dir) -> DataFrame:
     at = table.select("name", F.col("global_pos").alias("id"), "residue_idx", "chain")
     of = lambda key, side: at.select("name", F.col("id").alias(key), F.col("residue_idx").alias(f"{side}_idx"), F.col("chain").alias(f"{side}_chain"))
     joined = G.knn_graph(G.points(table), _K).join(of("src", "s"), ["name", "src"]).join(of("dst", "d"), ["name", "dst"])
-    return joined.select("name", "src", "dst", "rank", "dist", (F.col("s_idx") - F.col("d_idx")).alias("off"), (F.col("s_chain") == F.col("d_chain")).cast("int").alias("same_chain"))
+    return joined.select(
+        "name",
+        "src",
+        "dst",
+        "rank",
+        "dist",
+        (F.col("s_idx") - F.col("d_idx")).alias("off"),
+        (F.col("s_chain") == F.col("d_chain")).cast("int").alias("same_chain"),
+    )
 
 
 @query("relative_position", sql(f"{_EDGE} SELECT name, src, dst, same_chain, CASE WHEN same_chain = 1 THEN least(greatest(off + 32, 0), 64) ELSE 65 END AS rel_pos FROM e", "residues", "offsets"))
 def relative_position_q(spark, sf_dir):
-    return edges(spark, sf_dir).select("name", "src", "dst", "same_chain", relative_position(F.col("off"), F.col("same_chain")).cast("long").alias("rel_pos"))
-
-
-@query("gather_neighbors", sql(f"{_EDGE} SELECT e.name, e.src, e.dst, round(e.dist, 4) AS f0, CAST(i.residue_idx AS DOUBLE) AS f1, CAST(i.mask AS DOUBLE) AS f2 FROM e JOIN idx i ON e.name = i.name AND e.dst = i.global_pos", "residues", "offsets"))
+    return edges(spark, sf_dir).select(
+        "name",
+        "src",
+        "dst",
+        "same_chain",
+        relative_position(F.col("off"), F.col("same_chain")).cast("long").alias("rel_pos"),
+    )
+
+
+@query("gather_neighbors", sql(
+    f"{_EDGE} SELECT e.name, e.src, e.dst, round(e.dist, 4) AS f0, CAST(i.residue_idx AS DOUBLE) AS f1, CAST(i.mask AS DOUBLE) AS f2 FROM e "
+    f"JOIN idx i ON e.name = i.name AND e.dst = i.global_pos", "residues", "offsets"))
 def gather_neighbors(spark, sf_dir):
     table = plans.indexed(spark, sf_dir)
-    nodes = table.select("name", F.col("global_pos").alias("id"), F.array(F.col("residue_idx").cast("double"), F.col("mask").cast("double")).alias("features"))
+    nodes = table.select(
+        "name",
+        F.col("global_pos").alias("id"),
+        F.array(F.col("residue_idx").cast("double"), F.col("mask").cast("double")).alias("features"),
+    )
     e = G.knn_graph(G.points(table), _K).select("name", "src", "dst", F.array("dist").alias("features"))
     return G.gather_neighbors(e, nodes).select("name", "src", "dst", *[F.round(F.col("features")[i], 4).alias(f"f{i}") for i in range(3)])
 
@@ -97,7 +136,9 @@ def gather_neighbors(spark, sf_dir):
 @query("neighbor_sum", sql(f"{_EDGE} SELECT name, src, round(sum(dist * same_chain) / 30.0, 4) AS total FROM e GROUP BY name, src", "residues", "offsets"))
 def neighbor_sum(spark, sf_dir):
     """Messages are distances, the mask says same chain."""
-    return G.neighbor_sum(edges(spark, sf_dir).select("name", "src", F.col("dist").alias("msg"), F.col("same_chain").alias("mask"))).withColumn("total", F.round("total", 4))
+    return G.neighbor_sum(
+        edges(spark, sf_dir).select("name", "src", F.col("dist").alias("msg"), F.col("same_chain").alias("mask"))
+    ).withColumn("total", F.round("total", 4))
 
 
 def _normal(c: str) -> str:
@@ -114,12 +155,23 @@ def perturb_coords(spark, sf_dir):
 
 
 _NOISE = "((global_pos * 7919 + length(name) * 104729) % 10007) / 10007.0"
-_POS = f"WITH {_INDEX}, q AS (SELECT name, chain, global_pos AS pos, mask, CASE WHEN chain IN ('B', 'D') THEN mask ELSE 0 END AS design, {_NOISE} AS noise FROM idx), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY (design + 1e-4) * abs(noise), pos) AS decode_rank FROM q)"
+_POS = (
+    f"WITH {_INDEX}, q AS (SELECT name, chain, global_pos AS pos, mask, CASE "
+    f"WHEN chain IN ('B', 'D') THEN mask ELSE 0 END AS design, {_NOISE} AS noise "
+    f"FROM idx), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY (design + 1e-4) * abs(noise), pos) AS decode_rank FROM q)"
+)
 
 
 def positions(spark, sf_dir) -> DataFrame:
     noise = ((F.col("global_pos") * 7919 + F.length("name") * 104729) % 10007) / 10007.0
-    return plans.indexed(spark, sf_dir).select("name", "chain", F.col("global_pos").alias("pos"), "mask", F.when(F.col("chain").isin("B", "D"), F.col("mask")).otherwise(0).alias("design"), noise.alias("noise"))
+    return plans.indexed(spark, sf_dir).select(
+        "name",
+        "chain",
+        F.col("global_pos").alias("pos"),
+        "mask",
+        F.when(F.col("chain").isin("B", "D"), F.col("mask")).otherwise(0).alias("design"),
+        noise.alias("noise"),
+    )
 
 
 @query("decoding_order", sql(f"{_POS} SELECT name, pos, decode_rank FROM r", "residues", "offsets"))
@@ -127,22 +179,42 @@ def decoding_order(spark, sf_dir):
     return G.decoding_order(positions(spark, sf_dir)).select("name", "pos", "decode_rank")
 
 
-@query("tied_decoding_order", sql(f"{_POS}, g AS (SELECT *, CASE WHEN pos % 3 = 0 THEN CAST(pos % 6 AS VARCHAR) ELSE '#' || pos END AS gid FROM r), f AS (SELECT *, min(decode_rank) OVER (PARTITION BY name, gid) AS first FROM g) SELECT name, pos, row_number() OVER (PARTITION BY name ORDER BY first, CASE WHEN pos % 3 = 0 THEN -pos ELSE 0 END) AS tied_rank FROM f", "residues", "offsets"))
+@query("tied_decoding_order", sql(
+    f"{_POS}, g AS (SELECT *, CASE WHEN pos % 3 = 0 THEN CAST(pos % 6 AS VARCHAR) ELSE '#' || pos END AS gid "
+    f"FROM r), f AS (SELECT *, min(decode_rank) OVER (PARTITION BY name, gid) AS first FROM g) "
+    f"SELECT name, pos, row_number() OVER (PARTITION BY name ORDER BY first, CASE WHEN pos % 3 = 0 THEN -pos ELSE 0 END) AS tied_rank FROM f", "residues", "offsets"))
 def tied_decoding_order(spark, sf_dir):
     """Groups list their members from the last position to the first."""
     tied = F.col("pos") % 3 == 0
-    ranked = G.decoding_order(positions(spark, sf_dir)).withColumn("group_id", F.when(tied, F.col("pos") % 6)).withColumn("member", F.when(tied, -F.col("pos")).otherwise(0))
+    ranked = (
+        G.decoding_order(positions(spark, sf_dir))
+        .withColumn("group_id", F.when(tied, F.col("pos") % 6))
+        .withColumn("member", F.when(tied, -F.col("pos")).otherwise(0))
+    )
     return G.tied_decoding_order(ranked).select("name", "pos", "tied_rank")
 
 
-@query("causal_edges", sql(f"{_POS}, {_P}, {_PAIRS}, {_KNN} SELECT k.name, k.src, k.dst, s.mask * CASE WHEN d.decode_rank < s.decode_rank THEN 1 ELSE 0 END AS backward, s.mask * CASE WHEN d.decode_rank < s.decode_rank THEN 0 ELSE 1 END AS forward FROM knn k JOIN r s ON k.name = s.name AND k.src = s.pos JOIN r d ON k.name = d.name AND k.dst = d.pos", "residues", "offsets"))
+@query("causal_edges", sql(
+    f"{_POS}, {_P}, {_PAIRS}, {_KNN} SELECT k.name, k.src, k.dst, s.mask * CASE "
+    f"WHEN d.decode_rank < s.decode_rank THEN 1 ELSE 0 END AS backward, s.mask * CASE "
+    f"WHEN d.decode_rank < s.decode_rank THEN 0 ELSE 1 END AS forward FROM knn k JOIN r s ON k.name = s.name AND k.src = s.pos "
+    f"JOIN r d ON k.name = d.name AND k.dst = d.pos", "residues", "offsets"))
 def causal_edges(spark, sf_dir):
     ranks = G.decoding_order(positions(spark, sf_dir)).withColumnRenamed("pos", "id")
     e = G.knn_graph(points(spark, sf_dir), _K).select("name", "src", "dst")
     return G.causal_edges(e, ranks).select("name", "src", "dst", "backward", "forward")
 
 
-@query("conditional_order", sql(f"{_POS} SELECT t.name, t.pos AS target, count(*) AS n, max(rank) FILTER (WHERE q.pos = t.pos) AS target_rank, min_by(q.pos, rank) AS first_pos FROM (SELECT a.name, a.pos AS pos FROM q a WHERE design = 1) t JOIN (SELECT a.name, a.pos AS target, b.pos, row_number() OVER (PARTITION BY a.name, a.pos ORDER BY CASE WHEN b.pos = a.pos THEN 1 ELSE 0 END, (b.design + 1e-4) * abs(b.noise), b.pos) AS rank FROM q a JOIN q b ON a.name = b.name WHERE a.design = 1) q ON q.name = t.name AND q.target = t.pos GROUP BY 1, 2", "residues", "offsets"))
+@query("conditional_order", sql(
+    f"{_POS} SELECT t.name, t.pos AS target, count(*) AS n, max(rank) FILTER (WHERE q.pos = t.pos) AS target_rank, min_by(q.pos, "
+    f"rank) AS first_pos FROM (SELECT a.name, a.pos AS pos FROM q a WHERE design = 1) t "
+    f"JOIN (SELECT a.name, a.pos AS target, b.pos, row_number() OVER (PARTITION BY a.name, a.pos ORDER BY CASE "
+    f"WHEN b.pos = a.pos THEN 1 ELSE 0 END, (b.design + 1e-4) * abs(b.noise), b.pos) AS rank FROM q a JOIN q b ON a.name = b.name "
+    f"WHERE a.design = 1) q ON q.name = t.name AND q.target = t.pos GROUP BY 1, 2", "residues", "offsets"))
 def conditional_order(spark, sf_dir):
     o = G.conditional_order(positions(spark, sf_dir))
-    return o.groupBy("name", "target").agg(F.count("*").alias("n"), F.max(F.when(F.col("pos") == F.col("target"), F.col("decode_rank"))).alias("target_rank"), F.min_by("pos", "decode_rank").alias("first_pos"))
+    return o.groupBy("name", "target").agg(
+        F.count("*").alias("n"),
+        F.max(F.when(F.col("pos") == F.col("target"), F.col("decode_rank"))).alias("target_rank"),
+        F.min_by("pos", "decode_rank").alias("first_pos"),
+    )

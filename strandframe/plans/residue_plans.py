@@ -78,7 +78,9 @@ def distinct_chains(spark, sf_dir):
     return R.distinct_chains(fx.atoms(spark, sf_dir))
 
 
-@query("next_free_chain", sql("SELECT name, count(DISTINCT chain) AS n_chains, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(count(DISTINCT chain) + 1 AS INT), 1) AS design_chain FROM fx_atoms GROUP BY name", "fx_atoms"))
+@query("next_free_chain", sql(
+    "SELECT name, count(DISTINCT chain) AS n_chains, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(count(DISTINCT chain) + 1 AS INT), "
+    "1) AS design_chain FROM fx_atoms GROUP BY name", "fx_atoms"))
 def next_free_chain(spark, sf_dir):
     return R.next_free_chain(fx.atoms(spark, sf_dir))
 
@@ -90,7 +92,9 @@ def roles(spark, sf_dir) -> DataFrame:
     return all_chains.select("name", "chain", role.alias("role"), F.ascii("chain").alias("list_pos"))
 
 
-@query("chain_encoding", sql("SELECT name, chain, role, row_number() OVER (PARTITION BY name ORDER BY role, chain) AS chain_no FROM (SELECT DISTINCT name, chain, CASE WHEN chain IN ('B', 'D') THEN 'designed' ELSE 'fixed' END AS role FROM fx_atoms)", "fx_atoms"))
+@query("chain_encoding", sql(
+    "SELECT name, chain, role, row_number() OVER (PARTITION BY name ORDER BY role, chain) AS chain_no FROM (SELECT DISTINCT name, chain, CASE "
+    "WHEN chain IN ('B', 'D') THEN 'designed' ELSE 'fixed' END AS role FROM fx_atoms)", "fx_atoms"))
 def chain_encoding(spark, sf_dir):
     return R.chain_encoding(roles(spark, sf_dir)).select("name", "chain", "role", "chain_no")
 
@@ -100,7 +104,11 @@ def chain_offsets(spark, sf_dir):
     return R.chain_offsets(chains(spark, sf_dir)).select("name", "chain", "len", "chain_no", "start")
 
 
-_INDEX = "idx AS (SELECT r.name, r.chain, r.pos, CAST(o.start + r.pos - 1 AS BIGINT) AS global_pos, CAST(100 * (o.chain_no - 1) + o.start + r.pos - 1 AS BIGINT) AS residue_idx, r.aa, r.mask, o.chain_no FROM residues r JOIN offsets o ON r.name = o.name AND r.chain = o.chain)"
+_INDEX = (
+    "idx AS (SELECT r.name, r.chain, r.pos, CAST(o.start + r.pos - 1 AS BIGINT) AS global_pos, "
+    "CAST(100 * (o.chain_no - 1) + o.start + r.pos - 1 AS BIGINT) AS residue_idx, r.aa, r.mask, o.chain_no FROM residues r "
+    "JOIN offsets o ON r.name = o.name AND r.chain = o.chain)"
+)
 
 
 @query("residue_index", sql(f"WITH {_INDEX} SELECT name, chain, pos, global_pos, residue_idx FROM idx", "residues", "offsets"))
@@ -111,13 +119,21 @@ def residue_index(spark, sf_dir):
 
 @query(
     "adjacency_masks",
-    sql(f"WITH {_INDEX} SELECT name, global_pos, CASE WHEN lag(residue_idx) OVER w = residue_idx - 1 THEN 1 ELSE 0 END AS phi, CASE WHEN lead(residue_idx) OVER w = residue_idx + 1 THEN 1 ELSE 0 END AS psi, CASE WHEN lead(residue_idx) OVER w = residue_idx + 1 THEN 1 ELSE 0 END AS omega FROM idx WINDOW w AS (PARTITION BY name ORDER BY global_pos)", "residues", "offsets"),
+    sql(
+        f"WITH {_INDEX} SELECT name, global_pos, CASE WHEN lag(residue_idx) OVER w = residue_idx - 1 THEN 1 ELSE 0 END AS phi, CASE "
+        f"WHEN lead(residue_idx) OVER w = residue_idx + 1 THEN 1 ELSE 0 END AS psi, CASE "
+        f"WHEN lead(residue_idx) OVER w = residue_idx + 1 THEN 1 ELSE 0 END AS omega FROM idx WINDOW w AS (PARTITION BY name "
+        f"ORDER BY global_pos)", "residues", "offsets"),
 )
 def adjacency_masks(spark, sf_dir):
     return R.adjacency_masks(indexed(spark, sf_dir)).select("name", "global_pos", "phi", "psi", "omega")
 
 
-_RUNS = "runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY name, chain ORDER BY line_no) AS BIGINT) AS run_id FROM (SELECT *, CASE WHEN lag(resseq) OVER w = resseq THEN 0 ELSE 1 END AS new FROM fx_atoms WHERE record = 'ATOM' AND atom IN ('N', 'CA', 'C', 'O') WINDOW w AS (PARTITION BY name, chain ORDER BY line_no)))"
+_RUNS = (
+    "runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY name, chain ORDER BY line_no) AS BIGINT) AS run_id FROM (SELECT *, CASE "
+    "WHEN lag(resseq) OVER w = resseq THEN 0 ELSE 1 END AS new FROM fx_atoms WHERE record = 'ATOM' AND atom IN ('N', 'CA', 'C', 'O') "
+    "WINDOW w AS (PARTITION BY name, chain ORDER BY line_no)))"
+)
 
 
 @query("residue_run_id", sql(f"WITH {_RUNS} SELECT name, line_no, run_id FROM runs", "fx_atoms"))
@@ -162,7 +178,9 @@ def gap_to_unknown_q(spark, sf_dir):
     return fx.sequences(spark, sf_dir).select("doc_id", gap_to_unknown(F.col("seq")).alias("seq"))
 
 
-@query("bad_letters", sql(f"SELECT doc_id, coalesce((SELECT string_agg(c, '' ORDER BY c) FROM (SELECT DISTINCT unnest(string_split(seq, '')) AS c) WHERE instr('{MODEL_ORDER}-', c) = 0), '') AS bad FROM fx_seq", "fx_seq"))
+@query("bad_letters", sql(
+    f"SELECT doc_id, coalesce((SELECT string_agg(c, '' ORDER BY c) FROM (SELECT DISTINCT unnest(string_split(seq, '')) AS c) "
+    f"WHERE instr('{MODEL_ORDER}-', c) = 0), '') AS bad FROM fx_seq", "fx_seq"))
 def bad_letters(spark, sf_dir):
     return C.bad_letters(fx.sequences(spark, sf_dir)).select("doc_id", F.array_join("bad", "").alias("bad"))
 
@@ -182,12 +200,21 @@ def truncate_dataset(spark, sf_dir):
     return kept.orderBy("doc_id").limit(100).select("doc_id", F.length("seq").alias("len"))
 
 
-@query("length_batches", sql("WITH c AS (SELECT name, sum(len) AS length FROM chains GROUP BY name), b AS (SELECT name, CAST(length AS BIGINT) AS length, CAST(ceil(log2(greatest(length, 1))) AS INT) AS bucket FROM c) SELECT name, length, bucket, CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY length, name) - 1) / greatest(floor(1000 / power(2, bucket)), 1)) AS BIGINT) AS batch FROM b", "chains"))
+@query("length_batches", sql(
+    "WITH c AS (SELECT name, sum(len) AS length FROM chains GROUP BY name), b AS (SELECT name, CAST(length AS BIGINT) AS length, "
+    "CAST(ceil(log2(greatest(length, 1))) AS INT) AS bucket FROM c) SELECT name, length, bucket, "
+    "CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY length, name) - 1) / greatest(floor(1000 / power(2, bucket)), "
+    "1)) AS BIGINT) AS batch FROM b", "chains"))
 def length_batches(spark, sf_dir):
     return scoring.length_batches(R.complexes(chains(spark, sf_dir)).select("name", "length"), 1000)
 
 
-@query("pad_batch", sql(f"WITH {_INDEX}, s AS (SELECT name, count(*) AS length, length(name) AS batch FROM idx GROUP BY name), g AS (SELECT batch, name, unnest(range(0, longest)) AS global_pos FROM (SELECT *, max(length) OVER (PARTITION BY batch) AS longest FROM s)) SELECT g.batch, g.name, g.global_pos, coalesce(i.aa, 'X') AS aa, coalesce(i.mask, 0) AS mask FROM g LEFT JOIN idx i ON g.name = i.name AND g.global_pos = i.global_pos", "residues", "offsets"))
+@query("pad_batch", sql(
+    f"WITH {_INDEX}, s AS (SELECT name, count(*) AS length, length(name) AS batch FROM idx "
+    f"GROUP BY name), g AS (SELECT batch, name, unnest(range(0, longest)) AS global_pos "
+    f"FROM (SELECT *, max(length) OVER (PARTITION BY batch) AS longest FROM s)) "
+    f"SELECT g.batch, g.name, g.global_pos, coalesce(i.aa, 'X') AS aa, coalesce(i.mask, 0) AS mask FROM g LEFT JOIN idx i ON g.name = i.name "
+    f"AND g.global_pos = i.global_pos", "residues", "offsets"))
 def pad_batch(spark, sf_dir):
     table = indexed(spark, sf_dir)
     batches = table.groupBy("name").agg(F.count("*").alias("length")).withColumn("batch", F.length("name"))
@@ -201,12 +228,16 @@ def _numbered(spark, sf_dir) -> DataFrame:
 _LAST = f"WITH {_INDEX}, l AS (SELECT *, max(chain_no) OVER (PARTITION BY name) AS last FROM idx)"
 
 
-@query("complex_lengths", sql(f"{_LAST} SELECT name, count(*) FILTER (WHERE chain_no <> last) AS len_receptor, count(*) FILTER (WHERE chain_no = last) AS len_binder, count(*) AS len_complex FROM l GROUP BY name", "residues", "offsets"))
+@query("complex_lengths", sql(
+    f"{_LAST} SELECT name, count(*) FILTER (WHERE chain_no <> last) AS len_receptor, count(*) FILTER (WHERE chain_no = last) AS len_binder, "
+    f"count(*) AS len_complex FROM l GROUP BY name", "residues", "offsets"))
 def complex_lengths(spark, sf_dir):
     return R.complex_lengths(_numbered(spark, sf_dir))
 
 
-@query("extend_complex", sql(f"WITH {_INDEX} SELECT name, chain_no, pos, aa FROM idx UNION ALL SELECT name, m + 1, unnest(range(1, 6)), 'A' FROM (SELECT name, max(chain_no) AS m FROM idx GROUP BY name)", "residues", "offsets"))
+@query("extend_complex", sql(
+    f"WITH {_INDEX} SELECT name, chain_no, pos, aa FROM idx UNION ALL SELECT name, m + 1, unnest(range(1, 6)), 'A' "
+    f"FROM (SELECT name, max(chain_no) AS m FROM idx GROUP BY name)", "residues", "offsets"))
 def extend_complex(spark, sf_dir):
     table = _numbered(spark, sf_dir)
     return R.extend_complex(table, table.select("name").distinct().withColumn("len_binder", F.lit(5))).select("name", "chain_no", "pos", "aa")

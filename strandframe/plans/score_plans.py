@@ -28,10 +28,17 @@ def noise(pos, t_no, sample):
 def positions(spark, sf_dir) -> DataFrame:
     """name, pos, logits, log_probs, idx (the chosen letter), mask."""
     p = fx.logits(spark, sf_dir)
-    return p.withColumn("log_probs", arrays.log_softmax(F.col("logits"))).withColumn("idx", (F.col("pos") * 7 % 21).cast("int")).withColumn("mask", (F.col("pos") % 5 != 0).cast("int"))
+    return (
+        p.withColumn("log_probs", arrays.log_softmax(F.col("logits")))
+        .withColumn("idx", (F.col("pos") * 7 % 21).cast("int"))
+        .withColumn("mask", (F.col("pos") % 5 != 0).cast("int"))
+    )
 
 
-_POS = "q AS (SELECT name, pos, max(lp) FILTER (WHERE idx = pos * 7 % 21) AS lp, sum(lp) AS all_lp, CASE WHEN pos % 5 <> 0 THEN 1 ELSE 0 END AS mask FROM fx_soft GROUP BY name, pos)"
+_POS = (
+    "q AS (SELECT name, pos, max(lp) FILTER (WHERE idx = pos * 7 % 21) AS lp, sum(lp) AS all_lp, CASE "
+    "WHEN pos % 5 <> 0 THEN 1 ELSE 0 END AS mask FROM fx_soft GROUP BY name, pos)"
+)
 
 
 def _long(df: DataFrame, column: str, to: str = "v", keys: tuple[str, ...] = ("name", "pos"), digits: int = 6) -> DataFrame:
@@ -43,7 +50,11 @@ def log_softmax(spark, sf_dir):
     return _long(positions(spark, sf_dir), "log_probs")
 
 
-_TEMP = "SELECT name, pos, idx, round(e / sum(e) OVER p, 6) AS v FROM (SELECT *, exp(w - max(w) OVER p) AS e FROM (SELECT *, (l + CASE WHEN idx = 5 THEN 1.0 ELSE 0.0 END + CASE WHEN pos % 2 = 0 AND idx = 9 THEN 2.0 ELSE 0.0 END) / 0.5 - 1e8 * CASE WHEN idx = 20 THEN 1.0 ELSE 0.0 END AS w FROM fx_logp) WINDOW p AS (PARTITION BY name, pos)) WINDOW p AS (PARTITION BY name, pos)"
+_TEMP = (
+    "SELECT name, pos, idx, round(e / sum(e) OVER p, 6) AS v FROM (SELECT *, exp(w - max(w) OVER p) AS e FROM (SELECT *, (l + CASE "
+    "WHEN idx = 5 THEN 1.0 ELSE 0.0 END + CASE WHEN pos % 2 = 0 AND idx = 9 THEN 2.0 ELSE 0.0 END) / 0.5 - 1e8 * CASE "
+    "WHEN idx = 20 THEN 1.0 ELSE 0.0 END AS w FROM fx_logp) WINDOW p AS (PARTITION BY name, pos)) WINDOW p AS (PARTITION BY name, pos)"
+)
 
 
 def _one(letter_index: int, value: float):
@@ -60,9 +71,15 @@ def softmax_temperature(spark, sf_dir):
     return _long(_probs(spark, sf_dir), "probs")
 
 
-@query("global_omit", sql(f"SELECT name, pos, string_agg(CASE WHEN substr('{MODEL_ORDER}', CAST(idx + 1 AS INT), 1) IN ('X', 'C') THEN '1' ELSE '0' END, '' ORDER BY idx) AS omit FROM fx_logp GROUP BY name, pos", "fx_logp"))
+@query("global_omit", sql(
+    f"SELECT name, pos, string_agg(CASE WHEN substr('{MODEL_ORDER}', CAST(idx + 1 AS INT), 1) IN ('X', 'C') THEN '1' ELSE '0' END, '' "
+    f"ORDER BY idx) AS omit FROM fx_logp GROUP BY name, pos", "fx_logp"))
 def global_omit(spark, sf_dir):
-    return fx.logits(spark, sf_dir).select("name", "pos", F.array_join(F.transform(arrays.letter_mask("XC"), lambda v: v.cast("int").cast("string")), "").alias("omit"))
+    return fx.logits(spark, sf_dir).select(
+        "name",
+        "pos",
+        F.array_join(F.transform(arrays.letter_mask("XC"), lambda v: v.cast("int").cast("string")), "").alias("omit"),
+    )
 
 
 def _soft(spark, sf_dir) -> DataFrame:
@@ -74,18 +91,24 @@ def pssm_blend(spark, sf_dir):
     return _long(_soft(spark, sf_dir).withColumn("b", arrays.blend(F.col("probs"), F.lit(0.5), _one(3, 1.0), 0.3)), "b")
 
 
-@query("log_odds_gate", sql("SELECT name, pos, idx, round(g / sum(g) OVER (PARTITION BY name, pos), 6) AS v FROM (SELECT *, p * CASE WHEN l > 0 THEN 1.001 ELSE 0.001 END AS g FROM fx_soft)", "fx_soft"))
+@query("log_odds_gate", sql(
+    "SELECT name, pos, idx, round(g / sum(g) OVER (PARTITION BY name, pos), 6) AS v FROM (SELECT *, p * CASE "
+    "WHEN l > 0 THEN 1.001 ELSE 0.001 END AS g FROM fx_soft)", "fx_soft"))
 def log_odds_gate(spark, sf_dir):
     return _long(_soft(spark, sf_dir).withColumn("g", arrays.log_odds_gate(F.col("probs"), F.col("logits"), 0.0)), "g")
 
 
-@query("position_omit", sql("SELECT name, pos, idx, round(g / sum(g) OVER (PARTITION BY name, pos), 6) AS v FROM (SELECT *, p * CASE WHEN idx = pos % 21 THEN 0.0 ELSE 1.0 END AS g FROM fx_soft)", "fx_soft"))
+@query("position_omit", sql(
+    "SELECT name, pos, idx, round(g / sum(g) OVER (PARTITION BY name, pos), 6) AS v FROM (SELECT *, p * CASE "
+    "WHEN idx = pos % 21 THEN 0.0 ELSE 1.0 END AS g FROM fx_soft)", "fx_soft"))
 def position_omit(spark, sf_dir):
     omit = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.when(i == F.col("pos") % 21, 1.0).otherwise(0.0))
     return _long(_soft(spark, sf_dir).withColumn("g", arrays.without(F.col("probs"), omit)), "g")
 
 
-@query("one_hot_mask", sql(f"SELECT name, chain, pos, string_agg(CASE WHEN chain = 'A' OR substr('{MODEL_ORDER}', CAST(i + 1 AS INT), 1) = aa THEN '1' ELSE '0' END, '' ORDER BY i) AS allowed FROM residues CROSS JOIN (SELECT unnest(range(0, 20)) AS i) GROUP BY name, chain, pos, aa", "residues"))
+@query("one_hot_mask", sql(
+    f"SELECT name, chain, pos, string_agg(CASE WHEN chain = 'A' OR substr('{MODEL_ORDER}', CAST(i + 1 AS INT), 1) = aa THEN '1' ELSE '0' END, "
+    f"'' ORDER BY i) AS allowed FROM residues CROSS JOIN (SELECT unnest(range(0, 20)) AS i) GROUP BY name, chain, pos, aa", "residues"))
 def one_hot_mask(spark, sf_dir):
     """Chain A is the binder: all letters; others keep their own."""
     own = F.array(*[F.when((F.col("chain") == "A") | (F.col("aa") == c), "1").otherwise("0") for c in MODEL_ORDER[:20]])
@@ -100,7 +123,12 @@ drawn AS (SELECT name, pos, temperature, sample_id, CASE WHEN pos % 4 = 0 THEN p
 
 
 def sampled(spark, sf_dir) -> DataFrame:
-    p = positions(spark, sf_dir).withColumn("native_idx", F.col("idx")).withColumn("design", (F.col("pos") % 4 != 0).cast("int")).drop("idx", "log_probs", "mask")
+    p = (
+        positions(spark, sf_dir)
+        .withColumn("native_idx", F.col("idx"))
+        .withColumn("design", (F.col("pos") % 4 != 0).cast("int"))
+        .drop("idx", "log_probs", "mask")
+    )
     return S.sample_letters(p, [0.5, 1.0], 2, noise)
 
 
@@ -109,7 +137,11 @@ def sample_letters(spark, sf_dir):
     return sampled(spark, sf_dir).select("name", "pos", "temperature", "sample_id", "idx")
 
 
-_MEMBERS = "m AS (SELECT name, pos, CAST(ceil(pos / 2.0) AS BIGINT) AS group_id, pos % 2 AS member, idx, l, CASE WHEN pos % 2 = 0 THEN -0.5 ELSE 1.0 END AS beta, pos * 7 % 21 AS native_idx, CASE WHEN pos % 9 = 0 THEN 0 ELSE 1 END AS design FROM fx_logp), t AS (SELECT name, group_id, idx, sum(beta * l / 0.5) / count(*) AS v FROM m GROUP BY name, group_id, idx)"
+_MEMBERS = (
+    "m AS (SELECT name, pos, CAST(ceil(pos / 2.0) AS BIGINT) AS group_id, pos % 2 AS member, idx, l, CASE "
+    "WHEN pos % 2 = 0 THEN -0.5 ELSE 1.0 END AS beta, pos * 7 % 21 AS native_idx, CASE WHEN pos % 9 = 0 THEN 0 ELSE 1 END AS design "
+    "FROM fx_logp), t AS (SELECT name, group_id, idx, sum(beta * l / 0.5) / count(*) AS v FROM m GROUP BY name, group_id, idx)"
+)
 
 
 def members(spark, sf_dir) -> DataFrame:
@@ -174,7 +206,10 @@ def score_stats(spark, sf_dir):
     return s.select("pose", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
 
 
-@query("score_complex", sql(f"WITH {_POS} SELECT mode, round(avg(score), 4) AS score FROM (SELECT 'designed' AS mode, name, sum(-lp * mask * (pos % 2)) / nullif(sum(mask * (pos % 2)), 0) AS score FROM q GROUP BY name UNION ALL SELECT 'whole', name, sum(-lp * mask) / nullif(sum(mask), 0) FROM q GROUP BY name) GROUP BY mode", "fx_soft"))
+@query("score_complex", sql(
+    f"WITH {_POS} SELECT mode, round(avg(score), 4) AS score FROM (SELECT 'designed' AS mode, name, "
+    f"sum(-lp * mask * (pos % 2)) / nullif(sum(mask * (pos % 2)), 0) AS score FROM q GROUP BY name UNION ALL "
+    f"SELECT 'whole', name, sum(-lp * mask) / nullif(sum(mask), 0) FROM q GROUP BY name) GROUP BY mode", "fx_soft"))
 def score_complex(spark, sf_dir):
     """Mean native score over complexes, by mode; odd positions are designed."""
     p = positions(spark, sf_dir).withColumn("chain_m", (F.col("pos") % 2).cast("int")).withColumn("chain_m_pos", F.lit(1))
@@ -206,7 +241,9 @@ def run_summary(spark, sf_dir):
     return S.run_summary(fx.results(spark, sf_dir).drop("name").withColumnRenamed("pose", "name"), 2, 3)
 
 
-@query("best_per_pose", sql("SELECT pose, sequence, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY pose ORDER BY score, sequence) AS rank FROM fx_results) WHERE rank <= 5", "fx_results"))
+@query("best_per_pose", sql(
+    "SELECT pose, sequence, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY pose ORDER BY score, sequence) AS rank "
+    "FROM fx_results) WHERE rank <= 5", "fx_results"))
 def best_per_pose(spark, sf_dir):
     return S.best_per_pose(fx.results(spark, sf_dir), 5).select("pose", "sequence", "score", "rank")
 
@@ -218,11 +255,23 @@ def rank_results(spark, sf_dir):
 
 @query("append_results", sql("SELECT pose, count(*) AS n FROM (SELECT pose FROM fx_results UNION ALL SELECT 'new' FROM part) GROUP BY pose", "fx_results"))
 def append_results(spark, sf_dir):
-    new = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("new").alias("pose"), F.col("p_partkey").cast("string").alias("sequence"), F.lit(0.5).alias("score"), F.col("p_partkey").alias("sample_id"))
+    new = (
+        spark.read
+        .parquet(f"{sf_dir}/part.parquet")
+        .select(
+            F.lit("new").alias("pose"),
+            F.col("p_partkey").cast("string").alias("sequence"),
+            F.lit(0.5).alias("score"),
+            F.col("p_partkey").alias("sample_id"),
+        )
+    )
     return fx.results(spark, sf_dir).drop("name").unionByName(new).groupBy("pose").agg(F.count("*").alias("n"))
 
 
-@query("shuffle_batches", sql("WITH c AS (SELECT name, sum(len) AS length FROM chains GROUP BY name), b AS (SELECT name, length, CAST(ceil(log2(greatest(length, 1))) AS INT) AS bucket FROM c) SELECT DISTINCT bucket, CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY length, name) - 1) / greatest(floor(1000 / power(2, bucket)), 1)) AS BIGINT) AS batch FROM b", "chains"))
+@query("shuffle_batches", sql(
+    "WITH c AS (SELECT name, sum(len) AS length FROM chains GROUP BY name), b AS (SELECT name, length, CAST(ceil(log2(greatest(length, "
+    "1))) AS INT) AS bucket FROM c) SELECT DISTINCT bucket, CAST(floor((row_number() OVER (PARTITION BY bucket "
+    "ORDER BY length, name) - 1) / greatest(floor(1000 / power(2, bucket)), 1)) AS BIGINT) AS batch FROM b", "chains"))
 def shuffle_batches(spark, sf_dir):
     """Batches in the order of a seeded hash."""
     b = S.length_batches(R.complexes(plans.chains(spark, sf_dir)).select("name", "length"), 1000).select("bucket", "batch").distinct()
@@ -262,12 +311,20 @@ def letter_scorer():
 _LETTER_IDX = f"coalesce(nullif(instr('{MODEL_ORDER}', aa), 0) - 1, 20)"
 
 
-@query("score_with_model", sql(f"WITH {plans._INDEX} SELECT name, global_pos, 21 AS n, round(sum(-abs(i - {_LETTER_IDX}) / 2.0), 4) AS total, any_value({_LETTER_IDX}) AS best FROM idx CROSS JOIN (SELECT unnest(range(0, 21)) AS i) GROUP BY name, global_pos", "residues", "offsets"))
+@query("score_with_model", sql(
+    f"WITH {plans._INDEX} SELECT name, global_pos, 21 AS n, round(sum(-abs(i - {_LETTER_IDX}) / 2.0), 4) AS total, "
+    f"any_value({_LETTER_IDX}) AS best FROM idx CROSS JOIN (SELECT unnest(range(0, 21)) AS i) GROUP BY name, global_pos", "residues", "offsets"))
 def score_with_model(spark, sf_dir):
     features = plans.indexed(spark, sf_dir).select("name", "global_pos", "aa")
     scored = S.score_with_model(features, "name string, global_pos long, logits array<double>", letter_scorer)
     best = F.array_position("logits", F.array_max("logits")) - 1
-    return scored.select("name", "global_pos", F.size("logits").alias("n"), F.round(arrays.total(F.col("logits")), 4).alias("total"), best.alias("best"))
+    return scored.select(
+        "name",
+        "global_pos",
+        F.size("logits").alias("n"),
+        F.round(arrays.total(F.col("logits")), 4).alias("total"),
+        best.alias("best"),
+    )
 
 
 _CAMPAIGN = f"""WITH dpos AS (SELECT r.name, r.pos, r.mask * CASE WHEN f.pos IS NULL THEN 1 ELSE 0 END AS design, {_LETTER_IDX} AS native_idx FROM residues r LEFT JOIN (SELECT DISTINCT * FROM fx_fixed) f ON r.name = f.name AND r.chain = f.chain AND r.pos = f.pos WHERE r.chain = 'B'),
@@ -299,9 +356,25 @@ def design_campaign(spark, sf_dir):
     path = new_path(spark, "campaign")
     found = campaign.results(designs)
     found.write.option("header", True).csv(path)
-    best = campaign.threaded(R.mirror(fx.atoms(spark, sf_dir)), designs).groupBy("name", "pose").agg(F.count("*").alias("n_atoms"), F.round(F.sum("x"), 3).alias("sum_x"))
+    best = (
+        campaign.threaded(R.mirror(fx.atoms(spark, sf_dir)), designs)
+        .groupBy("name", "pose")
+        .agg(F.count("*").alias("n_atoms"), F.round(F.sum("x"), 3).alias("sum_x"))
+    )
     back = spark.read.schema(found.schema).option("header", True).csv(path).join(best, ["name", "pose"], "left")
-    return back.select("name", "pose", "temperature", "sample_id", "sequence", F.round("score", 4).alias("score"), F.round("recovery", 4).alias("recovery"), "rank", "filename", F.coalesce("n_atoms", F.lit(0)).alias("n_atoms"), F.coalesce("sum_x", F.lit(0.0)).alias("sum_x"))
+    return back.select(
+        "name",
+        "pose",
+        "temperature",
+        "sample_id",
+        "sequence",
+        F.round("score", 4).alias("score"),
+        F.round("recovery", 4).alias("recovery"),
+        "rank",
+        "filename",
+        F.coalesce("n_atoms", F.lit(0)).alias("n_atoms"),
+        F.coalesce("sum_x", F.lit(0.0)).alias("sum_x"),
+    )
 
 
 @query("leaderboard_stream", sql("SELECT pose, round(min(score), 4) AS best, count(*) AS n FROM fx_results GROUP BY pose", "fx_results"))

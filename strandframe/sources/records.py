@@ -20,9 +20,18 @@ def parse_complex_json(lines: DataFrame) -> DataFrame:
 
 def parse_complex_coords(lines: DataFrame) -> DataFrame:
     """name, chain, atom, coords (array of positions) from the coords_chain_<letter> objects."""
-    keyed = lines.select(F.from_json("line", _MAP).alias("m")).select(F.col("m")["name"].alias("name"), F.explode("m").alias("key", "value")).filter(F.col("key").startswith("coords_chain_"))
+    keyed = (
+        lines.select(F.from_json("line", _MAP).alias("m"))
+        .select(F.col("m")["name"].alias("name"), F.explode("m").alias("key", "value"))
+        .filter(F.col("key").startswith("coords_chain_"))
+    )
     atoms = keyed.select("name", F.substr("key", F.lit(14)).alias("chain"), F.explode(F.from_json("value", _MAP)).alias("atom", "xyz"))
-    return atoms.select("name", "chain", F.substring_index("atom", "_chain_", 1).alias("atom"), F.from_json("xyz", "array<array<double>>").alias("coords"))
+    return atoms.select(
+        "name",
+        "chain",
+        F.substring_index("atom", "_chain_", 1).alias("atom"),
+        F.from_json("xyz", "array<array<double>>").alias("coords"),
+    )
 
 
 def last_line(lines: DataFrame, by: str = "file") -> DataFrame:
@@ -40,19 +49,29 @@ def parse_chain_roles(lines: DataFrame) -> DataFrame:
     """name, chain, role, list_pos from {name: [[designed], [fixed]]}."""
     names = lines.select(F.explode(F.from_json("line", "map<string,array<array<string>>>")).alias("name", "lists"))
     lists = names.select("name", F.posexplode("lists").alias("which", "chains"))
-    return lists.select("name", F.when(F.col("which") == 0, "designed").otherwise("fixed").alias("role"), F.posexplode("chains").alias("list_pos", "chain")).select("name", "chain", "role", "list_pos")
+    return lists.select(
+        "name",
+        F.when(F.col("which") == 0, "designed").otherwise("fixed").alias("role"),
+        F.posexplode("chains").alias("list_pos", "chain"),
+    ).select("name", "chain", "role", "list_pos")
 
 
 def parse_tied(lines: DataFrame) -> DataFrame:
     """name, group_id, member, chain, pos, beta from {name: [{chain: [pos]} or {chain: [[pos], [beta]]}]}; member numbers a group's positions as they are
     listed; beta is 1 where not given."""
-    groups = lines.select(F.explode(F.from_json("line", "map<string,array<map<string,string>>>")).alias("name", "groups")).select("name", F.posexplode("groups").alias("group_id", "g"))
+    groups = lines.select(
+        F.explode(F.from_json("line", "map<string,array<map<string,string>>>")).alias("name", "groups")
+    ).select("name", F.posexplode("groups").alias("group_id", "g"))
     def of(chain):
         value, both = chain["value"], F.from_json(chain["value"], "array<array<double>>")
         weighted = value.startswith("[[")
         positions = F.when(weighted, F.transform(both[0], lambda p: p.cast("int"))).otherwise(F.from_json(value, "array<int>"))
         betas = F.when(weighted, both[1]).otherwise(F.transform(positions, lambda _: F.lit(1.0)))
-        return F.zip_with(positions, betas, lambda p, b: F.struct(chain["key"].alias("chain"), p.alias("pos"), F.coalesce(b, F.lit(1.0)).alias("beta")))
+        return F.zip_with(
+            positions,
+            betas,
+            lambda p, b: F.struct(chain["key"].alias("chain"), p.alias("pos"), F.coalesce(b, F.lit(1.0)).alias("beta")),
+        )
 
     members = groups.select("name", "group_id", F.posexplode(F.flatten(F.transform(F.map_entries("g"), of))).alias("member", "m"))
     return members.select("name", "group_id", "member", "m.chain", "m.pos", "m.beta")
@@ -66,7 +85,11 @@ def parse_bias(lines: DataFrame, by: str = "file") -> DataFrame:
 def parse_bias_by_residue(lines: DataFrame) -> DataFrame:
     """name, chain, pos, bias (21 numbers) from {name: {chain: [[21 numbers] of each position]}}."""
     names = lines.select(F.explode(F.from_json("line", "map<string,map<string,array<array<double>>>>")).alias("name", "chains"))
-    return names.select("name", F.explode("chains").alias("chain", "rows")).select("name", "chain", F.posexplode("rows").alias("_i", "bias")).select("name", "chain", (F.col("_i") + 1).alias("pos"), "bias")
+    return (
+        names.select("name", F.explode("chains").alias("chain", "rows"))
+        .select("name", "chain", F.posexplode("rows").alias("_i", "bias"))
+        .select("name", "chain", (F.col("_i") + 1).alias("pos"), "bias")
+    )
 
 
 def parse_pssm_json(lines: DataFrame) -> DataFrame:
@@ -74,13 +97,27 @@ def parse_pssm_json(lines: DataFrame) -> DataFrame:
     kind = "map<string,struct<pssm_coef: array<double>, pssm_bias: array<array<double>>, pssm_log_odds: array<array<double>>>>"
     chains = merge_lines(lines).select("name", F.explode(F.from_json("value", kind)).alias("chain", "p"))
     rows = chains.select("name", "chain", F.posexplode(F.arrays_zip("p.pssm_coef", "p.pssm_bias", "p.pssm_log_odds")).alias("_i", "r"))
-    return rows.select("name", "chain", (F.col("_i") + 1).alias("pos"), F.col("r.pssm_coef").alias("coef"), F.col("r.pssm_bias").alias("bias"), F.col("r.pssm_log_odds").alias("log_odds"))
+    return rows.select(
+        "name",
+        "chain",
+        (F.col("_i") + 1).alias("pos"),
+        F.col("r.pssm_coef").alias("coef"),
+        F.col("r.pssm_bias").alias("bias"),
+        F.col("r.pssm_log_odds").alias("log_odds"),
+    )
 
 
 def parse_omit(lines: DataFrame) -> DataFrame:
     """name, chain, pos, aa from {name: {chain: [[[positions], letters]]}}."""
-    names = lines.select(F.explode(F.from_json("line", "map<string,map<string,array<array<string>>>>")).alias("name", "chains")).select("name", F.explode("chains").alias("chain", "rules"))
-    rules = names.select("name", "chain", F.explode("rules").alias("r")).select("name", "chain", F.explode(F.from_json(F.col("r")[0], "array<int>")).alias("pos"), F.col("r")[1].alias("letters"))
+    names = lines.select(
+        F.explode(F.from_json("line", "map<string,map<string,array<array<string>>>>")).alias("name", "chains")
+    ).select("name", F.explode("chains").alias("chain", "rules"))
+    rules = names.select("name", "chain", F.explode("rules").alias("r")).select(
+        "name",
+        "chain",
+        F.explode(F.from_json(F.col("r")[0], "array<int>")).alias("pos"),
+        F.col("r")[1].alias("letters"),
+    )
     return rules.select("name", "chain", "pos", F.explode(F.filter(F.split("letters", ""), lambda c: c != "")).alias("aa"))
 
 
@@ -92,7 +129,11 @@ def merge_lines(lines: DataFrame) -> DataFrame:
 
 def parse_pssm_text(lines: DataFrame, by: str = "name") -> DataFrame:
     """by, pos, log_odds (20), probs (20): two lines and a header are skipped, then each row loses four characters and is split at blanks."""
-    rows = lines.filter("line_no >= 3").select(by, (F.col("line_no") - 2).alias("pos"), F.split(F.trim(F.substr("line", F.lit(5))), "\\s+").alias("cells"))
+    rows = lines.filter("line_no >= 3").select(
+        by,
+        (F.col("line_no") - 2).alias("pos"),
+        F.split(F.trim(F.substr("line", F.lit(5))), "\\s+").alias("cells"),
+    )
     numbers = rows.select(by, "pos", F.transform("cells", lambda c: c.try_cast("double")).alias("v"))
     return numbers.select(by, "pos", F.slice("v", 1, 20).alias("log_odds"), F.slice("v", 21, 20).alias("probs"))
 
@@ -128,14 +169,28 @@ def render_complex_json(chains: DataFrame, residues: DataFrame | None = None) ->
     parts = chains.select("name", "chain", "seq", _member(F.concat(F.lit("seq_chain_"), "chain"), F.col("seq")).alias("text"))
     if residues is not None:
         nan = F.array(*[F.lit(float("nan"))] * 3)
-        rows = residues.select("name", "chain", F.struct("pos", *[F.coalesce(a, nan).alias(a) for a in _ATOMS]).alias("r")).groupBy("name", "chain").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-        of = F.map_from_arrays(F.array(*[F.concat(F.lit(f"{a.upper()}_chain_"), "chain") for a in _ATOMS]), F.array(*[F.transform("rows", _field(a)) for a in _ATOMS]))
-        coords = rows.select("name", "chain", F.replace(_member(F.concat(F.lit("coords_chain_"), "chain"), of), F.lit('"NaN"'), F.lit("NaN")).alias("coords"))
+        rows = (
+            residues.select("name", "chain", F.struct("pos", *[F.coalesce(a, nan).alias(a) for a in _ATOMS]).alias("r"))
+            .groupBy("name", "chain")
+            .agg(F.array_sort(F.collect_list("r")).alias("rows"))
+        )
+        of = F.map_from_arrays(
+            F.array(*[F.concat(F.lit(f"{a.upper()}_chain_"), "chain") for a in _ATOMS]),
+            F.array(*[F.transform("rows", _field(a)) for a in _ATOMS]),
+        )
+        coords = rows.select(
+            "name",
+            "chain",
+            F.replace(_member(F.concat(F.lit("coords_chain_"), "chain"), of), F.lit('"NaN"'), F.lit("NaN")).alias("coords"),
+        )
         parts = parts.join(coords, ["name", "chain"], "left").withColumn("text", F.concat_ws(", ", "text", "coords")).drop("coords")
     per = parts.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "chain", "seq", "text"))).alias("c"))
     whole = F.array_join(F.transform("c", lambda c: c["seq"]), "")
     rest = [_member(F.lit("name"), F.col("name")), _member(F.lit("num_of_chains"), F.size("c")), _member(F.lit("seq"), whole)]
-    return per.select("name", F.concat(F.lit("{"), F.concat_ws(", ", F.array_join(F.transform("c", lambda c: c["text"]), ", "), *rest), F.lit("}")).alias("line"))
+    return per.select(
+        "name",
+        F.concat(F.lit("{"), F.concat_ws(", ", F.array_join(F.transform("c", lambda c: c["text"]), ", "), *rest), F.lit("}")).alias("line"),
+    )
 
 
 def fixed4(x: Column) -> Column:
@@ -150,10 +205,48 @@ def _quoted(chains: Column) -> Column:
 def render_fasta(natives: DataFrame, samples: DataFrame) -> DataFrame:
     """name, line_no, line: the native record (name, score, fixed_chains, designed_chains, model_name, sequence) first, then its samples
     (name, temperature, sample_id, score, recovery, sequence) by temperature and id; two lines a record."""
-    head = F.concat(F.lit(">"), "name", F.lit(", score="), fixed4(F.col("score")), F.lit(", fixed_chains="), _quoted(F.col("fixed_chains")), F.lit(", designed_chains="), _quoted(F.col("designed_chains")), F.lit(", model_name="), "model_name")
-    first = natives.select("name", F.lit(0).alias("own"), F.lit(0.0).alias("temperature"), F.lit(0).cast("long").alias("sample_id"), head.alias("header"), "sequence")
-    head = F.concat(F.lit(">T="), F.col("temperature").cast("string"), F.lit(", sample="), F.col("sample_id").cast("string"), F.lit(", score="), fixed4(F.col("score")), F.lit(", seq_recovery="), fixed4(F.col("recovery")))
-    rest = samples.select("name", F.lit(1).alias("own"), F.col("temperature").cast("double"), F.col("sample_id").cast("long"), head.alias("header"), "sequence")
+    head = F.concat(
+        F.lit(">"),
+        "name",
+        F.lit(", score="),
+        fixed4(F.col("score")),
+        F.lit(", fixed_chains="),
+        _quoted(F.col("fixed_chains")),
+        F.lit(", designed_chains="),
+        _quoted(F.col("designed_chains")),
+        F.lit(", model_name="),
+        "model_name",
+    )
+    first = natives.select(
+        "name",
+        F.lit(0).alias("own"),
+        F.lit(0.0).alias("temperature"),
+        F.lit(0).cast("long").alias("sample_id"),
+        head.alias("header"),
+        "sequence",
+    )
+    head = F.concat(
+        F.lit(">T="),
+        F.col("temperature").cast("string"),
+        F.lit(", sample="),
+        F.col("sample_id").cast("string"),
+        F.lit(", score="),
+        fixed4(F.col("score")),
+        F.lit(", seq_recovery="),
+        fixed4(F.col("recovery")),
+    )
+    rest = samples.select(
+        "name",
+        F.lit(1).alias("own"),
+        F.col("temperature").cast("double"),
+        F.col("sample_id").cast("long"),
+        head.alias("header"),
+        "sequence",
+    )
     order = W.partitionBy("name").orderBy("own", "temperature", "sample_id")
     numbered = first.unionByName(rest).withColumn("k", F.row_number().over(order) - 1)
-    return numbered.select("name", F.posexplode(F.array("header", "sequence")).alias("_i", "line"), "k").select("name", (2 * F.col("k") + F.col("_i")).alias("line_no"), "line")
+    return numbered.select(
+        "name",
+        F.posexplode(F.array("header", "sequence")).alias("_i", "line"),
+        "k",
+    ).select("name", (2 * F.col("k") + F.col("_i")).alias("line_no"), "line")

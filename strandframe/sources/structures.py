@@ -24,7 +24,10 @@ def normalize_mse(lines: DataFrame) -> DataFrame:
     """Selenomethionine HETATM lines become ATOM lines of MET."""
     line = F.col("line")
     is_mse = (F.substring(line, 1, 6) == "HETATM") & (F.substring(line, 18, 3) == "MSE")
-    return lines.withColumn("line", F.when(is_mse, F.replace(F.replace(line, F.lit("HETATM"), F.lit("ATOM  ")), F.lit("MSE"), F.lit("MET"))).otherwise(line))
+    return lines.withColumn(
+        "line",
+        F.when(is_mse, F.replace(F.replace(line, F.lit("HETATM"), F.lit("ATOM  ")), F.lit("MSE"), F.lit("MET"))).otherwise(line),
+    )
 
 
 def split_insertion_code(text: Column) -> tuple[Column, Column]:
@@ -42,7 +45,11 @@ def parse_atoms(lines: DataFrame, records: tuple[str, ...] = ("ATOM",)) -> DataF
 
 def rejected_atoms(lines: DataFrame, records: tuple[str, ...] = ("ATOM",)) -> DataFrame:
     """name, line_no of the atom lines whose residue number or coordinates are no numbers."""
-    return _atoms(lines, records).filter(F.col("resseq").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()).select("name", "line_no")
+    return (
+        _atoms(lines, records)
+        .filter(F.col("resseq").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull())
+        .select("name", "line_no")
+    )
 
 
 def _atoms(lines: DataFrame, records: tuple[str, ...]) -> DataFrame:

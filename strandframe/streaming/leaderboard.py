@@ -15,7 +15,14 @@ def run(spark: SparkSession, arriving: str, schema: str, to: str) -> DataFrame:
     """Take in all files that have arrived, one per trigger, and return the board; to: folder for state and results."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arriving)
     keep = lambda df, epoch: df.write.mode("overwrite").parquet(f"{to}/board/epoch={epoch:09d}")
-    query = board(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query = (
+        board(stream).writeStream
+        .outputMode("complete")
+        .option("checkpointLocation", f"{to}/state")
+        .trigger(availableNow=True)
+        .foreachBatch(keep)
+        .start()
+    )
     query.awaitTermination()
     boards = spark.read.parquet(f"{to}/board")
     last = boards.agg(F.max("epoch")).first()[0]

@@ -15,7 +15,10 @@ from strandframe.operators import scoring as S
 
 def _points(spark, n=60, names=("a", "b")):
     rng = random.Random(3)
-    return spark.createDataFrame([(m, i, rng.uniform(-20, 20), rng.uniform(-20, 20), rng.uniform(-20, 20)) for m in names for i in range(n)], "name string, id long, x double, y double, z double")
+    return spark.createDataFrame(
+        [(m, i, rng.uniform(-20, 20), rng.uniform(-20, 20), rng.uniform(-20, 20)) for m in names for i in range(n)],
+        "name string, id long, x double, y double, z double",
+    )
 
 
 def test_grid_neighbours_equal_all_pairs(spark):
@@ -36,14 +39,27 @@ def test_brute_force_neighbours(spark):
 
 
 def test_masked_pairs_are_far(spark):
-    p = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0, 1), ("a", 1, 1.0, 0.0, 0.0, 0), ("a", 2, 5.0, 0.0, 0.0, 1)], "name string, id long, x double, y double, z double, mask int")
+    p = spark.createDataFrame(
+        [("a", 0, 0.0, 0.0, 0.0, 1), ("a", 1, 1.0, 0.0, 0.0, 0), ("a", 2, 5.0, 0.0, 0.0, 1)],
+        "name string, id long, x double, y double, z double, mask int",
+    )
     assert [r["dst"] for r in G.masked_knn(p, 2).filter("src = 0").orderBy("rank").collect()] == [0, 1]
     assert [r["dst"] for r in G.masked_knn(p, 3).filter("src = 2").orderBy("rank").collect()][0] == 2
 
 
 def test_probabilities(spark):
     df = spark.createDataFrame([([float(i % 5) for i in range(21)],)], "logits array<double>")
-    row = df.select(arrays.softmax(F.col("logits")).alias("p"), arrays.log_softmax(F.col("logits")).alias("l"), arrays.temperature_probs(F.col("logits"), F.lit(0.5), F.array_repeat(F.lit(0.0), 21), F.array_repeat(F.lit(0.0), 21), arrays.letter_mask("X")).alias("t")).first()
+    row = df.select(
+        arrays.softmax(F.col("logits")).alias("p"),
+        arrays.log_softmax(F.col("logits")).alias("l"),
+        arrays.temperature_probs(
+            F.col("logits"),
+            F.lit(0.5),
+            F.array_repeat(F.lit(0.0), 21),
+            F.array_repeat(F.lit(0.0), 21),
+            arrays.letter_mask("X"),
+        ).alias("t"),
+    ).first()
     assert abs(sum(row["p"]) - 1) < 1e-12 and all(abs(math.log(p) - x) < 1e-12 for p, x in zip(row["p"], row["l"], strict=True))
     assert row["t"][20] == 0.0 and abs(sum(row["t"]) - 1) < 1e-12
 
@@ -54,8 +70,23 @@ def test_draw_is_the_inverse_of_the_running_sum(spark):
 
 
 def test_tied_samples_agree(spark):
-    rows = [("a", g, k, 2 * g + k, 1.0 - 1.5 * k, [float((i * (g + 2)) % 7) for i in range(21)], [0.0] * 21, 3, int(g != 1)) for g in range(4) for k in range(2)]
-    members = spark.createDataFrame(rows, "name string, group_id int, member int, pos int, beta double, logits array<double>, bias array<double>, native_idx int, design int")
+    rows = [
+        (
+            "a",
+            g,
+            k,
+            2 * g + k,
+            1.0 - 1.5 * k,
+            [float((i * (g + 2)) % 7) for i in range(21)],
+            [0.0] * 21,
+            3,
+            int(g != 1),
+        ) for g in range(4) for k in range(2)
+    ]
+    members = spark.createDataFrame(
+        rows,
+        "name string, group_id int, member int, pos int, beta double, logits array<double>, bias array<double>, native_idx int, design int",
+    )
     drawn = S.tied_sample(members, 0.5, lambda g: (g % 10) / F.lit(10.0))
     assert drawn.count() == 8
     assert all(r["consistent"] for r in S.tied_consistency(drawn.withColumnRenamed("idx", "aa"), ["name", "group_id"]).collect())
@@ -66,11 +97,22 @@ def test_tied_groups_follow_their_list(spark):
     """The first kept member in the list gives the letter; the last member's omitted letters count."""
     flat, none = [0.0] * 21, [0.0] * 21
     only = lambda i: [0.0 if j == i else 1.0 for j in range(21)]
-    rows = [("a", 0, 1, 10, 1.0, flat, none, 4, 0, only(1)), ("a", 0, 0, 20, 1.0, flat, none, 9, 0, only(1)), ("a", 1, 1, 5, 1.0, flat, none, 3, 1, only(7)), ("a", 1, 0, 6, 1.0, flat, none, 3, 1, only(8))]
-    members = spark.createDataFrame(rows, "name string, group_id int, member int, pos int, beta double, logits array<double>, bias array<double>, native_idx int, design int, omit_mask array<double>")
+    rows = [
+        ("a", 0, 1, 10, 1.0, flat, none, 4, 0, only(1)),
+        ("a", 0, 0, 20, 1.0, flat, none, 9, 0, only(1)),
+        ("a", 1, 1, 5, 1.0, flat, none, 3, 1, only(7)),
+        ("a", 1, 0, 6, 1.0, flat, none, 3, 1, only(8)),
+    ]
+    members = spark.createDataFrame(
+        rows,
+        "name string, group_id int, member int, pos int, beta double, logits array<double>, bias array<double>, native_idx int, design int, omit_mask array<double>",
+    )
     got = S.tied_sample(members, 0.5, lambda g: F.lit(0.5)).collect()
     assert {r["idx"] for r in got if r["group_id"] == 0} == {9} and {r["idx"] for r in got if r["group_id"] == 1} == {7}
-    ranked = spark.createDataFrame([("a", 1, 0, 0, 5), ("a", 2, 7, 1, 1), ("a", 3, 7, 0, 9), ("a", 4, None, 0, 2)], "name string, pos int, group_id int, member int, decode_rank int")
+    ranked = spark.createDataFrame(
+        [("a", 1, 0, 0, 5), ("a", 2, 7, 1, 1), ("a", 3, 7, 0, 9), ("a", 4, None, 0, 2)],
+        "name string, pos int, group_id int, member int, decode_rank int",
+    )
     assert [r["pos"] for r in G.tied_decoding_order(ranked).orderBy("tied_rank").collect()] == [3, 2, 4, 1]
 
 
@@ -127,7 +169,10 @@ def test_user_model_runs_once_for_each_structure(spark):
 def test_stream_equals_batch(spark, tmp_path):
     from strandframe.streaming import leaderboard
 
-    df = spark.createDataFrame([("p1", "AC", 1.5, 1), ("p1", "AD", 0.5, 2), ("p2", "AE", 2.0, 3)], "pose string, sequence string, score double, sample_id long")
+    df = spark.createDataFrame(
+        [("p1", "AC", 1.5, 1), ("p1", "AD", 0.5, 2), ("p2", "AE", 2.0, 3)],
+        "pose string, sequence string, score double, sample_id long",
+    )
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     got = leaderboard.run(spark, str(tmp_path / "in"), "pose string, sequence string, score double, sample_id long", str(tmp_path / "out"))
     assert sorted(got.collect()) == sorted(leaderboard.board(df).collect())

@@ -45,7 +45,12 @@ def designs(spark):
     if not files:
         pytest.skip("no stored designs here")
     path = F.input_file_name()
-    lines = spark.read.text(files, wholetext=True).select(path.alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter("line <> ''")
+    lines = (
+        spark.read
+        .text(files, wholetext=True)
+        .select(path.alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+        .filter("line <> ''")
+    )
     return records.parse_design_fasta(lines).orderBy("file", "line_no").collect()
 
 
@@ -82,7 +87,10 @@ def test_chain_roles(spark, chains):
         roles = records.parse_chain_roles(text).collect()
         for name in {n for n, _ in chains} & set(last):
             known = spark.createDataFrame([(n, c) for n, c in chains if n == name], "name string, chain string")
-            designed = spark.createDataFrame([(r["name"], r["chain"]) for r in roles if r["name"] == name and r["role"] == "designed"], "name string, chain string")
+            designed = spark.createDataFrame(
+                [(r["name"], r["chain"]) for r in roles if r["name"] == name and r["role"] == "designed"],
+                "name string, chain string",
+            )
             got = C.fixed_chains(known, designed).collect()
             assert {r["chain"] for r in got if r["role"] == "fixed"} == set(last[name][1]) and {r["chain"] for r in got if r["role"] == "designed"} == set(last[name][0])
             seen += 1
@@ -173,8 +181,14 @@ def test_design_headers_and_chain_order(spark, designs, chains):
         own = [r for r in designs if r["file"] == file]
         lines = texts[file.removeprefix("file://")]
         head = own[0]
-        native = spark.createDataFrame([(head["name"], head["score"], head["sequence"], head["fixed_chains"], head["designed_chains"], lines[0].rsplit("model_name=", 1)[1])], "name string, score double, sequence string, fixed_chains array<string>, designed_chains array<string>, model_name string")
-        samples = spark.createDataFrame([(head["name"], r["temperature"], r["sample"], r["score"], r["recovery"], r["sequence"]) for r in own[1:]], "name string, temperature double, sample_id long, score double, recovery double, sequence string")
+        native = spark.createDataFrame(
+            [(head["name"], head["score"], head["sequence"], head["fixed_chains"], head["designed_chains"], lines[0].rsplit("model_name=", 1)[1])],
+            "name string, score double, sequence string, fixed_chains array<string>, designed_chains array<string>, model_name string",
+        )
+        samples = spark.createDataFrame(
+            [(head["name"], r["temperature"], r["sample"], r["score"], r["recovery"], r["sequence"]) for r in own[1:]],
+            "name string, temperature double, sample_id long, score double, recovery double, sequence string",
+        )
         made = [r["line"] for r in records.render_fasta(native, samples).orderBy("line_no").collect()]
         assert sorted(made) == sorted(x for x in lines if x)
 

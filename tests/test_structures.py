@@ -81,7 +81,10 @@ def test_json_is_escaped_and_holds_coordinates(spark, tmp_path):
 
     rows = [("X\"1", c, 'A"C' if c == "b" else "GX") for c in ("1", "b", "A", "12")]
     chains = spark.createDataFrame(rows, "name string, chain string, seq string")
-    residues = spark.createDataFrame([(n, c, p, [1.5, float(p), -2.0], None, [0.0, 0.0, 0.25], [9.0, 9.0, 9.0]) for n, c, _ in rows for p in (2, 1)], "name string, chain string, pos int, n array<double>, ca array<double>, c array<double>, o array<double>")
+    residues = spark.createDataFrame(
+        [(n, c, p, [1.5, float(p), -2.0], None, [0.0, 0.0, 0.25], [9.0, 9.0, 9.0]) for n, c, _ in rows for p in (2, 1)],
+        "name string, chain string, pos int, n array<double>, ca array<double>, c array<double>, o array<double>",
+    )
     lines = records.render_complex_json(chains, residues)
     found = json.loads(lines.collect()[0]["line"])
     assert [k for k in found if k.startswith("seq_chain_")] == ["seq_chain_A", "seq_chain_b", "seq_chain_1", "seq_chain_12"]
@@ -94,7 +97,10 @@ def test_json_is_escaped_and_holds_coordinates(spark, tmp_path):
 
 
 def test_chains_are_listed_letters_first(spark):
-    chains = spark.createDataFrame([("X", c, c * 2, 2) for c in ("1", "b", "10", "A", "2", "Z", "a")], "name string, chain string, seq string, len long")
+    chains = spark.createDataFrame(
+        [("X", c, c * 2, 2) for c in ("1", "b", "10", "A", "2", "Z", "a")],
+        "name string, chain string, seq string, len long",
+    )
     assert R.complexes(chains).collect()[0]["seq"] == "AAZZaabb11221010"
     assert [r["chain"] for r in R.chain_offsets(chains).orderBy("start").collect()] == ["A", "Z", "a", "b", "1", "2", "10"]
     table = chains.select("name", "chain", F.explode(F.array(F.lit(1), F.lit(2))).alias("pos"))
@@ -102,7 +108,15 @@ def test_chains_are_listed_letters_first(spark):
 
 
 def test_atom_lines_with_long_numbers_and_rejects(spark):
-    lines = spark.createDataFrame([("X", 0, "ATOM100001  N   ALA A   1      11.104   6.134  -6.504"), ("X", 1, "ATOM      2  N   ALA A          11.104   6.134  -6.504"), ("X", 2, "ATOM      3  N   ALA A   2      11.1x4   6.134  -6.504"), ("X", 3, "HETATM    4  N   ALA A   2      11.104   6.134  -6.504")], "name string, line_no int, line string")
+    lines = spark.createDataFrame(
+        [
+            ("X", 0, "ATOM100001  N   ALA A   1      11.104   6.134  -6.504"),
+            ("X", 1, "ATOM      2  N   ALA A          11.104   6.134  -6.504"),
+            ("X", 2, "ATOM      3  N   ALA A   2      11.1x4   6.134  -6.504"),
+            ("X", 3, "HETATM    4  N   ALA A   2      11.104   6.134  -6.504"),
+        ],
+        "name string, line_no int, line string",
+    )
     assert [(r["line_no"], r["record"], r["resseq"]) for r in structures.parse_atoms(lines).collect()] == [(0, "ATOM", 0)]
     assert sorted(r["line_no"] for r in structures.rejected_atoms(lines).collect()) == [1, 2]
 
@@ -130,8 +144,14 @@ def test_more_constraint_json(spark):
 
 
 def test_fasta_lines(spark):
-    native = spark.createDataFrame([("X", 1.03125, "ACD/GG", ["B"], ["C", "A"], "v1")], "name string, score double, sequence string, fixed_chains array<string>, designed_chains array<string>, model_name string")
-    samples = spark.createDataFrame([("X", 0.15, 2, 0.91966, 0.5147059, "ACE/GG"), ("X", 0.1, 7, 2.0, 1.0, "AAA/GG")], "name string, temperature double, sample_id long, score double, recovery double, sequence string")
+    native = spark.createDataFrame(
+        [("X", 1.03125, "ACD/GG", ["B"], ["C", "A"], "v1")],
+        "name string, score double, sequence string, fixed_chains array<string>, designed_chains array<string>, model_name string",
+    )
+    samples = spark.createDataFrame(
+        [("X", 0.15, 2, 0.91966, 0.5147059, "ACE/GG"), ("X", 0.1, 7, 2.0, 1.0, "AAA/GG")],
+        "name string, temperature double, sample_id long, score double, recovery double, sequence string",
+    )
     assert [r["line"] for r in records.render_fasta(native, samples).orderBy("line_no").collect()] == [
         ">X, score=1.0312, fixed_chains=['B'], designed_chains=['A', 'C'], model_name=v1", "ACD/GG", ">T=0.1, sample=7, score=2.0000, seq_recovery=1.0000", "AAA/GG", ">T=0.15, sample=2, score=0.9197, seq_recovery=0.5147", "ACE/GG"]
 
@@ -144,12 +164,19 @@ def test_constraint_json(spark):
     assert sorted((r["chain"], r["role"], r["list_pos"]) for r in roles.collect()) == [("A", "designed", 0), ("B", "designed", 1), ("C", "fixed", 0)]
     omit = records.parse_omit(one('{"X": {"A": [[[1, 2], "CW"]], "B": []}}'))
     assert sorted((r["chain"], r["pos"], r["aa"]) for r in omit.collect()) == [("A", 1, "C"), ("A", 1, "W"), ("A", 2, "C"), ("A", 2, "W")]
-    coords = records.parse_complex_coords(one('{"coords_chain_A": {"N_chain_A": [[1.0, 2.0, 3.0], [NaN, NaN, NaN]]}, "name": "X"}'.replace("NaN", "0.5")))
+    coords = records.parse_complex_coords(
+        one('{"coords_chain_A": {"N_chain_A": [[1.0, 2.0, 3.0], [NaN, NaN, NaN]]}, "name": "X"}'.replace("NaN", "0.5"))
+    )
     assert coords.collect()[0]["coords"] == [[1.0, 2.0, 3.0], [0.5, 0.5, 0.5]]
 
 
 def test_design_fasta(spark):
-    text = [">6XYZ, score=1.5, fixed_chains=['B'], designed_chains=['A', 'C'], model_name=v", "ACD/GG", ">T=0.1, sample=2, score=0.9, seq_recovery=0.5147", "ACE/GG"]
+    text = [
+        ">6XYZ, score=1.5, fixed_chains=['B'], designed_chains=['A', 'C'], model_name=v",
+        "ACD/GG",
+        ">T=0.1, sample=2, score=0.9, seq_recovery=0.5147",
+        "ACE/GG",
+    ]
     lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, line_no int, line string")
     native, sample = records.parse_design_fasta(lines).orderBy("line_no").collect()
     assert native["native"] and native["name"] == "6XYZ" and native["designed_chains"] == ["A", "C"] and native["fixed_chains"] == ["B"] and native["sequence"] == "ACD/GG"
