@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import compression, decontaminate, langid, linededup, maintext, mixing, qualityrules, simhash, tokencount, turntrie, urlfilter
+from . import compression, decontaminate, langid, linededup, maintext, mixing, qualityrules, ranked, simhash, tokencount, turntrie, urlfilter
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -13,8 +13,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_language_id": langid.op9_language_id,
     "op10_token_counts": tokencount.op10_token_counts,
+    "op11_ranked_search": ranked.op11_ranked_search,
     "op12_conversation_trie": turntrie.op12_conversation_trie,
     "op13_html_extraction": maintext.op13_html_extraction,
 }
 
-ORACLES = {**linededup.ORACLE, **mixing.ORACLE, **decontaminate.ORACLE, **turntrie.ORACLE}
+ORACLES = {**linededup.ORACLE, **mixing.ORACLE, **decontaminate.ORACLE, **ranked.ORACLE, **turntrie.ORACLE}
