@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common, labelled
-from .textkernel import NONSPACE, buffers, grams, mix, words
+from .textkernel import NONSPACE, buffers, exact_ids, grams, mix, repeated, words
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -47,21 +47,14 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, found: tuple, window: int
     lh, ls, le, lrow = words(data, offsets, _LINE)
     marks = np.concatenate([[0], np.cumsum(inside)])
     full = marks[le] > marks[ls]
-    lh, lrow = lh[full], lrow[full]
-    order = np.lexsort((lh, lrow))
-    again = (np.diff(lh[order]) == 0) & (np.diff(lrow[order]) == 0) if len(order) else np.zeros(0, bool)
+    line, lrow = exact_ids(data, ls[full], le[full], lh[full]), lrow[full]
+    order = np.lexsort((line, lrow))
+    again = (np.diff(line[order]) == 0) & (np.diff(lrow[order]) == 0) if len(order) else np.zeros(0, bool)
     out["n_dup_lines"] = np.bincount(lrow[order][1:][again], minlength=n) if len(order) else np.zeros(n, np.int64)
-    g, first = grams(h, rows, window)
+    first, twice = repeated(exact_ids(data, starts, ends, h), rows, window)
     cover = np.zeros(len(h) + 1, dtype=np.int64)
-    if len(g):
-        with np.errstate(over="ignore"):
-            key = mix(g + rows[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(key, kind="stable")
-        same = np.diff(key[order]) == 0
-        twice = np.zeros(len(g), dtype=bool)
-        twice[order[:-1][same]] = twice[order[1:][same]] = True
-        np.add.at(cover, first[twice], 1)
-        np.add.at(cover, first[twice] + window, -1)
+    np.add.at(cover, first[twice], 1)
+    np.add.at(cover, first[twice] + window, -1)
     out["n_repeat_words"] = _sum_by(np.cumsum(cover)[:-1] > 0, at)
     return {k: v.astype(np.int64) for k, v in out.items()}
 

@@ -80,19 +80,60 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return mix(hashes), starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def spans(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span from one start to the next; the last ends with the data. Long data are worked on in pieces."""
-    ends, hashes, at = np.append(starts[1:], len(data)), np.empty(len(starts), dtype=np.uint64), 0
-    while at < len(starts):
-        base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + _PIECE, side="right")))
-        up, down = powers(int(ends[to - 1] - base))
-        with np.errstate(over="ignore"):
-            own = starts[at:to] - base
-            hashes[at:to] = np.add.reduceat((data[base : ends[to - 1]].astype(np.uint64) + np.uint64(1)) * up[: ends[to - 1] - base], own) * down[own]
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether the spans of these sizes that begin at a and at b have the same bytes, all of them."""
+    at = 0
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + _PIECE, side="right")) - 1)
+        if to == at + 1:
+            same = np.array_equal(data[a[at] : a[at] + sizes[at]], data[b[at] : b[at] + sizes[at]])
+        else:
+            n = sizes[at:to]
+            inner = np.arange(int(n.sum())) - np.repeat(total[at:to] - total[at], n)
+            same = bool((data[np.repeat(a[at:to], n) + inner] == data[np.repeat(b[at:to], n) + inner]).all())
+        if not same:
+            return False
         at = to
-    with np.errstate(over="ignore"):
-        return mix(hashes + (ends - starts).astype(np.uint64))
+    return True
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers of spans that are equal just where their bytes are. Equal hashes are verified byte by byte; where one lies, the bytes alone decide."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(np.diff(hashes[order]) == 0)
+    a, b, sizes = order[same], order[same + 1], ends - starts
+    ids = np.empty(len(starts), dtype=np.int64)
+    if np.array_equal(sizes[a], sizes[b]) and _equal(data, starts[a], starts[b], sizes[a]):
+        new = np.ones(len(starts), dtype=np.int64)
+        new[same + 1] = 0
+        ids[order] = np.cumsum(new) - 1
+    else:
+        number: dict[bytes, int] = {}
+        ids[:] = [number.setdefault(data[i:j].tobytes(), len(number)) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return ids
+
+
+def repeated(ids: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first of each run of size neighbouring ids of one row, and whether the same run occurs again in the row."""
+    n = len(ids) - size + 1
+    first = np.flatnonzero(rows[:n] == rows[size - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
+    twice = np.zeros(len(first), dtype=bool)
+    if len(first):
+        key, _ = grams(mix(ids.astype(np.uint64)), rows, size)
+        with np.errstate(over="ignore"):
+            key = mix(key + rows[first].astype(np.uint64) * np.uint64(_M))
+        order = np.argsort(key, kind="stable")
+        same = np.diff(key[order]) == 0
+        a, b = first[order[:-1][same]], first[order[1:][same]]
+        if not (rows[a] == rows[b]).all() or not all((ids[a + k] == ids[b + k]).all() for k in range(size)):
+            columns = [ids[first + k] for k in range(size)] + [rows[first]]
+            order = np.lexsort(columns)
+            same = np.logical_and.reduce([np.diff(c[order]) == 0 for c in columns])
+        twice[order[:-1][same]] = twice[order[1:][same]] = True
+    return first, twice
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,8 @@ A token sequence is the tokenizer's own exactly if each neighbouring pair is, so
 token that can follow the last token up to its start.
 
 Null text counts as empty: no bytes, no tokens. Special strings in a text are one token each and part it, as the library does
-by default. Null doc_ids and repeated rows are kept; other columns are ignored; empty in, empty out.
+by default. Bytes that aren't UTF-8 are counted as U+FFFD, n_bytes are those stored. Null doc_ids and repeated rows are kept; other columns are ignored; empty in,
+empty out.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import json
 import math
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textkernel import spans
 
 # Kinds of character. A2, A3: an apostrophe before one letter, or two, of a contraction; SPL, WL: a space, or other
 # white space, before something else; WI: white space before white space or at the end.
@@ -366,28 +367,40 @@ class Tokenizer:
         if not parts:
             return out
         data = b"".join(parts)
-        points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
+        points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
         at_byte = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
         edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         starts = np.searchsorted(at_byte, edges[:-1])
         begins = at_byte[piece_starts(kinds(points, starts))]
         ends = np.append(begins[1:], len(data))
         raw = np.frombuffer(data, dtype=np.uint8)
-        _, one, of = np.unique(spans(raw, begins), return_index=True, return_inverse=True)
-        seen, pieces = self.counter.seen, [data[a:b] for a, b in zip(begins[one].tolist(), ends[one].tolist(), strict=True)]
-        known = np.fromiter((seen.get(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
-        new = np.flatnonzero(known < 0)
-        known[new] = self.counter.counts(raw, begins[one[new]], ends[one[new]])
-        seen = self.counter.seen
-        if len(seen) + len(new) > self.counter.piece_limit:
-            seen.clear()
-        seen.update((pieces[i], n) for i, n in zip(new.tolist(), known[new].tolist(), strict=True) if len(pieces[i]) <= 64)
-        each = known[of]
+        seen, pieces = self.counter.seen, [data[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        each = np.fromiter(map(seen.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        new = np.flatnonzero(each < 0)
+        if len(new):  # equal pieces, told by their bytes, are counted once
+            found: dict[bytes, int] = {}
+            of = np.fromiter((found.setdefault(pieces[i], i) for i in new.tolist()), dtype=np.int64, count=len(new))
+            one = np.fromiter(found.values(), dtype=np.int64, count=len(found))
+            each[one] = self.counter.counts(raw, begins[one], ends[one])
+            each[new] = each[of]
+            seen = self.counter.seen
+            if len(seen) + len(one) > self.counter.piece_limit:
+                seen.clear()
+            seen.update((pieces[i], n) for i, n in zip(one.tolist(), each[one].tolist(), strict=True) if len(pieces[i]) <= 64)
         first = np.searchsorted(begins, edges[:-1])
         np.add.at(out, owners, np.add.reduceat(each, first))
         return out
 
 
+def valid(text: bytes) -> bytes:
+    """The text, with U+FFFD for what isn't UTF-8 in it."""
+    try:
+        text.decode("utf-8")
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode("utf-8")
+    return text
+
+
 _compiled: dict[int, Tokenizer] = {}
 
 
@@ -402,7 +415,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
         for batch in batches:
             for part in common.text_slices(batch):
                 texts = part.column(1).to_pylist()
-                n = t.counts(texts)
+                n = t.counts([valid(x) for x in texts])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in texts], type=pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(
