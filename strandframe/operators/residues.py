@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.letters import CHAINS, chain_rank, to_letter, to_three
+from ..scratch import cut
 
 ATOMS = ("N", "CA", "C", "O")
 KEY = ["name", "chain", "resseq", "icode"]
@@ -33,29 +34,51 @@ def residues_from_atoms(atoms: DataFrame) -> DataFrame:
     return grouped.select(*KEY, res3.alias("res3"), *[xyz(a).alias(a.lower()) for a in ATOMS]).withColumn("aa", to_letter(F.col("res3")))
 
 
-def fill_gaps(residues: DataFrame) -> DataFrame:
-    """All residue numbers between a chain's least and largest; those without residue are '-' without atoms.
+def placed(residues: DataFrame, width: int = 256) -> DataFrame:
+    """All residue numbers between a chain's least and largest; those without residue are '-' without atoms. With them pos, the 1-based place in the chain by number, then insertion
+    code ('' first), chain_no, the chain's place in its structure as chains are listed, and start, the residues of the chains before.
 
-    Each residue brings the empty numbers up to the next one, so nothing is joined and the chain's partitioning serves the ordinals too.
+    In two phases, so that a chain or structure of any size goes over many tasks: residues are ordered within ranges of ``width`` numbers; a table of a row for each range
+    gives what the ranges before hold, where the next one begins, and the chains' lengths, and is joined back. A place is the number less the chain's
+    least one, plus the further residues of equal numbers before.
     """
-    w = W.partitionBy("name", "chain").orderBy("resseq", "icode")
-    last = F.greatest(F.col("resseq"), F.coalesce(F.lead("resseq").over(w) - 1, F.col("resseq")))
-    rows = residues.withColumn("_last", last).withColumn("_at", F.explode(F.sequence("resseq", "_last")))
+    ranges = [*KEY[:2], "_range"]
+    w = W.partitionBy(*ranges)
+    here = residues.withColumn("_range", F.floor(F.col("resseq") / width))
+    ordered = w.orderBy("resseq", "icode")
+    extra = F.row_number().over(ordered) - F.dense_rank().over(w.orderBy("resseq"))
+    rows = cut(here.withColumn("_next", F.lead("resseq").over(ordered)).withColumn("_extra", extra), "residues")
+    held = rows.groupBy(*ranges).agg(F.min("resseq").alias("_first"), F.max("resseq").alias("_last"), F.max("_extra").alias("_more"))
+    of = W.partitionBy("name", "chain").orderBy("_range")
+    heads = held.select(
+        *ranges,
+        F.coalesce(F.sum("_more").over(of.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lead("_first").over(of).alias("_follows"),
+    )
+    lengths = held.groupBy("name", "chain").agg(F.min("_first").alias("_least"), (F.max("_last") - F.min("_first") + 1 + F.sum("_more")).alias("len"))
+    table = heads.join(chain_offsets(lengths), ["name", "chain"])
+    joined = rows.join(table, ranges)
+    pos = F.col("resseq") - F.col("_least") + 1 + F.col("_before") + F.col("_extra")
+    last = F.greatest(F.col("resseq"), F.coalesce("_next", "_follows", F.col("resseq") + 1) - 1)
+    each = joined.withColumn("_pos", pos).withColumn("_at", F.explode(F.sequence("resseq", last)))
     own = F.col("_at") == F.col("resseq")
     keep = [F.when(own, F.col(c)).alias(c) for c in ("res3", "n", "ca", "c", "o")]
-    return rows.select(
+    return each.select(
         "name",
         "chain",
         F.col("_at").alias("resseq"),
         F.when(own, F.col("icode")).otherwise("").alias("icode"),
         *keep,
         F.when(own, F.col("aa")).otherwise("-").alias("aa"),
+        (F.col("_pos") + F.col("_at") - F.col("resseq")).cast("int").alias("pos"),
+        F.col("chain_no").cast("int").alias("chain_no"),
+        F.col("start").cast("long").alias("start"),
     )
 
 
-def with_ordinals(residues: DataFrame) -> DataFrame:
-    """pos: 1-based place in the chain, by number, then insertion code ('' first)."""
-    return residues.withColumn("pos", F.row_number().over(W.partitionBy("name", "chain").orderBy("resseq", "icode")))
+def fill_gaps(residues: DataFrame) -> DataFrame:
+    """Residues and the numbers without one, see placed."""
+    return placed(residues).drop("pos", "chain_no", "start")
 
 
 def with_mask(residues: DataFrame) -> DataFrame:
@@ -68,8 +91,8 @@ def with_mask(residues: DataFrame) -> DataFrame:
 
 
 def residue_table(atoms: DataFrame) -> DataFrame:
-    """Residues of all chains with gaps filled, ordinals and masks."""
-    return with_mask(with_ordinals(fill_gaps(residues_from_atoms(atoms))))
+    """Residues of all chains with gaps filled, places and masks."""
+    return with_mask(placed(residues_from_atoms(atoms)))
 
 
 def chain_sequences(residues: DataFrame) -> DataFrame:
@@ -128,7 +151,7 @@ def chain_offsets(chains: DataFrame, *order: str | Column) -> DataFrame:
 
 def residue_index(residues: DataFrame, offsets: DataFrame) -> DataFrame:
     """residue_idx: 100 * (chain_no - 1) + place in the complex from 0, so that chains aren't adjacent."""
-    joined = residues.join(offsets.select("name", "chain", "chain_no", "start"), ["name", "chain"])
+    joined = residues.drop("chain_no", "start").join(offsets.select("name", "chain", "chain_no", "start"), ["name", "chain"])
     return joined.withColumn("global_pos", F.col("start") + F.col("pos") - 1).withColumn(
         "residue_idx",
         100 * (F.col("chain_no") - 1) + F.col("global_pos"),
@@ -136,14 +159,11 @@ def residue_index(residues: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def with_index(residues: DataFrame) -> DataFrame:
-    """chain_no, global_pos and residue_idx with chains as they are listed, by windows of one partitioning and without a join."""
-    rank = chain_rank(F.col("chain"))
-    w = W.partitionBy("name").orderBy(rank, "chain", "pos")
-    indexed = residues.withColumn(
-        "chain_no",
-        F.dense_rank().over(W.partitionBy("name").orderBy(rank, "chain")),
-    ).withColumn("global_pos", F.row_number().over(w).cast("long") - 1)
-    return indexed.withColumn("residue_idx", 100 * (F.col("chain_no") - 1) + F.col("global_pos"))
+    """chain_no, global_pos and residue_idx with chains as they are listed; residues of ``placed`` have chain_no and start already, for others they come from their chains' lengths."""
+    if "start" not in residues.columns:
+        return residue_index(residues, chain_offsets(residues.groupBy("name", "chain").agg(F.count("*").alias("len")))).drop("start")
+    index = residues.withColumn("global_pos", F.col("start") + F.col("pos") - 1)
+    return index.withColumn("residue_idx", 100 * (F.col("chain_no") - 1) + F.col("global_pos")).drop("start")
 
 
 def adjacency_masks(indexed: DataFrame) -> DataFrame:
