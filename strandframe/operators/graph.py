@@ -1,8 +1,9 @@
 """Residue graphs: pair distances, nearest neighbours, edge features, decoding order.
 
-All joins are within a structure (hash on name). Nearest neighbours of structures of up to ``small`` points come from all their pairs; of larger
-ones from an equi join on integer grid cells, as wide as the structure's density asks, and only points whose k-th neighbour isn't provably
-inside a cell's width are compared with their whole structure. Results are the same either way.
+No join of points takes a structure alone as its key, so one structure of any size goes over many tasks. All pairs meet tile by tile. Nearest neighbours of structures of
+up to ``small`` points come from their pairs; in larger ones from a hierarchy of cells whose width halves from level to level: a point is placed at the deepest level
+where its cell still holds about a third of k points, and meets the cells around its own by an equi join. A point whose k-th neighbour isn't surely among them
+goes up a level, where cells are twice as wide, until all are sure. Results are those of comparing all pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ def points(residues: DataFrame, at: str = "ca", place: str = "global_pos") -> Da
     )
 
 
-def _ends(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    name = lambda side, key: p.select("name", F.col("id").alias(key), *[F.col(c).alias(side + c) for c in "xyz"])
+def _ends(p: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    name = lambda side, key: p.select("name", F.col("id").alias(key), *[F.col(c).alias(side + c) for c in "xyz"], *more)
     return name("a", "src"), name("b", "dst")
 
 
@@ -33,10 +34,42 @@ def _d() -> Column:
     return distance([F.col("a" + c) for c in "xyz"], [F.col("b" + c) for c in "xyz"])
 
 
-def pair_distances(p: DataFrame) -> DataFrame:
-    """name, src, dst, dist of all ordered pairs of a structure, self included."""
-    a, b = _ends(p)
-    return a.join(b, "name").select("name", "src", "dst", _d().alias("dist"))
+def _copies(table: DataFrame, into: str, n: Column | int) -> DataFrame:
+    """table n times, numbered by the column ``into`` from 0."""
+    return table.withColumn(into, F.explode(F.sequence(F.lit(0), (n if isinstance(n, Column) else F.lit(n)) - 1)))
+
+
+def with_small(rows: DataFrame, small: DataFrame, salts: int = 16) -> DataFrame:
+    """rows with the columns of small, a table with one row for each name; a name's rows are dealt over copies of it."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", salt).join(_copies(small, "_salt", salts), ["name", "_salt"]).drop("_salt")
+
+
+def tiled(p: DataFrame, tile: int = 512) -> DataFrame:
+    """p with _tiles, how many tiles of about ``tile`` points its structure has, and _tile, the one of each."""
+    counts = p.groupBy("name").agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    return with_small(p, counts).withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
+
+
+def pair_distances(p: DataFrame, within: float | None = None, tile: int = 512) -> DataFrame:
+    """name, src, dst, dist of all ordered pairs of a structure, self included: pairs of tiles are the join's keys. within: only pairs closer than that, by cells of that width."""
+    if within is not None:
+        a, b = _ends(p)
+        a = a.select("*", *[F.floor(F.col(f"a{c}") / within).cast("long").alias(f"g{c}") for c in "xyz"])
+        b = b.select("name", "dst", "bx", "by", "bz", *[F.floor(F.col(f"b{c}") / within).cast("long").alias(f"g{c}") for c in "xyz"])
+        near = a.join(_around(b), ["name", "gx", "gy", "gz"])
+        return near.withColumn("dist", _d()).filter(F.col("dist") < within).select("name", "src", "dst", "dist")
+    a, b = _ends(tiled(p, tile), "_tile", "_tiles")
+    a = _copies(a.withColumnRenamed("_tile", "_a"), "_b", F.col("_tiles")).drop("_tiles")
+    b = _copies(b.withColumnRenamed("_tile", "_b"), "_a", F.col("_tiles")).drop("_tiles")
+    return a.join(b, ["name", "_a", "_b"]).select("name", "src", "dst", _d().alias("dist"))
+
+
+def _around(cells: DataFrame) -> DataFrame:
+    """Each row at its own cell and at the 26 around it."""
+    steps = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(m).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
+    rest = [c for c in cells.columns if c not in ("gx", "gy", "gz")]
+    return cells.withColumn("s", F.explode(steps)).select(*rest, *[(F.col(f"g{c}") + F.col(f"s.{c}")).alias(f"g{c}") for c in "xyz"])
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -44,48 +77,120 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def knn_graph(p: DataFrame, k: int = 30, radius: float | None = None, small: int = 256) -> DataFrame:
-    """name, src, dst, rank, dist: the min(k, n) nearest of each point, itself included, ties by dst. radius: the cells' width, else by density."""
-    of = W.partitionBy("name")
-    span = lambda c: F.max(c).over(of) - F.min(c).over(of) + 1
-    # A ball of this radius holds about twice k points where they fill their box evenly.
-    wide = F.lit(radius) if radius is not None else F.cbrt(span("x") * span("y") * span("z") * 2 * k / (4.19 * F.count("*").over(of)))
-    sized = cut(p.select("name", "id", "x", "y", "z", F.count("*").over(of).alias("_n"), wide.cast("double").alias("_r")), "points")
-    few, many = sized.filter(F.col("_n") <= small), sized.filter(F.col("_n") > small)
-    close = _nearest(_by_cells(many), k)
-    sure = cut(
-        close.groupBy("name", "src").agg(F.count("*").alias("c")).filter(F.col("c") == k).select("name", F.col("src").alias("id")),
-        "points-sure",
-    )
-    rest = many.join(sure, ["name", "id"], "left_anti")
-    full = _ends(rest)[0].join(_ends(many)[1], "name").select("name", "src", "dst", _d().alias("dist"))
-    done = close.join(sure.withColumnRenamed("id", "src"), ["name", "src"], "left_semi")
-    return _nearest(pair_distances(few), k).unionByName(done).unionByName(_nearest(full, k))
-
-
-def _by_cells(p: DataFrame) -> DataFrame:
-    """Pairs closer than their structure's cell width _r."""
-    cell = lambda c: F.floor(F.col(c) / F.col("_r")).cast("long")
-    placed = p.select("name", "id", "x", "y", "z", "_r", *[cell(c).alias(f"g{c}") for c in "xyz"])
-    a = placed.select("name", F.col("id").alias("src"), "_r", *[F.col(c).alias("a" + c) for c in "xyz"], "gx", "gy", "gz")
-    around = F.array(
-        *[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(m).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]
-    )
-    b = placed.select("name", F.col("id").alias("dst"), *[F.col(c).alias("b" + c) for c in "xyz"], "gx", "gy", "gz", F.explode(around).alias("s"))
-    b = b.select("name", "dst", "bx", "by", "bz", *[(F.col(f"g{c}") + F.col(f"s.{c}")).alias(f"g{c}") for c in "xyz"])
-    return a.join(b, ["name", "gx", "gy", "gz"]).withColumn("dist", _d()).filter(F.col("dist") < F.col("_r")).select("name", "src", "dst", "dist")
-
-
-def masked_knn(all_points: DataFrame, k: int) -> DataFrame:
-    """As knn_graph over points with mask (0 or 1): masked pairs are as far as the row's farthest unmasked one."""
-    a, b = _ends(all_points)
-    m = all_points.select("name", F.col("id"), "mask")
-    a = a.join(m.select("name", F.col("id").alias("src"), F.col("mask").alias("am")), ["name", "src"])
-    b = b.join(m.select("name", F.col("id").alias("dst"), F.col("mask").alias("bm")), ["name", "dst"])
-    pairs = a.join(b, "name").select("name", "src", "dst", (F.col("am") * F.col("bm")).alias("m"), _d().alias("d"))
-    pairs = pairs.withColumn("d", F.col("d") * F.col("m"))
-    far = F.max("d").over(W.partitionBy("name", "src"))
-    return _nearest(pairs.select("name", "src", "dst", (F.col("d") + (1 - F.col("m")) * far).alias("dist")), k)
+#: Levels looked at in one pass above and below the one that even density asks for; the deepest level there is.
+_LEVELS_UP, _LEVELS_DOWN, _DEEPEST = 2, 3, 40
+
+
+def _cell(level: Column) -> list[Column]:
+    """A point's cell at a level: the structure's box is one cell at level 0."""
+    return [F.floor((F.col(c) - F.col(f"_{c}0")) / F.col("_wide") * F.pow(F.lit(2.0), level)).cast("long").alias(f"g{c}") for c in "xyz"]
+
+
+def _placed(sites: DataFrame, k: int) -> DataFrame:
+    """Sites (name, id, x, y, z and more) with their structure's box (_x0, _y0, _z0, _wide) and their level, at least 1."""
+    box = sites.groupBy("name").agg(F.count("*").alias("_sites"), *[f(c).alias(f"_{c}{i}") for c in "xyz" for i, f in ((0, F.min), (1, F.max))])
+    span = [F.col(f"_{c}1") - F.col(f"_{c}0") for c in "xyz"]
+    wide = F.greatest(*span, F.lit(1e-3)) * 1.0001
+    # Where points fill their box evenly a cell of this width holds about half of k points.
+    even = F.cbrt((span[0] + 1) * (span[1] + 1) * (span[2] + 1) * k / 2 / F.col("_sites"))
+    start = F.greatest(F.lit(1), F.floor(F.log2(wide / even)).cast("int"))
+    todo, done = cut(with_small(sites, box.select("name", "_x0", "_y0", "_z0", wide.alias("_wide"), start.alias("_start"))), "boxed"), None
+    least = F.greatest(F.col("_start") - _LEVELS_UP, F.lit(1))
+    while True:
+        levels = todo.withColumn("level", F.explode(F.sequence(least, F.col("_start") + _LEVELS_DOWN))).select("name", "id", "level", *_cell(F.col("level")))
+        cell = ["name", "level", "gx", "gy", "gz"]
+        full = levels.groupBy(*cell).agg(F.count("*").alias("_held")).filter(F.col("_held") * 3 >= k)
+        deepest = levels.join(full, cell).groupBy("name", "id").agg(F.max(F.struct("level", "_held")).alias("_best"))
+        found = cut(todo.join(deepest, ["name", "id"], "left").withColumn("level", F.coalesce("_best.level", F.greatest(least - 1, F.lit(1)))), "levels")
+        # Where a cell of the deepest level tried holds many points, levels further down are tried.
+        crowded = F.coalesce((F.col("_best.level") == F.col("_start") + _LEVELS_DOWN) & (F.col("_best._held") > 8 * k) & (F.col("level") < _DEEPEST), F.lit(False))
+        settled = found.filter(~crowded).drop("_best", "_start")
+        done = settled if done is None else done.unionByName(settled)
+        todo = found.filter(crowded).withColumn("_start", F.col("_start") + _LEVELS_UP + _LEVELS_DOWN + 1).drop("_best", "level")
+        least = F.col("_start") - _LEVELS_UP
+        if todo.isEmpty():
+            return done
+
+
+def _rings(queries: DataFrame, sites: DataFrame, k: int) -> DataFrame:
+    """The k nearest ids (name, src, dst, rank, dist) of each query, of the ids that sites list. queries, sites: placed; sites have ids, up to k of each place."""
+    found, todo = None, queries
+    while True:
+        own = ["qx", "qy", "qz"]
+        here = todo.select("name", F.col("id").alias("src"), *[F.col(c).alias("a" + c) for c in "xyz"], "level", "_wide", *[g.alias(q) for g, q in zip(_cell(F.col("level")), own, strict=True)])
+        cells = here.select("name", "level", *own).distinct()
+        wanted = _around(cells.select("*", *[F.col(q).alias("g" + q[1]) for q in own]))
+        used = cells.groupBy("name").agg(F.collect_set("level").alias("_levels"))  # _DEEPEST at most
+        at = with_small(sites.drop("level"), used).withColumn("level", F.explode("_levels"))
+        held = at.select("name", "level", *_cell(F.col("level")), "ids", *[F.col(c).alias("b" + c) for c in "xyz"])
+        near = held.join(wanted, ["name", "level", "gx", "gy", "gz"]).drop("gx", "gy", "gz")
+        # Beyond a cell's width there may be sites that weren't met; with two cells a side all are.
+        reach = F.when(F.col("level") <= 1, F.lit(float("inf"))).otherwise(F.col("_wide") / F.pow(F.lit(2.0), F.col("level"))).alias("_reach")
+        pairs = here.join(near, ["name", "level", *own]).select("name", "src", reach, _d().alias("dist"), "ids").filter(F.col("dist") < F.col("_reach"))
+        best = cut(_nearest(pairs.select("name", "src", "_reach", "dist", F.explode("ids").alias("dst")), k), "neighbours")
+        within = F.count_if(F.col("dist") < F.col("_reach") - 2e-6) == k  # with a margin for ties
+        sure = best.groupBy("name", "src").agg((within | (F.max("_reach") == float("inf"))).alias("_sure")).filter("_sure").drop("_sure")
+        kept = best.join(sure, ["name", "src"], "left_semi").drop("_reach")
+        found = kept if found is None else found.unionByName(kept)
+        todo = cut(todo.join(sure.withColumnRenamed("src", "id"), ["name", "id"], "left_anti").withColumn("level", F.col("level") - 1), "unsure")
+        if todo.isEmpty():
+            return found
+
+
+def knn_graph(p: DataFrame, k: int = 30, small: int = 256) -> DataFrame:
+    """name, src, dst, rank, dist: the min(k, n) nearest of each point, itself included, ties by dst.
+
+    In structures of over ``small`` points those of equal coordinates are one site, of which only the k least ids can be anyone's neighbours, so copies of a point don't
+    meet one another.
+    """
+    columns = ["name", "src", "dst", "rank", "dist"]
+    sized = cut(with_small(p.select("name", "id", "x", "y", "z"), p.groupBy("name").agg(F.count("*").alias("_n"))), "points")
+    few = _nearest(pair_distances(sized.filter(F.col("_n") <= small).drop("_n"), tile=max(small, 1)), k).select(*columns)
+    many = sized.filter(F.col("_n") > small).drop("_n")
+    if many.isEmpty():
+        return few
+    xyz = ["name", "x", "y", "z"]
+    same = F.row_number().over(W.partitionBy(*xyz).orderBy("id"))
+    sites = many.withColumn("_r", same).filter(F.col("_r") <= k).groupBy(*xyz).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    placed = cut(_placed(sites.withColumn("id", F.col("ids")[0]), k), "sites")
+    found = _rings(placed.drop("ids"), placed, k).select(*columns)
+    others = many.join(placed.select(*xyz, F.col("id").alias("_site")), xyz).filter(F.col("id") != F.col("_site"))
+    copies = others.select("name", F.col("id").alias("_own"), F.col("_site").alias("src")).join(found, ["name", "src"])
+    return few.unionByName(found).unionByName(copies.select("name", F.col("_own").alias("src"), "dst", "rank", "dist"))
+
+
+def masked_knn(p: DataFrame, k: int = 30, small: int = 256) -> DataFrame:
+    """As knn_graph over points with mask (0 or 1): a pair with a masked point is as far as the row's farthest pair without one; a masked row's are all at 0. Ties by dst.
+
+    Masked points come last in an unmasked row's order, so they matter only where k unmasked ones nearer than the farthest aren't there: these rows, a few for each
+    structure, are found by its outermost points and compared with all its unmasked points, tile by tile.
+    """
+    p = cut(p.select("name", "id", "x", "y", "z", "mask"), "masked")
+    seen, hidden = p.filter("mask = 1").drop("mask"), p.filter("mask = 0").select("name", "id")
+    near = cut(knn_graph(seen, k, small), "seen")
+    place = F.struct("x", "y", "z")
+    outer = seen.groupBy("name").agg(F.array(*[f(place, c) for c in "xyz" for f in (F.min_by, F.max_by)]).alias("_outer"))
+    first = lambda t: t.withColumn("_r", F.row_number().over(W.partitionBy("name").orderBy("id"))).filter(F.col("_r") <= k).groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("_first"))
+    masked = first(hidden)
+    last = near.groupBy("name", "src").agg(F.count("*").alias("_c"), F.max("dist").alias("_last")).withColumnRenamed("src", "id")
+    apart = F.array_max(F.transform("_outer", lambda o: distance([F.col(c) for c in "xyz"], [o[c] for c in "xyz"])))
+    rows = with_small(seen, outer.join(masked.select("name"), "name")).join(last, ["name", "id"])
+    short = cut(rows.filter((F.col("_c") < k) | (F.round("_last", 6) >= F.round(apart, 6))).select("name", "id", "x", "y", "z"), "short")
+    tiles = tiled(seen)
+    every = tiles.select("name", "_tile", *[F.col(c).alias("b" + c) for c in "xyz"])
+    asked = with_small(short, tiles.select("name", "_tiles").distinct())
+    asked = _copies(asked, "_tile", F.col("_tiles")).select("name", "_tile", F.col("id").alias("src"), *[F.col(c).alias("a" + c) for c in "xyz"])
+    far = asked.join(every, ["name", "_tile"]).groupBy("name", "src").agg(F.max(_d()).alias("dist"))
+    more = far.join(masked, "name").select("name", "src", F.explode("_first").alias("dst"), "dist")
+    again = near.join(short.select("name", F.col("id").alias("src")), ["name", "src"], "left_semi").select("name", "src", "dst", "dist")
+    changed = _nearest(again.unionByName(more), k)
+    blind = with_small(hidden, first(p.select("name", "id"))).select("name", F.col("id").alias("src"), F.posexplode("_first").alias("_i", "dst"))
+    columns = ["name", "src", "dst", "rank", "dist"]
+    return (
+        near.join(short.select("name", F.col("id").alias("src")), ["name", "src"], "left_anti").select(*columns)
+        .unionByName(changed.select(*columns))
+        .unionByName(blind.select("name", "src", "dst", (F.col("_i") + 1).alias("rank"), F.lit(0.0).alias("dist")))
+    )
 
 
 def atom_pair_distances(edges: DataFrame, residues: DataFrame, place: str = "global_pos") -> DataFrame:
@@ -156,8 +261,17 @@ def causal_edges(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return joined.withColumn("backward", F.col("_ms") * seen).withColumn("forward", F.col("_ms") * (1 - seen)).drop("_rs", "_rd", "_ms", "_md")
 
 
-def conditional_order(positions: DataFrame, backbone_only: bool = False) -> DataFrame:
-    """For each designed position (target): all positions of its structure in decoding order, the target last, or first for backbone only."""
-    targets = positions.filter("design = 1").select("name", F.col("pos").alias("target"))
-    own = F.when(F.col("pos") == F.col("target"), 0 if backbone_only else 1).otherwise(1 if backbone_only else 0)
-    return decoding_order(targets.join(positions, "name"), ["name", "target"], last=own)
+def conditional_order(positions: DataFrame, backbone_only: bool = False, tile: int = 512) -> DataFrame:
+    """For each designed position (target): all positions of its structure in decoding order, the target last, or first for backbone only.
+
+    The others' order is the same for every target, so each structure is sorted once: a position after the target moves up a place, or for backbone only one before it
+    moves down. Targets meet positions tile by tile.
+    """
+    ranked = cut(decoding_order(positions).withColumnRenamed("pos", "id"), "ordered")
+    n = ranked.groupBy("name").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    rows = cut(with_small(ranked, n).withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int")), "ranked")
+    targets = _copies(rows.filter("design = 1").drop("_tile").select("name", F.col("id").alias("target"), F.col("decode_rank").alias("_rank"), "_tiles"), "_tile", F.col("_tiles"))
+    met = rows.withColumnRenamed("id", "pos").drop("_tiles").join(targets.drop("_tiles"), ["name", "_tile"])
+    own, rank = F.col("pos") == F.col("target"), F.col("decode_rank")
+    place = F.when(own, 1).otherwise(rank + (rank < F.col("_rank")).cast("int")) if backbone_only else F.when(own, F.col("_n")).otherwise(rank - (rank > F.col("_rank")).cast("int"))
+    return met.withColumn("decode_rank", place.cast("int")).drop("_rank", "_n", "_tile")

@@ -40,7 +40,7 @@ def placed(residues: DataFrame, width: int = 256) -> DataFrame:
 
     In two phases, so that a chain or structure of any size goes over many tasks: residues are ordered within ranges of ``width`` numbers; a table of a row for each range
     gives what the ranges before hold, where the next one begins, and the chains' lengths, and is joined back. A place is the number less the chain's
-    least one, plus the further residues of equal numbers before.
+    least one, plus the further residues of equal numbers before. residues: KEY, aa and any others; as they are written in between, leave out those not needed.
     """
     ranges = [*KEY[:2], "_range"]
     w = W.partitionBy(*ranges)
@@ -62,7 +62,7 @@ def placed(residues: DataFrame, width: int = 256) -> DataFrame:
     last = F.greatest(F.col("resseq"), F.coalesce("_next", "_follows", F.col("resseq") + 1) - 1)
     each = joined.withColumn("_pos", pos).withColumn("_at", F.explode(F.sequence("resseq", last)))
     own = F.col("_at") == F.col("resseq")
-    keep = [F.when(own, F.col(c)).alias(c) for c in ("res3", "n", "ca", "c", "o")]
+    keep = [F.when(own, F.col(c)).alias(c) for c in residues.columns if c not in (*KEY, "aa")]
     return each.select(
         "name",
         "chain",
@@ -90,6 +90,11 @@ def with_mask(residues: DataFrame) -> DataFrame:
     return residues.withColumn("mask", has.cast("int")).withColumns({f"{a.lower()}0": F.coalesce(a.lower(), zero) for a in ATOMS})
 
 
+def chain_table(atoms: DataFrame) -> DataFrame:
+    """name, chain, seq, len, from atoms; coordinates are left out."""
+    return chain_sequences(placed(residues_from_atoms(atoms).select(*KEY, "aa")))
+
+
 def residue_table(atoms: DataFrame) -> DataFrame:
     """Residues of all chains with gaps filled, places and masks."""
     return with_mask(placed(residues_from_atoms(atoms)))

@@ -48,6 +48,27 @@ def knn_graph_grid(spark, sf_dir):
     return G.knn_graph(points(spark, sf_dir), _K, small=0).select("name", "src", "dst", "rank", F.round("dist", 4).alias("dist"))
 
 
+_MASKED = (
+    f"WITH {_INDEX}, p AS (SELECT name, global_pos, mask, {', '.join(f'coalesce(ca_{c}, 0) AS ca_{c}' for c in 'xyz')} FROM idx), "
+    f"pairs AS (SELECT a.name, a.global_pos AS src, b.global_pos AS dst, a.mask * b.mask AS m, a.mask * b.mask * {_D} AS d FROM p a JOIN p b ON a.name = b.name), "
+    "adjusted AS (SELECT name, src, dst, d + (1 - m) * max(d) OVER (PARTITION BY name, src) AS dist FROM pairs)"
+)
+
+
+@query("knn_graph_masked", sql(f"{_MASKED} SELECT name, src, dst, rank, round(dist, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY name, src ORDER BY round(dist, 6), dst) AS rank FROM adjusted) WHERE rank <= {_K}", "residues", "offsets"))
+def knn_graph_masked(spark, sf_dir):
+    """All positions, those without a whole backbone masked."""
+    table = plans.indexed(spark, sf_dir)
+    p = table.select("name", F.col("global_pos").alias("id"), "mask", *[F.coalesce(F.col("ca")[i], F.lit(0.0)).alias(c) for i, c in enumerate("xyz")])
+    return G.masked_knn(p, _K).select("name", "src", "dst", "rank", F.round("dist", 4).alias("dist"))
+
+
+@query("contact_pairs", sql(f"{_ALL} SELECT name, src, dst, round(dist, 4) AS dist FROM pairs WHERE dist < 8.0", "residues", "offsets"))
+def contact_pairs(spark, sf_dir):
+    """Pairs closer than 8."""
+    return G.pair_distances(points(spark, sf_dir), within=8.0).select("name", "src", "dst", F.round("dist", 4).alias("dist"))
+
+
 _CB = {c: f"({CB_CROSS} * ({b1} * {d2} - {b2} * {d1}) + {CB_B} * {b0} + {CB_C} * {d0} + ca_{c})" for c, (b0, d0, b1, d2, b2, d1) in {
     "x": ("(ca_x - n_x)", "(c_x - ca_x)", "(ca_y - n_y)", "(c_z - ca_z)", "(ca_z - n_z)", "(c_y - ca_y)"),
     "y": ("(ca_y - n_y)", "(c_y - ca_y)", "(ca_z - n_z)", "(c_x - ca_x)", "(ca_x - n_x)", "(c_z - ca_z)"),

@@ -31,7 +31,7 @@ def residues(spark, sf_dir) -> DataFrame:
 
 
 def chains(spark, sf_dir) -> DataFrame:
-    return R.chain_sequences(residues(spark, sf_dir))
+    return R.chain_table(read_atoms(spark, sf_dir))
 
 
 def indexed(spark, sf_dir) -> DataFrame:
@@ -50,7 +50,7 @@ def residues_from_atoms(spark, sf_dir):
 
 @query("fill_residue_gaps", sql("SELECT name, chain, resseq, icode, aa FROM residues", "residues"))
 def fill_residue_gaps(spark, sf_dir):
-    return R.fill_gaps(R.residues_from_atoms(read_atoms(spark, sf_dir))).select(*R.KEY, "aa")
+    return R.fill_gaps(R.residues_from_atoms(read_atoms(spark, sf_dir)).select(*R.KEY, "aa"))
 
 
 @query("residue_ordinal", sql("SELECT name, chain, resseq, icode, pos FROM residues", "residues"))
