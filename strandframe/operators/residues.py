@@ -90,9 +90,16 @@ def with_mask(residues: DataFrame) -> DataFrame:
     return residues.withColumn("mask", has.cast("int")).withColumns({f"{a.lower()}0": F.coalesce(a.lower(), zero) for a in ATOMS})
 
 
-def chain_table(atoms: DataFrame) -> DataFrame:
-    """name, chain, seq, len, from atoms; coordinates are left out."""
-    return chain_sequences(placed(residues_from_atoms(atoms).select(*KEY, "aa")))
+def chain_table(atoms: DataFrame, width: int = 256) -> DataFrame:
+    """name, chain, seq, len, gaps filled, from atoms: letters of a range of ``width`` numbers are joined first, then the ranges of a chain."""
+    gap = lambda last, first: F.repeat(F.lit("-"), F.greatest(F.coalesce(first - last, F.lit(1)) - 1, F.lit(0)).cast("int"))
+    item = F.struct("resseq", "icode", "aa")
+    rows = residues_from_atoms(atoms).groupBy("name", "chain", F.floor(F.col("resseq") / width).alias("_range")).agg(F.array_sort(F.collect_list(item)).alias("_r"))
+    letters = F.transform("_r", lambda r, i: F.concat(r["aa"], gap(r["resseq"], F.get(F.col("_r"), i + 1)["resseq"])))
+    parts = rows.select("name", "chain", F.struct(F.get("_r", F.lit(0))["resseq"].alias("first"), F.element_at("_r", -1)["resseq"].alias("last"), F.array_join(letters, "").alias("seq")).alias("_part"))
+    chains = parts.groupBy("name", "chain").agg(F.array_sort(F.collect_list("_part")).alias("_p"))
+    joined = F.transform("_p", lambda p, i: F.concat(p["seq"], gap(p["last"], F.get(F.col("_p"), i + 1)["first"])))
+    return chains.select("name", "chain", F.array_join(joined, "").alias("seq")).withColumn("len", F.length("seq").cast("long"))
 
 
 def residue_table(atoms: DataFrame) -> DataFrame:
