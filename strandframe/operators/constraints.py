@@ -197,11 +197,13 @@ def chain_letters(n: Column) -> Column:
 
 
 def pad_batch(residues: DataFrame, batches: DataFrame) -> DataFrame:
-    """For export: each structure's residues (name, global_pos, aa, mask) up to its batch's longest, X and 0 where there are none."""
+    """For export and scorers: each structure's residues (name, global_pos, aa, mask) up to its batch's longest, X, mask 0 and padded where there are none."""
     sizes = batches.join(batches.groupBy("batch").agg(F.max("length").alias("longest")), "batch")
-    grid = sizes.select("batch", "name", F.explode(F.sequence(F.lit(0), (F.col("longest") - 1).cast("int"))).alias("global_pos"))
+    grid = sizes.select("batch", "name", F.explode(F.sequence(F.lit(0), (F.col("longest") - 1).cast("int"))).alias("global_pos"), "length")
     return (
         grid.join(residues.select("name", F.col("global_pos").cast("int"), "aa", "mask"), ["name", "global_pos"], "left")
         .withColumn("aa", F.coalesce("aa", F.lit("X")))
         .withColumn("mask", F.coalesce("mask", F.lit(0)))
+        .withColumn("padded", F.col("global_pos") >= F.col("length"))
+        .drop("length")
     )

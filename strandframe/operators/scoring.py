@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import arrays
 from ..functions.letters import MODEL_ORDER
+from .constraints import pad_batch
+from .ranks import numbered
 
 
 def nll(log_probs: Column, index: Column) -> Column:
@@ -168,20 +170,20 @@ def rank_results(results: DataFrame) -> DataFrame:
     return results.orderBy(F.col("score").cast("double"), "pose", "sequence")
 
 
+def global_rank(results: DataFrame) -> DataFrame:
+    """rank: each result's place among all, by numeric score, pose and sequence; rows are dealt by ranges, none meets all others."""
+    return numbered(results.withColumn("_score", F.col("score").cast("double")), ["_score", "pose", "sequence"], "rank").drop("_score")
+
+
 def length_batches(lengths: DataFrame, budget: int) -> DataFrame:
     """batch: structures of a length bucket (a power of two) packed, by length, so that a batch's padded size stays under the budget; none is lost.
 
-    A structure's place in its bucket is the number of shorter ones, from a table of counts by length, and its place among those of its length.
+    Places in a bucket come from ranges of (bucket, length, name), so a bucket, or one length, may hold any part of the structures.
     """
     bucket = F.ceil(F.log2(F.greatest("length", F.lit(1)))).cast("int")
     per = F.greatest(F.floor(F.lit(budget) / F.pow(F.lit(2), F.col("bucket"))), F.lit(1)).cast("long")
-    placed = lengths.withColumn("bucket", bucket)
-    counts = placed.groupBy("bucket", "length").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("bucket").orderBy("length").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shorter = counts.select(F.col("bucket").alias("_bucket"), F.col("length").alias("_length"), before.alias("_before"))
-    joined = placed.join(shorter, (F.col("bucket") == F.col("_bucket")) & F.col("length").eqNullSafe(F.col("_length")))
-    own = F.row_number().over(W.partitionBy("bucket", "length").orderBy("name"))
-    return joined.withColumn("batch", F.floor((F.col("_before") + own - 1) / per)).drop("_bucket", "_length", "_before")
+    placed = numbered(lengths.withColumn("bucket", bucket), ["length", "name"], "_place", ["bucket"])
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / per)).drop("_place")
 
 
 def run_summary(samples: DataFrame, temperatures: int, copies: int) -> DataFrame:
@@ -212,15 +214,26 @@ def split_chains(sequences: DataFrame) -> DataFrame:
 _scorers: dict[Callable, Callable] = {}
 
 
-def score_with_model(features: DataFrame, schema: str, model: Callable) -> DataFrame:
-    """A user's scorer on pandas frames, one structure at a time (group name); model, an importable function, makes the scorer once in each worker."""
+def score_with_model(features: DataFrame, schema: str, model: Callable, budget: int = 16_384) -> DataFrame:
+    """A user's scorer on padded batches of structures; model, an importable function, makes the scorer once in each worker.
+
+    features: name, global_pos (0, 1, ... in each structure), aa, mask. Structures of about the same length are packed to ``budget`` positions a batch, padding counted (length_batches,
+    pad_batch); one longer than that is a batch of its own, behind no other. The scorer gets a pandas frame of a batch, by name and global_pos, every structure as many rows as the longest,
+    X and mask 0 where padded; it returns a row for each row, in the same order, of which those of padding are left out.
+    """
+    lengths = features.groupBy("name").agg(F.count("*").alias("length"))
+    batches = length_batches(lengths, budget)
+    padded = pad_batch(features, batches.select(F.struct("bucket", "batch").alias("batch"), "name", "length"))
 
     def run(pdf):
         from strandframe.operators import scoring
 
         if model not in scoring._scorers:
             scoring._scorers[model] = model()
-        return scoring._scorers[model](pdf)
+        pdf = pdf.sort_values(["name", "global_pos"], ignore_index=True)
+        out = scoring._scorers[model](pdf.drop(columns=["padded", "bucket", "no"]))
+        if len(out) != len(pdf):
+            raise ValueError("a scorer gives a row for each row")
+        return out[~pdf["padded"].to_numpy()]
 
-    grouped: GroupedData = features.groupBy("name")
-    return grouped.applyInPandas(run, schema)
+    return padded.select(F.col("batch.bucket").alias("bucket"), F.col("batch.batch").alias("no"), "name", "global_pos", "aa", "mask", "padded").groupBy("bucket", "no").applyInPandas(run, schema)

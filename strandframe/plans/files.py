@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.letters import MODEL_ORDER
 from ..operators import residues as R
 from ..operators import scoring
+from ..operators.ranks import dense_numbered
 from ..scratch import new_path
 from ..sources import records, structures
 from . import fixtures as fx
@@ -360,10 +360,8 @@ def write_scores(spark, sf_dir):
 
 @query("pose_layout", sql("SELECT pose, sequence, 'Poses/Pose' || dense_rank() OVER (ORDER BY pose) || '_' || sequence || '.pdb' AS path FROM fx_results", "fx_results"))
 def pose_layout(spark, sf_dir):
-    """Poses are numbered in a table of their own, which is joined."""
-    r = fx.results(spark, sf_dir)
-    numbered = r.select("pose").distinct().withColumn("i", F.row_number().over(W.orderBy("pose")))
-    return r.join(numbered, "pose").select(
+    """Poses are numbered in a table of their own, by ranges, which is joined."""
+    return dense_numbered(fx.results(spark, sf_dir), "pose", "i").select(
         "pose",
         "sequence",
         F.concat(F.lit("Poses/Pose"), F.col("i").cast("string"), F.lit("_"), "sequence", F.lit(".pdb")).alias("path"),

@@ -253,6 +253,11 @@ def rank_results(spark, sf_dir):
     return S.rank_results(fx.results(spark, sf_dir)).select("pose", "sequence", "score")
 
 
+@query("global_rank", sql("SELECT pose, sequence, score, row_number() OVER (ORDER BY score, pose, sequence) AS rank FROM fx_results", "fx_results"))
+def global_rank(spark, sf_dir):
+    return S.global_rank(fx.results(spark, sf_dir)).select("pose", "sequence", "score", "rank")
+
+
 @query("append_results", sql("SELECT pose, count(*) AS n FROM (SELECT pose FROM fx_results UNION ALL SELECT 'new' FROM part) GROUP BY pose", "fx_results"))
 def append_results(spark, sf_dir):
     new = (
@@ -315,7 +320,7 @@ _LETTER_IDX = f"coalesce(nullif(instr('{MODEL_ORDER}', aa), 0) - 1, 20)"
     f"WITH {plans._INDEX} SELECT name, global_pos, 21 AS n, round(sum(-abs(i - {_LETTER_IDX}) / 2.0), 4) AS total, "
     f"any_value({_LETTER_IDX}) AS best FROM idx CROSS JOIN (SELECT unnest(range(0, 21)) AS i) GROUP BY name, global_pos", "residues", "offsets"))
 def score_with_model(spark, sf_dir):
-    features = plans.indexed(spark, sf_dir).select("name", "global_pos", "aa")
+    features = plans.indexed(spark, sf_dir).select("name", "global_pos", "aa", "mask")
     scored = S.score_with_model(features, "name string, global_pos long, logits array<double>", letter_scorer)
     best = F.array_position("logits", F.array_max("logits")) - 1
     return scored.select(
@@ -379,7 +384,17 @@ def design_campaign(spark, sf_dir):
 
 @query("leaderboard_stream", sql("SELECT pose, round(min(score), 4) AS best, count(*) AS n FROM fx_results GROUP BY pose", "fx_results"))
 def leaderboard_stream(spark, sf_dir):
+    return _board(spark, sf_dir).select("pose", F.round("best", 4).alias("best"), "n")
+
+
+@query("leaderboard_top", sql("SELECT pose, row_number() OVER (PARTITION BY pose ORDER BY score, sequence) AS rank, round(score, 4) AS score, sequence FROM fx_results QUALIFY rank <= 5", "fx_results"))
+def leaderboard_top(spark, sf_dir):
+    """The five best of each pose, as the stream's state holds them."""
+    each = _board(spark, sf_dir).select("pose", F.posexplode("top").alias("i", "t"))
+    return each.select("pose", (F.col("i") + 1).alias("rank"), F.round("t.score", 4).alias("score"), F.col("t.sequence").alias("sequence"))
+
+
+def _board(spark, sf_dir) -> DataFrame:
     path = new_path(spark, "arriving")
     fx.results(spark, sf_dir).repartition(4, "pose").write.parquet(path)
-    out = leaderboard.run(spark, path, "pose string, sequence string, score double, sample_id long", new_path(spark, "stream"))
-    return out.select("pose", F.round("best", 4).alias("best"), "n")
+    return leaderboard.run(spark, path, "pose string, sequence string, score double, sample_id long", new_path(spark, "stream"))

@@ -158,21 +158,82 @@ def test_pssm_order(spark):
     assert [moved[MODEL_ORDER.index(c)] for c in "ARNDCQEGHILKMFPSTWYV"] == [float(i) for i in range(20)] and moved[20] == 0.0
 
 
-def test_user_model_runs_once_for_each_structure(spark):
-    from strandframe.plans.score_plans import letter_scorer
+def counting_scorer():
+    """Tells, with each row, which load and which call of it gave the row."""
+    import os
+    import uuid
 
-    df = spark.createDataFrame([("a", i, c) for i, c in enumerate("ACD")] + [("b", 0, "X")], "name string, global_pos long, aa string")
-    got = S.score_with_model(df, "name string, global_pos long, logits array<double>", letter_scorer).collect()
-    assert len(got) == 4 and all(max(r["logits"]) == 0.0 for r in got)
+    import pandas as pd
 
+    load, calls = f"{os.getpid()}-{uuid.uuid4().hex}", []
 
-def test_stream_equals_batch(spark, tmp_path):
+    def score(pdf):
+        calls.append(len(pdf))
+        assert len(set(pdf.groupby("name").size())) == 1  # padded to one length
+        return pd.DataFrame({"name": pdf["name"], "global_pos": pdf["global_pos"], "load": load, "call": len(calls), "aa": pdf["aa"]})
+
+    return score
+
+
+def test_scorer_runs_on_packed_batches(spark):
+    """Short structures share calls, a long one has its own, and each worker makes the scorer once."""
+    sizes = {f"s{i:03d}": 3 + i % 6 for i in range(120)} | {"long": 900}
+    rows = [(n, i, "ACDEF"[i % 5], i % 2) for n, size in sizes.items() for i in range(size)]
+    df = spark.createDataFrame(rows, "name string, global_pos long, aa string, mask int")
+    got = S.score_with_model(df, "name string, global_pos long, load string, call int, aa string", counting_scorer, 64).collect()
+    assert sorted((r["name"], r["global_pos"], r["aa"]) for r in got) == sorted(r[:3] for r in rows)
+    loads, calls = {r["load"] for r in got}, {}
+    for r in got:
+        calls.setdefault((r["load"], r["call"]), set()).add(r["name"])
+    assert len(loads) == len({x.split("-")[0] for x in loads})
+    assert {"long"} in calls.values() and 10 < len(calls) < 40 and sum(map(len, calls.values())) == 121
+    assert S.score_with_model(df.limit(0), "name string, global_pos long, load string, call int, aa string", counting_scorer).count() == 0
+
+
+def test_many_poses_are_numbered(spark):
+    from strandframe.operators.ranks import dense_numbered
+
+    poses = spark.range(150_000).select(F.concat(F.lit("p"), F.lpad(((F.col("id") * 7919) % 120_011).cast("string"), 6, "0")).alias("pose"), "id")
+    got = dense_numbered(poses, "pose", "i").agg(F.max("i"), F.count("*"), F.count_if(F.col("i") != F.substr("pose", F.lit(2)).cast("int") + 1)).first()
+    assert tuple(got) == (120_011, 150_000, 0)
+
+
+def _results(spark, n=400):
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.6 else f"p{rng.randint(0, 5)}", f"S{rng.randint(0, 300)}", None if rng.random() < 0.02 else round(rng.random(), 2), i) for i in range(n)]
+    return spark.createDataFrame(rows, "pose string, sequence string, score double, sample_id long"), rows
+
+
+def _tops(rows, k):
+    out = {}
+    for pose in {r[0] for r in rows}:
+        own = sorted((r[2], r[1]) for r in rows if r[0] == pose and r[2] is not None)
+        out[pose] = (own[0][0], sum(r[0] == pose for r in rows), own[:k])
+    return out
+
+
+def test_stream_equals_batch_after_a_failed_epoch(spark, tmp_path):
     from strandframe.streaming import leaderboard
 
-    df = spark.createDataFrame(
-        [("p1", "AC", 1.5, 1), ("p1", "AD", 0.5, 2), ("p2", "AE", 2.0, 3)],
-        "pose string, sequence string, score double, sample_id long",
-    )
-    df.repartition(3).write.parquet(str(tmp_path / "in"))
-    got = leaderboard.run(spark, str(tmp_path / "in"), "pose string, sequence string, score double, sample_id long", str(tmp_path / "out"))
-    assert sorted(got.collect()) == sorted(leaderboard.board(df).collect())
+    df, rows = _results(spark)
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    schema, to, tried = "pose string, sequence string, score double, sample_id long", str(tmp_path / "out"), []
+
+    def fails_once(changed, epoch, to):
+        if epoch == 2 and not tried:
+            tried.append(epoch)
+            leaderboard.merge(changed.limit(1), epoch, to)  # half written
+            raise RuntimeError("lost")
+        leaderboard.merge(changed, epoch, to)
+
+    with pytest.raises(Exception, match="lost"):
+        leaderboard.run(spark, str(tmp_path / "in"), schema, to, 3, fails_once)
+    as_map = lambda b: {r["pose"]: (r["best"], r["n"], [(t["score"], t["sequence"]) for t in r["top"]]) for r in b.collect()}
+    board = leaderboard.run(spark, str(tmp_path / "in"), schema, to, 3, fails_once)
+    assert tried and as_map(board) == _tops(rows, 3)
+    assert {(r["pose"], r["best"], r["n"]) for r in leaderboard.board(df).collect()} == {(p, b, n) for p, (b, n, _) in _tops(rows, 3).items()}
+    more, added = _results(spark, 50)
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # later files go on from the state
+    assert as_map(leaderboard.run(spark, str(tmp_path / "in"), schema, to, 3)) == _tops([*rows, *added], 3)
+    leaderboard.compact(spark, to, str(tmp_path / "small"))
+    assert as_map(leaderboard.read(spark, str(tmp_path / "small"), 3)) == _tops([*rows, *added], 3)
