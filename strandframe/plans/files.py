@@ -10,7 +10,7 @@ from ..operators import residues as R
 from ..operators import scoring
 from ..operators.ranks import dense_numbered
 from ..scratch import new_path
-from ..sources import records, structures
+from ..sources import containers, records, structures
 from . import fixtures as fx
 from .fixtures import sql
 from .registry import query
@@ -23,8 +23,8 @@ def _lines(spark, sf_dir: str, by: str = "part") -> DataFrame:
 @query("scan_structures", sql("SELECT name, count(*) AS n_lines, count(*) FILTER (WHERE record = 'ATOM') AS n_atom_lines FROM fx_file_atoms GROUP BY name", "fx_file_atoms"))
 def scan_structures(spark, sf_dir):
     path = new_path(spark, "structures")
-    structures.write_structures(_lines(spark, sf_dir, "supplier"), path)
-    lines = structures.scan_structures(spark, path, "*.txt").filter("line <> ''")
+    containers.write(_lines(spark, sf_dir, "supplier"), path)
+    lines = containers.scan(spark, path).filter("line <> ''")
     return lines.groupBy("name").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").startswith("ATOM")).alias("n_atom_lines"))
 
 
@@ -53,9 +53,11 @@ def normalize_mse(spark, sf_dir):
 
 @query("chain_subset_scan", sql("SELECT name, chain, count(*) AS n_atoms FROM fx_atoms WHERE record = 'ATOM' AND chain IN ('A', 'C') GROUP BY name, chain", "fx_atoms"))
 def chain_subset_scan(spark, sf_dir):
-    return (
-        structures.chain_subset(structures.parse_atoms(_lines(spark, sf_dir)), ["A", "C"]).groupBy("name", "chain").agg(F.count("*").alias("n_atoms"))
-    )
+    """The filter on chains is applied by the reader of the containers, before lines become rows."""
+    path = new_path(spark, "structures")
+    containers.write(_lines(spark, sf_dir), path)
+    lines = structures.chain_subset(containers.scan(spark, path), ["A", "C"])
+    return structures.parse_atoms(lines).groupBy("name", "chain").agg(F.count("*").alias("n_atoms"))
 
 
 @query("split_insertion_code", sql("SELECT name, line_no, resseq, icode, resseq + 1 AS number FROM fx_atoms", "fx_atoms"))
@@ -85,16 +87,16 @@ def select_backbone(spark, sf_dir):
     "GROUP BY name", "fx_file_atoms"))
 def write_structures(spark, sf_dir):
     path = new_path(spark, "structures")
-    structures.write_structures(_lines(spark, sf_dir, "supplier"), path)
-    back = structures.parse_atoms(structures.scan_structures(spark, path, "*.txt"))
+    containers.write(_lines(spark, sf_dir, "supplier"), path)
+    back = structures.parse_atoms(containers.scan(spark, path))
     return back.groupBy("name").agg(F.count("*").alias("n_atoms"), F.round(F.sum("x"), 4).alias("sum_x"), F.round(F.sum("z"), 4).alias("sum_z"))
 
 
 def _written(spark, lines: DataFrame, name: str, by: str = "name") -> DataFrame:
-    """Lines (by, line_no, line) written as text, a file for each value of by, and scanned again."""
+    """Lines (by, line_no, line) written to containers, a part of them for each value of by, and scanned again."""
     path = new_path(spark, name)
-    structures.write_structures(lines.withColumnRenamed(by, "name"), path)
-    return structures.scan_structures(spark, path, "*.txt").filter("line <> ''").withColumnRenamed("name", by)
+    containers.write(lines.withColumnRenamed(by, "name"), path)
+    return containers.scan(spark, path).drop("chain").filter("line <> ''").withColumnRenamed("name", by)
 
 
 def _complex_lines(spark, sf_dir) -> DataFrame:

@@ -66,7 +66,7 @@ def _atoms(lines: DataFrame, records: tuple[str, ...]) -> DataFrame:
 
 
 def chain_subset(atoms: DataFrame, chains: list[str] | None) -> DataFrame:
-    """Atoms of the chains asked for; None: all."""
+    """Atoms (or lines) of the chains asked for; None: all. Over containers.scan the reader applies it."""
     return atoms if chains is None else atoms.filter(F.col("chain").isin(*chains))
 
 
@@ -82,7 +82,7 @@ def render_atoms(atoms: DataFrame) -> DataFrame:
 
 
 def write_structures(lines: DataFrame, path: str) -> None:
-    """One folder for each name, its lines in order: for structures, and for constraints and designs of structures."""
+    """One folder for each name, its lines in order: for tools that want a file a structure. Many structures are written by containers.write."""
     lines.repartition("name").sortWithinPartitions("name", "line_no").select("name", "line").write.partitionBy("name").text(path)
 
 
