@@ -37,10 +37,6 @@ def to_index(letter: Column) -> Column:
     return F.when((at > 0) & (F.length(letter) == 1), at - 1).otherwise(20)
 
 
-def from_index(index: Column) -> Column:
-    return F.substring(F.lit(MODEL_ORDER), index + 1, 1) if isinstance(index, int) else F.substr(F.lit(MODEL_ORDER), index + 1, F.lit(1))
-
-
 def chain_rank(chain: Column) -> Column:
     """The order in which chains are listed: A-Z, a-z, then numbers by value, then any other name."""
     one = F.instr(F.lit(CHAINS), chain)

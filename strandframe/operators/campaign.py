@@ -43,11 +43,28 @@ def campaign(
 ) -> DataFrame:
     """name, chain, pose, temperature, sample_id, sequence, score, recovery, and rank in the pose by score.
 
-    noise(pos, pose, temperature number, sample) gives the uniform that draws a letter.
+    noise(pos, pose, temperature number, sample) gives the uniform that draws a letter. All letters of a position are drawn in its row, where probabilities are worked out once for
+    each temperature; what is exploded is letters and their losses.
     """
-    posed = positions.withColumn("pose", F.explode(F.sequence(F.lit(1), F.lit(poses))))
-    drawn = S.sample_letters(posed, temperatures, samples, lambda pos, t, s: noise(pos, F.col("pose"), t, s))
-    lost = S.nll(arrays.log_softmax(F.col("logits")), F.col("idx"))
+    grid = F.array(*[F.struct(F.lit(p).alias("pose"), F.lit(s).alias("sample_id")) for p in range(1, poses + 1) for s in range(samples)])
+    pos, logits = F.col("pos"), F.col("logits")
+    best = F.array_position(logits, F.array_max(logits)).cast("int") - 1
+
+    def drawn_at(number: int, temperature: float) -> Column:
+        def letters(probs: Column | None) -> Column:
+            def one(g: Column) -> Column:
+                own = best if probs is None else arrays.draw(probs, noise(pos, g["pose"], F.lit(number), g["sample_id"]))
+                idx = F.when(F.col("design") == 0, F.col("native_idx")).otherwise(own).cast("int")
+                return F.struct(g["pose"].alias("pose"), F.lit(float(temperature)).alias("temperature"), g["sample_id"].alias("sample_id"), idx.alias("idx"))
+
+            return F.transform(grid, one)
+
+        return arrays.let(arrays.softmax(F.transform(logits, lambda v: v / temperature)), letters) if temperature > 0 else letters(None)
+
+    every = F.flatten(F.array(*[drawn_at(i, t) for i, t in enumerate(temperatures)]))
+    with_loss = lambda lp: F.transform(every, lambda g: F.struct(*[g[c].alias(c) for c in ("pose", "temperature", "sample_id", "idx")], S.nll(lp, g["idx"]).alias("lost")))
+    drawn = positions.select("name", "chain", "pos", "native_idx", "design", F.explode(arrays.let(arrays.log_softmax(logits), with_loss)).alias("_g")).select("*", "_g.*")
+    lost = F.col("lost")
     same = (F.col("idx") == F.col("native_idx")).cast("int")
     letter = F.substr(F.lit(MODEL_ORDER), F.col("idx") + 1, F.lit(1))
     per = drawn.groupBy(*SAMPLE, "chain").agg(

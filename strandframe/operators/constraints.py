@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import softmax
-from ..functions.letters import CHAINS, MODEL_ORDER, letters
+from ..functions.letters import MODEL_ORDER, letters
 
 KEY = ["name", "chain", "pos"]
 
@@ -30,10 +30,18 @@ def apply_fixed(residues: DataFrame, fixed: DataFrame, roles: DataFrame | None =
 
 
 def missing_keys(residues: DataFrame, constraint: DataFrame) -> DataFrame:
-    """Structures and chains that a constraint table doesn't name; a strict caller rejects any."""
+    """Structures and chains that a constraint table doesn't name; see require_keys."""
     return residues.select("name", "chain").distinct().join(constraint.select("name", "chain").distinct(), ["name", "chain"], "left_anti")
 
 
+def require_keys(residues: DataFrame, constraint: DataFrame) -> DataFrame:
+    """residues, if the constraint table names all their structures and chains; else an error with some that it doesn't: for callers that take no defaults."""
+    missing = missing_keys(residues, constraint).sort("name", "chain").take(5)
+    if missing:
+        raise ValueError(f"no constraint is given for {[(r['name'], r['chain']) for r in missing]}")
+    return residues
+
+
 def apply_omit(residues: DataFrame, omit: DataFrame) -> DataFrame:
     """omit_mask: 1 for each letter of the model's order that is omitted at the position."""
     sets = omit.groupBy(*KEY).agg(F.collect_set("aa").alias("_omitted"))
@@ -42,9 +50,10 @@ def apply_omit(residues: DataFrame, omit: DataFrame) -> DataFrame:
 
 
 def apply_pssm(residues: DataFrame, pssm: DataFrame) -> DataFrame:
-    """coef, bias, log_odds of the position; 0, zeros and 10000s where there are none."""
+    """coef, bias, log_odds of the position; 0, zeros and 10000s where there are none. Of several rows for a position the greatest counts, by coef, then bias, then log_odds."""
     n = len(MODEL_ORDER)
-    joined = residues.join(pssm.select(*KEY, "coef", "bias", "log_odds"), KEY, "left")
+    one = pssm.groupBy(*KEY).agg(F.max(F.struct("coef", "bias", "log_odds")).alias("_row"))
+    joined = residues.join(one.select(*KEY, "_row.*"), KEY, "left")
     return joined.withColumns(
         {
             "coef": F.coalesce("coef", F.lit(0.0)),
@@ -192,10 +201,6 @@ def bad_letters(sequences: DataFrame, allowed: str = MODEL_ORDER + "-") -> DataF
     return sequences.withColumn("bad", F.array_sort(F.array_except(F.array_distinct(letters(F.col("seq"))), F.array(*[F.lit(c) for c in allowed]))))
 
 
-def chain_letters(n: Column) -> Column:
-    return F.substr(F.lit(CHAINS), n, F.lit(1))
-
-
 def pad_batch(residues: DataFrame, batches: DataFrame) -> DataFrame:
     """For export and scorers: each structure's residues (name, global_pos, aa, mask) up to its batch's longest, X, mask 0 and padded where there are none."""
     sizes = batches.join(batches.groupBy("batch").agg(F.max("length").alias("longest")), "batch")

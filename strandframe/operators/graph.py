@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.geometry import distance, normal, rbf, virtual_cbeta
 from ..scratch import cut
+from .ranks import copies, with_small
 
 
 def points(residues: DataFrame, at: str = "ca", place: str = "global_pos") -> DataFrame:
@@ -34,17 +35,6 @@ def _d() -> Column:
     return distance([F.col("a" + c) for c in "xyz"], [F.col("b" + c) for c in "xyz"])
 
 
-def _copies(table: DataFrame, into: str, n: Column | int) -> DataFrame:
-    """table n times, numbered by the column ``into`` from 0."""
-    return table.withColumn(into, F.explode(F.sequence(F.lit(0), (n if isinstance(n, Column) else F.lit(n)) - 1)))
-
-
-def with_small(rows: DataFrame, small: DataFrame, salts: int = 16) -> DataFrame:
-    """rows with the columns of small, a table with one row for each name; a name's rows are dealt over copies of it."""
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    return rows.withColumn("_salt", salt).join(_copies(small, "_salt", salts), ["name", "_salt"]).drop("_salt")
-
-
 def tiled(p: DataFrame, tile: int = 512) -> DataFrame:
     """p with _tiles, how many tiles of about ``tile`` points its structure has, and _tile, the one of each."""
     counts = p.groupBy("name").agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
@@ -60,8 +50,8 @@ def pair_distances(p: DataFrame, within: float | None = None, tile: int = 512) -
         near = a.join(_around(b), ["name", "gx", "gy", "gz"])
         return near.withColumn("dist", _d()).filter(F.col("dist") < within).select("name", "src", "dst", "dist")
     a, b = _ends(tiled(p, tile), "_tile", "_tiles")
-    a = _copies(a.withColumnRenamed("_tile", "_a"), "_b", F.col("_tiles")).drop("_tiles")
-    b = _copies(b.withColumnRenamed("_tile", "_b"), "_a", F.col("_tiles")).drop("_tiles")
+    a = copies(a.withColumnRenamed("_tile", "_a"), "_b", F.col("_tiles")).drop("_tiles")
+    b = copies(b.withColumnRenamed("_tile", "_b"), "_a", F.col("_tiles")).drop("_tiles")
     return a.join(b, ["name", "_a", "_b"]).select("name", "src", "dst", _d().alias("dist"))
 
 
@@ -155,8 +145,8 @@ def knn_graph(p: DataFrame, k: int = 30, small: int = 256) -> DataFrame:
     placed = cut(_placed(sites.withColumn("id", F.col("ids")[0]), k), "sites")
     found = _rings(placed.drop("ids"), placed, k).select(*columns)
     others = many.join(placed.select(*xyz, F.col("id").alias("_site")), xyz).filter(F.col("id") != F.col("_site"))
-    copies = others.select("name", F.col("id").alias("_own"), F.col("_site").alias("src")).join(found, ["name", "src"])
-    return few.unionByName(found).unionByName(copies.select("name", F.col("_own").alias("src"), "dst", "rank", "dist"))
+    alike = others.select("name", F.col("id").alias("_own"), F.col("_site").alias("src")).join(found, ["name", "src"])
+    return few.unionByName(found).unionByName(alike.select("name", F.col("_own").alias("src"), "dst", "rank", "dist"))
 
 
 def masked_knn(p: DataFrame, k: int = 30, small: int = 256) -> DataFrame:
@@ -179,7 +169,7 @@ def masked_knn(p: DataFrame, k: int = 30, small: int = 256) -> DataFrame:
     tiles = tiled(seen)
     every = tiles.select("name", "_tile", *[F.col(c).alias("b" + c) for c in "xyz"])
     asked = with_small(short, tiles.select("name", "_tiles").distinct())
-    asked = _copies(asked, "_tile", F.col("_tiles")).select("name", "_tile", F.col("id").alias("src"), *[F.col(c).alias("a" + c) for c in "xyz"])
+    asked = copies(asked, "_tile", F.col("_tiles")).select("name", "_tile", F.col("id").alias("src"), *[F.col(c).alias("a" + c) for c in "xyz"])
     far = asked.join(every, ["name", "_tile"]).groupBy("name", "src").agg(F.max(_d()).alias("dist"))
     more = far.join(masked, "name").select("name", "src", F.explode("_first").alias("dst"), "dist")
     again = near.join(short.select("name", F.col("id").alias("src")), ["name", "src"], "left_semi").select("name", "src", "dst", "dist")
@@ -270,7 +260,7 @@ def conditional_order(positions: DataFrame, backbone_only: bool = False, tile: i
     ranked = cut(decoding_order(positions).withColumnRenamed("pos", "id"), "ordered")
     n = ranked.groupBy("name").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
     rows = cut(with_small(ranked, n).withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int")), "ranked")
-    targets = _copies(rows.filter("design = 1").drop("_tile").select("name", F.col("id").alias("target"), F.col("decode_rank").alias("_rank"), "_tiles"), "_tile", F.col("_tiles"))
+    targets = copies(rows.filter("design = 1").drop("_tile").select("name", F.col("id").alias("target"), F.col("decode_rank").alias("_rank"), "_tiles"), "_tile", F.col("_tiles"))
     met = rows.withColumnRenamed("id", "pos").drop("_tiles").join(targets.drop("_tiles"), ["name", "_tile"])
     own, rank = F.col("pos") == F.col("target"), F.col("decode_rank")
     place = F.when(own, 1).otherwise(rank + (rank < F.col("_rank")).cast("int")) if backbone_only else F.when(own, F.col("_n")).otherwise(rank - (rank > F.col("_rank")).cast("int"))

@@ -14,6 +14,17 @@ _PLACE_BITS = 33
 FEW = 100_000
 
 
+def copies(table: DataFrame, into: str, n: Column | int) -> DataFrame:
+    """table n times, numbered by the column ``into`` from 0."""
+    return table.withColumn(into, F.explode(F.sequence(F.lit(0), (n if isinstance(n, Column) else F.lit(n)) - 1)))
+
+
+def with_small(rows: DataFrame, small: DataFrame, salts: int = 16, by: str = "id") -> DataFrame:
+    """rows with the columns of small, a table with one row for each name; a name's rows are dealt, by a column of theirs, over copies of it."""
+    salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", salt).join(copies(small, "_salt", salts), ["name", "_salt"]).drop("_salt")
+
+
 def numbered(df: DataFrame, order: list[str | Column], name: str = "rank", keys: list[str] = [], parts: int | None = None) -> DataFrame:  # noqa: B006
     """df with name: 1, 2, ... by order among the rows of equal keys, as row_number gives; order should tell rows apart, else equal ones come in any order.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.letters import CHAINS, chain_rank, to_letter, to_three
 from ..scratch import cut
+from .ranks import with_small
 
 ATOMS = ("N", "CA", "C", "O")
 KEY = ["name", "chain", "resseq", "icode"]
@@ -237,15 +238,12 @@ def extend_complex(residues: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def complex_lengths(residues: DataFrame) -> DataFrame:
     """Residues of the last chain (binder), of the others (receptor) and of all."""
-    last = residues.withColumn("_last", F.max("chain_no").over(W.partitionBy("name")))
-    return last.groupBy("name").agg(
-        F.count_if(F.col("chain_no") != F.col("_last")).alias("len_receptor"),
-        F.count_if(F.col("chain_no") == F.col("_last")).alias("len_binder"),
-        F.count("*").alias("len_complex"),
-    )
+    chains = residues.groupBy("name", "chain_no").agg(F.count("*").alias("_n"))
+    whole = chains.groupBy("name").agg(F.sum("_n").alias("_all"), F.max_by("_n", "chain_no").alias("_last"))
+    return whole.select("name", (F.col("_all") - F.col("_last")).alias("len_receptor"), F.col("_last").alias("len_binder"), F.col("_all").alias("len_complex"))
 
 
 def receptor_selection(residues: DataFrame) -> DataFrame:
     """The residues that aren't of the last chain."""
-    last = residues.withColumn("_last", F.max("chain_no").over(W.partitionBy("name")))
-    return last.filter("chain_no <> _last").drop("_last")
+    last = residues.groupBy("name").agg(F.max("chain_no").alias("_last"))
+    return with_small(residues, last, by="pos").filter("chain_no <> _last").drop("_last")

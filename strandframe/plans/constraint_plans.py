@@ -169,6 +169,23 @@ def broadcast_global_assignment(spark, sf_dir):
     return C.fixed_from_assignment(R.distinct_chains(fx.atoms(spark, sf_dir)), ["A", "C"], [[1, 2], [5]])
 
 
+@query("broadcast_global_chains", sql(
+    "SELECT name, chain, CASE WHEN chain IN ('A', 'C') THEN 'designed' ELSE 'fixed' END AS role FROM (SELECT DISTINCT name, chain FROM fx_atoms)", "fx_atoms"))
+def broadcast_global_chains(spark, sf_dir):
+    """One list of designed chains for every structure."""
+    chains = R.distinct_chains(fx.atoms(spark, sf_dir))
+    listed = C.broadcast_assignment(chains.select("name").distinct(), [{"chain": "A"}, {"chain": "C"}])
+    return C.fixed_chains(chains, listed)
+
+
+@query("broadcast_global_bias", sql(
+    "SELECT name, aa, bias FROM (SELECT DISTINCT name FROM fx_atoms) CROSS JOIN (VALUES ('D', 1.39), ('E', 1.39), ('H', -0.5)) AS t(aa, bias)", "fx_atoms"))
+def broadcast_global_bias(spark, sf_dir):
+    """One bias of letters for every structure."""
+    names = fx.atoms(spark, sf_dir).select("name").distinct()
+    return C.broadcast_assignment(names, [{"aa": "D", "bias": 1.39}, {"aa": "E", "bias": 1.39}, {"aa": "H", "bias": -0.5}])
+
+
 _FIRST = "f AS (SELECT name, arg_min(len, chain) AS n FROM chains GROUP BY name), g AS (SELECT name, unnest(range(1, n + 1)) AS group_id FROM f)"
 
 
@@ -234,6 +251,7 @@ def design_mask(spark, sf_dir):
     "SELECT name, string_agg(DISTINCT chain, '' ORDER BY chain) AS chains FROM (SELECT name, chain FROM fx_fixed UNION SELECT name, chain "
     "FROM fx_atoms WHERE chain < 'C') GROUP BY name", "fx_fixed", "fx_atoms"))
 def union_chain_sets(spark, sf_dir):
-    a = fx.fixed(spark, sf_dir).select("name", "chain")
-    b = fx.atoms(spark, sf_dir).filter("chain < 'C'").select("name", "chain")
-    return a.union(b).distinct().groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("chain")), "").alias("chains"))
+    sets = lambda t, c: t.groupBy("name").agg(F.collect_set("chain").alias(c))
+    both = sets(fx.fixed(spark, sf_dir), "a").join(sets(fx.atoms(spark, sf_dir).filter("chain < 'C'"), "b"), "name", "full")
+    none = F.array().cast("array<string>")
+    return both.select("name", F.array_join(C.union_chain_sets(F.coalesce("a", none), F.coalesce("b", none)), "").alias("chains"))

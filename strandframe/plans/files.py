@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.letters import MODEL_ORDER
@@ -153,6 +153,31 @@ def scan_constraints(spark, sf_dir):
     return records.parse_fixed(records.last_line(_written(spark, _fixed_lines(spark, sf_dir), "constraints", "file")))
 
 
+def _constraint_files(spark, sf_dir, value: Column) -> DataFrame:
+    """Files by part size of lines {name: value}, value made from name, chain and pos of fx_fixed; the last line of each counts."""
+    line = F.concat(F.lit('{"'), "name", F.lit('": '), value, F.lit("}"))
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file"))
+    lines = fx.fixed(spark, sf_dir).join(sizes, "name").select("file", F.substr("name", F.lit(2)).cast("long").alias("line_no"), line.alias("line"))
+    return records.last_line(_written(spark, lines, "constraints", "file"))
+
+
+_LAST_FIXED = "l AS (SELECT arg_max(name, p_partkey) AS name, arg_max(chain, p_partkey) AS chain, arg_max(pos, p_partkey) AS pos FROM fx_fixed JOIN part ON name = concat('P', p_partkey) GROUP BY p_size)"
+
+
+@query("scan_omit", sql(f"WITH {_LAST_FIXED} SELECT name, chain, pos + i AS pos, aa FROM l CROSS JOIN (VALUES (0, 'C'), (0, 'W'), (1, 'C'), (1, 'W'), (2, 'K')) AS t(i, aa)", "fx_fixed"))
+def scan_omit(spark, sf_dir):
+    """Two rules for a chain: letters C and W at two positions, K at a third."""
+    p = lambda i: (F.col("pos") + i).cast("string")
+    rules = F.concat(F.lit('{"'), "chain", F.lit('": [[['), p(0), F.lit(", "), p(1), F.lit('], "CW"], [['), p(2), F.lit('], "K"]]}'))
+    return records.parse_omit(_constraint_files(spark, sf_dir, rules))
+
+
+@query("scan_chain_roles", sql(f"WITH {_LAST_FIXED} SELECT name, chain, 'designed' AS role, 0 AS list_pos FROM l UNION ALL SELECT name, c, 'fixed', i FROM l CROSS JOIN (VALUES (0, 'Y'), (1, 'Z')) AS t(i, c)", "fx_fixed"))
+def scan_chain_roles(spark, sf_dir):
+    """One designed chain, two fixed ones."""
+    return records.parse_chain_roles(_constraint_files(spark, sf_dir, F.concat(F.lit('[["'), "chain", F.lit('"], ["Y", "Z"]]'))))
+
+
 def _files_of(part: str, line: str) -> str:
     return f"(SELECT concat('f', p_size) AS file, arg_max({line}, p_partkey) AS v FROM {part} GROUP BY p_size)"
 
@@ -356,7 +381,7 @@ def write_results(spark, sf_dir):
 @query("write_scores", sql("SELECT name, count(*) AS n_positions, round(sum(logits[1]), 4) AS first_sum FROM fx_logits GROUP BY name", "fx_logits"))
 def write_scores(spark, sf_dir):
     path = new_path(spark, "scores")
-    fx.logits(spark, sf_dir).repartition("name").write.partitionBy("name").parquet(path)
+    records.write_scores(fx.logits(spark, sf_dir), path)
     return spark.read.parquet(path).groupBy("name").agg(F.count("*").alias("n_positions"), F.round(F.sum(F.col("logits")[0]), 4).alias("first_sum"))
 
 

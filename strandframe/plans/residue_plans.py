@@ -235,6 +235,11 @@ def complex_lengths(spark, sf_dir):
     return R.complex_lengths(_numbered(spark, sf_dir))
 
 
+@query("receptor_selection", sql(f"{_LAST} SELECT name, chain_no, pos, aa FROM l WHERE chain_no <> last", "residues", "offsets"))
+def receptor_selection(spark, sf_dir):
+    return R.receptor_selection(_numbered(spark, sf_dir)).select("name", "chain_no", "pos", "aa")
+
+
 @query("extend_complex", sql(
     f"WITH {_INDEX} SELECT name, chain_no, pos, aa FROM idx UNION ALL SELECT name, m + 1, unnest(range(1, 6)), 'A' "
     f"FROM (SELECT name, max(chain_no) AS m FROM idx GROUP BY name)", "residues", "offsets"))

@@ -250,3 +250,8 @@ def render_fasta(natives: DataFrame, samples: DataFrame) -> DataFrame:
         F.posexplode(F.array("header", "sequence")).alias("_i", "line"),
         "k",
     ).select("name", (2 * F.col("k") + F.col("_i")).alias("line_no"), "line")
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Numbers by structure and position (name, pos, ...), in files that hold ranges of names, sorted, so that a structure's are found by the files' least and greatest names."""
+    scores.repartitionByRange("name", "pos").sortWithinPartitions("name", "pos").write.parquet(path)
