@@ -76,3 +76,15 @@ def draw(probs: Column, u: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
     step = lambda s, p: F.struct((s["sum"] + p).alias("sum"), (s["at"] + F.when(F.round(s["sum"] + p, 9) < u, 1).otherwise(0)).alias("at"))
     return F.least(F.aggregate(probs, start, step, lambda s: s["at"]), F.size(probs) - 1)
+
+
+def running(probs: Column) -> Column:
+    """Running sums to nine places, for many draws from one array."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
+    step = lambda s, p: F.struct((s["sum"] + p).alias("sum"), F.concat(s["all"], F.array(F.round(s["sum"] + p, 9))).alias("all"))
+    return F.aggregate(probs, start, step, lambda s: s["all"])
+
+
+def draw_from(sums: Column, u: Column) -> Column:
+    """draw, from running sums."""
+    return F.least(F.size(F.filter(sums, lambda v: v < u)), F.size(sums) - 1)

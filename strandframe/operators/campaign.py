@@ -51,19 +51,19 @@ def campaign(
     best = F.array_position(logits, F.array_max(logits)).cast("int") - 1
 
     def drawn_at(number: int, temperature: float) -> Column:
-        def letters(probs: Column | None) -> Column:
+        def letters(sums: Column | None) -> Column:
             def one(g: Column) -> Column:
-                own = best if probs is None else arrays.draw(probs, noise(pos, g["pose"], F.lit(number), g["sample_id"]))
+                own = best if sums is None else arrays.draw_from(sums, noise(pos, g["pose"], F.lit(number), g["sample_id"]))
                 idx = F.when(F.col("design") == 0, F.col("native_idx")).otherwise(own).cast("int")
                 return F.struct(g["pose"].alias("pose"), F.lit(float(temperature)).alias("temperature"), g["sample_id"].alias("sample_id"), idx.alias("idx"))
 
             return F.transform(grid, one)
 
-        return arrays.let(arrays.softmax(F.transform(logits, lambda v: v / temperature)), letters) if temperature > 0 else letters(None)
+        return arrays.let(arrays.running(arrays.softmax(F.transform(logits, lambda v: v / temperature))), letters) if temperature > 0 else letters(None)
 
     every = F.flatten(F.array(*[drawn_at(i, t) for i, t in enumerate(temperatures)]))
     with_loss = lambda lp: F.transform(every, lambda g: F.struct(*[g[c].alias(c) for c in ("pose", "temperature", "sample_id", "idx")], S.nll(lp, g["idx"]).alias("lost")))
-    drawn = positions.select("name", "chain", "pos", "native_idx", "design", F.explode(arrays.let(arrays.log_softmax(logits), with_loss)).alias("_g")).select("*", "_g.*")
+    drawn = positions.select("name", "chain", "pos", "native_idx", "design", F.inline(arrays.let(arrays.log_softmax(logits), with_loss)))
     lost = F.col("lost")
     same = (F.col("idx") == F.col("native_idx")).cast("int")
     letter = F.substr(F.lit(MODEL_ORDER), F.col("idx") + 1, F.lit(1))

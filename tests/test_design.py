@@ -69,6 +69,12 @@ def test_draw_is_the_inverse_of_the_running_sum(spark):
     assert [r[0] for r in df.select(arrays.draw(F.col("p"), F.col("u"))).collect()] == [0, 0, 1, 1, 2, 2]
 
 
+def test_draws_from_running_sums(spark):
+    rows = [([0.1, 0.2, 0.3, 0.4], i / 40) for i in range(41)] + [([0.0, 1.0], 0.0), ([0.5, 0.5], 1.5)]
+    df = spark.createDataFrame(rows, "p array<double>, u double")
+    assert df.filter(arrays.draw(F.col("p"), F.col("u")) != arrays.draw_from(arrays.running(F.col("p")), F.col("u"))).count() == 0
+
+
 def test_tied_samples_agree(spark):
     rows = [
         (
