@@ -1,4 +1,4 @@
-"""Helpers that the operators of this subpackage share. Columns whose names begin with _strand_ are theirs; tables mustn't have any. doc_id, page_id and item_id are
+"""Helpers that the operators of this subpackage share. Columns whose names begin with _strand_ are theirs; tables that have any are rejected. doc_id, page_id and item_id are
 integers, or text that holds nothing else: other ids fail, under ANSI, at the cast."""
 
 from __future__ import annotations
@@ -51,6 +51,14 @@ def clearing(spark: SparkSession) -> Iterator[list[str]]:
         _written = outer
 
 
+def unreserved(df: DataFrame) -> DataFrame:
+    """df, unless it has a column whose name is reserved."""
+    taken = [c for c in df.columns if c.startswith("_strand_")]
+    if taken:
+        raise ValueError(f"column names that begin with _strand_ are reserved: {taken}")
+    return df
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two longs, never null, that tell documents apart: its id, and a hash of its text as ids may repeat."""
     return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("_strand_k1"), F.xxhash64(text, F.length(text)).alias("_strand_k2")]

@@ -231,4 +231,4 @@ def op6_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that the quality classifier, learnt from these rows, doesn't reject."""
-    return score(docs, learn_quality(docs, labels), "_strand_score").filter(F.col("_strand_score") >= threshold).select(*docs.columns)
+    return score(common.unreserved(docs), learn_quality(docs, labels), "_strand_score").filter(F.col("_strand_score") >= threshold).select(*docs.columns)

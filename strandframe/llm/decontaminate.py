@@ -249,6 +249,7 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of an item."""
+    common.unreserved(docs)
     bad = common.cut(
         contamination(docs, items).filter("n_hit > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strand_k1"), "_strand_k2").distinct(),
         "decon-bad",

@@ -4,14 +4,16 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 found in at least ``min_docs`` documents lose all their lines in every document.
 
 1. Each document gives the 128-bit hash of each of its keys once; one aggregation, with partial sums, counts documents.
-2. All keys of two or more documents (fewer can't reach any threshold) go to shards by hash; each shard is built into
-   one minimal perfect hash, levelled bit arrays with ranks, over a 64-bit fingerprint array and a count array.
-3. Each document's keys travel as hashes, once each, to their shard and stream past its arrays. A shard that expects more than ``shard_lines``
+2. Keys of ``min_docs`` or more documents go to shards by hash; each shard is built into one minimal perfect hash, levelled bit arrays with ranks, over a 64-bit
+   fingerprint array and a count array.
+3. Where all arrays together hold ``broadcast_keys`` keys at most (counted first; 14 bytes each), they go to every task, and documents probe them where they are, in the pass that
+   drops their lines: no text and no hash is shuffled.
+4. Beyond that, each document's keys travel as hashes, once each, to their shard and stream past its arrays. A shard that expects more than ``shard_lines``
    probes, or twice its fair share, as it holds a line of very many documents, is copied to as many parts as it needs, and documents are dealt among them.
-4. What is found goes back to its document by the document's key.
+   What is found goes back to its document by the document's key, which is its id and a 64-bit hash of its text (documents equal in both are equal rows).
 
-The number of shards follows the number of lines. Null or empty text is one empty line; repeated rows each count as a document
-and get equal results; null doc_ids are kept; other columns pass through, but those named n_lines and n_dropped are replaced; empty in, empty out.
+The number of shards follows the number of lines; both ways give the same rows. Null or empty text is one empty line; repeated rows each count as a document
+and get equal results; null doc_ids are kept; other columns pass through, but those named as the two counts are replaced; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -209,7 +211,7 @@ def _probe(index: DataFrame, probes: DataFrame, min_docs: int, most: int) -> Dat
     crowded = index.select("shard", parts.alias("parts")).filter("parts > 1")
     copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("load")
     dealt = (
-        probes.join(crowded, "shard", "left")
+        probes.join(F.broadcast(crowded) if crowded.count() <= 100_000 else crowded, "shard", "left")
         .withColumn("part", F.pmod(F.xxhash64("_strand_k1", "_strand_k2"), F.coalesce("parts", F.lit(1))).cast("int"))
         .drop("parts")
     )
@@ -233,13 +235,60 @@ def _probe(index: DataFrame, probes: DataFrame, min_docs: int, most: int) -> Dat
     ).mapInArrow(run, "_strand_k1 long, _strand_k2 long, line int")
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_lines: int = 500_000) -> DataFrame:
-    """docs with text replaced by what stays, and n_lines, n_dropped (long) added."""
+def _common(arrays: dict[int, PerfectHash], shards: int, keys: list[bytes], min_docs: int) -> set[bytes]:
+    """Those of different keys that the arrays of their shards count at min_docs or more."""
+    both = np.array([_pair(k) for k in keys], dtype=np.int64).reshape(-1, 2)
+    shard, found = both[:, 0] % shards, []
+    order = np.argsort(shard, kind="stable")
+    edges = [0, *(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(keys)]
+    for own in (order[lo:hi] for lo, hi in zip(edges, edges[1:], strict=False) if lo < hi and int(shard[order[lo]]) in arrays):
+        h = both[own].view(np.uint64)
+        found += own[arrays[int(shard[own[0]])].count(h[:, 0].copy(), h[:, 1].copy()) >= min_docs].tolist()
+    return {keys[i] for i in found}
+
+
+def _rewritten(docs: DataFrame, names: list[str], gone, n_lines: str, n_dropped: str) -> DataFrame:
+    """docs' columns names, text without the lines whose keys gone(slice) gives for each document (a set, or None), and how many lines there were and went."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.text_slices(batch):
+                raws, texts, lines, dropped = part.column(part.schema.get_field_index("text")).to_pylist(), [], [], []
+                for raw, own in zip(raws, gone(part, raws), strict=True):
+                    lines.append(raw.count(b"\n") + 1)
+                    stays = [x for x, k in zip(raw.split(b"\n"), _keys(raw), strict=True) if k not in own] if own else None
+                    dropped.append(0 if stays is None else lines[-1] - len(stays))
+                    texts.append(raw if stays is None else b"\n".join(stays))
+                kept = [pa.array(texts, type=pa.binary()).cast(pa.string()) if n == "text" else part.column(part.schema.get_field_index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lines, type=pa.int64()), pa.array(dropped, type=pa.int64())], names=[*names, n_lines, n_dropped])
+
+    return docs.mapInArrow(run, docs.select(*names).withColumns({n_lines: F.lit(0).cast("long"), n_dropped: F.lit(0).cast("long")}).schema)
+
+
+def drop_common_lines(
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_lines: int = 500_000, n_lines: str = "n_lines", n_dropped: str = "n_dropped", broadcast_keys: int = 1_000_000
+) -> DataFrame:
+    """docs with text replaced by what stays, and the columns n_lines, n_dropped (long; names by parameters) added."""
     if min_docs < 2:
         raise ValueError("min_docs is 2 at least")
+    common.unreserved(docs)
     spark = docs.sparkSession
-    counts = common.cut(line_counts(docs, min_chars).filter("n > 1"), "lines-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = common.cut(line_counts(docs, min_chars).filter(F.col("n") >= min_docs), "lines-counts")
+    keys, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    names = [c for c in docs.columns if c not in (n_lines, n_dropped)]
+    if keys <= broadcast_keys:  # some 14 bytes a key
+        shards = -(-keys // shard_lines) or 1
+        made = [(r["shard"], *(r[c] for c in ("sizes", "bits", "prints", "counts"))) for r in build_index(counts, shards).collect()]
+        shared, held = spark.sparkContext.broadcast(made), {}
+
+        def local(part: pa.RecordBatch, raws: list[bytes]) -> list[set[bytes] | None]:
+            if "arrays" not in held:
+                held["arrays"] = {shard: PerfectHash.of(*parts) for shard, *parts in shared.value}
+            own = [{k for k in _keys(t) if _long_enough(k, min_chars)} for t in raws]
+            found = _common(held["arrays"], shards, list(set().union(*own)), min_docs)
+            return [x & found for x in own]
+
+        return _rewritten(docs.select(*names).withColumn("text", F.col("text").cast("string")), names, local, n_lines, n_dropped)
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_lines))
     index = common.cut(build_index(counts, shards), "lines-index")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
@@ -248,31 +297,13 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, s
     most = max(1, min(shard_lines, 2 * total // shards))
     found = _probe(index, _probes(keyed, shards, min_chars), min_docs, most)
     lost = common.cut(found.groupBy("_strand_k1", "_strand_k2").agg(F.array_sort(F.collect_set("line")).alias("_strand_lost")), "lines-lost")
-    joined = keyed.join(lost, ["_strand_k1", "_strand_k2"], "left").drop("_strand_k1", "_strand_k2", "n_lines", "n_dropped")
-    names = [c for c in joined.columns if c != "_strand_lost"]
+    joined = keyed.join(lost, ["_strand_k1", "_strand_k2"], "left").select(*names, "_strand_lost")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.text_slices(batch):
-                texts, n_lines, n_dropped = [], [], []
-                for raw, lost in zip(part.column(part.schema.get_field_index("text")).to_pylist(), part.column(part.schema.get_field_index("_strand_lost")).to_pylist(), strict=True):
-                    n_lines.append(raw.count(b"\n") + 1)
-                    if lost:
-                        keys = _keys(raw)
-                        own = {keys[i] for i in lost}
-                        stays = [x for x, k in zip(raw.split(b"\n"), keys, strict=True) if k not in own]
-                        raw = b"\n".join(stays)
-                        n_dropped.append(n_lines[-1] - len(stays))
-                    else:
-                        n_dropped.append(0)
-                    texts.append(raw)
-                kept = [
-                    pa.array(texts, type=pa.binary()).cast(pa.string()) if n == "text" else part.column(part.schema.get_field_index(n)) for n in names
-                ]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(n_lines, type=pa.int64()), pa.array(n_dropped, type=pa.int64())], names=[*names, "n_lines", "n_dropped"])
-
-    schema = joined.select(*names).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
-    return joined.mapInArrow(run, schema)
+    def sent(part: pa.RecordBatch, raws: list[bytes]) -> list[set[bytes] | None]:
+        places = part.column(part.schema.get_field_index("_strand_lost")).to_pylist()
+        return [set(map(_keys(t).__getitem__, own)) if own else None for t, own in zip(raws, places, strict=True)]
+
+    return _rewritten(joined, names, sent, n_lines, n_dropped)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

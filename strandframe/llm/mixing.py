@@ -125,7 +125,7 @@ def mixture(
     broadcast_places: int = _BROADCAST_PLACES,
 ) -> DataFrame:
     """The rows of docs as often as their source's weight asks, with n_tokens, epoch (1, 2, ...), block, and place: of the block in its epoch."""
-    names = [c for c in docs.columns if c not in ADDED]
+    names = [c for c in common.unreserved(docs).columns if c not in ADDED]
     counted = (
         docs.select(*names)
         .withColumn("n_tokens", n_tokens(F.col("text").cast("string")))

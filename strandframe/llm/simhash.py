@@ -147,6 +147,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     What goes is joined to docs, as it is less than what stays: ids and hashes only, which Spark may broadcast where they are few.
     """
+    common.unreserved(docs)
     # A component is known by its least doc_id; the least text hash decides where that id repeats.
     key = ["_strand_k1", "_strand_k2"]
     found = common.cut(

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandframe.llm import decontaminate, linededup, simhash
+from strandframe.llm import compression, decontaminate, linededup, mixing, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, _k1 string, _lost string, _n string, n_lines string"
 OWN = ["own"] * 5
@@ -61,10 +61,19 @@ def _brute_lines(rows, min_docs):
 
 @pytest.mark.parametrize(("shard_lines", "min_docs"), [(500_000, 10), (7, 10), (7, 2), (1, 3)])
 def test_line_dedup(docs, rows, shard_lines, min_docs):
-    """With few lines to a shard, common lines have their shards copied."""
-    got = linededup.drop_common_lines(docs, min_docs, shard_lines=shard_lines).collect()
-    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == _brute_lines(rows, min_docs)
-    assert {r["fp"] for r in got} == {"own"}
+    """With few lines to a shard, common lines have their shards copied; arrays of few keys go to every task, with the same rows."""
+    for keys in (0, 1_000_000):
+        got = linededup.drop_common_lines(docs, min_docs, shard_lines=shard_lines, broadcast_keys=keys).collect()
+        assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == _brute_lines(rows, min_docs)
+        assert {r["fp"] for r in got} == {"own"}
+        kept = linededup.drop_common_lines(docs, min_docs, n_lines="total", n_dropped="gone", broadcast_keys=keys)
+        assert kept.columns == [*docs.columns, "total", "gone"] and {r["n_lines"] for r in kept.collect()} == {"own"}
+
+
+def test_reserved_names_are_rejected(docs):
+    for stage in (linededup.drop_common_lines, simhash.keep_one_of_each, lambda d: decontaminate.keep_clean(d, d), mixing.mixture, lambda d: compression.keep_good(d, d)):
+        with pytest.raises(ValueError, match="_strand_x"):
+            stage(docs.withColumn("_strand_x", F.lit(1)))
 
 
 def test_blank_and_repeated_lines_do_not_travel(spark):
