@@ -20,9 +20,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more hold go; n_chars follows the text. Of ten or more copies of a document none keeps any text."""
     common.ship(spark)
-    kept = linededup.drop_common_lines(docs)
+    kept = linededup.drop_common_lines(docs, n_lines="_strand_lines", n_dropped="_strand_dropped")
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(F.col("_strand_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
 
 
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.docs_of(spark, sf_dir)
+    last = None
     for name, stage in STAGES:
         with common.clearing(spark) as written:
             docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-            written.pop()  # the stage's result stays, what it was made of goes
+            made = written.pop()  # the stage's result stays, what it was made of goes
+            if last:
+                written.append(last)  # and so does the stage's before
+            last = made
     return docs
