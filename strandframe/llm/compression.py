@@ -11,13 +11,14 @@ repeats itself shrinks under any dictionary, so its difference stays small again
 Dictionaries and calibration come from a bounded sample of labelled rows (labelled.sample: per_class, max_chars). It is cut into folds; what models of
 the other folds say of each fold is calibrated, then one model of all folds is made. All windows of all documents are scored. Null and empty
 texts get the score that the calibration gives to no difference; without rows of both labels in every fold there is nothing to learn and every score
-is 0.5. A label given twice counts as its larger value. Repeated rows get equal scores; null doc_ids are kept; other columns are
+is 0.5; the same holds, with a warning, for toxicity where zstandard's trainer refuses a class's texts as too few (no other dictionary takes its place). A label given twice counts as its larger value. Repeated rows get equal scores; null doc_ids are kept; other columns are
 ignored; empty in, empty out.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -120,12 +121,16 @@ def parted(texts: list[bytes], others: list[bytes]) -> tuple[list[bytes], list[b
     return [t for t in own if t], [t for t in shared if t]
 
 
+class Untrainable(ValueError):
+    """zstandard's trainer refuses a class's texts, as they are too few or too short."""
+
+
 def trained(texts: list[bytes], size: int) -> bytes:
-    """A dictionary of size bytes that zstandard's trainer makes of the texts; they themselves where they are too few for it."""
+    """A dictionary of size bytes that zstandard's trainer makes of the texts."""
     try:
         return zstandard.train_dictionary(size, texts, k=16, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b"\n".join(texts)[:size]
+    except (zstandard.ZstdError, ValueError) as e:
+        raise Untrainable(f"no dictionary of {size} bytes comes from {len(texts)} texts of {sum(map(len, texts))} bytes") from e
 
 
 def without_shared_lines(classes: list[list[bytes]]) -> list[list[bytes]]:
@@ -172,7 +177,12 @@ def learn_toxicity(
         shared = trained(ordinary + common_text, common_bytes)
         return Toxicity(*(Sizer(trained(x, own_bytes) + shared, level) for x in (own, other)), window)
 
-    return _cross_fitted(labelled.sample(docs, labels, "toxic", per_class).collect(), build, folds)  # 2 * per_class rows at most
+    rows = labelled.sample(docs, labels, "toxic", per_class).collect()  # 2 * per_class at most
+    try:
+        return _cross_fitted(rows, build, folds)
+    except Untrainable as e:
+        warnings.warn(f"toxicity isn't learned: {e}", stacklevel=2)
+        return None
 
 
 def learn_quality(

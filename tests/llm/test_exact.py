@@ -73,3 +73,14 @@ def test_bytes_that_are_not_utf8(spark, tokenizer):
     assert langid.identify(made, None).count() == 4
     assert compression.score(made, None, "p").count() == 4
     assert qualityrules.judge(made, None).count() == 4
+
+
+def test_toxicity_without_enough_text_to_train_learns_nothing(spark):
+    """The trainer's refusal is a warning and every score 0.5; nothing else stands in for its dictionary."""
+    docs = spark.createDataFrame([(i, "both say the same") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="isn't learned"):
+        assert compression.learn_toxicity(docs, labels) is None
+    with pytest.raises(compression.Untrainable):
+        compression.trained([b"too", b"few"], 4096)
+    assert compression.trained([b"some words %d of text that a trainer takes" % i for i in range(2000)], 4096)[:4] == b"\x37\xa4\x30\xec"
