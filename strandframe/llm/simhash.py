@@ -3,8 +3,10 @@
 A document's fingerprint is made of its 3-word shingles. Two fingerprints that differ in at most ``distance`` bits
 agree on at least ``blocks - distance`` of ``blocks`` blocks, so a join on each choice of that many blocks finds them all.
 Equal fingerprints meet in one aggregation before any join. A bucket of up to ``small_bucket`` fingerprints is joined
-with itself; a larger one is linked through its members' neighbours (all masks of up to two bits), which takes rows in proportion
-to the bucket and not to its square. Components come from label propagation over distinct fingerprints.
+with itself; members of larger ones meet again on the longer keys of more blocks (56 rows a fingerprint). Only what is crowded even there, hundreds of different fingerprints
+that agree in 40 bits, is linked through its members' neighbours (all masks of up to two bits), which takes rows in proportion
+to the bucket and not to its square. Components come from label propagation over distinct fingerprints, and go back to the documents by fingerprint; those of a
+thousandth of all documents or more are broadcast, as there are a thousand at most.
 
 Null texts and texts without words have fingerprint zero and link like any other; repeated rows share a component;
 a null doc_id is kept and never is a component's id unless all are null; other columns are ignored; empty in, empty out.
@@ -65,9 +67,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(distinct: DataFrame, distance: int = 3, blocks: int = 6, small_bucket: int = 512) -> DataFrame:
-    """(a, b) of fingerprints (column fp, distinct) that keep every pair within distance in one component."""
-    masks = [_signed(m) for m in block_masks(blocks, distance)]
+def links(distinct: DataFrame, distance: int = 3, blocks: tuple[int, ...] = (6, 8), small_bucket: int = 512) -> DataFrame:
+    """(a, b) of fingerprints (column fp, distinct) that keep every pair within distance in one component.
+
+    blocks: how many a fingerprint is split into, at first, and for those in buckets of over small_bucket, which then meet on longer keys (six: 20 keys of some 32 bits; eight: 56 of 40).
+    Those still crowded after the last go through neighbour values.
+    """
+    return common.cut(_links(distinct, distance, blocks, small_bucket).distinct(), "simhash-links")
+
+
+def _links(distinct: DataFrame, distance: int, blocks: tuple[int, ...], small_bucket: int) -> DataFrame:
+    masks = [_signed(m) for m in block_masks(blocks[0], distance)]
     keyed = distinct.select(
         "fp",
         F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("_b"),
@@ -86,12 +96,12 @@ def links(distinct: DataFrame, distance: int = 3, blocks: int = 6, small_bucket:
         .filter((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b")))
         .select("a", "b")
     )
-    return common.cut(
-        twos.unionByName(pairs)
-        .unionByName(_through_neighbours(members.filter(F.col("n") > small_bucket).select("fp").distinct(), distance))
-        .distinct(),
-        "simhash-links",
-    )
+    crowd = members.filter(F.col("n") > small_bucket).select("fp").distinct()
+    found = twos.unionByName(pairs)
+    if crowd.isEmpty():
+        return found
+    crowd = common.cut(crowd, "simhash-crowd")
+    return found.unionByName(_links(crowd, distance, blocks[1:], small_bucket) if blocks[1:] else _through_neighbours(crowd, distance))
 
 
 def _through_neighbours(crowd: DataFrame, distance: int) -> DataFrame:
@@ -126,15 +136,22 @@ def components(edges: DataFrame) -> DataFrame:
         labels = nxt.select("u", "root")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 6, small_bucket: int = 512) -> DataFrame:
+#: Fingerprints of over a thousandth of the documents, and of at least so many, are a thousand at most: these go to every task.
+_HOT_DOCS = 10_000
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, blocks: tuple[int, ...] = (6, 8), small_bucket: int = 512, hot_docs: int = _HOT_DOCS) -> DataFrame:
     """doc_id, _strand_k2, fp, component_id (least doc_id that links reach) for every row of docs."""
     made = common.cut(fingerprints(docs), "simhash-prints")
-    distinct = common.cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = common.cut(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), distance, blocks, small_bucket))
-    linked = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = distinct.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     heads = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.cut(linked.join(heads, "root").select("fp", "component_id"), "simhash-named")
-    return made.join(named, "fp").select("doc_id", "_strand_k2", "fp", "component_id")
+    named = common.cut(linked.join(heads, "root").select("fp", "component_id", "n"), "simhash-named")
+    columns = ["doc_id", "_strand_k2", "fp", "component_id"]
+    hot = max(hot_docs, (named.agg(F.sum("n")).first()[0] or 0) // 1000)
+    few = F.broadcast(named.filter(F.col("n") > hot))
+    return made.join(few, "fp").select(*columns).unionByName(made.join(few, "fp", "left_anti").join(named.filter(F.col("n") <= hot), "fp").select(*columns))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

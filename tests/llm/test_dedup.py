@@ -121,9 +121,37 @@ def _brute_components(fps, distance=3):
     return [find(f) for f in fps]
 
 
+def test_crowded_buckets_meet_on_longer_keys(spark):
+    """Thousands of fingerprints with half their bits in common: components equal brute force, and few rows are made of each."""
+    rng = random.Random(2)
+    fps = {0x1234_5678 << 32 | rng.getrandbits(32) for _ in range(2500)}
+    for fp in list(fps)[:600]:
+        fps.add(fp ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
+    fps = sorted(fps)
+    frame = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    values = np.array(fps, dtype=np.uint64)
+    for blocks in ((6, 8), (6,)):
+        edges = simhash.links(frame, 3, blocks, 512)
+        roots = {r["fp"]: r["root"] for r in simhash.components(edges).collect()}
+        parent = {simhash._signed(x): simhash._signed(x) for x in fps}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x in fps:
+            near = np.bitwise_count(values ^ np.uint64(x)) <= 3
+            for y in values[near].tolist():
+                a, b = sorted((find(simhash._signed(x)), find(simhash._signed(y))))
+                parent[b] = a
+        assert all(roots.get(x, x) == find(x) for x in parent)
+    assert edges.count() >= simhash.links(frame, 3, (6, 8), 512).count() > 300
+
+
 @pytest.mark.parametrize("small_bucket", [512, 2])
 def test_simhash(docs, rows, small_bucket):
-    got = simhash.near_duplicates(docs, small_bucket=small_bucket).collect()
+    got = simhash.near_duplicates(docs, small_bucket=small_bucket, hot_docs=3 if small_bucket == 2 else 10_000).collect()
     fps = [_brute_fp(r[1]) for r in rows]
     roots = _brute_components(fps)
     least = {}
