@@ -77,3 +77,32 @@ def test_stages_match_brute_force(spark, tables):
     assert {(r["doc_id"], r["text"]) for r in mixed} == set(rows)
     final = corpus_pipeline.run(spark, path).collect()
     assert Counter((r["doc_id"], r["epoch"]) for r in final) == Counter((r["doc_id"], r["epoch"]) for r in mixed)
+
+
+def test_odd_rows_and_columns_pass(spark, tables, tmp_path):
+    """Null and empty texts, null ids and repeated rows crash no stage; columns of any name come through as they are; clean documents stay."""
+    _, docs, items = tables
+    clean = [d for d in docs[:60] if d[0] % 6 and "%%%" not in d[1] and d[0] % 9 and d[0] % 11 and d[0] % 13]
+    odd = [(None, None, None, None, None), (500, None, "en", "s1", None), (501, "", "en", None, 0), (502, "   \n\n", "en", "s1", 5), (None, "a few words of a text without an id", "en", "s2", 35), (503, "w" * 50_000, "en", "s2", 50_000)]
+    rows = [(*d, "mine", f"own {d[0]}", 1.5) for d in [*docs, *odd, odd[1], clean[0]]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_dropped string, fp double"
+    path = str(tmp_path)
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    labels = [(i, int("%%%" not in docs[i][1]), 0) for i in range(300)]
+    spark.createDataFrame([*labels, (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, path)
+        assert frame.columns == [c.split()[0] for c in schema.split(", ")]
+    got = corpus_pipeline.run(spark, path).collect()
+    assert {r["n_lines"] for r in got} == {"mine"} and {r["fp"] for r in got} == {1.5} and all(r["n_dropped"] == f"own {r['doc_id']}" for r in got)
+    assert {d[0] for d in clean} <= {r["doc_id"] for r in got}
+    assert sum(r["doc_id"] == clean[0][0] and r["epoch"] == 1 for r in got) == 1  # of repeated rows one stays
+
+
+def test_empty_tables_give_no_rows(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and set(COLUMNS) < set(got.columns)
