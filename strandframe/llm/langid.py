@@ -8,7 +8,7 @@ training rows can be predicted, however few rows it has. All languages' filters
 the filters' fill predicts, decide; the score is the chosen language's part of all corrected counts.
 
 Spark builds the masks, by slot and word of 64 languages; what comes to the driver and goes to the tasks is the array, of at most 2**``most_log2`` slots
-of a word for each 64 languages (32 MB a word at 22), and the languages' names and totals.
+of a word for each 64 languages (32 MB a word at 22; 256 MB in all, beyond which there are fewer slots), and the languages' names and totals.
 
 Letters are lower-cased, everything else is one space. ``und`` and score 0 if the text is null or has no letter, or nothing could be learned;
 rows with null lang teach nothing; ties go to the first language in string order; repeated rows teach as often as they occur; a null doc_id counts as an empty
@@ -95,10 +95,11 @@ class Filter:
         self.false = np.array([float(bit(i).mean()) ** hashes for i in range(len(langs))])
 
     @classmethod
-    def build(cls, langs: list[str], held: DataFrame, default: int, hashes: int = 3, bits_each: int = 12, most_log2: int = 22) -> Filter:
-        """held: number (of the language), code."""
+    def build(cls, langs: list[str], held: DataFrame, default: int, hashes: int = 3, bits_each: int = 12, most_log2: int = 22, most_bytes: int = 1 << 28) -> Filter:
+        """held: number (of the language), code. The array takes most_bytes at most: with many languages it has fewer slots, whose false positives are higher, and corrected for."""
         distinct = held.agg(F.count_distinct("code")).first()[0]
-        log2 = min(most_log2, max(10, int(np.ceil(np.log2(max(1, distinct) * bits_each)))))
+        room = int(np.log2(max(2, most_bytes // (8 * -(-len(langs) // 64)))))
+        log2 = min(most_log2, room, max(10, int(np.ceil(np.log2(max(1, distinct) * bits_each)))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -84,3 +84,16 @@ def test_toxicity_without_enough_text_to_train_learns_nothing(spark):
     with pytest.raises(compression.Untrainable):
         compression.trained([b"too", b"few"], 4096)
     assert compression.trained([b"some words %d of text that a trainer takes" % i for i in range(2000)], 4096)[:4] == b"\x37\xa4\x30\xec"
+
+
+def test_many_languages_keep_the_masks_small(spark):
+    """Hundreds of language values: the array stays in its bound, and languages are still told apart."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda i: " ".join(letters[i % 26] + letters[i // 26] + letters[(7 * i + k) % 26] for k in range(3))
+    rows = [(i, f"l{i:03d}", text(i)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    held = docs.select(F.col("doc_id").alias("number"), F.col("doc_id").alias("code"))
+    small = langid.Filter.build([r[1] for r in rows], held, 0, most_bytes=1 << 16)
+    assert small.masks.nbytes <= 1 << 16 and small.masks.shape[1] == 5
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.learn(docs.select("lang", "text"))).collect()}
+    assert sum(got[i] == lang for i, lang, _ in rows) > 285
