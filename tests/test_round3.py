@@ -26,3 +26,20 @@ def test_filters_do_not_render_again(spark):
     for found in (S.parse_atoms(lines), S.select_backbone(lines, "B"), S.drop_hydrogens(lines), S.parse_atoms(S.normalize_mse(lines))):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("format_string") == 1 and found.count() == 10
+
+
+def test_small_structures_share_one_row(spark):
+    """Neighbours with carried columns come from a row a structure; ids apart and more points than a block go by joins, with the same result."""
+    from strandframe.operators import graph as G
+
+    rows = [(f"s{i}", j * (1 if i % 2 else 300), (j * 7 % 11) * 1.5, (j * 5 % 13) * 1.0, (j * 3 % 7) * 2.0, f"c{j}", int(j % 3 > 0)) for i in range(4) for j in range(20)]
+    p = spark.createDataFrame(rows, "name string, id long, x double, y double, z double, tag string, mask int")
+    columns = ["name", "src", "dst", "rank", "dist"]
+    found = G.knn_graph(p, 4, carried=("tag",))
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, G.knn_graph(p, 4, small=0).select(*columns).collect()))
+    tags = {(r[0], r[1]): r[5] for r in rows}
+    assert all((r["s_tag"], r["d_tag"]) == (tags[r["name"], r["src"]], tags[r["name"], r["dst"]]) for r in found.collect())
+    near = G.knn_graph(p.filter("name IN ('s1', 's3')"), 4, carried=("tag",))
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString() and near.count() == 160
+    one = lambda n: sorted((r["src"], r["dst"], r["rank"], r["dist"]) for r in G.masked_knn(p.filter(f"name = '{n}'"), 4).collect())
+    assert [(s * 300, d * 300, r, x) for s, d, r, x in one("s1")] == one("s2")
