@@ -43,3 +43,11 @@ def test_small_structures_share_one_row(spark):
     assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString() and near.count() == 160
     one = lambda n: sorted((r["src"], r["dst"], r["rank"], r["dist"]) for r in G.masked_knn(p.filter(f"name = '{n}'"), 4).collect())
     assert [(s * 300, d * 300, r, x) for s, d, r, x in one("s1")] == one("s2")
+
+
+def test_grid_broadcasts_no_table_of_points(spark):
+    from strandframe.operators import graph as G
+
+    p = spark.createDataFrame([(f"s{i}", j, j * 1.5, (j * 5 % 13) * 1.0, (j * 3 % 7) * 2.0) for i in range(2) for j in range(30)], "name string, id long, x double, y double, z double")
+    found = G.knn_graph(p, 4, small=0)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 240
