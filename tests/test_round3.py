@@ -51,3 +51,18 @@ def test_grid_broadcasts_no_table_of_points(spark):
     p = spark.createDataFrame([(f"s{i}", j, j * 1.5, (j * 5 % 13) * 1.0, (j * 3 % 7) * 2.0) for i in range(2) for j in range(30)], "name string, id long, x double, y double, z double")
     found = G.knn_graph(p, 4, small=0)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 240
+
+
+def test_pairs_and_targets_of_small_structures_meet_in_a_row(spark):
+    """No join for structures of one block; those apart go by joins, with the same rows."""
+    from strandframe.operators import graph as G
+
+    far = lambda i, j: j * (1 if i % 2 else 300)
+    p = spark.createDataFrame([(f"s{i}", far(i, j), (j * 7 % 11) * 1.5 - 4, (j * 5 % 13) * 1.0, (j * 3 % 7) * 2.0) for i in range(4) for j in range(20)], "name string, id long, x double, y double, z double")
+    assert "Join" not in G.pair_distances(p.filter("name IN ('s1', 's3')"), 5.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, G.pair_distances(p, 5.0).collect())) == sorted(map(tuple, G._pairs_met(p, 5.0).collect()))
+    q = spark.createDataFrame([(f"s{i}", far(i, j), int(j % 3 > 0), (j * 7 % 11) / 11, f"c{j}") for i in range(4) for j in range(20)], "name string, pos long, design int, noise double, chain string")
+    for first in (False, True):
+        assert "Join" not in G.conditional_order(q.filter("name = 's1'"), first)._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r["name"], r["target"] // far(int(r["name"][1]), 1), r["pos"] // far(int(r["name"][1]), 1), r["decode_rank"], r["chain"]) for r in G.conditional_order(q, first).collect())
+        assert [r[1:] for r in got if r[0] == "s0"] == [r[1:] for r in got if r[0] == "s1"] and len(got) == 4 * 13 * 20
