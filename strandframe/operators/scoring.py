@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import arrays
 from ..functions.letters import MODEL_ORDER
+from ..session import ship
 from .constraints import pad_batch
 from .ranks import numbered
 
@@ -49,18 +51,46 @@ def score_stats(scores: DataFrame, by: list[str]) -> DataFrame:
 def seq_recovery(pairs: DataFrame, by: list[str], mask: str | None = None) -> DataFrame:
     """by, recovery: share of positions where native and sequence agree; positions whose native letter is X, or whose mask (an array) is 0, don't count.
 
-    by tells the pairs apart. Letters are exploded in place, where compiled code counts them; only the counts reach the shuffle.
+    by tells the pairs apart. Letters are counted in Arrow batches, each pair's as two arrays; only the counts reach the shuffle.
     """
-    split = pairs.select(*by, F.split("native", "").alias("_a"), F.split("sequence", "").alias("_b"), *([F.col(mask).alias("_m")] if mask else []))
-    each = split.select(*by, F.posexplode("_a").alias("_i", "_c"), "_b", *(["_m"] if mask else []))
-    counts = (F.col("_c") != "X") & (F.col("_c") != "")
-    if mask:
-        counts = counts & (F.coalesce(F.get("_m", F.col("_i")), F.lit(0)) != 0)
-    found = each.groupBy(*by).agg(
-        F.sum(F.when(counts & (F.get("_b", F.col("_i")) == F.col("_c")), 1).otherwise(0)).alias("_same"),
-        F.sum(F.when(counts, 1).otherwise(0)).alias("_all"),
-    )
-    return found.select(*by, (F.col("_same") / F.nullif("_all", F.lit(0))).alias("recovery"))
+    ship(pairs.sparkSession)
+    ready = pairs.filter("native IS NOT NULL").select(*by, "native", "sequence", *([F.col(mask).cast("array<double>").alias("_m")] if mask else []))
+    schema = T.StructType([ready.schema[c] for c in by] + [T.StructField("_same", T.LongType()), T.StructField("_all", T.LongType())])
+
+    def run(batches):
+        from strandframe.operators import scoring
+
+        for batch in batches:
+            yield scoring._agreement(batch)
+
+    counts = ready.mapInArrow(run, schema).groupBy(*by).agg(F.sum("_same").alias("_same"), F.sum("_all").alias("_all"))
+    return counts.select(*by, (F.col("_same") / F.nullif("_all", F.lit(0))).alias("recovery"))
+
+
+def _agreement(batch):
+    """A batch's columns before native, and _same and _all: letters that agree and that count."""
+    import numpy as np
+    import pyarrow as pa
+
+    def letters(column, i):
+        data = column[i].as_buffer() if column[i].is_valid else b""
+        at = np.frombuffer(data, np.uint8)
+        return at if not len(at) or at.max() < 128 else np.frombuffer(bytes(data).decode().encode("utf-32-le"), np.uint32)
+
+    native, sequence = batch.column("native"), batch.column("sequence")
+    masks = batch.column("_m") if "_m" in batch.schema.names else None
+    same, every = np.zeros(len(native), np.int64), np.zeros(len(native), np.int64)
+    for i in range(len(native)):
+        a, b = letters(native, i), letters(sequence, i)
+        counts = a != ord("X")
+        if masks is not None:
+            own = np.array(masks[i].as_py() or [], float)[: len(a)]
+            counts[: len(own)] &= np.nan_to_num(own) != 0
+            counts[len(own) :] = False
+        n = min(len(a), len(b))
+        same[i], every[i] = np.count_nonzero((a[:n] == b[:n]) & counts[:n]), np.count_nonzero(counts)
+    kept = [c for c in batch.schema.names if c not in ("native", "sequence", "_m")]
+    return pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(same), pa.array(every)], names=[*kept, "_same", "_all"])
 
 
 def mean_probs(probs: DataFrame, by: list[str]) -> DataFrame:
