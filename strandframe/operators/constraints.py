@@ -1,6 +1,7 @@
 """Per-position design constraints: joined to residues, and built from rules.
 
-Residues and constraints meet in hash joins on (name, chain, pos); letters come from literals. Spark broadcasts a side where it is small.
+Residues and constraints meet in hash joins on (name, chain, pos); letters come from literals. Spark broadcasts a side where it is small. What follows from a constraint is
+worked out in its own rows, before residues meet it.
 """
 
 from __future__ import annotations
@@ -65,11 +66,10 @@ def apply_pssm(residues: DataFrame, pssm: DataFrame) -> DataFrame:
 
 def apply_bias(residues: DataFrame, bias_pos: DataFrame, bias_aa: dict[str, float]) -> DataFrame:
     """bias: for every letter of the model's order the position's bias (rows name, chain, pos, aa, bias; rows of a letter add up) plus the letter's."""
-    sums = [F.coalesce(F.sum(F.when(F.col("aa") == c, F.col("bias"))), F.lit(0.0)) for c in MODEL_ORDER]
+    letter = [F.lit(float(bias_aa.get(c, 0.0))) for c in MODEL_ORDER]
+    sums = [F.coalesce(F.sum(F.when(F.col("aa") == c, F.col("bias"))), F.lit(0.0)) + v for c, v in zip(MODEL_ORDER, letter, strict=True)]
     own = bias_pos.groupBy(*KEY).agg(F.array(*sums).alias("_own"))
-    none = F.array_repeat(F.lit(0.0), len(MODEL_ORDER))
-    total = F.zip_with(F.coalesce("_own", none), F.array(*[F.lit(float(bias_aa.get(c, 0.0))) for c in MODEL_ORDER]), lambda x, y: x + y)
-    return residues.join(own, KEY, "left").withColumn("bias", total).drop("_own")
+    return residues.join(own, KEY, "left").withColumn("bias", F.coalesce("_own", F.array(*[F.lit(0.0) + v for v in letter]))).drop("_own")
 
 
 def expand_tied(tied: DataFrame, offsets: DataFrame) -> DataFrame:
