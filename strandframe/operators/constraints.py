@@ -45,9 +45,10 @@ def require_keys(residues: DataFrame, constraint: DataFrame) -> DataFrame:
 
 def apply_omit(residues: DataFrame, omit: DataFrame) -> DataFrame:
     """omit_mask: 1 for each letter of the model's order that is omitted at the position."""
-    sets = omit.groupBy(*KEY).agg(F.collect_set("aa").alias("_omitted"))
-    mask = F.array(*[F.coalesce(F.array_contains("_omitted", c), F.lit(False)).cast("double") for c in MODEL_ORDER])
-    return residues.join(sets, KEY, "left").withColumn("omit_mask", mask).drop("_omitted")
+    marks = [F.coalesce(F.max(F.when(F.col("aa") == c, 1.0)), F.lit(0.0)) for c in MODEL_ORDER]
+    own = omit.groupBy(*KEY).agg(F.array(*marks).alias("_own"))
+    none = F.array(*[F.lit(0.0)] * len(MODEL_ORDER))
+    return residues.join(own, KEY, "left").withColumn("omit_mask", F.coalesce("_own", none)).drop("_own")
 
 
 def apply_pssm(residues: DataFrame, pssm: DataFrame) -> DataFrame:

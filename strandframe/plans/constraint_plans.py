@@ -41,7 +41,8 @@ def _omit(spark, sf_dir) -> DataFrame:
     f"AND r.pos = f.pos CROSS JOIN ({_N}) AS n GROUP BY 1, 2, 3", "residues", "fx_fixed"))
 def apply_omit(spark, sf_dir):
     done = C.apply_omit(plans.residues(spark, sf_dir), _omit(spark, sf_dir))
-    return done.select("name", "chain", "pos", F.array_join(F.transform("omit_mask", lambda v: v.cast("int").cast("string")), "").alias("omit"))
+    digits = [F.when(F.get("omit_mask", F.lit(i)) == 1, "1").otherwise("0") for i in range(21)]
+    return done.select("name", "chain", "pos", F.concat(*digits).alias("omit"))
 
 
 @query("apply_pssm", sql(

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from strandframe.functions.letters import MODEL_ORDER
 from strandframe.operators import constraints as C
 from strandframe.operators import residues as R
+from strandframe.plans import constraint_plans  # noqa: F401
 from strandframe.plans import fixtures as fx
 from strandframe.plans import residue_plans as plans
+from strandframe.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +33,12 @@ def test_residues_lie_by_name_at_once(spark, tables):
     assert held.filter("n > count OR count IS NULL").count() == 0
 
 
+def test_digits_of_omitted_letters_need_no_lambda(spark, tables):
+    found = QUERIES["apply_omit"](spark, tables)
+    assert "lambda" not in _plan(found)
+    assert {r["omit"] for r in found.collect()} == {"0" * 21, "".join("1" if c in "CW" else "0" for c in MODEL_ORDER)}
+
+
 def _keys(spark):
     return spark.createDataFrame([("a", "A", 1), ("a", "A", 2), ("a", "B", 1), ("b", "A", 1), (None, "A", 1)], "name string, chain string, pos int")
 
@@ -46,3 +54,11 @@ def test_bias_is_added_in_the_rows_of_the_constraint(spark):
     plain = [40.1 if c == "G" else 0.0 for c in MODEL_ORDER]
     ruled = [v + (1.75 if c == "L" else 0.0) for c, v in zip(MODEL_ORDER, plain, strict=True)]
     assert {tuple(r)[:3]: r["bias"] for r in found.collect()} == {tuple(k): ruled if tuple(k) == ("a", "A", 1) else plain for k in _keys(spark).collect()}
+
+
+def test_letters_are_marked_in_the_rows_of_the_constraint(spark):
+    rules = [("a", "A", 1, "C"), ("a", "A", 1, "C"), ("a", "A", 1, "X"), ("a", "B", 1, None), ("b", "A", 1, "?"), ("z", "A", 1, "A")]
+    found = C.apply_omit(_keys(spark), spark.createDataFrame(rules, "name string, chain string, pos int, aa string"))
+    assert "array_contains" not in _plan(found)
+    ruled = [1.0 if c in "CX" else 0.0 for c in MODEL_ORDER]
+    assert {tuple(r)[:3]: r["omit_mask"] for r in found.collect()} == {tuple(k): ruled if tuple(k) == ("a", "A", 1) else [0.0] * 21 for k in _keys(spark).collect()}
