@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 
 from ..functions import arrays
 from ..functions.letters import MODEL_ORDER
+from ..scratch import cut
 from ..session import ship
-from .constraints import pad_batch
 from .ranks import numbered
 
 
@@ -250,20 +250,44 @@ def score_with_model(features: DataFrame, schema: str, model: Callable, budget:
     features: name, global_pos (0, 1, ... in each structure), aa, mask. Structures of about the same length are packed to ``budget`` positions a batch, padding counted (length_batches,
     pad_batch); one longer than that is a batch of its own, behind no other. The scorer gets a pandas frame of a batch, by name and global_pos, every structure as many rows as the longest,
     X and mask 0 where padded; it returns a row for each row, in the same order, of which those of padding are left out.
+
+    A structure is one row until its batch is scored: features are worked out once and written so, and padding is made where the scorer runs.
     """
-    lengths = features.groupBy("name").agg(F.count("*").alias("length"))
-    batches = length_batches(lengths, budget)
-    padded = pad_batch(features, batches.select(F.struct("bucket", "batch").alias("batch"), "name", "length"))
+    ship(features.sparkSession)
+    at = F.col("global_pos").cast("int")
+    residue = F.struct(at.alias("at"), F.coalesce("aa", F.lit("X")).alias("aa"), F.coalesce("mask", F.lit(0)).alias("mask"))
+    gathered = features.groupBy("name").agg(F.count("*").alias("length"), F.collect_list(F.when(at.isNotNull(), residue)).alias("_r"))
+    structures = cut(gathered.select("name", "length", *[F.col("_r")[c].alias(c) for c in ("at", "aa", "mask")]), "structures")
+    batches = length_batches(structures.select("name", "length"), budget)
 
     def run(pdf):
         from strandframe.operators import scoring
 
         if model not in scoring._scorers:
             scoring._scorers[model] = model()
-        pdf = pdf.sort_values(["name", "global_pos"], ignore_index=True)
-        out = scoring._scorers[model](pdf.drop(columns=["padded", "bucket", "no"]))
-        if len(out) != len(pdf):
+        frame, padded = scoring._padded(pdf)
+        out = scoring._scorers[model](frame)
+        if len(out) != len(frame):
             raise ValueError("a scorer gives a row for each row")
-        return out[~pdf["padded"].to_numpy()]
+        return out[~padded]
+
+    # Structures are never broadcast, however small their files are.
+    return structures.drop("length").join(batches.hint("merge"), "name").groupBy("bucket", "batch").applyInPandas(run, schema)
 
-    return padded.select(F.col("batch.bucket").alias("bucket"), F.col("batch.batch").alias("no"), "name", "global_pos", "aa", "mask", "padded").groupBy("bucket", "no").applyInPandas(run, schema)
+
+def _padded(pdf):
+    """A batch's residues by name and global_pos, every structure as many as the longest, and which of them are padding; pdf: name, length, and at, aa and mask as arrays."""
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values("name", ignore_index=True)
+    n, lengths = len(pdf), pdf["length"].to_numpy()
+    longest = int(lengths.max())
+    at = np.concatenate(pdf["at"].to_list()).astype(np.int64)
+    place, own = np.repeat(np.arange(n) * longest, pdf["at"].map(len)) + at, (at >= 0) & (at < longest)
+    masks = np.concatenate(pdf["mask"].to_list())
+    aa, mask = np.full(n * longest, "X", object), np.zeros(n * longest, masks.dtype)
+    aa[place[own]], mask[place[own]] = np.concatenate(pdf["aa"].to_list())[own], masks[own]
+    global_pos = np.tile(np.arange(longest, dtype=np.int32), n)
+    frame = pd.DataFrame({"name": np.repeat(pdf["name"].to_numpy(), longest), "global_pos": global_pos, "aa": aa, "mask": mask})
+    return frame, global_pos >= np.repeat(lengths, longest)

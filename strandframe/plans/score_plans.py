@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -302,13 +304,13 @@ def format_scores(spark, sf_dir):
 
 def letter_scorer():
     """A deterministic scorer: logits follow the distance of letters in the model's order."""
-    import numpy as np
     import pandas as pd
 
+    # Lists of floats, not arrays: Spark makes a list of each row's value.
+    logits = {c: [-abs(j - i) / 2.0 for j in range(21)] for i, c in enumerate(MODEL_ORDER)}
+
     def score(pdf):
-        idx = pdf["aa"].map({c: i for i, c in enumerate(MODEL_ORDER)}).fillna(20).to_numpy()
-        logits = -np.abs(np.arange(21)[None, :] - idx[:, None]) / 2.0
-        return pd.DataFrame({"name": pdf["name"], "global_pos": pdf["global_pos"], "logits": list(logits)})
+        return pd.DataFrame({"name": pdf["name"], "global_pos": pdf["global_pos"], "logits": [logits.get(c, logits["X"]) for c in pdf["aa"]]})
 
     return score
 
@@ -323,11 +325,12 @@ def score_with_model(spark, sf_dir):
     features = plans.indexed(spark, sf_dir).select("name", "global_pos", "aa", "mask")
     scored = S.score_with_model(features, "name string, global_pos long, logits array<double>", letter_scorer)
     best = F.array_position("logits", F.array_max("logits")) - 1
+    total = reduce(lambda s, i: s + F.get("logits", F.lit(i)), range(21), F.lit(0.0))
     return scored.select(
         "name",
         "global_pos",
         F.size("logits").alias("n"),
-        F.round(arrays.total(F.col("logits")), 4).alias("total"),
+        F.round(total, 4).alias("total"),
         best.alias("best"),
     )
 

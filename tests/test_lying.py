@@ -1,4 +1,4 @@
-"""Residues lie by name at once; constraints meet them with what follows from a constraint worked out in its own rows."""
+"""Residues lie by name at once; constraints meet them with what follows from a constraint worked out in its own rows; a scorer's features are worked out once."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from strandframe.functions.letters import MODEL_ORDER
 from strandframe.operators import constraints as C
 from strandframe.operators import residues as R
+from strandframe.operators import scoring as S
 from strandframe.plans import constraint_plans  # noqa: F401
 from strandframe.plans import fixtures as fx
 from strandframe.plans import residue_plans as plans
@@ -62,3 +63,23 @@ def test_letters_are_marked_in_the_rows_of_the_constraint(spark):
     assert "array_contains" not in _plan(found)
     ruled = [1.0 if c in "CX" else 0.0 for c in MODEL_ORDER]
     assert {tuple(r)[:3]: r["omit_mask"] for r in found.collect()} == {tuple(k): ruled if tuple(k) == ("a", "A", 1) else [0.0] * 21 for k in _keys(spark).collect()}
+
+
+def echo_scorer():
+    def score(pdf):
+        assert list(pdf.columns) == ["name", "global_pos", "aa", "mask"] and not pdf.duplicated(["name", "global_pos"]).any()
+        assert pdf.equals(pdf.sort_values(["name", "global_pos"], ignore_index=True)) and pdf.groupby("name").size().nunique() == 1
+        return pdf
+
+    return score
+
+
+def test_features_are_worked_out_once(spark):
+    """Gaps are X with mask 0, places past the longest go, as do rows without a place; nulls take X and 0."""
+    df = spark.range(4000).select(F.concat(F.lit("s"), (F.col("id") % 400).cast("string")).alias("name"), F.floor(F.col("id") / 400).alias("global_pos"), F.lit("A").alias("aa"), F.lit(1).alias("mask"))
+    odd = spark.createDataFrame([("t", 0, None, 1), ("t", 2, "C", None), ("t", 7, "D", 1), ("u", None, "E", 1)], "name string, global_pos long, aa string, mask int")
+    found = S.score_with_model(df.unionByName(odd), "name string, global_pos long, aa string, mask int", echo_scorer, 256)
+    assert "Range (" not in _plan(found)
+    rows = sorted(map(tuple, found.collect()))
+    assert [r for r in rows if r[0] == "t"] == [("t", 0, "X", 1), ("t", 1, "X", 0), ("t", 2, "C", 0)] and [r for r in rows if r[0] == "u"] == [("u", 0, "X", 0)]
+    assert [r for r in rows if r[0][0] == "s"] == sorted(map(tuple, df.collect()))
