@@ -243,6 +243,9 @@ def split_chains(sequences: DataFrame) -> DataFrame:
 #: Scorers by the function that makes them: a Python worker keeps its module, so each is made once in it.
 _scorers: dict[Callable, Callable] = {}
 
+#: Positions that are scored in a task, about.
+_SCORED = 500_000
+
 
 def score_with_model(features: DataFrame, schema: str, model: Callable, budget: int = 16_384) -> DataFrame:
     """A user's scorer on padded batches of structures; model, an importable function, makes the scorer once in each worker.
@@ -271,8 +274,9 @@ def score_with_model(features: DataFrame, schema: str, model: Callable, budget:
             raise ValueError("a scorer gives a row for each row")
         return out[~padded]
 
-    # Structures are never broadcast, however small their files are.
-    return structures.drop("length").join(batches.hint("merge"), "name").groupBy("bucket", "batch").applyInPandas(run, schema)
+    # Structures are never broadcast, and tasks are made by positions, however small the files and rows are that hold them.
+    tasks = -(-(structures.agg(F.sum("length")).first()[0] or 1) // _SCORED)
+    return structures.drop("length").join(batches.hint("merge"), "name").repartition(tasks, "bucket", "batch").groupBy("bucket", "batch").applyInPandas(run, schema)
 
 
 def _padded(pdf):

@@ -74,12 +74,15 @@ def echo_scorer():
     return score
 
 
-def test_features_are_worked_out_once(spark):
+def test_features_are_worked_out_once(spark, monkeypatch):
     """Gaps are X with mask 0, places past the longest go, as do rows without a place; nulls take X and 0."""
     df = spark.range(4000).select(F.concat(F.lit("s"), (F.col("id") % 400).cast("string")).alias("name"), F.floor(F.col("id") / 400).alias("global_pos"), F.lit("A").alias("aa"), F.lit(1).alias("mask"))
     odd = spark.createDataFrame([("t", 0, None, 1), ("t", 2, "C", None), ("t", 7, "D", 1), ("u", None, "E", 1)], "name string, global_pos long, aa string, mask int")
     found = S.score_with_model(df.unionByName(odd), "name string, global_pos long, aa string, mask int", echo_scorer, 256)
     assert "Range (" not in _plan(found)
+    monkeypatch.setattr(S, "_SCORED", 500)
+    many = S.score_with_model(df, "name string, global_pos long, aa string, mask int", echo_scorer, 256)
+    assert "Exchange hashpartitioning(bucket" in many._jdf.queryExecution().executedPlan().toString() and many.rdd.getNumPartitions() == 8 and many.count() == 4000
     rows = sorted(map(tuple, found.collect()))
     assert [r for r in rows if r[0] == "t"] == [("t", 0, "X", 1), ("t", 1, "X", 0), ("t", 2, "C", 0)] and [r for r in rows if r[0] == "u"] == [("u", 0, "X", 0)]
     assert [r for r in rows if r[0][0] == "s"] == sorted(map(tuple, df.collect()))
